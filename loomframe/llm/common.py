@@ -34,17 +34,22 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again, so that lost executors cost no recomputation of what is above.
-
-    The folder is the session's spark.checkpoint.dir; only a local session without one gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    folder = sc._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
+        wanted = sc.getConf().get("spark.checkpoint.dir")
+        if not wanted:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="loomframe-")
-        sc.setCheckpointDir(folder)
+            wanted = tempfile.mkdtemp(prefix="loomframe-")
+        sc.setCheckpointDir(wanted)
+        folder = sc._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that lost executors cost no recomputation of what is above."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

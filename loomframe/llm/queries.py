@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import htmltext, mixing, quality, simhash, topk
-from loomframe.llm.common import table
+from loomframe.llm import htmltext, mixing, pieces, quality, repeats, simhash, tokencounts, topk, toxicity, warc
+from loomframe.llm.common import shared_folder, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,38 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().select("doc_id", F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", "taken")
 
 
+def op2_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of an archive of all pages against a replica in which some records have rotted."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.audit(*warc.replicas(pages, rotted(pages)))
+
+
+def rotted(pages: DataFrame) -> DataFrame:
+    """The pages as a failing disk would give them: about one in 200 has its first letter "e" overwritten."""
+    at = F.pmod(F.xxhash64("page_id", F.lit("rot")), F.lit(2000))
+    spoiled = F.concat(F.substring_index("html", "e", 1), F.lit("\x00"), F.expr("substring(html, length(substring_index(html, 'e', 1)) + 2)"))
+    return pages.withColumn("html", F.when((at < 10) & F.contains("html", F.lit("e")), spoiled).otherwise(F.col("html")))
+
+
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated unit of text to remove, with its place and the occurrence that stays."""
+    return repeats.repeated(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after all documents were inserted in one batch and that batch was committed again."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = tokencounts.Rollup(spark, f"{shared_folder(spark)}/token-totals-{uuid.uuid4().hex}")
+    for _ in range(2):
+        rollup.commit("documents", tokencounts.inserts(tokencounts.counted(docs), "byte_bpe_50k"))
+    return rollup.totals()
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document, and whether decoding gives its text."""
+    return pieces.encode(table(spark, sf_dir, "documents"), check=True)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the standard policy's verdict for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,6 +68,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, by a model fitted to the labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
@@ -64,4 +104,4 @@ b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f & 3) <> 0 AS base_failed, f = 0 AS kept, f::BIGINT AS fail_bits FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_mix, op6_quality_rules, op7_topk, op8_simhash, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_merkle_audit, op3_repeats, op4_token_counts, op5_pieces, op6_quality_rules, op7_topk, op8_simhash, op9_toxicity, op10_html)}
