@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 BLANKS = "\t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch on its way to Python, so that a worker's memory doesn't follow the length of texts.
+BATCH_BYTES = 4 << 20
+
+
+def to_python(rows: DataFrame, run, schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of about BATCH_BYTES."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

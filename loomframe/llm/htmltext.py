@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.llm.common import to_python
+
 _ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|math|textarea|select)\b" + _ATTRS + r"(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s>/]*)(" + _ATTRS + r")>?",
@@ -198,4 +200,4 @@ def extract(pages: DataFrame, html: str = "html", weights: dict[str, float] | No
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return to_python(rows, run, f"{kinds}, text string, n_chars long")

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import cut
+from loomframe.llm.common import cut, to_python
 
 SENTENCE_END = re.compile(r"(?<=[.!?])[ \t]+")
-UNITS_AT_ONCE = 50_000
+UNITS_AT_ONCE = 10_000
 
 
 def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -64,7 +64,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words
                 yield pa.record_batch(cols, ["doc_id", "text_hash", "start", "end", "n_words", "d1", "d2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, start int, end int, n_words int, d1 long, d2 long")
+    return to_python(rows, run, "doc_id long, text_hash long, start int, end int, n_words int, d1 long, d2 long")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe.llm.common import to_python
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,7 +47,7 @@ def counted(docs: DataFrame, text: str = "text", ranks: str = RANKS, keep: tuple
             n = pa.array([len(encode(x.as_py() or "")) for x in batch.column(len(keep))], pa.int64())
             yield pa.record_batch([*batch.columns[: len(keep)], n], [*keep, "n_tokens"])
 
-    return rows.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema) + "n_tokens long")
+    return to_python(rows, run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema) + "n_tokens long")
 
 
 def inserts(rows: DataFrame, tokenizer: str) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.llm.common import to_python
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Different strongly associated features from which a toxic text has grade 1, 2, 3.
 GRADE_AT = (0, 2, 4)
@@ -91,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 part = batch.slice(at, 200)
                 yield pa.record_batch([part.column(0), pa.array([list(features_of(x.as_py())) for x in part.column(1)], pa.list_(pa.string()))], ["y", "f"])
 
-    marked = rows.select("y", "_text").mapInArrow(marks, "y boolean, f array<string>")
+    marked = to_python(rows.select("y", "_text"), marks, "y boolean, f array<string>")
     counts = marked.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.count_if("y").alias("a"), F.count_if(~F.col("y")).alias("b")).filter(F.col("a") + F.col("b") >= min_rows)
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (n.get(True) and n.get(False)):
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             found = [[names[f] for f in features_of(x.as_py()) if f in names] for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "at"])
 
-    sample = rows.select("y", "_text").mapInArrow(chosen, "y boolean, at array<int>").toArrow()
+    sample = to_python(rows.select("y", "_text"), chosen, "y boolean, at array<int>").toArrow()
     lists = sample.column("at").to_pylist()
     y = np.array([0 if not t else sum(len(strong.intersection(at)) >= k for k in GRADE_AT) for t, at in zip(sample.column("y").to_pylist(), lists, strict=True)])
     cols = np.array([c for at in lists for c in sorted(at)], np.int64)
@@ -127,4 +129,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             severity = model.severity(sums)
             yield pa.record_batch([batch.column(0), pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(model.above(sums) > at_least)], ["doc_id", "severity", "grade", "toxic"])
 
-    return rows.mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
+    return to_python(rows, run, "doc_id long, severity double, grade int, toxic boolean")
