@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import cut
+from loomframe.llm.common import cut, to_python
 from loomframe.llm.components import components
 
 RADIUS = 2
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sh
                 yield pa.record_batch([ids.slice(begun, at - begun), pa.array(_majority(hashes, lengths), pa.int64())], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return to_python(rows, run, "doc_id long, fp long")
 
 
 def _ball(bits: int) -> list[int]:
@@ -112,3 +112,111 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     named = cut(placed.join(least, "label").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Groups of texts that share most of their shingles.
+#
+# At a Jaccard similarity of 0.8, fingerprints of 64 bits differ in 8 bits by the median and in up to 16, which no table of
+# segment values can cover. So fingerprints only propose some of the pairs here; the others come from bands of minima of
+# the same shingle hashes, and every pair is verified on the whole texts.
+
+BANDS, BAND_ROWS = 16, 4
+_MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: list[int]) -> np.ndarray:
+    """A key for each band: two sets of shingles share one with probability 1 - (1 - J**4)**16, 0.9998 at J = 0.8."""
+    flat = np.array(hashes, dtype="<u8")
+    flat ^= flat >> np.uint64(29)
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(flat), 1 << 13):
+        turned = flat[at : at + (1 << 13), None] * _MULTIPLIERS[None, :]
+        np.minimum(least, turned.min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(least[i : i + BAND_ROWS].tobytes(), i) for i in range(0, len(least), BAND_ROWS)], np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """node (id and text hash of a row), whole (digest of its words in lower case), fp and bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for at in range(0, batch.num_rows, 500):
+                whole, fps, bands, part = [], [], [], batch.slice(at, 500)
+                for x in texts.slice(at, 500):
+                    raw = x.as_py()
+                    hashes = shingle_hashes(raw, shingle)
+                    whole.append(xxhash.xxh3_128_hexdigest(b" ".join((raw or b"").lower().split())))
+                    fps.append(_majority(hashes, [len(hashes)])[0])
+                    bands.append(band_keys(hashes))
+                flat = pa.array(np.concatenate(bands), pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(whole), pa.array(fps, pa.int64()), lists], ["id", "th", "whole", "fp", "bands"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
+    found = to_python(rows, run, "id long, th long, whole string, fp long, bands array<long>")
+    return found.select(F.struct("id", "th").alias("node"), "whole", "fp", "bands")
+
+
+def _proposed(nodes: DataFrame, bucket_cap: int) -> DataFrame:
+    """Pairs a < b of nodes to verify. In a bucket of up to bucket_cap nodes all pairs; in a larger one each node with three of it."""
+    in_bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    by_fp = nodes.select("node", F.lit(-1).alias("band"), F.col("fp").alias("key"))
+    entries = in_bands.unionByName(by_fp)
+    chiefs = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(3)]
+    buckets = cut(entries.groupBy("band", "key").agg(F.count("*").alias("n"), *chiefs).filter("n > 1"))
+    small = entries.join(buckets.filter(F.col("n") <= bucket_cap).select("band", "key").hint("merge"), ["band", "key"]).groupBy("band", "key").agg(F.sort_array(F.collect_list("node")).alias("all"))
+    within = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.greatest(F.size("all") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    large = entries.join(buckets.filter(F.col("n") > bucket_cap).drop("n").hint("merge"), ["band", "key"]).select("node", F.explode(F.array("c0", "c1", "c2")).alias("c"))
+    one = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    near = hamming_links(nodes.select("fp").distinct())
+    near = near.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    pairs = small.select(F.explode(within).alias("p")).select("p.a", "p.b").unionByName(large.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")))
+    return pairs.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).filter("a <> b").distinct()
+
+
+def _shingles(text: bytes | None, n: int) -> set[bytes]:
+    w = (text or b"").lower().split()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(n)), strict=False))) if len(w) > n else {b" ".join(w)}
+
+
+def similar(a: set[bytes], b: set[bytes], tenths: int) -> bool:
+    """Whether the Jaccard similarity is tenths / 10 or more."""
+    if 10 * min(len(a), len(b)) < tenths * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 10 * both >= tenths * (len(a) + len(b) - both)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8, bucket_cap: int = 24) -> DataFrame:
+    """Rows of docs grouped by verified similarity: node, whole, component (the least node that links reach)."""
+    marked = cut(sketches(docs, id_col, text, shingle))
+    nodes = cut(marked.groupBy("whole").agg(F.min("node").alias("node"), F.min_by("fp", "node").alias("fp"), F.min_by("bands", "node").alias("bands")))
+    pairs = cut(_proposed(nodes, bucket_cap))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th")).alias("node"), F.col(text).cast("string").alias("text"))
+    texts = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, x, y = batch.slice(0).columns[:4], batch.column(4).cast(pa.binary()), batch.column(5).cast(pa.binary())
+            ok = [similar(_shingles(p.as_py(), shingle), _shingles(q.as_py(), shingle), tenths) for p, q in zip(x, y, strict=True)]
+            yield pa.record_batch(ids, ["a_id", "a_th", "b_id", "b_th"]).filter(pa.array(ok, pa.bool_()))
+
+    sent = both.select(F.col("a.id").alias("a_id"), F.col("a.th").alias("a_th"), F.col("b.id").alias("b_id"), F.col("b.th").alias("b_th"), "x", "y")
+    links = to_python(sent, verify, "a_id long, a_th long, b_id long, b_th long")
+    links = links.select(F.struct(F.col("a_id").alias("id"), F.col("a_th").alias("th")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_th").alias("th")).alias("b"))
+    label = components(links)
+    placed = nodes.select("whole", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = cut(placed)
+    least = cut(placed.groupBy("label").agg(F.min("node").alias("component")))
+    named = cut(placed.join(least, "label").select("whole", "component"))
+    return marked.select("node", "whole").join(named, "whole")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8) -> DataFrame:
+    """docs with one row of each group of similar texts: that with the least id, null ids first."""
+    stay = similar_groups(docs, id_col, text, shingle, tenths).filter("node = component").select(F.col("node").alias("_node")).distinct()
+    rows = docs.withColumn("_node", F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th")))
+    return rows.join(stay, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
