@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.llm.common import to_python
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters that are segmented at once, and lattice characters at most in a call of the filter.
-AT_ONCE = 3_000_000
+AT_ONCE = 2_000_000
 SPACES = re.compile(r" *[^ \n]+| +|\n")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,9 +82,32 @@ class Pieces:
                     self_piece.append(-1)
                     keys.append((nodes[p[: k - 1]] * self.width + int(self.classes[ord(p[k - 1])]), nodes[p[:k]]))
             self_piece[nodes[p]] = own[p]
-        keys.sort()
-        self.keys, self.child = (np.array(x, np.int64) for x in zip(*keys, strict=True))
-        self.piece_at = np.array(self_piece, np.int64)
+        # Open addressing, at most a quarter full.
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.child = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        for key, child in keys:
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] != -1:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.child[at] = key, child
+        self.piece_at = np.array(self_piece, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def children(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes of keys, -1 for none."""
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.child[at], np.int32(-1))
+        left = np.flatnonzero((found != keys) & (found != -1))
+        while len(left):
+            at[left] = (at[left] + 1) % len(self.keys)
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.child[at[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out
 
     def chunks(self, text: str) -> list[str]:
         """The independent lattices of a text, with the space that SentencePiece puts before it."""
@@ -98,24 +123,22 @@ class Pieces:
     def edges(self, chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """start, end, piece of every edge; ends: for each character, where its chunk ends. A piece of size + c stands for the bytes of character c."""
         cls = self.classes[chars].astype(np.int64)
-        starts, node, length, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0, []
+        starts, node, length, found = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), np.int64), 0, []
         single = np.zeros(len(chars), bool)
         while len(starts):
-            key = node * self.width + cls[starts + length]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            ok = self.keys[at] == key
-            starts, node = starts[ok], self.child[at[ok]]
+            node = self.children(node * np.int64(self.width) + cls[starts + length])
+            ok = node >= 0
+            starts, node = starts[ok], node[ok]
             length += 1
             piece = self.piece_at[node]
             whole = piece >= 0
-            found.append((starts[whole], starts[whole] + length, piece[whole]))
+            found.append((starts[whole], starts[whole] + np.int32(length), piece[whole]))
             if length == 1:
                 single[starts[whole]] = True
             more = starts + length < ends[starts]
             starts, node = starts[more], node[more]
-        lone = np.flatnonzero(~single)
-        found.append((lone, lone + 1, self.size + chars[lone].astype(np.int64)))
+        lone = np.flatnonzero(~single).astype(np.int32)
+        found.append((lone, lone + np.int32(1), (self.size + chars[lone]).astype(np.int32)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def segment(self, texts: Sequence[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,39 +153,36 @@ class Pieces:
         kinds = dict.fromkeys(chunks)
         for i, k in enumerate(kinds):
             kinds[k] = i
-        which = np.fromiter(map(kinds.__getitem__, chunks), np.int64, len(chunks))
+        which = np.fromiter(map(kinds.__getitem__, chunks), np.int32, len(chunks))
         del chunks
         chars = np.frombuffer("".join(kinds).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.fromiter(map(len, kinds), np.int64, len(kinds))
-        last = np.cumsum(sizes)
+        sizes = np.fromiter(map(len, kinds), np.int32, len(kinds))
+        last = np.cumsum(sizes, dtype=np.int32)
         first = last - sizes
-        place = np.arange(len(chars)) - np.repeat(first, sizes)
+        place = np.arange(len(chars), dtype=np.int32) - np.repeat(first, sizes)
         start, end, piece = self.edges(chars, np.repeat(last, sizes))
         weight = np.where(piece < self.size, self.logp[np.minimum(piece, self.size - 1)], self.logp_bytes)
-        # Places are those behind a character; forward sums go through them by their distance from the chunk's start.
-        by_place = np.lexsort((start, end, place[end - 1]))
-        start, end, piece, weight = start[by_place], end[by_place], piece[by_place], weight[by_place]
+        # Places are those behind a character. Edges come in runs by length, so a stable sort by their end merges runs.
+        by_end = np.argsort(end, kind="stable")
+        start, end, piece, weight = start[by_end], end[by_end], piece[by_end], weight[by_end]
+        begins = np.searchsorted(end, np.arange(1, len(chars) + 1, dtype=np.int32)).astype(np.int32)
+        upto = np.append(begins[1:], np.int32(len(end)))
+        # Forward sums go through the places by their distance from the chunk's start.
         depth = place[end - 1]
-        reach = np.empty(len(chars))  # of the place behind each character
-        at_start = place[start] == 0
-        bounds = np.searchsorted(depth, np.arange(depth[-1] + 2))
+        order = np.argsort(depth.astype(np.int16) if depth.max() < 1 << 15 else depth, kind="stable")
+        bounds = np.searchsorted(depth[order], np.arange(int(depth.max()) + 2))
+        reach = np.zeros(len(chars) + 1)  # of the place behind each character; the last is that of all starts
+        behind = np.where(place[start] == 0, np.int32(len(chars)), start - 1)
         total = np.empty(len(start))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a == b:
-                continue
-            s = np.where(at_start[a:b], weight[a:b], reach[start[a:b] - 1] + weight[a:b])
-            runs = np.flatnonzero(np.diff(end[a:b], prepend=-1))
-            reach[end[a:b][runs] - 1] = np.logaddexp.reduceat(s, runs)
-            total[a:b] = s
-        # Edges by place in the text: of each place the probabilities sum to 1, so a running sum tells place and edge.
-        by_end = np.lexsort((start, end))
-        start, end, piece = start[by_end], end[by_end], piece[by_end]
-        share = np.exp(total[by_end] - reach[end - 1])
-        begins = np.searchsorted(end, np.arange(1, len(chars) + 1))
-        upto = np.append(begins[1:], len(end))
-        sums = np.cumsum(share)
-        before = sums[begins] - share[begins]
-        del place, total, weight, depth, by_end, by_place, at_start
+            own = order[a:b]
+            ends = end[own]
+            s = reach[behind[own]] + weight[own]
+            runs = np.flatnonzero(np.diff(ends, prepend=-1))
+            reach[ends[runs] - 1] = np.logaddexp.reduceat(s, runs)
+            total[own] = s
+        share = np.exp(total - reach[end - 1])  # of each place, they sum to 1
+        del place, total, weight, depth, order, behind, by_end
         first_char = np.zeros(len(chars), bool)
         first_char[first] = True
         # Backward sampling of all chunks at once.
@@ -174,10 +194,14 @@ class Pieces:
         while len(who):
             u = (mixed(seed[who] + _GOLD * np.full(1, step, np.uint64)) >> np.uint64(11)) * (1 / (1 << 53))
             lo, hi = begins[at], upto[at]
-            pick = lo.copy()
-            several = np.flatnonzero(hi - lo > 1)
-            p = at[several]
-            pick[several] = np.clip(np.searchsorted(sums, before[p] + u[several] * (sums[hi[several] - 1] - before[p]), "right"), lo[several], hi[several] - 1)
+            pick, over = lo.copy(), np.flatnonzero(hi - lo > 1)
+            aim, end_of = u[over], hi[over] - 1
+            while len(over):  # sums of a place's own shares, so that no other text in the batch has a say
+                k = pick[over]
+                aim = aim - share[k]
+                on = np.flatnonzero((aim >= 0) & (k < end_of))
+                over, aim, end_of = over[on], aim[on], end_of[on]
+                pick[over] += 1
             drawn.append((who, piece[pick]))
             n_pieces[who] += 1
             begun = start[pick]
@@ -185,7 +209,7 @@ class Pieces:
             who, at = who[go], begun[go] - 1
             step += 1
         stop = np.cumsum(n_pieces)
-        out = np.empty(stop[-1], np.int64)
+        out = np.empty(stop[-1], np.int32)
         for k, (w, p) in enumerate(drawn):
             out[stop[w] - 1 - k] = p
         per_row = np.bincount(row, weights=n_pieces, minlength=len(texts)).astype(np.int64)
@@ -249,7 +273,7 @@ def encode(
                 yield pa.record_batch([*(c.slice(begun, at - begun) for c in batch.columns[:n]), lists, pa.array(counts, pa.int64()), *more], [*keep, "piece_ids", "n_pieces", *(["round_trip"] if check else [])])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{kinds}piece_ids array<int>, n_pieces long" + ", round_trip boolean" * check)
+    return to_python(rows, run, f"{kinds}piece_ids array<int>, n_pieces long" + ", round_trip boolean" * check)
 
 
 def decode(rows: DataFrame, ids: str = "piece_ids", model: str = MODEL, to: str = "decoded") -> DataFrame:
