@@ -171,16 +171,19 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """shard, slot (in the shard's source), source_no, epoch, block. A source's slots end with its epoch number most."""
+        tasks = max(1, math.ceil(self.n_slots / 50_000))
         before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         counts = self.shard_counts().withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
         last = F.least(F.col("n"), F.col("n_blocks") * self.most - F.col("_before"))
-        made = counts.filter(last > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("slot"))
+        made = counts.filter(last > 0).repartition(tasks, "shard", "source_no").select("*", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("slot"))
         made = made.withColumn("_j", F.col("_before") + F.col("slot")).withColumns({"epoch": F.floor(F.col("_j") / F.col("n_blocks")), "_at": F.pmod("_j", "n_blocks")})
         return made.select("shard", "slot", "source_no", "epoch", permuted(F.col("_at"), F.col("n_blocks"), F.lit(self.seed).cast("long"), F.col("source_no"), F.col("epoch")).alias("block"))
 
     def rows(self, with_text: bool = False, untaken: bool = False) -> DataFrame:
-        """The mix: a row for each slot and piece of its block. untaken: also pieces that no slot takes, slot null."""
-        return self.pieces(with_text).join(self.slots(), ["source_no", "block"], "left" if untaken else "inner")
+        """The mix: a row for each slot and piece of its block. untaken: also pieces that no slot takes, slot null.
+
+        Slots are as many as blocks, so the join is always by shuffle."""
+        return self.pieces(with_text).join(self.slots().hint("merge"), ["source_no", "block"], "left" if untaken else "inner")
 
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target, taken: words of each document in the mix, repeats counted."""
