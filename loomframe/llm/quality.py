@@ -85,17 +85,17 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
-    out = docs.withColumns({"_found": found, "_lines": line_counts})
+    out = docs.withColumns({"__quality_words": found, "__quality_lines": line_counts})
     values = {
-        "n_words": F.col("_found.n_words"),
+        "n_words": F.col("__quality_words.n_words"),
         "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")),
         "n_symbols": _dropped(t, SYMBOLS),
-        "n_lines": F.col("_lines.n"),
-        "n_dup_lines": F.col("_lines.n") - F.col("_lines.d"),
-        "n_repeat_words": F.col("_found.n_repeat_words"),
+        "n_lines": F.col("__quality_lines.n"),
+        "n_dup_lines": F.col("__quality_lines.n") - F.col("__quality_lines.d"),
+        "n_repeat_words": F.col("__quality_words.n_repeat_words"),
         "n_exclaims": _dropped(t, "!"),
     }
-    return out.withColumns({k: v.cast("long") for k, v in values.items()}).drop("_found", "_lines")
+    return out.withColumns({k: v.cast("long") for k, v in values.items()}).drop("__quality_words", "__quality_lines")
 
 
 def rules() -> list[Rule]:

@@ -98,14 +98,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
     """docs with repeated units gone from text; other columns stay."""
-    spans = repeated(docs, id_col, text, min_words).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    spans = repeated(docs, id_col, text, min_words).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     @F.pandas_udf("string")
     def cleaned(texts, lists):
         return texts.combine(lists, lambda t, s: t if s is None or t is None else without(t, [(x["start"], x["end"]) for x in s]))
 
-    rows = docs.withColumn("_own", F.xxhash64(F.col(text)))
-    joined = rows.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    fresh = F.when(F.col("_spans").isNotNull(), cleaned(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    return joined.withColumn(text, fresh).select(*docs.columns)
+    # The row is packed, so that none of its names can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text)).alias("own_hash"))
+    joined = rows.join(spans, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    old = F.col("row")[text]
+    fresh = F.when(F.col("spans").isNotNull(), cleaned(old, F.col("spans"))).otherwise(old)
+    return joined.select("row", fresh.alias("fresh")).select(*[F.col("fresh").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

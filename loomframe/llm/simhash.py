@@ -218,5 +218,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8) -> DataFrame:
     """docs with one row of each group of similar texts: that with the least id, null ids first."""
     stay = similar_groups(docs, id_col, text, shingle, tenths).filter("node = component").select(F.col("node").alias("_node")).distinct()
-    rows = docs.withColumn("_node", F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th")))
-    return rows.join(stay, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
+    node = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), node.alias("_node"))
+    return rows.join(stay, "_node", "left_semi").dropDuplicates(["_node"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
