@@ -108,5 +108,5 @@ def lift_missing(rows: DataFrame, chain: DataFrame, chrom: str = "chrom", pos: s
     todo = lift(rows.filter(~had).drop("new_chrom", "new_pos"), chain, chrom, pos)
     done = rows.filter(had).unionByName(todo)
     n = rows.agg(F.count("*").alias("total"), F.count_if(had).alias("already_lifted"))
-    made = todo.agg(F.count_if("new_pos is not null").alias("converted"), F.count_if("new_pos is null").alias("failed"))
-    return done, n.join(made).select("total", "converted", "failed", "already_lifted")
+    made = todo.agg(F.count_if(F.col("new_pos").isNotNull()).alias("converted"), F.count_if(F.col("new_pos").isNull()).alias("failed"))
+    return done, n.withColumn("_k", F.lit(1)).join(made.withColumn("_k", F.lit(1)), "_k").select("total", "converted", "failed", "already_lifted")

@@ -46,7 +46,7 @@ def reconcile(
     from_a, from_b = F.concat(F.lit("S1="), va), F.concat(F.lit("S2="), vb)
     spare = {"flag_only": F.concat_ws(";", from_a, from_b), "prefer_left": from_b, "prefer_right": from_a}[strategy]
     source = F.when(only_a, "S1").when(only_b, "S2").when(kind == "filled_nocall", F.when(ma, "S2").otherwise("S1")).otherwise("both")
-    out = F.when(only_a, va).when(only_b, vb).when(clash, settled).when(ma, vb).otherwise(va)
+    out = F.when(only_a, va).when(only_b, vb).when(clash, settled).when(ma & ~mb, vb).otherwise(va)
     return both.select(
         *key, own.alias(name), out.alias(value), source.alias("source"), kind.alias("concordance"),
         F.when(clash, spare).otherwise(F.lit("")).alias("other_value"), F.coalesce(F.when(only_a | only_b, F.lit("")).otherwise(other_name), F.lit("")).alias("other_name"),

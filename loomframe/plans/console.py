@@ -76,12 +76,13 @@ def run_sql(spark: SparkSession, sql: str, allowed: Sequence[str], limit: int =
     """Columns, rows and whether there were more. Jobs still running at the deadline are cancelled."""
     check_read_only(spark, sql, allowed)
     group = f"console-{uuid.uuid4().hex}"
-    spark.addTag(group)
+    sc = spark.sparkContext
+    sc.setJobGroup(group, "console", interruptOnCancel=True)
     late = threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(group)
+        sc.cancelJobGroup(group)
 
     timer = threading.Timer(deadline_s, stop)
     timer.start()
@@ -95,7 +96,8 @@ def run_sql(spark: SparkSession, sql: str, allowed: Sequence[str], limit: int =
         raise
     finally:
         timer.cancel()
-        spark.removeTag(group)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.interruptOnCancel", None)
 
 
 class Registry:

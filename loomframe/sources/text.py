@@ -110,7 +110,7 @@ def strict(parsed: DataFrame) -> DataFrame:
 def scan_metrics(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     """One row: total lines, skipped (comments, blanks), and calls that are no call."""
     n = lines.agg(F.count("*").alias("total_lines"), F.count_if((F.trim("value") == "") | F.startswith("value", F.lit("#"))).alias("skipped_lines")).withColumn("_k", F.lit(1))
-    c = parsed.agg(F.count_if("reason is null").alias("variants"), F.count_if(G.is_no_call(F.col("genotype"))).alias("nocalls")).withColumn("_k", F.lit(1))
+    c = parsed.agg(F.count_if(F.col("reason").isNull()).alias("variants"), F.count_if(F.col("reason").isNull() & G.is_no_call(F.col("genotype"))).alias("nocalls")).withColumn("_k", F.lit(1))
     return n.join(c, "_k").drop("_k")
 
 
