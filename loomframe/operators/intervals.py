@@ -86,20 +86,20 @@ def lift(rows: DataFrame, chain: DataFrame, chrom: str = "chrom", pos: str = "po
     first block counts. On the minus strand places count from the target's end and genotypes are complemented.
     """
     name = F.regexp_replace(F.col(chrom), "(?i)^chr", "")
-    marked = rows.withColumns({"_row": F.monotonically_increasing_id(), "_c": name, "_p": F.col(pos) - 1})
-    x = marked.filter(~F.upper("_c").isin("MT", "M")).select("_row", "_c", "_p", F.floor(F.col("_p") / width).alias("_bin"))
+    marked = rows.withColumns({"_c": name, "_p": F.col(pos) - 1})
+    x = marked.filter(~F.upper("_c").isin("MT", "M")).select("_c", "_p", F.floor(F.col("_p") / width).alias("_bin")).distinct()
     blocks = chain.withColumn("_tc", F.regexp_replace("t_chrom", "(?i)^chr", "")).withColumn("_b", _bins(F.col("t_start"), F.col("t_end") - 1, width))
     hit = x.join(blocks, (F.col("_c") == F.col("_tc")) & (F.col("_bin") == F.col("_b")) & (F.col("_p") >= F.col("t_start")) & (F.col("_p") < F.col("t_end")))
     at = F.col("q_start") + F.col("_p") - F.col("t_start")
     place = F.struct(F.regexp_replace("q_chrom", "(?i)^chr", "").alias("chrom"), F.when(F.col("strand") == "-", F.col("q_size") - at).otherwise(at + 1).alias("pos"), F.col("strand"))
-    first = hit.groupBy("_row").agg(F.min_by(place, "block").alias("_q"))
-    out = marked.join(first, "_row", "left").withColumns({"new_chrom": F.col("_q.chrom"), "new_pos": F.col("_q.pos")})
+    first = hit.groupBy("_c", "_p").agg(F.min_by(place, "block").alias("_q"))
+    out = marked.join(first, ["_c", "_p"], "left").withColumns({"new_chrom": F.col("_q.chrom"), "new_pos": F.col("_q.pos")})
     if genotype:
         from loomframe.functions.genotype import canonical, complement
 
         turned = F.when(F.upper(F.col(genotype)).rlike("^[ACGT]{1,2}$"), canonical(complement(F.upper(F.col(genotype))))).otherwise(F.col(genotype))
         out = out.withColumn(genotype, F.when(F.col("_q.strand") == "-", turned).otherwise(F.col(genotype)))
-    return out.drop("_row", "_c", "_p", "_q")
+    return out.select(*rows.columns, "new_chrom", "new_pos")
 
 
 def lift_missing(rows: DataFrame, chain: DataFrame, chrom: str = "chrom", pos: str = "pos") -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomframe.functions import genotype as G
 from loomframe.functions import scalar as S
 from loomframe.operators import callers, cohort, facets, intervals, lookup, merge, paging, panels, rules, scores, sequence, vectors
+from loomframe.plans import annotate as enrich
 from loomframe.plans import console
 from loomframe.sources import sinks, text
 from loomframe.streaming import events as stream
@@ -69,6 +70,32 @@ def annotate(spark, sf_dir):
     return rows.groupBy(F.coalesce("p_type", F.lit("unknown")).alias("part_type"), mask.alias("coverage")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query()
+def annotate_calls(spark, sf_dir):
+    """The whole enrichment pipeline over as many invented calls as there are line items, with all seven sources; counts by coverage."""
+    li = read(spark, sf_dir, "lineitem")
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    letter = lambda c: F.substring(F.lit("ACGT"), (c % 4 + 1).cast("int"), F.lit(1))
+    base = li.select(k.alias("k"), "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_quantity").dropDuplicates(["k"])
+    site = [F.concat(F.lit("rs"), "k").alias("rsid"), (F.col("l_suppkey") % 22 + 1).cast("string").alias("chrom"), F.col("k").alias("pos")]
+    ref, alt = letter(F.col("k")).alias("ref"), letter(F.col("k") + 1 + F.col("l_partkey") % 3).alias("alt")
+    calls = base.select(*site, F.concat(letter(F.col("k")), letter(F.col("k") + F.col("l_partkey") % 2)).alias("genotype"))
+    gene = F.concat(F.lit("G"), F.col("l_partkey") % 500).alias("gene_symbol")
+    term = F.when(F.col("k") % 3 == 0, "missense_variant").when(F.col("k") % 3 == 1, "intron_variant").otherwise("stop_gained&splice_region_variant")
+    none = F.lit(None).cast("string")
+    sources = enrich.Sources(
+        merges=base.filter("k % 50 = 0").select(F.concat(F.lit("rs"), "k").alias("old_rsid"), F.concat(F.lit("rs"), F.col("k") + 1).alias("current_rsid")),
+        vep=base.filter("k % 10 < 8").select(*site, ref, alt, gene, F.concat(F.lit("t"), "k").alias("transcript_id"), term.alias("consequence"), none.alias("hgvs_coding"), none.alias("hgvs_protein"), (F.col("k") % 2).cast("int").alias("mane_select")),
+        clinvar=base.filter("k % 10 < 3").select(*site, ref, alt, F.when(F.col("k") % 4 == 0, "Pathogenic").otherwise("Uncertain significance").alias("significance"), (F.col("k") % 5).cast("int").alias("review_stars"), F.concat(F.lit("V"), "k").alias("accession"), none.alias("conditions"), gene),
+        gnomad=base.filter("k % 10 < 7").select(*site, ref, alt, F.col("l_discount").alias("af_global"), F.col("l_tax").alias("af_afr"), F.lit(0).cast("long").alias("homozygous_count")),
+        dbnsfp=base.filter("k % 10 < 5").select(*site, ref, alt, F.col("l_quantity").alias("cadd_phred"), F.col("l_tax").alias("sift_score"), F.col("l_discount").alias("revel")),
+        alphamissense=base.filter("k % 10 < 4").select(*site[1:], ref, alt, F.col("l_tax").alias("am_pathogenicity"), F.lit("x").alias("am_class")),
+        gene_phenotype=spark.range(300).select(F.concat(F.lit("G"), "id").alias("gene_symbol"), F.concat(F.lit("d"), "id").alias("disease_name"), F.concat(F.lit("M"), "id").alias("disease_id"), none.alias("hpo_terms"), F.lit("AD").alias("inheritance")),
+    )
+    wide = enrich.annotate(calls, sources)
+    return wide.groupBy("annotation_coverage", "zygosity", "evidence_conflict").agg(F.count("*").alias("n"))
+
+
 @query("""
 WITH b AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem)
 SELECT p_partkey, p_brand, l_orderkey AS best_order, l_extendedprice AS best_price FROM part LEFT JOIN b ON p_partkey = l_partkey AND r = 1

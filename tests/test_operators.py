@@ -238,8 +238,9 @@ def test_intervals_against_loops(spark):
 
 def test_lift(spark):
     chain = spark.createDataFrame([("chr1", 100, 200, "chr1", 1000, "+", 5000, 0), ("chr1", 300, 400, "chr2", 50, "-", 5000, 1)], "t_chrom string, t_start long, t_end long, q_chrom string, q_start long, strand string, q_size long, block int")
-    rows = spark.createDataFrame([("1", 101, "AG"), ("chr1", 200, "AG"), ("1", 201, "AG"), ("1", 301, "AC"), ("MT", 150, "A"), ("1", 301, "--")], "chrom string, pos long, genotype string")
-    got = [(r["new_chrom"], r["new_pos"], r["genotype"]) for r in intervals.lift(rows, chain, genotype="genotype").collect()]
+    calls = [("1", 101, "AG"), ("chr1", 200, "AG"), ("1", 201, "AG"), ("1", 301, "AC"), ("MT", 150, "A"), ("1", 301, "--")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(calls)], "i int, chrom string, pos long, genotype string")
+    got = [(r["new_chrom"], r["new_pos"], r["genotype"]) for r in intervals.lift(rows, chain, genotype="genotype").orderBy("i").collect()]
     assert got[:3] == [("1", 1001, "AG"), ("1", 1100, "AG"), (None, None, "AG")]
     assert got[3] == ("2", 4950, "GT") and got[4] == (None, None, "A") and got[5] == ("2", 4950, "--")
 
