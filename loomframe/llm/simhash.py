@@ -158,21 +158,42 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     return found.select(F.struct("id", "th").alias("node"), "whole", "fp", "bands")
 
 
-def _proposed(nodes: DataFrame, bucket_cap: int) -> DataFrame:
-    """Pairs a < b of nodes to verify. In a bucket of up to bucket_cap nodes all pairs; in a larger one each node with three of it."""
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _proposed(nodes: DataFrame, bucket_cap: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of nodes to verify, and the entries (band, key, node) of large buckets.
+
+    In a bucket of up to bucket_cap nodes all pairs; in a larger one each node with three of it, for a start.
+    """
     in_bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    by_fp = nodes.select("node", F.lit(-1).alias("band"), F.col("fp").alias("key"))
-    entries = in_bands.unionByName(by_fp)
+    entries = in_bands.unionByName(nodes.select("node", F.lit(-1).alias("band"), F.col("fp").alias("key")))
     chiefs = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(3)]
     buckets = cut(entries.groupBy("band", "key").agg(F.count("*").alias("n"), *chiefs).filter("n > 1"))
     small = entries.join(buckets.filter(F.col("n") <= bucket_cap).select("band", "key").hint("merge"), ["band", "key"]).groupBy("band", "key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     within = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.greatest(F.size("all") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    large = entries.join(buckets.filter(F.col("n") > bucket_cap).drop("n").hint("merge"), ["band", "key"]).select("node", F.explode(F.array("c0", "c1", "c2")).alias("c"))
+    large = cut(entries.join(buckets.filter(F.col("n") > bucket_cap).drop("n").hint("merge"), ["band", "key"]))
+    starred = large.select("node", F.explode(F.array("c0", "c1", "c2")).alias("c")).select(*_ordered("node", "c"))
     one = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = hamming_links(nodes.select("fp").distinct())
-    near = near.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
-    pairs = small.select(F.explode(within).alias("p")).select("p.a", "p.b").unionByName(large.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")))
-    return pairs.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).filter("a <> b").distinct()
+    near = near.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(*_ordered("x", "y"))
+    pairs = small.select(F.explode(within).alias("p")).select("p.a", "p.b").unionByName(starred).unionByName(near)
+    return pairs.filter("a <> b").distinct(), large.select("band", "key", "node")
+
+
+def _left_open(large: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs a < b of large buckets whose nodes the links so far leave in different components.
+
+    One node of each is outside the bucket's largest component. In a group of copies these are few, so the pairs are
+    about as many as the group's texts.
+    """
+    placed = cut(large.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("band", "key", "node", F.coalesce("label", "node").alias("label")))
+    parts = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k"))
+    mixed = cut(parts.filter("k > 1").select("band", "key", "main"))
+    own = cut(placed.join(mixed, ["band", "key"]))
+    outside = own.filter("label <> main").select("band", "key", F.col("node").alias("x"), F.col("label").alias("lx"))
+    return outside.join(own.select("band", "key", "node", "label"), ["band", "key"]).filter("lx <> label").select(*_ordered("x", "node")).distinct()
 
 
 def _shingles(text: bytes | None, n: int) -> set[bytes]:
@@ -188,11 +209,8 @@ def similar(a: set[bytes], b: set[bytes], tenths: int) -> bool:
     return 10 * both >= tenths * (len(a) + len(b) - both)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8, bucket_cap: int = 24) -> DataFrame:
-    """Rows of docs grouped by verified similarity: node, whole, component (the least node that links reach)."""
-    marked = cut(sketches(docs, id_col, text, shingle))
-    nodes = cut(marked.groupBy("whole").agg(F.min("node").alias("node"), F.min_by("fp", "node").alias("fp"), F.min_by("bands", "node").alias("bands")))
-    pairs = cut(_proposed(nodes, bucket_cap))
+def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text: str, shingle: int, tenths: int) -> DataFrame:
+    """Those of pairs whose whole texts are similar."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th")).alias("node"), F.col(text).cast("string").alias("text"))
     texts = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
@@ -200,14 +218,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, x, y = batch.slice(0).columns[:4], batch.column(4).cast(pa.binary()), batch.column(5).cast(pa.binary())
+            x, y = batch.column(4).cast(pa.binary()), batch.column(5).cast(pa.binary())
             ok = [similar(_shingles(p.as_py(), shingle), _shingles(q.as_py(), shingle), tenths) for p, q in zip(x, y, strict=True)]
-            yield pa.record_batch(ids, ["a_id", "a_th", "b_id", "b_th"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch(batch.columns[:4], ["a_id", "a_th", "b_id", "b_th"]).filter(pa.array(ok, pa.bool_()))
 
     sent = both.select(F.col("a.id").alias("a_id"), F.col("a.th").alias("a_th"), F.col("b.id").alias("b_id"), F.col("b.th").alias("b_th"), "x", "y")
     links = to_python(sent, verify, "a_id long, a_th long, b_id long, b_th long")
-    links = links.select(F.struct(F.col("a_id").alias("id"), F.col("a_th").alias("th")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_th").alias("th")).alias("b"))
+    return links.select(F.struct(F.col("a_id").alias("id"), F.col("a_th").alias("th")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_th").alias("th")).alias("b"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8, bucket_cap: int = 24) -> DataFrame:
+    """Rows of docs grouped by verified similarity: node, whole, component (the least node that links reach)."""
+    marked = cut(sketches(docs, id_col, text, shingle))
+    nodes = cut(marked.groupBy("whole").agg(F.min("node").alias("node"), F.min_by("fp", "node").alias("fp"), F.min_by("bands", "node").alias("bands")))
+    pairs, large = _proposed(nodes, bucket_cap)
+    links = cut(_verified(docs, cut(pairs), id_col, text, shingle, tenths))
     label = components(links)
+    if not large.isEmpty():
+        rest = cut(_left_open(large, cut(label)))
+        if not rest.isEmpty():
+            label = components(links.unionByName(_verified(docs, rest, id_col, text, shingle, tenths)))
     placed = nodes.select("whole", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = cut(placed)
     least = cut(placed.groupBy("label").agg(F.min("node").alias("component")))

@@ -115,6 +115,22 @@ def test_large_buckets_lose_nothing_here(spark):
     assert S.similar_groups(docs, bucket_cap=4).select("component").distinct().count() == 1
 
 
+def test_links_outside_the_starting_stars(spark):
+    """A chain of texts in one bucket: ends are unlike each other, and no link may be lost however small the cap."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts, now = [], list(base)
+    for k in range(40):
+        texts.append(" ".join(now))
+        at = (k * 3) % 110
+        now[at] = f"n{k}"
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["node"]["id"]: r["component"]["id"] for r in S.similar_groups(docs, bucket_cap=1000).collect()}
+    for cap in (1, 3):
+        assert {r["node"]["id"]: r["component"]["id"] for r in S.similar_groups(docs, bucket_cap=cap).collect()} == want
+
+
 def test_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(empty).count() == 0 and S.one_of_each(empty).count() == 0
