@@ -84,7 +84,10 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: i
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", max_rows: int = 20_000, max_features: int = 2000, min_rows: int = 5) -> Model:
     """A model from at most max_rows labelled rows."""
     own = labels.filter(F.col(toxic).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(toxic) > 0).alias("y"))
-    own = own.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    n_labels, cells = own.count(), 1 << 30
+    if n_labels > max_rows:  # a cut by hash first, so that each task sends its share of the sample and no more
+        own = own.filter(F.pmod(F.xxhash64("_id"), F.lit(cells)) < int(cells * min(1.0, 1.1 * max_rows / n_labels)))
+    own = own.orderBy(F.pmod(F.xxhash64("_id"), F.lit(cells)), "_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(own), "_id")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
