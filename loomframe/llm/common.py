@@ -49,7 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc._jsc.sc().getCheckpointDir()
     if not folder.isDefined():
-        wanted = sc.getConf().get("spark.checkpoint.dir")
+        wanted = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not wanted:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -59,7 +59,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that lost executors cost no recomputation of what is above."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, forget_size: bool = False) -> DataFrame:
+    """df written to the shared folder and read again, so that lost executors cost no recomputation of what is above.
+
+    A checkpoint keeps the size that the optimizer estimated, a product over all joins above. In a loop that product
+    grows doubly exponentially, as do the time and memory that its digits take on the driver; forget_size drops it.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    if not forget_size:
+        return out
+    rows = out._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
