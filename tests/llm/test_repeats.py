@@ -71,3 +71,32 @@ def test_edge_tables(spark):
     line = "one two three four five six seven eight nine"
     same = spark.createDataFrame([(1, line)] * 3 + [(None, line), (2, line.upper())], kind)
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in R.repeated(same).collect()) == [(False, 2), (True, None)]
+
+
+def test_short_lines_passages_and_paragraphs(spark):
+    verse = "\n".join(f"line {i} of verse" for i in range(20))
+    short = " ".join(f"so word{i} went on." for i in range(30))  # sentences of four words in one line
+    long = " ".join(f"this is sentence number {i} of a long passage." for i in range(4))
+    wrapped = "a paragraph of some words that\nis broken in this way\nor in another one"
+    docs = [
+        (1, f"own one\n{verse}\nend"),
+        (2, f"own two\n{verse}\n\nand its end"),
+        (3, f"First here. {short}"),
+        (4, f"Not the same. Nor of one length, is it. Oh. {short} More of it."),
+        (5, long),
+        (6, f"Oh. {long} Ah."),
+        (7, wrapped),
+        (8, "own eight\n\n" + wrapped.replace("that\nis", "that is").replace(" or", "\nor") + "\n\nlast"),
+        (9, "Mr. Smith has eight words in this line, no less"),
+        (10, "Mr. Jones has eight words in this line, no less"),
+    ]
+    left = {r["doc_id"]: r["text"] for r in R.clean(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [left[i] for i, _ in docs if i % 2] == [t for i, t in docs if i % 2]
+    assert left[2] == "own two\n\nand its end" and left[6] == "Oh. Ah." and left[8] == "own eight\n\n\nlast" and left[10] == docs[9][1]
+    assert left[4].startswith("Not the same.") and left[4].endswith("More of it.") and len(left[4].split()) <= 50
+
+
+def test_without_overlaps():
+    assert R.without("a b. c d.\nnext one\nlast", [(0, 18), (5, 9), (10, 18)]) == "last"
+    assert R.without("a b. c d. e", [(0, 9), (5, 9)]) == "e"
+    assert R.without("x\na b\nc d", [(2, 9)]) == "x"
