@@ -4,7 +4,9 @@ A page is read as one sequence of tags and words. Words score positive and tags
 found in one linear scan. The weights are log-likelihood ratios counted on labelled pages, in which the region of the
 article is known: how much likelier a word or a kind of tag is inside the region than outside. Inside the region, words
 in elements that name themselves as something else (menus, asides, adverts, notices, forms, comments) score nothing and
-are left out of the text, while their tags still count against the region.
+are left out of the text. Their tags count against the region. A name is
+read from the first and last part of a class, id, role or label ("site-footer", "comments-area"), not from one that tells
+of a state or of what else is on the page ("has-sidebar", "modal-open").
 
 Defined results: null or empty html gives an empty text, as does a page without words outside such elements. Pages cut
 off in the middle are read to their end. Repeated rows and ties: each row by itself; of equally good regions the first.
@@ -17,6 +19,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
 from html import unescape
 
@@ -33,6 +36,9 @@ TAG = re.compile(
 )
 CLASS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[a-z]+")
+ROLE_MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
+#: A name that begins or ends so tells what else is on the page or a state, not what the element is ("has-sidebar", "modal-open").
+ABOUT = frozenset("has have with without no not is tag category format status type hide show hidden visible open opened closed active inactive enabled disabled on off".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What an element's tag, class, id or role says that it is.
@@ -56,6 +62,17 @@ OTHER = frozenset(("head", "menu", "footer", "header", "aside", "ad", "comments"
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
+def named(token: str) -> Iterator[str]:
+    """The kinds that a class, id, role or label names by its first and its last part."""
+    parts = PARTS.findall(token)
+    if len(parts) > 1 and (parts[0] in ABOUT or parts[-1] in ABOUT):
+        return
+    for i in (0, -1)[: len(parts)]:
+        found = NAMED.get(parts[i], "")
+        if found and (i == 0 or not parts[i].startswith("widget")):
+            yield found
+
+
 def kind_of(tag: str, attributes: str, inside: str) -> str:
     """What the words right below this element are; inside: what those around it are."""
     kind = BY_TAG.get(tag, "")
@@ -66,15 +83,123 @@ def kind_of(tag: str, attributes: str, inside: str) -> str:
     if kind in OTHER or tag in ("body", "html"):
         return kind or inside
     for value in CLASS.findall(attributes) if "=" in attributes else ():
-        for name in PARTS.findall(value.lower()):
-            found = NAMED.get(name, "")
-            if found == "main" or not found or (found == "header" and inside == "main"):
-                kind = kind or found
-            elif kind != "main" or found not in ("header", "form"):
-                return found
+        for token in value.lower().strip("\"'").split():
+            for found in named(token):
+                if found == "main" or (found == "header" and inside == "main"):
+                    kind = kind or found
+                elif kind != "main" or found not in ("header", "form"):
+                    return found
     return kind or inside
 
 
+@dataclass(slots=True)
+class Element:
+    tag: str
+    attributes: str
+    parent: Element | None
+    n_words: int = 0
+    closed: bool = False
+    heading: bool = False
+    main: bool = False
+    kind: str = ""
+
+
+def _walk(html: str) -> list[tuple[re.Match | None, int, Element | None, Element | None]]:
+    """Steps (tag or None for text, place, element around, element opened) of a page, their elements measured and closed."""
+    steps: list[tuple[re.Match | None, int, Element | None, Element | None]] = []
+    top: Element | None = None
+    at = 0
+
+    def leave(upto: Element) -> Element | None:
+        e = top
+        while True:
+            if e.parent:
+                e.parent.n_words += e.n_words
+                e.parent.heading |= e.heading
+                e.parent.main |= e.main
+            if e is upto:
+                return e.parent
+            e = e.parent
+
+    for m in TAG.finditer(html):
+        if m.start() > at:
+            steps.append((None, at, top, None))
+            if top:
+                top.n_words += len(html[at : m.start()].split())
+        at = m.end()
+        tag = (m[3] or "").lower()
+        opened = None
+        if tag and m[2]:
+            e = top
+            while e and e.tag != tag:
+                e = e.parent
+            steps.append((m, m.start(), top, None))
+            if e:
+                e.closed = True
+                top = leave(e)
+            continue
+        if tag:
+            if tag == "body":
+                e = top
+                while e and e.tag != "head":
+                    e = e.parent
+                if e:
+                    top = leave(e)
+            elif tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and top and top.tag == tag:
+                top.closed = True
+                top = leave(top)
+            opened = Element(tag, m[4], top, heading=tag == "h1", main=tag in ("article", "main"))
+            steps.append((m, m.start(), top, opened))
+            if tag not in VOID and not m[4].endswith("/"):
+                top = opened
+            continue
+        steps.append((m, m.start(), top, None))
+    if at < len(html):
+        steps.append((None, at, top, None))
+        if top:
+            top.n_words += len(html[at:].split())
+    while top:
+        top = leave(top)
+    return steps
+
+
+def _set_kinds(elements: list[Element]) -> None:
+    """The kind of every element, given in page order.
+
+    An excluded element is a wrapper, and no reason to leave its words out, if it holds most of the page's words, little
+    that isn't excluded stands outside it, and it is of a kind that pages wrap themselves in, is never closed or holds a
+    heading of the first order or an article. <main> and role=main end an inherited kind; so does <article> that holds
+    most of the page's words or whose excluded element is never closed.
+    """
+    total = sum(e.n_words for e in elements if e.parent is None and e.tag != "head") - sum(e.n_words for e in elements if e.parent and e.tag == "head")
+    wrappers: set[int] = set()
+    while True:
+        outside, mains, suspects = total, [], []
+        for e in elements:
+            inside = e.parent.kind if e.parent else ""
+            if inside in OTHER and inside != "head":
+                host = e.parent
+                while host.parent and host.parent.kind == inside:
+                    host = host.parent
+                if e.tag == "main" or ROLE_MAIN.search(e.attributes) or (e.tag == "article" and (not host.closed or 2 * e.n_words > total)):
+                    inside = ""
+                    outside += e.n_words
+            e.kind = kind_of(e.tag, e.attributes, inside)
+            if e.kind in OTHER and inside not in OTHER:
+                if id(e) in wrappers:
+                    e.kind = inside
+                elif e.kind != "head":
+                    outside -= e.n_words
+                    if 2 * e.n_words > total:
+                        suspects.append(e)
+            if e.kind not in OTHER and (e.tag in ("article", "main") or ROLE_MAIN.search(e.attributes)):
+                mains.append(e)
+        found = [e for e in suspects if not mains and 4 * outside < total and (e.kind not in ("menu", "footer", "comments") or not e.closed or e.heading or e.main)]
+        if not found:
+            return
+        wrappers.add(id(found[0]))
+
+
 def tag_group(tag: str, closing: str, inside: str) -> str:
     if inside in OTHER:
         return "other " + ("a" if tag == "a" else "tag")
@@ -87,39 +212,24 @@ def tag_group(tag: str, closing: str, inside: str) -> str:
 
 def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
     """(group, raw text, break before it, place in html): group is that of a tag, or "word <kind>" for the text up to the next tag."""
-    stack: list[tuple[str, str]] = []
-    kind, at, gap = "", 0, ""
-    for m in TAG.finditer(html):
-        if m.start() > at:
-            yield f"word {kind}", html[at : m.start()], gap, at
+    steps, gap = _walk(html), ""
+    elements = [e for *_, e in steps if e]
+    _set_kinds(elements)
+    for i, (m, at, around, opened) in enumerate(steps):
+        kind = around.kind if around else ""
+        if m is None:
+            yield f"word {kind}", html[at : steps[i + 1][1] if i + 1 < len(steps) else len(html)], gap, at
             gap = ""
-        at = m.end()
+            continue
         tag = (m[3] or "").lower()
         if not tag:
             gap = gap or ("" if m[0].startswith("<!") else " ")
             continue
         if tag not in INLINE:
             gap = " "
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            yield tag_group(tag, "/", kind), "", "", m.start()
-            kind = stack[-1][1] if stack else ""
-            continue
-        if tag == "body":
-            stack, kind = [x for x in stack if x[0] != "head" and x[1] != "head"], ""
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
-            kind = stack[-1][1] if stack else ""
-        inner = kind_of(tag, m[4], kind)
-        yield tag_group(tag, "", inner if inner in OTHER else kind), "", "", m.start()
-        if tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, inner))
-            kind = inner
-    if at < len(html):
-        yield f"word {kind}", html[at:], gap, at
+        if opened and opened.kind in OTHER:
+            kind = opened.kind
+        yield tag_group(tag, m[2], kind), "", "", at
 
 
 def fit(pages: Iterable[tuple[str, int, int]], smooth: float = 2.0) -> dict[str, float]:

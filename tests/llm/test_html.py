@@ -27,6 +27,35 @@ def test_layouts(page):
     assert H.main_text(page.replace("{}", BODY), H.standard_weights()) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id=aspnetForm><div class=menu><a>one two</a></div><div class=content>{}</div></form></body>",
+        "<body><nav><a>Home</a></nav><div class='content has-sidebar'>{}</div></body>",
+        "<body><article class='post tag-share has-comments'>{}</article></body>",
+        "<body><div class='elementor-element elementor-widget'><div class='elementor-widget-container'>{}</div></div></body>",
+        "<body><div class='modal-open wrapper'>{}</div></body>",
+        "<body><nav><ul><li><a>Home page</a></li></ul><article>{}</article></body>",
+        "<body><aside><p>Other things</p><main>{}</main></body>",
+        "<body><div class=widget>{}</div><div class=site-footer>words of it</div></body>",
+    ],
+)
+def test_wrappers(page):
+    assert H.main_text(page.replace("{}", BODY), H.standard_weights()) == TEXT
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article>{}</article><div class=comments><article><p>What a nice article this is, I like it a lot and so do we all here, and more.</p></article></div>",
+        "<div>{}</div><aside class=related><article><p>Some other story</p></article></aside>",
+        "<article>{}</article><div class='comments-area'>" + "<p>many words of readers</p>" * 50 + "</div>",
+    ],
+)
+def test_still_excluded(page):
+    assert H.main_text(page.replace("{}", BODY), H.standard_weights()) == TEXT
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
