@@ -4,7 +4,7 @@ A page is read as one sequence of tags and words. Words score positive and tags
 found in one linear scan. The weights are log-likelihood ratios counted on labelled pages, in which the region of the
 article is known: how much likelier a word or a kind of tag is inside the region than outside. Inside the region, words
 in elements that name themselves as something else (menus, asides, adverts, notices, forms, comments) score nothing and
-are left out of the text. Their tags count against the region. A name is
+are left out of the text. Their tags count against the region, but for those that stand inside the main part. A name is
 read from the first and last part of a class, id, role or label ("site-footer", "comments-area"), not from one that tells
 of a state or of what else is on the page ("has-sidebar", "modal-open").
 
@@ -200,6 +200,26 @@ def _set_kinds(elements: list[Element]) -> None:
         wrappers.add(id(found[0]))
 
 
+def _inner(elements: list[Element]) -> set[int]:
+    """Excluded elements inside the main part, or between paragraphs or headings of one plain element."""
+    last: dict[int, int] = {}
+    for i, e in enumerate(elements):
+        if e.parent and e.kind not in OTHER and e.n_words and (e.tag == "p" or e.tag in HEADINGS):
+            last[id(e.parent)] = i
+    out, begun = set(), set()
+    for i, e in enumerate(elements):
+        inside = e.parent.kind if e.parent else ""
+        if e.kind not in OTHER:
+            if e.parent and e.n_words and (e.tag == "p" or e.tag in HEADINGS):
+                begun.add(id(e.parent))
+        elif inside in OTHER:
+            if id(e.parent) in out:
+                out.add(id(e))
+        elif inside == "main" or (id(e.parent) in begun and last.get(id(e.parent), -1) > i):
+            out.add(id(e))
+    return out
+
+
 def tag_group(tag: str, closing: str, inside: str) -> str:
     if inside in OTHER:
         return "other " + ("a" if tag == "a" else "tag")
@@ -215,6 +235,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
     steps, gap = _walk(html), ""
     elements = [e for *_, e in steps if e]
     _set_kinds(elements)
+    inner = _inner(elements)
     for i, (m, at, around, opened) in enumerate(steps):
         kind = around.kind if around else ""
         if m is None:
@@ -228,8 +249,8 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
         if tag not in INLINE:
             gap = " "
         if opened and opened.kind in OTHER:
-            kind = opened.kind
-        yield tag_group(tag, m[2], kind), "", "", at
+            around, kind = opened, opened.kind
+        yield "inner" if around and id(around) in inner else tag_group(tag, m[2], kind), "", "", at
 
 
 def fit(pages: Iterable[tuple[str, int, int]], smooth: float = 2.0) -> dict[str, float]:
@@ -246,7 +267,7 @@ def fit(pages: Iterable[tuple[str, int, int]], smooth: float = 2.0) -> dict[str,
         if g.startswith("word "):
             out[g] = 0.0 if g[5:] in OTHER else max(0.3, min(ratio, 2.0))
         else:
-            out[g] = min(-0.2, max(ratio, -1.5))
+            out[g] = 0.0 if g == "inner" else min(-0.2, max(ratio, -1.5))
     return out
 
 
@@ -287,7 +308,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
             gain = n * weights.get(group, 0.3 if group[5:] not in OTHER else 0.0)
             found.append((group, raw, gap))
         else:
-            gain = weights.get(group, -1.0)
+            gain = weights.get(group, 0.0 if group == "inner" else -1.0)
         if here <= 0:
             here, begun = 0.0, len(found) - bool(raw)
         here += gain

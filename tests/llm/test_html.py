@@ -56,6 +56,13 @@ def test_still_excluded(page):
     assert H.main_text(page.replace("{}", BODY), H.standard_weights()) == TEXT
 
 
+@pytest.mark.parametrize("outer", [("<article>", "</article>"), ("<div>", "</div>"), ("<div class=content>", "</div>")])
+@pytest.mark.parametrize("inner", ["<div class=share>" + "<a href=x>Share</a> " * 5 + "</div>", "<aside><ul>" + "<li><a href=x>Other story</a></li>" * 10 + "</ul></aside>"])
+def test_inner_link_lists(outer, inner):
+    page = "<body><nav><a>Home</a></nav>" + outer[0] + BODY.replace("</h1>", "</h1>" + inner).replace("words.</p>", "words.</p>" + inner) + outer[1] + "<footer>words of it</footer></body>"
+    assert H.main_text(page, H.standard_weights()) == TEXT
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
