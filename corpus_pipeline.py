@@ -13,7 +13,10 @@ from loomframe.llm.common import shared_folder
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the standard policy keeps."""
-    return quality.apply_policy(quality.ledger(docs), quality.STANDARD).filter("kept").select(*docs.columns)
+    # The row is packed, so that the ledger's columns can't replace any of its own.
+    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
+    judged = quality.apply_policy(quality.ledger(packed), quality.STANDARD).filter("kept")
+    return judged.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +31,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of documents that a mix at weights 1, 2, 3 takes, a row for each time a piece is taken."""
-    rows = mixing.Mix(docs, carry=["lang"]).rows(with_text=True)
-    out = rows.select("doc_id", F.col("piece_text").alias("text"), F.col("_c_lang").alias("lang"), "source", F.length("piece_text").cast("long").alias("n_chars"))
-    return out.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    packed = docs.select("doc_id", "text", "source", F.struct(*others).alias("row"))
+    rows = mixing.Mix(packed, carry=["row"]).rows(with_text=True)
+    fresh = {"doc_id": F.col("doc_id"), "text": F.col("piece_text"), "source": F.col("source"), "n_chars": F.length("piece_text").cast("long")}
+    return rows.select(*[(fresh[c] if c in fresh else F.col("_c_row")[c]).alias(c) for c in docs.columns])
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

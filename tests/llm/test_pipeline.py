@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables, and the shape of every query."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 from loomframe.llm.queries import QUERIES, SQL
 
@@ -19,6 +21,19 @@ def test_stages(spark):
     assert last.count() == mixed and last.filter("not round_trip").count() == 0
 
 
+def test_stages_stand_extra_and_clashing_columns(spark):
+    plain = spark.read.parquet(f"{D}/documents.parquet").limit(60)
+    names = ("n_words", "kept", "policy", "fail_bits", "size", "block", "source_no", "bucket", "row", "start", "spans", "_node", "extra")
+    docs = plain.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in names]).cache()
+    columns, kinds = docs.columns, docs.dtypes
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, D).cache()
+        assert docs.columns == columns and docs.dtypes == kinds, name
+        rows = docs.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names), name
+    assert C.STAGES[-1][1](spark, docs, D).filter("round_trip").count() == len(rows)
+
+
 def test_run_reruns(spark):
     a = sorted(map(tuple, C.run(spark, D).select("doc_id", "n_chars", "piece_ids").collect()))
     b = sorted(map(tuple, C.run(spark, D).select("doc_id", "n_chars", "piece_ids").collect()))
