@@ -15,6 +15,7 @@ component's least id unless all are null. An empty table gives an empty result;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -117,11 +118,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 # Groups of texts that share most of their shingles.
 #
 # At a Jaccard similarity of 0.8, fingerprints of 64 bits differ in 8 bits by the median and in up to 16, which no table of
-# segment values can cover. So fingerprints only propose some of the pairs here; the others come from bands of minima of
-# the same shingle hashes, and every pair is verified on the whole texts.
+# segment values can cover. So the segment tables propose the pairs at a distance of RADIUS, and bands of minima of the
+# same shingle hashes propose the others; every link is verified on the whole texts.
+#
+# A bucket of many different texts is not expanded into pairs. It gets a hub, the text that is in most large buckets, and
+# every member is described by what it adds to the hub's shingles and what it lacks of them (its difference D). Members
+# that are similar to the hub are linked by it. Of two similar members of which one, x, is not similar to the hub,
+#
+#     |D(x) ^ D(y)| <= r (|x| + |y|)  and  |D(x)| > r (|x| + |hub|),   r = (10 - tenths) / (10 + tenths),
+#
+# so D(x) and D(y) share more than (|D(y)| + r (|hub| - |y|)) / 2 elements, one at least. So all such pairs share one in
+# prefixes of D under any fixed order (additions first), and that is an equi-join on (hub, element): exact, and linear
+# where the elements outside the hub's reach are rare. An element that many members share makes a bucket of its own, with
+# a hub of its own, in the next round.
 
 BANDS, BAND_ROWS = 16, 4
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+NODE = "struct<id:bigint,th:bigint,rh:bigint>"
+#: Rounds of hubs; what is crowded still then is compared pair by pair.
+ROUNDS = 8
 
 
 def band_keys(hashes: list[int]) -> np.ndarray:
@@ -135,12 +150,19 @@ def band_keys(hashes: list[int]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[i : i + BAND_ROWS].tobytes(), i) for i in range(0, len(least), BAND_ROWS)], np.uint64).view(np.int64)
 
 
+def node_of(docs: DataFrame, id_col: str, text: str) -> Column:
+    """What names a row: its id, a hash of its text and one of its other columns. Rows that agree in all three are one."""
+    rest = [c for c in docs.columns if c not in (id_col, text)]
+    other = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in rest]))) if rest else F.lit(0).cast("long")
+    return F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), other.alias("rh"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """node (id and text hash of a row), whole (digest of its words in lower case), fp and bands."""
+    """node, whole (digest of its words in lower case), fp and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
+            texts = batch.column(1).cast(pa.binary())
             for at in range(0, batch.num_rows, 500):
                 whole, fps, bands, part = [], [], [], batch.slice(at, 500)
                 for x in texts.slice(at, 500):
@@ -151,11 +173,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
                     bands.append(band_keys(hashes))
                 flat = pa.array(np.concatenate(bands), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(whole), pa.array(fps, pa.int64()), lists], ["id", "th", "whole", "fp", "bands"])
+                yield pa.record_batch([part.column(0), pa.array(whole), pa.array(fps, pa.int64()), lists], ["node", "whole", "fp", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
-    found = to_python(rows, run, "id long, th long, whole string, fp long, bands array<long>")
-    return found.select(F.struct("id", "th").alias("node"), "whole", "fp", "bands")
+    rows = docs.select(node_of(docs, id_col, text).alias("node"), F.col(text).cast("string").alias("text"))
+    return to_python(rows, run, f"node {NODE}, whole string, fp long, bands array<long>")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -163,37 +184,24 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def _proposed(nodes: DataFrame, bucket_cap: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b of nodes to verify, and the entries (band, key, node) of large buckets.
+    """Pairs a < b of nodes to verify, and the members (hub, node) of large buckets.
 
-    In a bucket of up to bucket_cap nodes all pairs; in a larger one each node with three of it, for a start.
+    Pairs come from the segment tables and from buckets of up to bucket_cap nodes. Large buckets with one hub are one.
     """
     in_bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     entries = in_bands.unionByName(nodes.select("node", F.lit(-1).alias("band"), F.col("fp").alias("key")))
-    chiefs = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(3)]
-    buckets = cut(entries.groupBy("band", "key").agg(F.count("*").alias("n"), *chiefs).filter("n > 1"))
+    buckets = cut(entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"))
     small = entries.join(buckets.filter(F.col("n") <= bucket_cap).select("band", "key").hint("merge"), ["band", "key"]).groupBy("band", "key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     within = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.greatest(F.size("all") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    large = cut(entries.join(buckets.filter(F.col("n") > bucket_cap).drop("n").hint("merge"), ["band", "key"]))
-    starred = large.select("node", F.explode(F.array("c0", "c1", "c2")).alias("c")).select(*_ordered("node", "c"))
+    large = cut(entries.join(buckets.filter(F.col("n") > bucket_cap).hint("merge"), ["band", "key"]))
+    central = large.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = cut(large.join(central.hint("merge"), "node").groupBy("band", "key").agg(F.max_by("node", F.struct("met", "node")).alias("hub")))
+    members = large.join(hubs.hint("merge"), ["band", "key"]).filter("node <> hub").select("hub", "node").distinct()
     one = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = hamming_links(nodes.select("fp").distinct())
     near = near.join(one.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(*_ordered("x", "y"))
-    pairs = small.select(F.explode(within).alias("p")).select("p.a", "p.b").unionByName(starred).unionByName(near)
-    return pairs.filter("a <> b").distinct(), large.select("band", "key", "node")
-
-
-def _left_open(large: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs a < b of large buckets whose nodes the links so far leave in different components.
-
-    One node of each is outside the bucket's largest component. In a group of copies these are few, so the pairs are
-    about as many as the group's texts.
-    """
-    placed = cut(large.join(label.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("band", "key", "node", F.coalesce("label", "node").alias("label")))
-    parts = placed.groupBy("band", "key", "label").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("k"))
-    mixed = cut(parts.filter("k > 1").select("band", "key", "main"))
-    own = cut(placed.join(mixed, ["band", "key"]))
-    outside = own.filter("label <> main").select("band", "key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    return outside.join(own.select("band", "key", "node", "label"), ["band", "key"]).filter("lx <> label").select(*_ordered("x", "node")).distinct()
+    pairs = small.select(F.explode(within).alias("p")).select("p.a", "p.b").unionByName(near)
+    return pairs.filter("a <> b").distinct(), members
 
 
 def _shingles(text: bytes | None, n: int) -> set[bytes]:
@@ -209,35 +217,112 @@ def similar(a: set[bytes], b: set[bytes], tenths: int) -> bool:
     return 10 * both >= tenths * (len(a) + len(b) - both)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text: str, shingle: int, tenths: int) -> DataFrame:
+def difference(x: set[bytes], hub: set[bytes], tenths: int) -> tuple[bool, int, int, int, int, list[int]]:
+    """Whether x is similar to hub; how many shingles it adds and lacks; the lengths of its prefixes as the one that is not
+    similar to the hub and as the other; the longer prefix. Elements are hashes, odd for what x adds."""
+    added, lacked = x - hub, hub - x
+    a, r, p, q = len(added), len(lacked), 10 - tenths, 10 + tenths
+    d, inside = a + r, similar(x, hub, tenths)
+    as_other = d - ((q * d + p * (r - a)) // (2 * q) + 1) + 1
+    as_outside = 0
+    if not inside:
+        shared = max(1, -((p * (len(x) + len(hub)) - q * d) // 20), -((p * len(x) - tenths * d) // tenths))
+        as_outside = d - shared + 1
+    take = max(as_other, as_outside)
+    order = sorted(xxhash.xxh3_64_intdigest(s) >> 1 | 1 for s in added) if take else []
+    if take > a:
+        order += sorted(xxhash.xxh3_64_intdigest(s) >> 2 << 1 for s in lacked)
+    return inside, a, r, as_outside, as_other, order[:take]
+
+
+def _differences(texts: DataFrame, members: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """For every (hub, node): size, hub_size, inside, a, r, as_outside, as_other, elements of difference()."""
+    kind = pa.schema([("size", pa.int64()), ("hub_size", pa.int64()), ("inside", pa.bool_()), ("a", pa.int64()), ("r", pa.int64()), ("as_outside", pa.int64()), ("as_other", pa.int64()), ("elements", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub = None, set()
+        for batch in batches:
+            rows: list[tuple] = []
+            x, y = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
+            for p, q in zip(x, y, strict=True):
+                own, raw = _shingles(p.as_py(), shingle), q.as_py()
+                if raw != last:
+                    last, hub = raw, _shingles(raw, shingle)
+                rows.append((len(own), len(hub), *difference(own, hub, tenths)))
+            cols = zip(*rows, strict=True) if rows else [()] * len(kind)
+            yield pa.record_batch([*batch.columns[:2], *(pa.array(c, f.type) for c, f in zip(cols, kind, strict=True))], ["hub", "node", *kind.names])
+
+    sent = members.join(texts.select("node", F.col("text").alias("x")).hint("merge"), "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("y")).hint("merge"), "hub").select("hub", "node", "x", "y")
+    return to_python(sent, run, f"hub {NODE}, node {NODE}, size long, hub_size long, inside boolean, a long, r long, as_outside long, as_other long, elements array<long>")
+
+
+def _meeting(told: DataFrame, crowd: int | None, tenths: int) -> tuple[DataFrame, DataFrame]:
+    """Of _differences(): pairs a < b that may be similar though the hub doesn't link them, and members of crowded elements.
+
+    What is needed of an element that both lack, if it is the first they share, is that they share no addition; then
+    x can only be similar to a text that is shorter than the hub by what x is too far from it (over <= room).
+    """
+    p, q = 10 - tenths, 10 + tenths
+    lack, over, room = F.col("e") % 2 == 0, q * (F.col("a") + F.col("r")) - p * (F.col("size") + F.col("hub_size")), (q - p) * (F.col("r") - F.col("a"))
+    entries = told.select("hub", "node", "size", "hub_size", "a", "r", "as_outside", "as_other", F.posexplode("elements").alias("at", "e"))
+    x_role, y_role = F.col("at") < F.col("as_outside"), (F.col("at") < F.col("as_other")) & (~lack | (room > 0))
+    entries = entries.select("hub", "node", "size", "a", "r", "at", "e", x_role.alias("x"), y_role.alias("y"), F.when(lack, over).otherwise(F.lit(0)).alias("over"), F.when(lack, room).otherwise(F.lit(0)).alias("room")).filter("x OR y")
+    entries = cut(entries)
+    own = entries.groupBy("hub", "e").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("x"), F.col("over"))).alias("least_over"), F.max(F.when(F.col("y"), F.col("room"))).alias("most_room")
+    ).filter("n > 1 AND least_over <= most_room")
+    met = entries.join(own.drop("n").hint("merge"), ["hub", "e"])
+    met = cut(met.withColumns({"x": F.expr("x AND over <= most_room"), "y": F.expr("y AND room >= least_over")}).filter("x OR y").drop("least_over", "most_room"))
+    sizes = met.groupBy("hub", "e").agg(F.count_if("x").alias("nx"), F.count_if("y").alias("ny"), F.min_by("node", F.struct(F.col("a") + F.col("r"), "node")).alias("new_hub")).filter("nx > 0 AND ny > 0")
+    sizes = cut(sizes)
+    few = F.lit(True) if crowd is None else (F.col("ny") <= crowd) | (F.col("nx") <= 2)
+    some = met.join(sizes.filter(few).select("hub", "e").hint("merge"), ["hub", "e"])
+    x, y = (some.filter(k).select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "a", "r", "at")]) for k in ("x", "y"))
+    most = p * (F.col("size_x") + F.col("size_y"))
+    d_x, d_y = F.col("a_x") + F.col("r_x"), F.col("a_y") + F.col("r_y")
+    apart = F.when(lack, F.col("a_x") + F.col("a_y")).otherwise(F.abs(F.col("a_x") - F.col("a_y"))) + F.abs(F.col("r_x") - F.col("r_y"))
+    can = (q * apart <= most) & (q * (d_x + d_y) - most <= 2 * q * F.least(d_x - F.col("at_x"), d_y - F.col("at_y")))
+    pairs = x.join(y.hint("merge"), ["hub", "e"]).filter((F.col("node_x") != F.col("node_y")) & can).select(*_ordered("node_x", "node_y")).distinct()
+    crowded = met.join(sizes.filter(~few).select("hub", "e", "new_hub").hint("merge"), ["hub", "e"]).filter("node <> new_hub").select(F.col("new_hub").alias("hub"), "node").distinct()
+    return pairs, crowded
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, tenths: int) -> DataFrame:
     """Those of pairs whose whole texts are similar."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th")).alias("node"), F.col(text).cast("string").alias("text"))
-    texts = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(4).cast(pa.binary()), batch.column(5).cast(pa.binary())
+            x, y = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
             ok = [similar(_shingles(p.as_py(), shingle), _shingles(q.as_py(), shingle), tenths) for p, q in zip(x, y, strict=True)]
-            yield pa.record_batch(batch.columns[:4], ["a_id", "a_th", "b_id", "b_th"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sent = both.select(F.col("a.id").alias("a_id"), F.col("a.th").alias("a_th"), F.col("b.id").alias("b_id"), F.col("b.th").alias("b_th"), "x", "y")
-    links = to_python(sent, verify, "a_id long, a_th long, b_id long, b_th long")
-    return links.select(F.struct(F.col("a_id").alias("id"), F.col("a_th").alias("th")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_th").alias("th")).alias("b"))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
+    return to_python(both.select("a", "b", "x", "y"), verify, f"a {NODE}, b {NODE}")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8, bucket_cap: int = 24) -> DataFrame:
-    """Rows of docs grouped by verified similarity: node, whole, component (the least node that links reach)."""
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8, bucket_cap: int = 24, crowd: int = 100) -> DataFrame:
+    """Rows of docs grouped by verified similarity: node, whole, component (the least node that links reach).
+
+    Defined results: null and blank texts are alike, as are texts with the same words in other letter case or spacing; a
+    text of fewer words than a shingle is one shingle. Rows that agree in every column are one node; rows that repeat an
+    id or a text are nodes of their own. A null id comes before any other. An empty table gives an empty result. A very
+    long text is compared as a whole; a task holds two texts at a time besides an Arrow batch. Columns may have any name.
+    """
     marked = cut(sketches(docs, id_col, text, shingle))
     nodes = cut(marked.groupBy("whole").agg(F.min("node").alias("node"), F.min_by("fp", "node").alias("fp"), F.min_by("bands", "node").alias("bands")))
-    pairs, large = _proposed(nodes, bucket_cap)
-    links = cut(_verified(docs, cut(pairs), id_col, text, shingle, tenths))
-    label = components(links)
-    if not large.isEmpty():
-        rest = cut(_left_open(large, cut(label)))
-        if not rest.isEmpty():
-            label = components(links.unionByName(_verified(docs, rest, id_col, text, shingle, tenths)))
+    pairs, members = map(cut, _proposed(nodes, bucket_cap))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select(F.explode(F.array("hub", "node")).alias("node"))).distinct()
+    rows = docs.select(node_of(docs, id_col, text).alias("node"), F.col(text).cast("string").alias("text"))
+    texts = cut(rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
+    links = [_verified(texts, pairs, shingle, tenths)]
+    for turn in range(ROUNDS):
+        if members.isEmpty():
+            break
+        told = cut(_differences(texts, members, shingle, tenths))
+        links.append(told.filter("inside").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        more, members = map(cut, _meeting(told, crowd if turn + 1 < ROUNDS else None, tenths))
+        links.append(_verified(texts, more, shingle, tenths))
+    label = components(cut(reduce(DataFrame.unionByName, links)))
     placed = nodes.select("whole", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = cut(placed)
     least = cut(placed.groupBy("label").agg(F.min("node").alias("component")))
@@ -246,8 +331,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8) -> DataFrame:
-    """docs with one row of each group of similar texts: that with the least id, null ids first."""
+    """docs with one row of each group of similar texts: that with the least id, null ids first; ties go by hashes of the
+    text and of the other columns, so that only rows which agree in every column are interchangeable."""
     stay = similar_groups(docs, id_col, text, shingle, tenths).filter("node = component").select(F.col("node").alias("_node")).distinct()
-    node = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), node.alias("_node"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), node_of(docs, id_col, text).alias("_node"))
     return rows.join(stay, "_node", "left_semi").dropDuplicates(["_node"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -131,6 +131,63 @@ def test_links_outside_the_starting_stars(spark):
         assert {r["node"]["id"]: r["component"]["id"] for r in S.similar_groups(docs, bucket_cap=cap).collect()} == want
 
 
+def family(r, base, n):
+    """Texts made of base by substitutions, insertions, deletions and cuts of any strength, some on top of a common change."""
+    branch = [*base[:30], *(f"b{i}" for i in range(9)), *base[42:]]
+    out = [" ".join(base), " ".join(branch)]
+    for k in range(n):
+        x = list(r.choice((base, base, branch)))
+        for _ in range(r.choice((0, 1, 2, 3, 5, 8))):
+            at = r.randrange(len(x))
+            kind = r.random()
+            if kind < 0.4:
+                x[at] = f"s{r.randrange(400)}"
+            elif kind < 0.6:
+                x.insert(at, f"i{r.randrange(400)}")
+            elif kind < 0.8:
+                del x[at]
+            else:
+                x = x[: max(20, len(x) - r.randrange(25))]
+        out.append(" ".join(x))
+    return out
+
+
+def test_large_buckets_against_all_pairs(spark):
+    """Families whose texts are nearer to or farther from a hub than the threshold, with caps that send all through hubs."""
+    r = random.Random(11)
+    texts = [*family(r, [f"w{i}" for i in range(110)], 110), *family(r, [f"v{i}" for i in range(60)], 60), "short text", "", "w1 w2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [S._shingles(t.encode(), 5) for t in texts]
+    alike = plain_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]))
+    assert len(set(alike.values())) > 40
+    for cap, crowd in ((24, 100), (2, 2)):
+        got = {r["node"]["id"]: r["component"]["id"] for r in S.similar_groups(docs, bucket_cap=cap, crowd=crowd).collect()}
+        assert got == alike, (cap, crowd)
+
+
+def test_pairs_that_a_hub_does_not_link(spark):
+    """Of every two similar texts of which one is not similar to the hub, the prefixes of their differences meet."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(70)]
+    sets = [S._shingles(t.encode(), 5) for t in family(r, base, 160)]
+    for hub in sets[:4]:
+        told = [S.difference(x, hub, 8) for x in sets]
+        met = 0
+        for x, (inside, _, _, as_outside, _, long) in zip(sets, told, strict=True):
+            for y, (_, _, _, _, as_other, short) in zip(sets, told, strict=True):
+                if not inside and x != y and S.similar(x, y, 8):
+                    met += 1
+                    assert set(long[:as_outside]) & set(short[:as_other])
+        assert met > 50
+
+
+def test_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c d e f", k) for k in "zyxz"] + [(None, "a b c d e f", "n"), (2, None, "q"), (3, " ", "q"), (4, "w " * 50_000, "long"), (5, "w " * 50_000 + "x", "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    runs = [sorted(map(repr, S.one_of_each(docs.repartition(k)).collect())) for k in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 4 and "doc_id=None" in "".join(runs[0])
+
+
 def test_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(empty).count() == 0 and S.one_of_each(empty).count() == 0
