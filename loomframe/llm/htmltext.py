@@ -4,12 +4,14 @@ A page is read as one sequence of tags and words. Words score positive and tags
 found in one linear scan. The weights are log-likelihood ratios counted on labelled pages, in which the region of the
 article is known: how much likelier a word or a kind of tag is inside the region than outside. Inside the region, words
 in elements that name themselves as something else (menus, asides, adverts, notices, forms, comments) score nothing and
-are left out of the text. Their tags count against the region, but for those that stand inside the main part. A name is
+are left out of the text. Their tags count against the region, but for those that stand inside the main part. Where
+<article> or <main> holds half of the words, plain words after it count against the region too, as readers' comments do
+that have no name. A name is
 read from the first and last part of a class, id, role or label ("site-footer", "comments-area"), not from one that tells
 of a state or of what else is on the page ("has-sidebar", "modal-open").
 
 Defined results: null or empty html gives an empty text, as does a page without words outside such elements. Pages cut
-off in the middle are read to their end. Repeated rows and ties: each row by itself; of equally good regions the first.
+off in the middle are read to their end; a page is read as a whole whatever its length, in time that grows with it. Repeated rows and ties: each row by itself; of equally good regions the first.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 
 from loomframe.llm.common import to_python
 
-_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
+#: A quote begins a value only right after "=", so title=it's is read as HTML reads it.
+_ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?)*+"""
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|math|textarea|select)\b" + _ATTRS + r"(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s>/]*)(" + _ATTRS + r")>?",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|math|textarea|select)\b" + _ATTRS + r"(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s>/]*)(" + _ATTRS + r")>?",
     re.S | re.I,
 )
 CLASS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -41,25 +44,30 @@ ROLE_MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 ABOUT = frozenset("has have with without no not is tag category format status type hide show hidden visible open opened closed active inactive enabled disabled on off".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: What an element's tag, class, id or role says that it is.
+#: A choice of this operator, not fixed by anything: what an element's tag, class, id or role says that it is, in the
+#: languages of the corpus. It decides what is left out of a region; where the region ends, scores decide.
 BY_TAG = {
     "head": "head", "title": "head", "nav": "menu", "menu": "menu", "footer": "footer", "aside": "aside", "form": "form", "button": "form",
     "fieldset": "form", "dialog": "notice", "header": "header", "article": "main", "main": "main",
 }
 BY_NAME = {
-    "menu": "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager tabs toolbar skip toc",
-    "footer": "footer foot colophon contentinfo copyright legal imprint",
-    "header": "masthead topbar siteheader header banner",
-    "aside": "sidebar aside widget widgets related recommended recommendations trending popular complementary teaser teasers tags share sharing social",
-    "ad": "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion outbrain taboola",
-    "comments": "comment comments disqus respond reply replies reactions",
-    "notice": "cookie cookies consent gdpr notice notices alert alertdialog popup modal newsletter subscribe subscription paywall disclaimer overlay dialog",
-    "form": "form search login signup signin register contact",
+    "menu": "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager tabs toolbar skip toc menue navegacion",
+    "footer": "footer foot colophon contentinfo copyright legal imprint fusszeile impressum pied pie",
+    "header": "masthead topbar siteheader header banner kopfzeile entete cabecera",
+    "aside": "sidebar aside widget widgets related recommended recommendations trending popular complementary teaser teasers tags share sharing social seitenleiste barre barra relacionados",
+    "ad": "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion outbrain taboola werbung anzeige publicite publicidad",
+    "comments": "comment comments disqus respond reply replies reactions kommentar kommentare commentaire commentaires comentario comentarios",
+    "notice": "cookie cookies consent gdpr notice notices alert alertdialog popup modal newsletter subscribe subscription paywall disclaimer overlay dialog hinweis avis aviso",
+    "form": "form search login signup signin register contact suche recherche busqueda",
     "main": "article content story entry post main",
 }
 NAMED = {name: kind for kind, names in BY_NAME.items() for name in names.split()}
 OTHER = frozenset(("head", "menu", "footer", "header", "aside", "ad", "comments", "notice", "form"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements of text; inside the main part, only a name as an advert or as comments leaves one out.
+TEXTUAL = HEADINGS | INLINE | {"p", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption"}
+#: Most wrappers within each other that are looked for.
+WRAPPERS = 64
 
 
 def named(token: str) -> Iterator[str]:
@@ -85,6 +93,8 @@ def kind_of(tag: str, attributes: str, inside: str) -> str:
     for value in CLASS.findall(attributes) if "=" in attributes else ():
         for token in value.lower().strip("\"'").split():
             for found in named(token):
+                if inside == "main" and tag in TEXTUAL and found not in ("ad", "comments"):
+                    continue
                 if found == "main" or (found == "header" and inside == "main"):
                     kind = kind or found
                 elif kind != "main" or found not in ("header", "form"):
@@ -98,10 +108,12 @@ class Element:
     attributes: str
     parent: Element | None
     n_words: int = 0
+    n_linked: int = 0
     closed: bool = False
     heading: bool = False
     main: bool = False
     kind: str = ""
+    host: Element | None = None  # the outermost excluded element around it, or itself
 
 
 def _walk(html: str) -> list[tuple[re.Match | None, int, Element | None, Element | None]]:
@@ -109,12 +121,17 @@ def _walk(html: str) -> list[tuple[re.Match | None, int, Element | None, Element
     steps: list[tuple[re.Match | None, int, Element | None, Element | None]] = []
     top: Element | None = None
     at = 0
+    still_open: Counter[str] = Counter()
 
     def leave(upto: Element) -> Element | None:
         e = top
         while True:
+            still_open[e.tag] -= 1
+            if e.tag == "a":
+                e.n_linked = e.n_words
             if e.parent:
                 e.parent.n_words += e.n_words
+                e.parent.n_linked += e.n_linked
                 e.parent.heading |= e.heading
                 e.parent.main |= e.main
             if e is upto:
@@ -130,21 +147,20 @@ def _walk(html: str) -> list[tuple[re.Match | None, int, Element | None, Element
         tag = (m[3] or "").lower()
         opened = None
         if tag and m[2]:
-            e = top
-            while e and e.tag != tag:
-                e = e.parent
             steps.append((m, m.start(), top, None))
-            if e:
+            if still_open[tag] > 0:
+                e = top
+                while e.tag != tag:
+                    e = e.parent
                 e.closed = True
                 top = leave(e)
             continue
         if tag:
-            if tag == "body":
+            if tag == "body" and still_open["head"] > 0:
                 e = top
-                while e and e.tag != "head":
+                while e.tag != "head":
                     e = e.parent
-                if e:
-                    top = leave(e)
+                top = leave(e)
             elif tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and top and top.tag == tag:
                 top.closed = True
                 top = leave(top)
@@ -152,6 +168,7 @@ def _walk(html: str) -> list[tuple[re.Match | None, int, Element | None, Element
             steps.append((m, m.start(), top, opened))
             if tag not in VOID and not m[4].endswith("/"):
                 top = opened
+                still_open[tag] += 1
             continue
         steps.append((m, m.start(), top, None))
     if at < len(html):
@@ -167,30 +184,29 @@ def _set_kinds(elements: list[Element]) -> None:
     """The kind of every element, given in page order.
 
     An excluded element is a wrapper, and no reason to leave its words out, if it holds most of the page's words, little
-    that isn't excluded stands outside it, and it is of a kind that pages wrap themselves in, is never closed or holds a
-    heading of the first order or an article. <main> and role=main end an inherited kind; so does <article> that holds
+    that isn't excluded stands outside it, it isn't a list of links, and it is of a kind that pages wrap themselves in, is
+    never closed or holds a heading of the first order or an article. <main> and role=main end an inherited kind; so does <article> that holds
     most of the page's words or whose excluded element is never closed.
     """
     total = sum(e.n_words for e in elements if e.parent is None and e.tag != "head") - sum(e.n_words for e in elements if e.parent and e.tag == "head")
     wrappers: set[int] = set()
-    while True:
+    for _ in range(WRAPPERS):
         outside, mains, suspects = total, [], []
         for e in elements:
             inside = e.parent.kind if e.parent else ""
             if inside in OTHER and inside != "head":
-                host = e.parent
-                while host.parent and host.parent.kind == inside:
-                    host = host.parent
+                host = e.parent.host
                 if e.tag == "main" or ROLE_MAIN.search(e.attributes) or (e.tag == "article" and (not host.closed or 2 * e.n_words > total)):
                     inside = ""
                     outside += e.n_words
             e.kind = kind_of(e.tag, e.attributes, inside)
+            e.host = e.parent.host if e.kind in OTHER and inside in OTHER else e
             if e.kind in OTHER and inside not in OTHER:
                 if id(e) in wrappers:
                     e.kind = inside
                 elif e.kind != "head":
                     outside -= e.n_words
-                    if 2 * e.n_words > total:
+                    if 2 * e.n_words > total and 5 * e.n_linked < 3 * e.n_words:
                         suspects.append(e)
             if e.kind not in OTHER and (e.tag in ("article", "main") or ROLE_MAIN.search(e.attributes)):
                 mains.append(e)
@@ -220,6 +236,27 @@ def _inner(elements: list[Element]) -> set[int]:
     return out
 
 
+def _mains(elements: list[Element]) -> set[int]:
+    """<article>, <main> and role=main, if they hold at least half of the words that aren't excluded."""
+    found, kept = [], 0
+    for e in elements:
+        above = e.parent.kind if e.parent else ""
+        if above not in OTHER:
+            kept -= e.n_words if e.kind in OTHER else 0
+            kept += 0 if e.parent else e.n_words
+            if e.kind not in OTHER and (e.tag in ("article", "main") or ROLE_MAIN.search(e.attributes)):
+                found.append(e)
+    own = {id(e) for e in found}
+    held = 0
+    inner: set[int] = set()
+    for e in elements:
+        if e.parent and (id(e.parent) in own or id(e.parent) in inner):
+            inner.add(id(e))
+        if id(e) in own and id(e) not in inner:
+            held += e.n_words
+    return own | inner if 2 * held >= kept else set()
+
+
 def tag_group(tag: str, closing: str, inside: str) -> str:
     if inside in OTHER:
         return "other " + ("a" if tag == "a" else "tag")
@@ -235,10 +272,13 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
     steps, gap = _walk(html), ""
     elements = [e for *_, e in steps if e]
     _set_kinds(elements)
-    inner = _inner(elements)
+    inner, mains, begun = _inner(elements), _mains(elements), False
     for i, (m, at, around, opened) in enumerate(steps):
         kind = around.kind if around else ""
         if m is None:
+            begun = begun or bool(around and id(around) in mains)
+            if not kind and begun and not (around and id(around) in mains):
+                kind = "after"  # what follows the article, but isn't in it
             yield f"word {kind}", html[at : steps[i + 1][1] if i + 1 < len(steps) else len(html)], gap, at
             gap = ""
             continue
@@ -264,7 +304,9 @@ def fit(pages: Iterable[tuple[str, int, int]], smooth: float = 2.0) -> dict[str,
     out = {}
     for g in groups:
         ratio = math.log((counts[True][g] + smooth) / totals[True]) - math.log((counts[False][g] + smooth) / totals[False])
-        if g.startswith("word "):
+        if g == "word after":
+            out[g] = max(-2.0, min(ratio, -0.3))
+        elif g.startswith("word "):
             out[g] = 0.0 if g[5:] in OTHER else max(0.3, min(ratio, 2.0))
         else:
             out[g] = 0.0 if g == "inner" else min(-0.2, max(ratio, -1.5))
@@ -286,7 +328,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, int, int]]:
             if r.random() < 0.12:
                 body.append(r.choice((f"<h2>{say(2, 6)}</h2>", f'<div class="ad">{say(3, 12)}</div>', f"<aside><p>{say(4, 20)}</p></aside>", "<script>x()</script>")))
         opened, closed = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div>", "</div>"), ('<div id="story"><div>', "</div></div>")))
-        after = r.choice(("", f'<div class="comments"><p>{say(5, 40)}</p><p>{say(5, 40)}</p></div>', f'<aside class="sidebar"><ul>{links(5)}</ul></aside>', f"<ul>{links(8)}</ul>", f'<form action="/s"><label>{say(1, 3)}</label><input></form>'))
+        after = r.choice(("", f'<div class="comments"><p>{say(5, 40)}</p><p>{say(5, 40)}</p></div>', f"<section><h3>{say(1, 3)}</h3><p>{say(5, 40)}</p></section>" if opened in ("<article>", "<main>") else "", f'<aside class="sidebar"><ul>{links(5)}</ul></aside>', f"<ul>{links(8)}</ul>", f'<form action="/s"><label>{say(1, 3)}</label><input></form>'))
         foot = r.choice((f"<footer>&copy; {say(3, 14)}</footer>", f'<div class="footer"><a href="/">{say(1, 2)}</a> {say(2, 8)}</div>', f"<div><a href='/'>{say(1, 2)}</a> <a href='/b'>{say(1, 2)}</a></div>"))
         start = f"<!DOCTYPE html><html><head><title>{say(2, 8)}</title><style>p{{}}</style></head><body>{top}{opened}"
         inner = "".join(body)
@@ -305,7 +347,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     for group, raw, gap, _ in tokens(html or ""):
         if raw:
             n = len(raw.split())
-            gain = n * weights.get(group, 0.3 if group[5:] not in OTHER else 0.0)
+            gain = n * weights.get(group, -0.3 if group == "word after" else 0.3 if group[5:] not in OTHER else 0.0)
             found.append((group, raw, gap))
         else:
             gain = weights.get(group, 0.0 if group == "inner" else -1.0)

@@ -1,6 +1,7 @@
 """Main text of pages of known layouts."""
 
 import re
+import time
 from html import unescape
 
 import pytest
@@ -56,6 +57,42 @@ def test_still_excluded(page):
     assert H.main_text(page.replace("{}", BODY), H.standard_weights()) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><nav><a>Home</a></nav><div class='layout has-sidebar'>{}</div></body>",
+        "<body><div class='cookies-enabled'>{}</div></body>",
+        "<div id=page class='hfeed site contact-page'><nav><a>x</a></nav><div>{}</div><footer>foo bar</footer></div>",
+        "<article>{}</article><section><h3>3 comments</h3><p>What a nice article this is, I like it a lot and so do we all.</p><p>Another one says no to it all.</p></section>",
+        "<article>{}</article><div class=kommentare><p>Was fuer ein Artikel, ich mag ihn sehr gern und wir alle auch.</p></div>",
+        "<div>{}</div><div class='werbung'>Kaufen Sie jetzt</div>",
+    ],
+)
+def test_quoted_pages(page):
+    assert H.main_text(page.replace("{}", BODY), H.standard_weights()) == TEXT
+
+
+def test_parts_of_the_article_stay():
+    more = "<p class=notice>A notice that is of the article.</p><div class=post-tags-story><p>Story of tags.</p></div><p>An end.</p>"
+    assert H.main_text(f"<article>{BODY}{more}</article>", H.standard_weights()) == TEXT + " A notice that is of the article. Story of tags. An end."
+    links = "<div class=related>" + "<li><a href=x>Some other story here</a></li>" * 30 + "</div><p>A second half of the text, which goes on.</p>"
+    for outer in ("div", "article"):
+        assert H.main_text(f"<{outer}>{BODY}{links}</{outer}>", H.standard_weights()) == TEXT + " A second half of the text, which goes on."
+    listed = f"<article>{BODY}<ul>" + "<li><a href=x>Some other story here</a></li>" * 30 + "</ul><p>A second half.</p></article>"
+    got = H.main_text(listed, H.standard_weights())
+    assert got.startswith(TEXT) and got.endswith("A second half.")
+    assert H.main_text(f"<p title=it's>One two three.</p>{BODY}<p>Isn't it four?</p>", H.standard_weights()) == f"One two three. {TEXT} Isn't it four?"
+
+
+def test_time_grows_with_the_page():
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        H.main_text("<div>" * n + "</p>" * n + "<aside><article>" * n + "x y z", H.standard_weights())
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
 @pytest.mark.parametrize("outer", [("<article>", "</article>"), ("<div>", "</div>"), ("<div class=content>", "</div>")])
 @pytest.mark.parametrize("inner", ["<div class=share>" + "<a href=x>Share</a> " * 5 + "</div>", "<aside><ul>" + "<li><a href=x>Other story</a></li>" * 10 + "</ul></aside>"])
 def test_inner_link_lists(outer, inner):
