@@ -143,6 +143,10 @@ def test_text_sinks(spark, tmp_path):
     [
         "DROP TABLE t", "INSERT INTO t VALUES (1)", "CREATE TABLE x AS SELECT 1", "SELECT 1; SELECT 2", "", "SELEC 1", "SELECT * FROM secret", "SELECT (SELECT max(x) FROM secret) FROM t", "SET a=b",
         "WITH c AS (SELECT * FROM secret) SELECT * FROM c", "SELECT * FROM parquet.`/etc`", "DESCRIBE t", "SELECT * FROM t WHERE i IN (SELECT x FROM secret)", "TRUNCATE TABLE t", "CACHE TABLE t", "SELECT * FROM t UNION SELECT * FROM secret",
+        "SELECT * FROM secret /* , secret as ( */", "SELECT ', secret as (' AS s, x FROM secret", "SELECT reflect('java.lang.System', 'getProperty', 'java.version')", "SELECT i, java_method('java.lang.System', 'nanoTime') FROM t",
+        "SELECT * FROM (WITH secret AS (SELECT 1 AS x) SELECT x FROM secret) JOIN secret", "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 AS x) SELECT * FROM a", "SELECT nothing_known(i) FROM t", "SELECT input_file_name() FROM t",
+        "SELECT i FROM t WHERE EXISTS (SELECT 1 FROM secret WHERE x = i)", "SELECT sum(i) OVER (ORDER BY (SELECT max(x) FROM secret)) FROM t", "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM t, LATERAL (SELECT * FROM secret)",
+        "EXECUTE IMMEDIATE 'SELECT * FROM secret'", "BEGIN SELECT 1; END", "SELECT IDENTIFIER('reflect')('java.lang.System', 'nanoTime')", "SELECT transform(array(1), x -> reflect('java.lang.System', 'nanoTime'))", "FROM secret |> SELECT x",
     ],
 )
 def test_console_refuses(spark, sql):
@@ -157,6 +161,8 @@ def test_console_runs(spark):
     names, rows, more = console.run_sql(spark, "WITH c AS (SELECT i FROM t WHERE i > 0) SELECT i AS drop_me FROM c WHERE i IN (SELECT i FROM t) ORDER BY i;", ["T"], limit=3)
     assert (names, rows, more) == (["drop_me"], [(1,), (2,), (3,)], True)
     assert console.run_sql(spark, "SELECT 'a;b' AS x", [])[1] == [("a;b",)]
+    more = ["WITH secret AS (SELECT 7 AS i) SELECT i FROM secret WHERE i > (SELECT max(i) FROM t)", "SELECT count(*) + 3 FROM t, range(1) WHERE i >= 1", "SELECT max(v) + 1 FROM t LATERAL VIEW explode(array(i, 6)) e AS v", "SELECT i + 4 FROM t WHERE i = 3 GROUP BY i HAVING count(*) = 1", "SELECT first_value(7) OVER w FROM t WINDOW w AS (ORDER BY i) LIMIT 1"]
+    assert [console.run_sql(spark, q, ["t"])[1] for q in more] == [[(7,)]] * len(more)
     with pytest.raises(TimeoutError):
         console.run_sql(spark, "SELECT sum(sin(id)) FROM range(1000000000000)", ["t"], deadline_s=2)
 
