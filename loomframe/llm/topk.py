@@ -1,97 +1,176 @@
-"""Exact top-k search by inner product with vector-approximation files.
+"""Exact top-k search by inner product with a vector-approximation file.
 
-Components become integers floor(scale * x); a cell keeps a component without its lowest cell_bits bits. Queries and
-vectors are dealt into a grid of query blocks and vector slices of bounded size, so no side is sent whole. In each grid
-place a scan of the cells gives every pair an upper and a lower bound of its score; exact vectors are then read in order
-of the upper bound until the k-th exact score is above all bounds that are left. The best k of each place are merged.
+Components become integers floor(scale * x). Different vectors are kept once, with the k + 1 least ids that have them. The
+approximation file holds a cell number of a few bits for each component, packed; edges are fitted on a bounded sample
+(fit_rows vectors), and the outer cells reach to the least and greatest component of the whole table, so every vector
+has certain lower and upper bounds of its score.
+
+1. Queries and cells are dealt into a grid of query blocks and slices. Each place scans its cells and passes on the
+   2k + 1 vectors with the greatest lower bounds of each query.
+2. The exact vectors of the best 2k + 1 of all places are read. The k-th exact score is the bar.
+3. A second scan passes on all vectors whose upper bound reaches the bar, the only ones that can still be among the k
+   best. Their exact vectors are read, scored and ranked.
+
+Only cells and queries go through the grid; exact vectors are read by key for what is left, so their traffic follows the
+number of queries, not that of grid places.
 
 Defined results: a vector that is null, empty or holds a null or non-finite component takes no part, nor does a row without id.
-Only vectors of equal length are compared. Rows that repeat id and vector count once; a query's own rows are those of
-its id. Ties go to the smaller id. An empty table gives an empty result; extra columns are ignored.
+Only vectors of equal length are compared. Rows that repeat id and vector are candidates each; a query's own rows are
+those of its id, and an id that has several vectors asks with each of them. Ties go to the smaller id. An empty table
+gives an empty result; extra columns are ignored. A long vector is packed as a whole.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import cut
+from loomframe.llm.common import cut, to_python
 
 AT_ONCE = 1 << 21
 
 
-def _matrix(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors, by id."""
-    ids = t.column("vec_id").to_numpy()
-    v = t.column("v").combine_chunks()
-    v = (v if isinstance(v, pa.Array) else pa.concat_arrays(v.chunks)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    order = np.argsort(ids, kind="stable")
-    return ids[order], v[order]
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, cell_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query, ids and scores of its k best in v (sorted by id), best first."""
-    width = (1 << cell_bits) - 1
-    cells = (v >> cell_bits) << cell_bits
-    top = max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0)))) * max(abs(int(v.max(initial=0))), abs(int(v.min(initial=0))), width + 1) * max(1, v.shape[1])
-    real = np.float64 if 4 * top < 1 << 53 else np.longdouble  # sums that stay exact
-    cells, out = cells.T.astype(real), []
-    step = max(1, AT_ONCE // max(1, len(ids)))
-    for at in range(0, len(q), step):
-        floor = q[at : at + step].astype(real) @ cells
-        for i, x in enumerate(q[at : at + step]):
-            own, bound = q_ids[at + i], floor[i]
-            lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
-            n = len(ids) - (hi - lo)
-            bound[lo:hi] = -np.inf
-            up, slack = width * int(x[x > 0].sum()), width * int(np.abs(x).sum())
-            if n > k:
-                kth = np.partition(bound, len(bound) - k)[len(bound) - k]
-                near = np.flatnonzero(bound >= kth - slack)
-            else:
-                near = np.flatnonzero(bound > -np.inf)
-            near = near[np.argsort(-bound[near], kind="stable")]
-            got = np.empty(0, np.int64)
-            for a in range(0, len(near), 64):
-                if len(got) >= k and bound[near[a]] + up < np.partition(got, len(got) - k)[len(got) - k]:
-                    near = near[:a]
-                    break
-                got = np.concatenate([got, v[near[a : a + 64]] @ x])
-            best = np.lexsort((ids[near], -got))[:k]
-            out.append((ids[near][best], got[best]))
-    return out
+def _rows(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A column of lists of dim integers as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+class Cells:
+    """Bounds of the cells of vectors of one length: cell c of component d holds low[d, c] .. high[d, c]."""
+
+    def __init__(self, sample: np.ndarray, least: int, greatest: int, bits: int):
+        n, dim = 1 << bits, sample.shape[1]
+        low = sample.min(0) if len(sample) else np.full(dim, least)
+        span = (sample.max(0) if len(sample) else np.full(dim, greatest)) - low + 1
+        self.bits, self.step, self.base = bits, np.maximum(1, -(-span // n)), low
+        self.low = low[:, None] + np.arange(n)[None, :] * self.step[:, None]
+        self.high = self.low + self.step[:, None] - 1
+        self.low[:, 0], self.high[:, -1] = least, greatest
+        self.most = max(abs(int(self.low.min())), abs(int(self.high.max())))
+
+    def pack(self, v: np.ndarray) -> list[bytes]:
+        c = np.clip((v - self.base) // self.step, 0, (1 << self.bits) - 1).astype(np.uint8)
+        marks = np.unpackbits(c[:, :, None], axis=2)[:, :, 8 - self.bits :].reshape(len(v), -1)
+        return [x.tobytes() for x in np.packbits(marks, axis=1)]
+
+    def unpack(self, packed: list[bytes]) -> np.ndarray:
+        dim = len(self.base)
+        raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+        marks = np.unpackbits(raw, axis=1)[:, : dim * self.bits].reshape(-1, self.bits)
+        return (marks @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.uint8))).reshape(-1, dim)
+
+    def bounds(self, q: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """place, lower and upper bounds of the scores of q[place:] with all cells, some queries at a time."""
+        top = self.most * int(np.abs(q).max(initial=0)) * max(1, q.shape[1])
+        kind, slack = (np.float32, 0.0) if top < 1 << 24 else (np.float64, 0.0 if top < 1 << 53 else 1e-12 * top * q.shape[1])
+        at = np.arange(cells.shape[1])[None, :]
+        low, high = self.low[at, cells].astype(kind).T, self.high[at, cells].astype(kind).T
+        step = max(1, AT_ONCE // max(1, len(cells)))
+        for i in range(0, len(q), step):
+            plus, minus = np.maximum(q[i : i + step], 0).astype(kind), np.minimum(q[i : i + step], 0).astype(kind)
+            yield i, plus @ low + minus @ high - slack, plus @ high + minus @ low + slack
+
+
+def _scored(pairs: DataFrame, exact: DataFrame, asked: DataFrame) -> DataFrame:
+    """pairs (query_id, qh, id, vh) with the exact score."""
+    both = pairs.join(exact.select("id", "vh", "v").hint("merge"), ["id", "vh"]).join(asked.select("query_id", "qh", F.col("v").alias("q")).hint("merge"), ["query_id", "qh"])
+
+    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, v = batch.column(4), batch.column(5)
+            flat = q.flatten().to_numpy(zero_copy_only=False) * v.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pa.compute.list_value_length(q).to_numpy(zero_copy_only=False))
+            sums = np.add.reduceat(flat, np.concatenate([[0], ends[:-1]])) if len(ends) else flat
+            yield pa.record_batch([*batch.columns[:4], pa.array(sums, pa.int64())], ["query_id", "qh", "id", "vh", "score"])
+
+    return to_python(both.select("query_id", "qh", "id", "vh", "q", "v"), dot, "query_id long, qh long, id long, vh long, score long")
 
 
 def top_k(
     vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64,
-    cell_bits: int = 1, query_block: int = 512, slice_rows: int = 32768,
+    cell_bits: int = 5, query_block: int = 2048, slice_rows: int = 32768, fit_rows: int = 2000,
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score. queries: which rows of vectors (by their columns) are queries."""
+    """query_id, rank (from 1), vec_id, score. queries: which rows of vectors (by their columns) are queries.
+
+    fit_rows: about how many vectors of each length, drawn by hash, cell edges are fitted on; all vectors are in the file.
+    """
+    if not 1 <= cell_bits <= 8:
+        raise ValueError("a cell number has 1 to 8 bits")
     bad = F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("_v"), queries.alias("is_query"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("_v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     rows = rows.filter(F.col("vec_id").isNotNull() & (F.size("_v") > 0)).filter(~bad)
-    rows = rows.select("vec_id", "is_query", F.transform("_v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("v")).dropDuplicates(["vec_id", "v"])
-    rows = cut(rows.withColumn("dim", F.size("v")))
-    found = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    n_blocks, n_slices = max(1, math.ceil(found["q"] / query_block)), max(1, math.ceil(found["n"] / slice_rows))
-    places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.filter("is_query").select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("qb"), places(n_slices).alias("vs"))
-    scanned = rows.select("dim", "vec_id", "v", places(n_blocks).alias("qb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_slices)).cast("int").alias("vs"))
-    key = ["dim", "qb", "vs"]
-    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def place(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        dim = at[0].as_py()
-        if not left.num_rows or not right.num_rows or not dim:
+    rows = rows.select("vec_id", "is_query", F.transform("_v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("v"))
+    held = rows.groupBy("v", "vec_id").agg(F.count("*").alias("n"), F.bool_or("is_query").alias("is_query"))
+    held = cut(held.withColumns({"vh": F.xxhash64("v"), "dim": F.size("v")}))
+    asked = held.filter("is_query").select("dim", F.col("vec_id").alias("query_id"), F.col("vh").alias("qh"), "v")
+    by_id = Window.partitionBy("v").orderBy("vec_id")
+    kept = held.withColumn("_i", F.row_number().over(by_id)).filter(F.col("_i") <= k + 1)
+    kept = cut(kept.withColumn("id", F.min("vec_id").over(Window.partitionBy("v"))))
+    exact = kept.filter("_i = 1").select("id", "vh", "dim", "v")
+    members = kept.select("id", "vh", "vec_id", "n")
+    sizes = {r["dim"]: r for r in exact.groupBy("dim").agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("least"), F.max(F.array_max("v")).alias("greatest")).collect()}
+    n_asked = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    share = F.coalesce(*[F.when(F.col("dim") == d, F.lit(min(1.0, fit_rows / r["n"]))) for d, r in sizes.items()], F.lit(0.0))
+    sample = exact.filter(F.pmod(F.xxhash64("vh", "id"), F.lit(1 << 30)) < share * (1 << 30)).select("dim", "v").toArrow()
+    dims = sample.column("dim").to_numpy()
+    grid = {d: Cells(_rows(sample.filter(pa.array(dims == d)).column("v"), d), r["least"], r["greatest"], cell_bits) for d, r in sizes.items()}
+
+    def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(2).to_numpy()
+            for d in np.unique(own):
+                part = batch.filter(pa.array(own == d))
+                yield pa.record_batch([*part.columns[:3], pa.array(grid[int(d)].pack(_rows(part.column(3), int(d))), pa.binary())], ["id", "vh", "dim", "cell"])
+
+    cells = cut(to_python(exact, approximate, "id long, vh long, dim int, cell binary"))
+    # A grid of its own for each length; the lengths of vectors are few.
+    count = lambda n, per: F.coalesce(*[F.when(F.col("dim") == d, F.lit(math.ceil(x / per))) for d, x in n.items()], F.lit(1)) if n else F.lit(1)
+    n_blocks, n_slices = count(n_asked, query_block), count({d: r["n"] for d, r in sizes.items()}, slice_rows)
+    places = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    scanned = cells.select("*", F.pmod("vh", n_slices).cast("int").alias("vs"), places(n_blocks).alias("qb")).groupBy("dim", "qb", "vs")
+    kind = pa.schema([(c, pa.int64()) for c in ("query_id", "qh", "id", "vh", "low")])
+
+    def scan(left: pa.Table, right: pa.Table, dim: int, pick) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
             return kind.empty_table()
-        q_ids, q = _matrix(left, dim)
-        found = search(q_ids, q, *_matrix(right, dim), k, cell_bits)
-        return pa.table([np.repeat(q_ids, [len(x) for x, _ in found]), np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found])], schema=kind)
+        own, ids, out = grid[dim], right.column("id").to_numpy(), []
+        vh = right.column("vh").to_numpy()
+        packed = own.unpack(right.column("cell").to_pylist())
+        for at, low, high in own.bounds(_rows(left.column("v"), dim), packed):
+            for i in range(len(low)):
+                near = pick(at + i, low[i], high[i])
+                out.append((np.full(len(near), at + i), near, low[i][near]))
+        q, near, low = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table([left.column("query_id").to_numpy()[q], left.column("qh").to_numpy()[q], ids[near], vh[near], np.floor(low).astype(np.int64)], schema=kind)
+
+    def best_bounds(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        m = 2 * k + 1
+        return scan(left, right, at[0].as_py(), lambda _, low, high: np.argpartition(-low, m - 1)[:m] if len(low) > m else np.arange(len(low)))
+
+    def reaching(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        bar = left.column("bar").to_numpy()
+        return scan(left, right, at[0].as_py(), lambda i, low, high: np.flatnonzero(high >= bar[i]))
 
-    best = asked.groupBy(key).cogroup(scanned.groupBy(key)).applyInArrow(place, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocked = asked.select("*", F.pmod("qh", n_blocks).cast("int").alias("qb"))
+    dealt = blocked.select("*", places(n_slices).alias("vs")).groupBy("dim", "qb", "vs")
+    names = "query_id long, qh long, id long, vh long, low long"
+    started = dealt.cogroup(scanned).applyInArrow(best_bounds, names)
+    order = Window.partitionBy("query_id", "qh").orderBy(F.col("low").desc(), "id", "vh")
+    started = started.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= 2 * k + 1).select("query_id", "qh", "id", "vh")
+    read = _scored(started, exact, asked).filter("query_id <> id")
+    worst = read.withColumn("_i", F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(F.col("score").desc()))).filter(F.col("_i") == k)
+    bars = blocked.join(worst.select("query_id", "qh", F.col("score").alias("bar")).hint("merge"), ["query_id", "qh"], "left").withColumn("bar", F.coalesce("bar", F.lit(-(1 << 63))))
+    left = bars.select("*", places(n_slices).alias("vs")).groupBy("dim", "qb", "vs").cogroup(scanned).applyInArrow(reaching, names).drop("low")
+    found = _scored(left, exact, asked).join(members.hint("merge"), ["id", "vh"]).filter("query_id <> vec_id")
+    # Of rows that repeat id and vector no more than k can be among the best.
+    found = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("_copy"))
+    ranks = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -19,7 +19,7 @@ def plain(vectors, k, scale=64):
     return out
 
 
-@pytest.mark.parametrize("bits", [0, 1, 3])
+@pytest.mark.parametrize("bits", [1, 3, 8])  # bits kept of a component
 def test_exact_with_ties_and_bad_rows(spark, rows, bits):
     r = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in r.normal(0, 0.3, 8).round(1)]) for i in range(230)]
@@ -30,18 +30,35 @@ def test_exact_with_ties_and_bad_rows(spark, rows, bits):
 
 
 def test_few_candidates_repeats_and_clashing_columns(spark):
-    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5])], KIND).withColumns({"v": F.lit(1), "dim": F.lit(2), "rank": F.lit(3)})
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], KIND).withColumns({"v": F.lit(1), "dim": F.lit(2), "rank": F.lit(3)})
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()]
-    assert got == [(0, 1, 1, 2048)]
+    assert got == [(0, 1, 1, 2048), (0, 2, 1, 2048), (0, 3, 2, 2048)]
+    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=2).collect()] == got[:2]
     assert topk.top_k(spark.createDataFrame([], KIND), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_cells_spare_most_exact_reads():
+def test_one_very_common_vector_and_outliers(spark, rows):
+    r = np.random.default_rng(8)
+    vectors = [(i, [0.5] * 6 if i % 3 else [float(x) for x in r.normal(0, 0.4, 6)]) for i in range(300)] + [(301, [3e6] * 6), (302, [-3e6] + [0.0] * 5), (340, [0.5] * 6)]
+    got = topk.top_k(spark.createDataFrame(vectors, KIND), F.col("vec_id") % 20 == 0, k=20, cell_bits=4, fit_rows=30)
+    assert rows(got) == sorted(plain(vectors, 20), key=repr)
+
+
+def test_an_id_with_two_vectors_and_a_long_one(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (20, [0.01] * 40_000), (21, [0.02] * 40_000)], KIND)
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    assert got[:4] == [(0, 1, 2, 64 * 192), (0, 2, 1, 64 * 128), (0, 3, 1, 0), (0, 4, 2, 0)] and len(got) == 5 and got[4][2] == 21
+
+
+def test_cells_hold_their_vectors_and_spare_most_exact_reads():
     r = np.random.default_rng(1)
     v = np.floor(64 * r.normal(0, 0.125, (5000, 64))).astype(np.int64)
-    ids = np.arange(5000)
-    (best, scores), = topk.search(np.array([7]), v[7:8], ids, v, 20, 1)
+    cells = topk.Cells(v[:300], int(v.min()), int(v.max()), 5)
+    packed = cells.pack(v)
+    assert {len(x) for x in packed} == {40}
+    own, at = cells.unpack(packed), np.arange(64)[None, :]
+    assert (cells.low[at, own] <= v).all() and (v <= cells.high[at, own]).all()
+    (_, low, high), = cells.bounds(v[7:8], own)
     s = v @ v[7]
-    s[7] = -(10**9)
-    want = np.lexsort((ids, -s))[:20]
-    assert best.tolist() == want.tolist() and scores.tolist() == s[want].tolist()
+    assert (low[0] <= s).all() and (s <= high[0]).all()
+    assert (high[0] >= np.sort(s)[-21]).sum() < 250
