@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import htmltext, mixing, pieces, quality, repeats, simhash, tokencounts, topk, toxicity, warc
-from loomframe.llm.common import shared_folder, table
+from loomframe.llm.common import cut, shared_folder, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +36,34 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals after all documents were inserted in one batch and that batch was committed again."""
-    docs = table(spark, sf_dir, "documents")
+    """Token totals after three batches over all documents, the first of them committed twice.
+
+    All documents are inserted as one vocabulary counts them; those in other languages than English are revised to a
+    second vocabulary; then all copies of a text but the first by id are deleted.
+    """
+    docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64("text"))
+    rows = cut(tokencounts.counted(docs, ranks={"old_tokens": tokencounts.RANKS, "new_tokens": tokencounts.MULTI_RANKS}, keep=("doc_id", "source", "lang", "text_hash")))
+    old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
     rollup = tokencounts.Rollup(spark, f"{shared_folder(spark)}/token-totals-{uuid.uuid4().hex}")
     for _ in range(2):
-        rollup.commit("documents", tokencounts.inserts(tokencounts.counted(docs), "byte_bpe_50k"))
+        rollup.commit("insert", tokencounts.inserts(rows.withColumn("n_tokens", F.col("old_tokens")), old))
+    other = F.coalesce(F.col("lang") != "en", F.lit(True))
+    rollup.commit("revise", tokencounts.revisions(rows.filter(other).withColumn("n_tokens", F.col("new_tokens")), new, old=old))
+    copies, rank = copied(rows)
+    now = copies.withColumns({"n_tokens": F.when(other, F.col("new_tokens")).otherwise(F.col("old_tokens")), "n": F.col("n") - F.when(rank == F.col("first"), 1).otherwise(0)})
+    rollup.commit("delete", tokencounts.deletes(now.filter("n > 0"), F.when(other, new).otherwise(old), F.col("n")))
     return rollup.totals()
 
 
+def copied(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """Texts that stand in several rows: a row for each id, source and language with their number n and the first such
+    place of the text; and what compares with it. Rows are counted before texts meet, so a text with many copies is no hot key."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("source"), F.col("lang"))
+    places = rows.groupBy("text_hash", "doc_id", "source", "lang", "old_tokens", "new_tokens").agg(F.count("*").alias("n"))
+    first = places.groupBy("text_hash").agg(F.min(rank).alias("first"), F.sum("n").alias("total")).filter("total > 1")
+    return places.join(first.hint("merge"), "text_hash"), rank
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, and whether decoding gives its text."""
     return pieces.encode(table(spark, sf_dir, "documents"), check=True)

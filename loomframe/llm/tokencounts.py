@@ -1,18 +1,23 @@
 """Token totals by source, language and tokenizer version, kept up by signed deltas.
 
-A batch of changes (insert, delete, revise) becomes signed sums by key and is committed under its batch id as a folder of
-its own below the rollup's root; the totals are the sums of all committed batches. A folder counts once Spark's
-_SUCCESS file is in it. Committing an id again does nothing, so a job can be run again after a failure: a folder without
-_SUCCESS is what a lost run left and is written anew.
+A batch of changes (insert, delete, revise) becomes signed sums by key. Its sums are written to a data folder of their own;
+then a small entry that names the folder is moved into place under the batch id. The move doesn't overwrite, so a batch
+counts from one moment on, committing an id again does nothing, and of two writers of one id one wins. What a lost run
+leaves behind has no entry and doesn't count. Compaction writes the totals of the batches it has seen and then an entry,
+numbered one above the last, with the list of those batches: a reader takes the last such entry and the batches that it
+doesn't list. A batch that comes meanwhile isn't in the list, so it counts once, before and after.
 
 Defined results: a null text has 0 tokens and counts as a document. Null sources and languages are keys of their own.
 Repeated rows count each. Keys whose totals come to zero stay in the rollup with 0. An empty table commits an empty batch.
+A very long text is counted as a whole, one at a time in a task. Columns besides those named are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Iterator, Mapping
 from functools import cache
 
 import pyarrow as pa
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import to_python
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MULTI_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEYS = ("source", "lang", "tokenizer")
@@ -37,37 +43,40 @@ def encoder(ranks: str):
     return tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def counted(docs: DataFrame, text: str = "text", ranks: str = RANKS, keep: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
-    """keep and n_tokens (long) of every row."""
+def counted(docs: DataFrame, text: str = "text", ranks: str | Mapping[str, str] = RANKS, keep: tuple[str, ...] = ("doc_id", "source", "lang")) -> DataFrame:
+    """keep and n_tokens (long) of every row; ranks: a vocabulary, or several by the name of the column with their counts."""
+    ranks = {"n_tokens": ranks} if isinstance(ranks, str) else dict(ranks)
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_ordinary
+        encoders = [encoder(r).encode_ordinary for r in ranks.values()]
         for batch in batches:
-            n = pa.array([len(encode(x.as_py() or "")) for x in batch.column(len(keep))], pa.int64())
-            yield pa.record_batch([*batch.columns[: len(keep)], n], [*keep, "n_tokens"])
+            n = [[len(encode(x.as_py() or "")) for encode in encoders] for x in batch.column(len(keep))]
+            yield pa.record_batch([*batch.columns[: len(keep)], *(pa.array([row[i] for row in n], pa.int64()) for i in range(len(ranks)))], [*keep, *ranks])
 
-    return to_python(rows, run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema) + "n_tokens long")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    return to_python(rows, run, kinds + ", ".join(f"`{c}` long" for c in ranks))
 
 
-def inserts(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Signed changes for new rows with source, lang, n_tokens."""
-    return _signed(rows, tokenizer, 1, F.col("n_tokens"))
+def inserts(rows: DataFrame, tokenizer: Column | str, copies: Column | int = 1) -> DataFrame:
+    """Signed changes for new rows with source, lang, n_tokens; copies: as how many rows each counts."""
+    return _signed(rows, tokenizer, copies if isinstance(copies, Column) else F.lit(copies), F.col("n_tokens"))
 
 
-def deletes(rows: DataFrame, tokenizer: str) -> DataFrame:
-    return _signed(rows, tokenizer, -1, -F.col("n_tokens"))
+def deletes(rows: DataFrame, tokenizer: Column | str, copies: Column | int = 1) -> DataFrame:
+    return _signed(rows, tokenizer, -(copies if isinstance(copies, Column) else F.lit(copies)), F.col("n_tokens"))
 
 
 def revisions(rows: DataFrame, tokenizer: str, old: str | None = None) -> DataFrame:
     """Changes for rows whose count went from old_tokens to n_tokens; old: their former tokenizer version, if another."""
     if old and old != tokenizer:
         return deletes(rows.withColumn("n_tokens", F.col("old_tokens")), old).unionByName(inserts(rows, tokenizer))
-    return _signed(rows, tokenizer, 0, F.col("n_tokens") - F.col("old_tokens"))
+    return _signed(rows, tokenizer, F.lit(1), F.col("n_tokens") - F.col("old_tokens")).withColumn("n_docs", F.lit(0).cast("long"))
 
 
-def _signed(rows: DataFrame, tokenizer: str, docs: int, tokens: Column) -> DataFrame:
-    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(docs).cast("long").alias("n_docs"), tokens.cast("long").alias("n_tokens"))
+def _signed(rows: DataFrame, tokenizer: Column | str, times: Column, tokens: Column) -> DataFrame:
+    name = tokenizer if isinstance(tokenizer, Column) else F.lit(tokenizer)
+    return rows.select("source", "lang", name.alias("tokenizer"), times.cast("long").alias("n_docs"), (times * tokens).cast("long").alias("n_tokens"))
 
 
 class Rollup:
@@ -80,8 +89,40 @@ class Rollup:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._path(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _enter(self, entry: str, content: dict) -> bool:
+        """An entry written aside and moved into place; False if there is one already."""
+        jvm = self.spark._jvm
+        fs, aside = self._path(f"aside/{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        _, place = self._path(entry)
+        fs.mkdirs(place.getParent())
+        options = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        none = self.spark.sparkContext._gateway.new_array(options, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(place), none)
+        except Exception:
+            if fs.exists(aside) and fs.exists(place):  # another writer was first
+                fs.delete(aside, False)
+                return False
+            raise
+        return True
+
+    def _read(self, entry: str) -> dict:
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{entry}").collect()))
+
+    def _last(self) -> tuple[int, dict]:
+        """Number and content of the last compaction."""
+        names = self._names("compactions")
+        return (int(names[-1]), self._read(f"compactions/{names[-1]}")) if names else (0, {"covers": [], "data": None})
+
     def committed(self, batch: str) -> bool:
-        fs, path = self._path(f"batch={batch}/_SUCCESS")
+        fs, path = self._path(f"batches/{batch}")
         return fs.exists(path)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -91,24 +132,33 @@ class Rollup:
         if self.committed(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
-        return True
+        data = f"data/{batch}-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.root}/{data}")
+        return self._enter(f"batches/{batch}", {"data": data})
 
     def batches(self) -> list[str]:
-        fs, path = self._path("")
-        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(x[6:] for x in found if x.startswith("batch=") and self.committed(x[6:]))
+        return self._names("batches")
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens."""
-        paths = [f"{self.root}/batch={b}" for b in self.batches()]
-        rows = self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
+    def _state(self) -> tuple[int, list[str], list[str]]:
+        """Number of the last compaction, the batches there are, and the data folders whose sums are the totals.
+
+        The compaction is read first: a batch that is listed later is not in it, so nothing is missed or counted twice.
+        """
+        number, last = self._last()
+        batches, known = self.batches(), set(last["covers"])
+        return number, batches, [*([last["data"]] if last["data"] else []), *(self._read(f"batches/{b}")["data"] for b in batches if b not in known)]
+
+    def _sum(self, folders: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], TOTALS)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
 
-    def compact(self, into: str) -> None:
-        """A new root with one batch that has the totals so far; batches committed so far are known there as well."""
-        new = Rollup(self.spark, into)
-        names = self.batches()
-        new.commit("compacted", self.totals())
-        for b in names:
-            new.commit(b, self.spark.createDataFrame([], TOTALS))
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens."""
+        return self._sum(self._state()[2])
+
+    def compact(self) -> bool:
+        """One data folder for all batches so far; False if another compaction was first. Committed ids stay known."""
+        number, batches, folders = self._state()
+        data = f"data/compacted-{uuid.uuid4().hex}"
+        self._sum(folders).write.parquet(f"{self.root}/{data}")
+        return self._enter(f"compactions/{number + 1:09d}", {"data": data, "covers": batches})
