@@ -16,7 +16,7 @@ def test_ordinal_fit_recovers_order():
     rows, cols = np.nonzero(x)
     got, th = T.fit_ordinal(rows, cols, y, d, 4, l2=0)
     assert np.all(np.diff(th) > 0) and np.allclose(got, w, atol=0.3) and np.allclose(th, [1, 2.5, 4], atol=0.3)
-    m = T.Model({}, list(th))
+    m = T.Model({}, list(th), [0, 1, 2, 3])
     s = m.severity(np.array([-50.0, 0.0, 2.0, 50.0]))
     assert np.all(np.diff(s) > 0) and abs(s[0]) < 1e-6 and abs(s[-1] - 3) < 1e-6
 
@@ -33,6 +33,39 @@ def test_held_out_labels(spark):
     assert n.get((0, True), 0) <= 0.02 * n[(0, False)]
 
 
+def test_grades_of_labels_are_learnt(spark):
+    """Texts whose labels grow with what they hold: held-out severity and grade follow the labels' order."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        g = int(r.choice(4, p=[0.55, 0.2, 0.15, 0.1]))
+        words = [f"w{r.integers(60)}" for _ in range(30)] + ["mild"] * (g >= 1) + ["harsh"] * (g >= 2) + ["vile"] * (g >= 3)
+        rows.append((i, " ".join(words), g))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, g int").cache()
+    model = T.fit(docs, docs.filter("doc_id < 600"), grade=F.col("g") * 2, max_rows=500)
+    assert model.levels == [0, 2, 4, 6] and len(model.thresholds) == 3
+    out = T.score(docs.filter("doc_id >= 600"), model, at_least=0.5).join(docs.select("doc_id", "g"), "doc_id").collect()
+    mean = [np.mean([r["severity"] for r in out if r["g"] == g]) for g in range(4)]
+    assert all(np.diff(mean) > 1) and np.mean([r["grade"] == 2 * r["g"] for r in out]) > 0.9
+
+
+def test_the_sample_is_bounded(spark):
+    """One id that a third of all rows have, in equal and in different texts."""
+    kind = "doc_id long, text string"
+    rows = [(0, f"bad thing {i % 700}") for i in range(3000)] + [(i, f"good thing {i} is here") for i in range(1, 200)] + [(500, "very " * 60_000)]
+    docs = spark.createDataFrame(rows, kind)
+    labels = spark.createDataFrame([(i, int(i == 0)) for i in range(200)] * 3, "doc_id long, toxic int")
+    seen = []
+    plain = T.fit_ordinal
+    T.fit_ordinal = lambda rows, cols, y, *a, **k: (seen.append(len(y)), plain(rows, cols, y, *a, **k))[1]
+    try:
+        model = T.fit(docs, labels, max_rows=300)
+    finally:
+        T.fit_ordinal = plain
+    assert seen == [300]
+    assert all(r["toxic"] == (r["doc_id"] == 0) for r in T.score(docs, model).collect() if r["doc_id"] != 500)
+
+
 def test_edge_tables(spark):
     kind, labelled = "doc_id long, text string", "doc_id long, toxic int"
     empty, none = spark.createDataFrame([], kind), spark.createDataFrame([], labelled)
