@@ -1,6 +1,8 @@
 """Removal of repeated units of text by global digest groups.
 
-The normal form of a text is its words in lower case joined by one space; digests have 128 bits. Units are:
+The normal form of a text is its words in lower case joined by one space; digests have 128 bits. Units are paragraphs
+and lines. With whole_lines, a line is one unit. By default it is cut in pieces that cover it, so that a passage inside a
+line is found as well where the rest of the line differs:
 
 * pieces of a line. A sentence of min_words words or more is one; the shorter ones between two such are joined until
   they have min_words words and the last is a closing one by its hash, so that the cuts inside a passage don't depend on
@@ -15,7 +17,8 @@ others are removed: the union of their spans. Only digests that occur twice are
 whose hot digests Spark can split, as both its sides are plain exchanges.
 
 Defined results: null, empty and blank texts have no units. Rows that agree in id and text are one document and get the
-same result. A null id ranks last. An empty table gives an empty result. Extra columns are ignored, or kept by clean().
+same result. A null id ranks last. An empty table gives an empty result. Extra columns are ignored, or kept by clean(). A very
+long text is cut as a whole; a task holds its units besides one Arrow batch.
 """
 
 from __future__ import annotations
@@ -68,11 +71,15 @@ def _pieces(line: str, min_words: int) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def units_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """start, end (in code points, blanks around left out), words, digest of each piece of a line."""
+def units_of(text: str, min_words: int, whole_lines: bool = False) -> Iterator[tuple[int, int, int, bytes]]:
+    """start, end (in code points, blanks around left out), words, digest of each line or piece of a line."""
     at = 0
     for line in text.split("\n"):
-        pieces = _pieces(line, min_words)
+        if whole_lines:
+            words, begun = line.lower().split(), len(line) - len(line.lstrip())
+            pieces = [(begun, len(line.rstrip()), words)] if words else []
+        else:
+            pieces = _pieces(line, min_words)
         for i, (start, end, words) in enumerate(pieces):
             if len(words) >= min_words or len(pieces) == 1:
                 digest = _digest(words)
@@ -102,7 +109,7 @@ def paragraphs_of(text: str) -> Iterator[tuple[int, int, int, bytes, int]]:
         at += len(line) + 1
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
+def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8, whole_lines: bool = False) -> DataFrame:
     """doc_id, text_hash, start, end, n_words, d1, d2 (the digest), layout (0 but for paragraphs) of every unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +119,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words
                 own, rows = [], []
                 while at < len(ids) and len(own) < UNITS_AT_ONCE:
                     own_text = texts[at].as_py() or ""
-                    found = [(*u, 0) for u in units_of(own_text, min_words)]
+                    found = [(*u, 0) for u in units_of(own_text, min_words, whole_lines)]
                     found += paragraphs_of(own_text)
                     own += found
                     rows += [at] * len(found)
@@ -127,9 +134,9 @@ def units(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words
     return to_python(rows, run, "doc_id long, text_hash long, start int, end int, n_words int, d1 long, d2 long, layout long")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8, whole_lines: bool = False) -> DataFrame:
     """The units to remove: doc_id, text_hash, start, end, n_words, first_doc_id, first_start (of the one that stays)."""
-    found = units(docs, id_col, text, min_words)
+    found = cut(units(docs, id_col, text, min_words, whole_lines))  # both sides of the join read it
     rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), "doc_id", "text_hash", "start", "layout")
     groups = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.min("layout").alias("low"), F.max("layout").alias("high"))
     many = groups.filter("first <> last AND (low = 0 AND high = 0 OR low <> high)")
@@ -165,9 +172,9 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(out)
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 8, whole_lines: bool = False) -> DataFrame:
     """docs with repeated units gone from text; other columns stay."""
-    spans = repeated(docs, id_col, text, min_words).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = repeated(docs, id_col, text, min_words, whole_lines).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     @F.pandas_udf("string")
     def cleaned(texts, lists):

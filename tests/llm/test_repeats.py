@@ -1,6 +1,7 @@
 """Removal of repeated units against a plain pass in rank order."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -45,6 +46,45 @@ def test_spans(spark):
     assert all(n >= 48 for n in words.values())  # of the passage's 72 words: its first or last sentence may join a neighbour
 
 
+def test_whole_lines_against_plain_lines(spark):
+    """Line units by str.split and paragraph units by re.split, grouped and ranked without any code of the operator."""
+    r = random.Random(3)
+    lines = [" ".join(f"w{r.randrange(9)}" for _ in range(r.randint(1, 4))) for _ in range(25)]
+    docs = [(i, r.choice(["\n", "\n\n"]).join(r.choice(["", " "]) + r.choice(lines).upper() if r.random() < 0.3 else r.choice(lines) for _ in range(r.randint(0, 7)))) for i in range(50)]
+    docs += [(50, None), (51, " \n "), (52, "x " * 100_000), (53, "X " * 100_000 + "\ny")]
+    seen, lost = {}, set()
+    for i, t in docs:
+        at = 0
+        for line in (t or "").split("\n"):
+            key = " ".join(line.lower().split())
+            if key and seen.setdefault(key, (i, at)) != (i, at):
+                lost.add((i, at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
+            at += len(line) + 1
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["end"]) for r in R.repeated(df, whole_lines=True).collect()}
+    assert lost <= got and (53, 0, 199_999) in got
+    texts = dict(docs)
+    for i, s, e in got - lost:  # a paragraph that is broken another way than its first occurrence
+        assert "\n" in texts[i][s:e] or any(" ".join(p.lower().split()) == " ".join(texts[i][s:e].lower().split()) for j, t in docs if t and j <= i for p in re.split(r"\n[ \t]*\n", t))
+    left = {r["doc_id"]: r["text"] for r in R.clean(df, whole_lines=True).collect()}
+    kept = [" ".join(x.lower().split()) for t in left.values() if t for x in t.split("\n") if x.strip()]
+    assert len(kept) == len(set(kept))
+
+
+def test_pieces_cover_lines():
+    """Whatever the text, its pieces don't overlap and leave nothing but blanks."""
+    r = random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choice(["word ", "Mr. ", "end. ", "why? ", "\n", "  ", "x"]) for _ in range(r.randint(0, 60)))
+        spans = [(s, e) for s, e, *_ in R.units_of(text, 8)]
+        assert spans == sorted(spans) and all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+        rest = list(text)
+        for a, b in spans:
+            assert not text[a].isspace() and not text[b - 1].isspace() and "\n" not in text[a:b]
+            rest[a:b] = " " * (b - a)
+        assert not "".join(rest).strip()
+
+
 def test_clean(spark):
     docs, passage = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"start": F.lit(1), "_id": F.lit("k")})
