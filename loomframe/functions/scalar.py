@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Review statuses and their stars.
 REVIEW_STARS = {
@@ -133,10 +130,27 @@ def consequence_terms(mc: Column) -> Column:
     return F.when(good, F.array_join(F.array_distinct(F.regexp_extract_all(mc, F.lit(r"SO:\d{7}\|([^|,]+)"), F.lit(1))), "&"))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """The normal distribution function; Spark has no erf of its own."""
-    return z.map(lambda x: None if x is None or x != x else 0.5 * (1 + math.erf(x / math.sqrt(2))))
+#: A published rational approximation of the normal tail, highest power first.
+TAIL_OVER = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_UNDER = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def normal_cdf(z: Column) -> Column:
+    """The normal distribution function by column functions, with an error below 1e-14: a rational function up to 7.07, a continued fraction beyond."""
+    x = F.abs(z)
+
+    def power_sum(terms: Sequence[float]) -> Column:
+        out = F.lit(terms[0])
+        for t in terms[1:]:
+            out = out * x + F.lit(t)
+        return out
+
+    density = F.exp(-x * x / 2)
+    far = x + 0.65
+    for k in (4, 3, 2, 1):
+        far = x + F.lit(float(k)) / far
+    tail = F.when(x > 37, 0.0).when(x < 7.07106781186547, density * power_sum(TAIL_OVER) / power_sum(TAIL_UNDER)).otherwise(density / far / 2.506628274631)
+    return F.when(z.isNull() | F.isnan(z), F.lit(None).cast("double")).when(z > 0, 1 - tail).otherwise(tail)
 
 
 def percentile(score: Column, mean: Column, sd: Column) -> Column:

@@ -2,72 +2,75 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions import genotype as G
+from loomframe.operators import lookup
 
 
-def star_key(name: str) -> tuple:
+def _star_order(name: Column) -> Column:
     """Numeric order of star alleles, others behind them by name."""
-    m = re.match(r"\*(\d+)(.*)", name)
-    return (0, int(m[1]), m[2]) if m else (1, 0, name)
-
-
-def greedy_alleles(alleles: Sequence[Mapping[str, Any]], copies: Mapping[tuple, int | None]) -> tuple[str, str, str]:
-    """Two allele names and the confidence. Alleles with most defining variants come first, each as often as its variants still have
-    ALT copies; what is left is the reference allele (the one without variants)."""
-    plain = [a["allele_name"] for a in alleles if not a["variants"]]
-    reference = plain[0] if plain else "*1"
-    marked = sorted((a for a in alleles if a["variants"]), key=lambda a: (-len(a["variants"]), a["allele_name"]))
-    wanted = {v for a in marked for v in a["variants"]}
-    left = {v: copies[v] for v in wanted if copies.get(v) is not None}
-    called: list[str] = []
-    for a in marked:
-        n = min([2 - len(called), *(left.get(v, 0) for v in a["variants"])])
-        if n > 0:
-            for v in a["variants"]:
-                left[v] -= n
-            called += [a["allele_name"]] * n
-    pair = sorted([*called, reference, reference][:2], key=star_key)
-    known = sum(copies.get(v) is not None for v in wanted)
-    confidence = "Complete" if known == len(wanted) else "Partial" if known else "Insufficient"
-    return pair[0], pair[1], confidence
-
-
-def star_alleles(genotypes: DataFrame, alleles: DataFrame, diplotypes: DataFrame, sample: str = "sample_id") -> DataFrame:
-    """sample, gene, diplotype, confidence, phenotype.
+    number = F.regexp_extract(name, r"^\*(\d+)", 1)
+    return F.struct((number == "").alias("a"), number.try_cast("int").alias("b"), name.alias("c"))
+
+
+def gene_tables(alleles: DataFrame, uncallable: Sequence[str] = ()) -> DataFrame:
+    """A row a gene: variants (the different defining ones), reference (the first allele without any, else *1) and marked: the
+    others with the places of their variants, most variants first, and whether the array can call them."""
+    own = alleles.withColumn("_callable", ~F.col("allele_name").isin(*uncallable) if uncallable else F.lit(True))
+    entry = F.struct((-F.size("defining_variants")).alias("order"), F.col("allele_name").alias("name"), F.col("_callable").alias("callable"), F.col("defining_variants").alias("v"))
+    plain = F.min(F.when((F.size("defining_variants") == 0) & F.col("_callable"), F.struct(_star_order(F.col("allele_name")).alias("o"), F.col("allele_name").alias("name"))))
+    found = own.groupBy("gene").agg(F.sort_array(F.collect_list(F.when(F.size("defining_variants") > 0, entry))).alias("m"), F.coalesce(plain["name"], F.lit("*1")).alias("reference"))
+    found = found.withColumn("variants", F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda a: a["v"])))))
+    places = lambda a: F.transform(a["v"], lambda v: F.array_position(F.col("variants"), v).cast("int") - 1)
+    return found.select("gene", "reference", "variants", F.transform("m", lambda a: F.struct(a["name"].alias("name"), a["callable"].alias("callable"), places(a).alias("at"))).alias("marked"))
+
+
+def star_alleles(genotypes: DataFrame, alleles: DataFrame, diplotypes: DataFrame, sample: str = "sample_id", uncallable: Sequence[str] = ()) -> DataFrame:
+    """sample, gene, diplotype, confidence, phenotype, residual_variants, crowded_out.
 
     genotypes: sample, rsid, genotype; alleles: gene, allele_name, defining_variants; diplotypes: gene, diplotype,
-    phenotype. A group is one gene of one sample, some dozen rows.
-    """
-    v = alleles.select("gene", F.explode("defining_variants").alias("v")).select("gene", "v.rsid", "v.ref", "v.alt").distinct()
-    genes = alleles.groupBy("gene").agg(F.collect_list(F.struct("allele_name", "defining_variants")).alias("alleles"))
-    who = genotypes.select(sample).distinct().withColumn("_k", F.lit(1)).join(genes.select("gene").withColumn("_k", F.lit(1)), "_k").drop("_k")
-    calls = genotypes.groupBy(sample, "rsid").agg(F.min("genotype").alias("genotype")).join(v, "rsid")
-    alt = F.struct("rsid", "ref", "alt", G.risk_dosage(F.col("genotype"), F.col("alt"), F.col("ref")).alias("n"))
-    own = calls.groupBy(sample, "gene").agg(F.collect_list(alt).alias("copies"))
-    rows = who.join(own, [sample, "gene"], "left").join(genes, "gene")
-    kind = rows.schema[sample].dataType.simpleString()
-
-    def call(batches):
-        for pdf in batches:
-            out = []
-            for s, gene, copies, listed in zip(pdf[sample], pdf["gene"], pdf["copies"], pdf["alleles"], strict=True):
-                have = {(x["rsid"], x["ref"], x["alt"]): None if x["n"] is None or x["n"] != x["n"] else int(x["n"]) for x in (copies if copies is not None else ())}
-                names = [{"allele_name": a["allele_name"], "variants": [(x["rsid"], x["ref"], x["alt"]) for x in a["defining_variants"]]} for a in sorted(listed, key=lambda a: star_key(a["allele_name"]))]
-                a, b, c = greedy_alleles(names, have)
-                out.append((s, gene, f"{a}/{b}", c))
-            yield pd.DataFrame(out, columns=[sample, "gene", "diplotype", "confidence"])
+    phenotype; uncallable: alleles that an array cannot call. Alleles with most defining variants take ALT copies first,
+    two alleles at most, and the reference fills the rest. residual_variants counts the variants of which a copy is left
+    that no allele took. If both places are taken and an allele still has a copy of each of its variants, it was crowded
+    out: no pair of alleles accounts for the copies, and the confidence is Insufficient.
 
-    called = rows.select(sample, "gene", "copies", "alleles").mapInPandas(call, f"`{sample}` {kind}, gene string, diplotype string, confidence string")
-    return called.join(diplotypes.select("gene", "diplotype", "phenotype"), ["gene", "diplotype"], "left").select(sample, "gene", "diplotype", "confidence", "phenotype")
+    One gene of one sample is a row with arrays as long as the gene's variants; the greedy pass is a fold over its alleles.
+    """
+    genes = gene_tables(alleles, uncallable)
+    v = alleles.select("gene", F.explode("defining_variants").alias("v")).distinct()
+    calls = genotypes.groupBy(sample, "rsid").agg(F.min("genotype").alias("_g"))
+    n = G.risk_dosage(F.col("_g"), F.col("v.alt"), F.col("v.ref"))
+    own = calls.join(v.withColumn("rsid", F.col("v.rsid")), "rsid").select(sample, "gene", F.struct("v", n.alias("n")).alias("c"))
+    own = own.groupBy(sample, "gene").agg(F.map_from_entries(F.collect_list("c")).alias("_copies"))
+    rows = lookup.grid(genotypes.select(sample).distinct(), genes).join(own, [sample, "gene"], "left")
+    known = F.transform("variants", lambda x: F.try_element_at("_copies", x))
+    rows = rows.withColumn("_known", F.coalesce(known, F.transform("variants", lambda x: F.lit(None).cast("int"))))
+    left = F.transform("_known", lambda x: F.coalesce(x, F.lit(0)))
+    start = F.struct(left.alias("left"), F.array().cast("array<string>").alias("called"))
+
+    def take(state: Column, a: Column) -> Column:
+        held = F.array_min(F.transform(a["at"], lambda i: F.get(state["left"], i)))
+        n = F.when(a["callable"], F.greatest(F.lit(0), F.least(2 - F.size(state["called"]), held))).otherwise(F.lit(0))
+        rest = F.transform(state["left"], lambda x, i: F.when(F.array_contains(a["at"], i), x - n).otherwise(x))
+        return F.struct(rest.alias("left"), F.concat(state["called"], F.array_repeat(a["name"], n)).alias("called"))
+
+    rows = rows.withColumn("_s", F.aggregate("marked", start, take))
+    whole = lambda a: a["callable"] & F.forall(a["at"], lambda i: F.get(F.col("_s.left"), i) > 0)
+    rows = rows.withColumns({"residual_variants": F.size(F.filter("_s.left", lambda x: x > 0)), "crowded_out": (F.size("_s.called") == 2) & F.exists("marked", whole)})
+    pair = F.slice(F.concat("_s.called", F.array_repeat("reference", 2)), 1, 2)
+    pair = F.transform(F.array_sort(F.transform(pair, lambda x: F.struct(_star_order(x).alias("o"), x.alias("name")))), lambda x: x["name"])
+    seen = F.size(F.filter("_known", lambda x: x.isNotNull()))
+    confidence = F.when(F.col("crowded_out") | ((seen == 0) & (F.size("variants") > 0)), "Insufficient").when(seen == F.size("variants"), "Complete").otherwise("Partial")
+    called = rows.select(sample, "gene", F.array_join(pair, "/").alias("diplotype"), confidence.alias("confidence"), "residual_variants", "crowded_out")
+    out = called.join(diplotypes.select("gene", "diplotype", "phenotype"), ["gene", "diplotype"], "left")
+    return out.select(sample, "gene", "diplotype", "confidence", "phenotype", "residual_variants", "crowded_out")
 
 
 def guideline_rows(calls: DataFrame, guidelines: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -84,54 +87,63 @@ def guideline_rows(calls: DataFrame, guidelines: DataFrame, sample: str = "sampl
 
 @dataclass
 class Node:
+    """markers: (marker, derived allele) that lead to the node; guards: such that veto it where they are typed and not derived."""
+
     name: str
     markers: tuple[tuple[str, str], ...] = ()
     children: list[Node] = field(default_factory=list)
+    guards: tuple[tuple[str, str], ...] = ()
 
 
-def flatten(root: Node) -> list[tuple[str, str, str, bool]]:
-    """node, marker, derived allele, whether the marker is the node's own and not an ancestor's."""
+def flatten(root: Node) -> list[tuple[str, str, str, bool, bool]]:
+    """node, marker, derived allele, whether the marker is the node's own and not an ancestor's, whether it is a guard."""
     out, stack = [], [(root, frozenset())]
     while stack:
         node, above = stack.pop()
-        out += [(node.name, m, a, m not in above) for m, a in node.markers]
+        out += [(node.name, m, a, m not in above, False) for m, a in node.markers]
+        out += [(node.name, m, a, True, True) for m, a in node.guards]
         stack += [(c, above | {m for m, _ in node.markers}) for c in node.children]
     return out
 
 
 def marker_counts(genotypes: DataFrame, root: Node, sample: str = "sample_id") -> DataFrame:
-    """sample, node and counts of the node's own markers: present (derived allele seen), conflicting, total."""
-    spark = genotypes.sparkSession
-    rows = spark.createDataFrame([(n, m, a) for n, m, a, own in flatten(root) if own], "node string, rsid string, allele string")
-    who = genotypes.select(sample).distinct().withColumn("_k", F.lit(1)).join(rows.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """sample, node and counts of the node's own markers: present (derived allele seen), conflicting; guarded: a guard is
+    typed and not purely derived. Only nodes of which the sample has a marker; the tree goes to the genotypes."""
+    rows = genotypes.sparkSession.createDataFrame([(n, m, a, g) for n, m, a, own, g in flatten(root) if own], "node string, rsid string, allele string, guard boolean")
     own = genotypes.groupBy(sample, "rsid").agg(F.min("genotype").alias("g"))
-    x = who.join(own, [sample, "rsid"], "left")
+    x = own.join(F.broadcast(rows), "rsid")
     typed = ~G.is_no_call(F.col("g"))
     seen = F.contains(F.upper("g"), F.upper("allele"))
-    return x.groupBy(sample, "node").agg(F.count_if(typed & seen).alias("present"), F.count_if(typed & ~seen).alias("conflicting"), F.count("*").alias("total"))
+    pure = F.replace(F.upper("g"), F.upper("allele"), F.lit("")) == ""
+    marker = typed & ~F.col("guard")
+    return x.groupBy(sample, "node").agg(F.count_if(marker & seen).alias("present"), F.count_if(marker & ~seen).alias("conflicting"), F.bool_or(typed & F.col("guard") & ~pure).alias("guarded"))
 
 
-def walk(root: Node, counts: Mapping[str, tuple[int, int, int]], fraction: float = 0.5) -> list[str]:
+def walk(root: Node, counts: Mapping[str, tuple[int, ...]], fraction: float = 0.5) -> list[str]:
     """Names from the root down: at each node the child that nothing contradicts, with a marker present and at least fraction of
-    its own markers; best fraction first, then most markers. A child without own evidence may be passed through to one that has it."""
+    its own markers; best fraction first, then most markers. A child without own evidence may be passed through to one that has it.
+
+    counts: node -> present, conflicting, total and perhaps guarded. A guard withholds its node and doesn't exclude it: if the
+    child that comes first is guarded, the walk ends above it; a guarded child that loses to a sibling changes nothing.
+    """
     path, node = [root.name], root
     while True:
         best = None
         for child in node.children:
-            n, bad, total = counts.get(child.name, (0, 0, 0))
+            n, bad, total, *guarded = counts.get(child.name, (0, 0, 0))
             if bad == 0 and n >= 1 and n / total >= fraction:
                 rank = (n / total, n, [child.name])
             elif bad == 0 and n == 0:
                 below = walk(child, counts, fraction)
                 if len(below) < 2:
                     continue
-                n, _, total = counts[below[-1]]
+                n, _, total, *_ = counts[below[-1]]
                 rank = (n / total, n, below)
             else:
                 continue
             if best is None or rank[:2] > best[0][:2]:
-                best = (rank, child)
-        if best is None:
+                best = (rank, bool(guarded and guarded[0]))
+        if best is None or best[1]:
             return path
         path += best[0][2]
         names = {c.name: c for c in _all(node)}
@@ -144,16 +156,19 @@ def _all(node: Node) -> list[Node]:
 
 def descend(genotypes: DataFrame, root: Node, sample: str = "sample_id") -> DataFrame:
     """sample, haplogroup, path and confidence (present of total over the path). The walk runs per sample over its node counts."""
-    counts = marker_counts(genotypes, root, sample).groupBy(sample).agg(F.collect_list(F.struct("node", "present", "conflicting", "total")).alias("c"))
+    totals = Counter(n for n, _, _, own, guard in flatten(root) if own and not guard)
+    met = marker_counts(genotypes, root, sample).groupBy(sample).agg(F.collect_list(F.struct("node", "present", "conflicting", "guarded")).alias("c"))
+    counts = genotypes.select(sample).distinct().join(met, sample, "left")
     kind = counts.schema[sample].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
             out = []
             for s, c in zip(pdf[sample], pdf["c"], strict=True):
-                table = {x["node"]: (int(x["present"]), int(x["conflicting"]), int(x["total"])) for x in c}
+                table = {n: (0, 0, k, False) for n, k in totals.items()}
+                table |= {x["node"]: (int(x["present"]), int(x["conflicting"]), totals[x["node"]], bool(x["guarded"])) for x in (c if c is not None else ())}
                 path = walk(root, table)
-                n, total = sum(table.get(p, (0, 0, 0))[0] for p in path), sum(table.get(p, (0, 0, 0))[2] for p in path)
+                n, total = sum(table.get(p, (0,))[0] for p in path), sum(totals[p] for p in path)
                 out.append((s, path[-1], path, n / total if total else None))
             yield pd.DataFrame(out, columns=[sample, "haplogroup", "path", "confidence"])
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,19 +16,26 @@ def join_best(left: DataFrame, right: DataFrame, on: Sequence[str], order: Seque
     """left with take from the first candidate of right by order (columns of right), null without one.
 
     If no residual condition on left's columns is needed, right is reduced to a row a key before the join. Otherwise
-    residual filters candidates and left needs no unique id: the best struct is chosen in a window over a row number.
+    residual filters candidates of left's different rows, and the best is one aggregate by the row itself.
     """
     if residual is None:
         best = right.groupBy(*on).agg(F.min_by(F.struct(*take), F.struct(*order)).alias("_best"))
         return left.join(best, list(on), "left").select(*left.columns, *[F.col(f"_best.{c}").alias(c) for c in take])
-    rows = left.withColumn("_row", F.monotonically_increasing_id())
-    fields = [F.col(f"_r.{c}") for c in take]
+    rows = left.groupBy(*left.columns).agg(F.count("*").alias("_copies"))
     packed = right.select(*on, F.struct(*right.columns, *[o.alias(f"_o{i}") for i, o in enumerate(order)]).alias("_r"))
-    joined = rows.join(packed, list(on), "left").withColumn("_ok", F.col("_r").isNotNull() & F.coalesce(residual, F.lit(False)))
-    key = F.struct((~F.col("_ok")).alias("bad"), *[F.col(f"_r._o{i}") for i in range(len(order))])
-    first = F.row_number().over(Window.partitionBy("_row").orderBy(key))
-    chosen = joined.withColumn("_rn", first).filter("_rn = 1")
-    return chosen.select(*left.columns, *[F.when(F.col("_ok"), f).alias(c) for f, c in zip(fields, take, strict=True)])
+    ok = F.col("_r").isNotNull() & F.coalesce(residual, F.lit(False))
+    rank = F.struct(*[F.col(f"_r._o{i}") for i in range(len(order))])
+    value = F.struct(*[F.col(f"_r.{c}").alias(c) for c in take])
+    chosen = rows.join(packed, list(on), "left").groupBy(*left.columns, "_copies").agg(F.min_by(value, F.when(ok, rank)).alias("_best"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
+    return chosen.select("*", again).select(*left.columns, *[F.col(f"_best.{c}").alias(c) for c in take])
+
+
+def grid(left: DataFrame, right: DataFrame, parts: int = 64) -> DataFrame:
+    """Each row of left with each row of right, a small table such as a panel: right is repeated for each of parts shares of
+    left, so the pairs are made in as many tasks and nothing is broadcast."""
+    shares = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")).join(shares.hint("merge"), "_part").drop("_part")
 
 
 def resolve_alias(df: DataFrame, aliases: DataFrame, key: str, old: str, current: str, to: str = "resolved") -> DataFrame:

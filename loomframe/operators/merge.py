@@ -7,21 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRATEGIES = ("flag_only", "prefer_left", "prefer_right")
+STRATEGIES = ("flag_only", "prefer_left", "prefer_right", "prefer_vendor_a", "prefer_vendor_b")
 
 
 def reconcile(
     left: DataFrame, right: DataFrame, key: Sequence[str], value: str, name: str, strategy: str = "flag_only",
-    missing: Column | None = None, known: DataFrame | None = None, flag: str = "??",
+    missing: Column | None = None, known: DataFrame | None = None, flag: str = "??", vendors: tuple[str, str] = ("", ""),
 ) -> DataFrame:
     """One row a key of either side: name, value, source (S1, S2, both), concordance, other_value and other_name.
 
     concordance is unique, match, filled_nocall (one side had no value) or discordant; a discordance is settled by strategy. Of
     two names, the one that known (a table with column name) has is taken, else the left one. missing: from column
-    `value`, whether it is no value. Of several rows of one side at a key, the last by name counts.
+    `value`, whether it is no value. vendors: of the two sides, for the strategies that prefer one. Of several rows of one side at a key, the last by name counts.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
+    if strategy.startswith("prefer_vendor_"):  # the side of that vendor; the left one if both are or neither is
+        wanted = strategy[-1]
+        strategy = "prefer_right" if vendors[1] == wanted != vendors[0] else "prefer_left"
     missing = missing if missing is not None else F.col(value).isNull()
     sides = []
     for df, p in ((left, "a"), (right, "b")):
@@ -132,9 +135,20 @@ def cascade_delete(parents: DataFrame, children: dict[str, tuple[DataFrame, str]
 
 
 def staged_swap(df: DataFrame, root: str, generation: str) -> str:
-    """df written below root as a new generation and the pointer file moved to it last, so that readers see old or new."""
-    df.write.mode("overwrite").parquet(f"{root}/data/{generation}")
-    df.sparkSession.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    """df written below root as a new generation, and a pointer file moved over the old one last: a single rename, so that
+    readers see the old generation or the new one (where the file system renames atomically, as HDFS does)."""
+    spark = df.sparkSession
+    df.write.mode("errorifexists").parquet(f"{root}/data/{generation}")
+    fs_api = spark._jvm.org.apache.hadoop.fs
+    aside, place = (fs_api.Path(f"{root}/{name}") for name in (f"aside-{generation}", "current"))
+    fs = aside.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(generation.encode()))
+    out.close()
+    options = getattr(fs_api, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    fs_api.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(place), over)
     return f"{root}/data/{generation}"
 
 

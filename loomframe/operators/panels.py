@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions import genotype as G
+from loomframe.operators import lookup
 
 #: Categories from low to high.
 LEVELS = ("Standard", "Moderate", "Elevated")
@@ -23,8 +24,7 @@ def score_panel(samples: DataFrame, panel: DataFrame, sample: str = "sample_id",
     panel: pathway, key, effects (map of genotype to category), stars. category is Indeterminate for a strand-ambiguous
     call and for a call that the map has in no spelling; Elevated is capped to Moderate below star_least stars.
     """
-    who = samples.select(sample).distinct().withColumn("_k", F.lit(1))
-    grid = who.join(panel.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    grid = lookup.grid(samples.select(sample).distinct(), panel)
     own = samples.groupBy(sample, key).agg(F.min(genotype).alias("_g"), F.lit(True).alias("_on"))
     rows = grid.join(own, [sample, key], "left")
     called = ~G.is_no_call(F.col("_g"))
@@ -48,8 +48,7 @@ def read_probe(samples: DataFrame, probes: DataFrame, sample: str = "sample_id",
     probes: locus, key, rank (0 for the primary, then aliases), positional (a probe that only counts if all typed
     positional probes of the locus agree).
     """
-    who = samples.select(sample).distinct().withColumn("_k", F.lit(1))
-    grid = who.join(probes.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    grid = lookup.grid(samples.select(sample).distinct(), probes)
     own = samples.groupBy(sample, key).agg(F.min(genotype).alias("_g"), F.lit(True).alias("_on"))
     rows = grid.join(own, [sample, key], "left")
     typed = F.col("_on") & ~G.is_no_call(F.col("_g"))

@@ -16,7 +16,8 @@ def weighted_score(genotypes: DataFrame, weights: DataFrame, by: Sequence[str] =
 
     genotypes: by, rsid, chrom, pos, genotype (maf if known); weights: rsid (or chrom, pos), effect_allele, other_allele,
     weight, and weight_id. A weight counts 0 where no dosage is found. imputed: by, chrom, pos, ref, alt, dosage, used
-    where nothing typed decides. Weights go to the genotypes, which are joined on the weight's key, not the reverse.
+    where nothing typed decides. Only weights that a sample has are joined to it; how many are absent follows from their
+    total, so no row is made for a weight that a sample lacks.
     """
     keyed = weights.filter("rsid is not null")
     placed = weights.filter("rsid is null")
@@ -27,24 +28,28 @@ def weighted_score(genotypes: DataFrame, weights: DataFrame, by: Sequence[str] =
     hits = g.drop("chrom", "pos").join(keyed.select("weight_id", "rsid"), "rsid").select(*by, "weight_id", "_g")
     hits = hits.unionByName(g.drop("rsid").join(placed.select("weight_id", "chrom", "pos"), ["chrom", "pos"]).select(*by, "weight_id", "_g"))
     one = hits.groupBy(*by, "weight_id").agg(F.min("_g").alias("_g"))
-    full = samples.withColumn("_k", F.lit(1)).join(weights.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    rows = full.join(one, [*by, "weight_id"], "left")
+    rows, total = one, weights.count()
+    if imputed is not None:
+        doses = imputed.select(*by, "chrom", "pos", F.struct("ref", "alt", "dosage").alias("_i")).groupBy(*by, "chrom", "pos").agg(F.min("_i").alias("_i"))
+        rows = rows.join(doses.join(weights.select("weight_id", "chrom", "pos"), ["chrom", "pos"]).drop("chrom", "pos"), [*by, "weight_id"], "full_outer")
+    rows = rows.join(weights.select("weight_id", "effect_allele", "other_allele", "weight"), "weight_id")
     d = G.effect_dosage(F.col("_g.genotype"), F.col("effect_allele"), F.col("other_allele"), F.col("_g.maf"))
     rows = rows.withColumn("_d", F.when(F.col("_g").isNotNull(), d))
     typed = F.col("_d.dosage").cast("double")
     if imputed is not None:
-        doses = imputed.select(*by, "chrom", "pos", F.struct("ref", "alt", "dosage").alias("_i")).groupBy(*by, "chrom", "pos").agg(F.min("_i").alias("_i"))
-        rows = rows.join(doses, [*by, "chrom", "pos"], "left")
         rows = rows.withColumn("_x", G.imputed_dosage(F.col("_i.ref"), F.col("_i.alt"), F.col("_i.dosage"), F.col("effect_allele"), F.col("other_allele")))
     else:
         rows = rows.withColumn("_x", F.lit(None).cast("double"))
     dose = F.coalesce(typed, "_x")
     status = F.when(typed.isNotNull(), F.col("_d.status")).when(F.col("_x").isNotNull(), "imputed").otherwise(F.coalesce(F.col("_d.status"), F.lit("absent")))
     names = ("matched_ref", "matched_flip", "imputed", "no_call", "unresolved", "missing_freq", "ambiguous_dropped", "absent")
-    out = rows.groupBy(*by).agg(
-        F.coalesce(F.sum(dose * F.col("weight")), F.lit(0.0)).alias("score"), F.count("*").alias("n_total"), F.count(dose).alias("n_used"), *[F.count_if(status == s).alias(f"n_{s}") for s in names]
-    )
-    return out.withColumn("coverage", F.col("n_used") / F.col("n_total"))
+    met = rows.groupBy(*by).agg(F.sum(dose * F.col("weight")).alias("score"), F.count("*").alias("_met"), F.count(dose).alias("n_used"), *[F.count_if(status == s).alias(f"n_{s}") for s in names])
+    zero = F.lit(0).cast("long")
+    out = samples.join(met, list(by), "left").select(
+        *by, F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(total).cast("long").alias("n_total"), F.coalesce("n_used", zero).alias("n_used"),
+        *[(F.coalesce(f"n_{s}", zero) + (total - F.coalesce("_met", zero) if s == "absent" else 0)).alias(f"n_{s}") for s in names],
+    )
+    return out.withColumn("coverage", F.try_divide("n_used", "n_total"))
 
 
 def expected_score(weights: DataFrame, fractions: Mapping[str, float], least_share: float = 0.5, band: tuple[float, float] = (0.4, 0.6)) -> DataFrame:
@@ -75,13 +80,17 @@ def qualified(coverage: Column, calibrated: Column, mismatch: Column, top_fracti
 
 def z_score(df: DataFrame, by: Sequence[str], value: str, least: int = 3) -> DataFrame:
     """df with z: distance from the mean of the *other* rows of its group in their sample deviations; null below least others or without spread."""
-    w = Window.partitionBy(*by)
-    x = F.col(value)
-    n, s, q = F.count(x).over(w), F.sum(x).over(w), F.sum(x * x).over(w)
-    m = n - 1
-    mean = (s - x) / m
-    var = ((q - x * x) - m * mean * mean) / (m - 1)
-    return df.withColumn("z", F.when((m >= least) & x.isNotNull() & (var > 1e-12), (x - mean) / F.sqrt(var)))
+    x = F.col(value).cast("double")
+    stats = df.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count(x).alias("_n"), F.avg(x).alias("_mean"), F.var_pop(x).alias("_var"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    n, mean = F.col("_n"), F.col("_mean")
+    m, off = n - 1, x - F.col("_mean")
+    # What x adds to the sum of squares about the mean is taken away, so no large squares are subtracted.
+    var = (n * F.col("_var") - off * off * n / m) / (m - 1)
+    z = F.when((m >= least) & x.isNotNull(), F.when(var > 1e-12, (off + off / m) / F.sqrt(var)))
+    return df.join(stats, same, "left").select(*df.columns, z.alias("z"))
 
 
 def axis_votes() -> list[Column]:
@@ -124,10 +133,10 @@ def classify_points(df: DataFrame, criteria: Sequence[Column], standalone: str =
 
 def variant_criteria() -> list[Column]:
     """Criteria over consequence, gene_lof, gene_missense (may be null), missense_z, popmax_af, af_alleles, revel."""
-    terms = F.split(F.coalesce("consequence", F.lit("")), r"[&,;+\s]+")
+    terms = F.transform(F.split(F.lower(F.coalesce("consequence", F.lit(""))), "[&,;]"), F.trim)
     has = lambda *names: F.arrays_overlap(terms, F.array(*[F.lit(n) for n in names]))
     af, n, revel, missense = F.col("popmax_af"), F.col("af_alleles"), F.col("revel"), has("missense_variant")
-    nonsense, splice = has("stop_gained", "frameshift_variant"), has("splice_donor_variant", "splice_acceptor_variant")
+    nonsense, splice = has("transcript_ablation", "stop_gained", "frameshift_variant"), has("splice_donor_variant", "splice_acceptor_variant")
     high = F.when(revel >= 0.932, 4).when(revel >= 0.773, 2).when(revel >= 0.644, 1)
     low = F.when(revel <= 0.003, -8).when(revel <= 0.016, -4).when(revel <= 0.183, -2).when(revel <= 0.290, -1)
     return [

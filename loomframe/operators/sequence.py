@@ -34,20 +34,19 @@ def scan_runs(pos: np.ndarray, het: np.ndarray, gap: int, window: int, tolerance
     """start, end, homozygous sites of each run. A run is extended until a gap, or until a heterozygous site would be one too
     many among the last `window` sites of the run; the next begins where it broke. Runs are trimmed to homozygous ends."""
     n, out, at = len(pos), [], 0
-    wide = np.zeros(n, bool)
-    wide[1:] = np.diff(pos) > gap
-    hets = np.flatnonzero(het)
+    breaks = np.append(np.flatnonzero(np.diff(pos) > gap) + 1, n)
+    hets, homs = np.flatnonzero(het), np.flatnonzero(~het)
+    # Heterozygous sites that are one too many with the `tolerance` before them.
+    last = np.arange(tolerance, len(hets))
+    excess = last[hets[last] - hets[last - tolerance] < window]
     while at < n:
-        stop = next(iter(np.flatnonzero(wide[at + 1 :]) + at + 1), n)
-        own = hets[np.searchsorted(hets, at) : np.searchsorted(hets, stop)]
-        if len(own) > tolerance:
-            tight = np.flatnonzero(own[tolerance:] - own[:-tolerance] < window) if tolerance else np.arange(len(own))
-            if len(tight):
-                first = own[tight[0] + tolerance]
-                stop = max(int(first), at + 1)
-        hom = at + np.flatnonzero(~het[at:stop])
-        if len(hom) >= least and pos[hom[-1]] - pos[hom[0]] >= span:
-            out.append((int(pos[hom[0]]), int(pos[hom[-1]]), len(hom)))
+        stop = int(breaks[np.searchsorted(breaks, at, "right")])
+        first = np.searchsorted(excess, np.searchsorted(hets, at) + tolerance)
+        if first < len(excess) and hets[excess[first]] < stop:
+            stop = max(int(hets[excess[first]]), at + 1)
+        lo, hi = np.searchsorted(homs, (at, stop))
+        if hi > lo and hi - lo >= least and pos[homs[hi - 1]] - pos[homs[lo]] >= span:
+            out.append((int(pos[homs[lo]]), int(pos[homs[hi - 1]]), int(hi - lo)))
         at = stop
     return out
 
@@ -55,15 +54,16 @@ def scan_runs(pos: np.ndarray, het: np.ndarray, gap: int, window: int, tolerance
 def homozygous_runs(df: DataFrame, by: Sequence[str], pos: str, het: Column, gap: int = MAX_GAP_BP, window: int = HET_WINDOW, tolerance: int = HET_TOLERANCE, span: int = MIN_SPAN_BP, least: int = MIN_HOM) -> DataFrame:
     """by, start, end, length_kb, n_hom. het: true, false, or null for sites that take no part.
 
-    The scan restarts where a run broke, so it isn't a window function. A group is one chromosome of one sample, some
-    hundred thousand sites at most.
+    The scan restarts where a run broke, so it isn't a window function. No run crosses a gap, so a group is what lies
+    between two gaps on one chromosome of one sample.
     """
     rows = df.select(*by, F.col(pos).cast("long").alias("_p"), het.alias("_h")).filter("_p is not null and _h is not null")
+    rows = islands(rows, by, "_p", gap)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
 
     def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_p", kind="stable")
         found = scan_runs(pdf["_p"].to_numpy(), pdf["_h"].to_numpy(bool), gap, window, tolerance, span, least)
-        return pd.DataFrame([(*key, s, e, round((e - s) / 1000, 1), n) for s, e, n in found], columns=[*by, "start", "end", "length_kb", "n_hom"])
+        return pd.DataFrame([(*key[:-1], s, e, round((e - s) / 1000, 1), n) for s, e, n in found], columns=[*by, "start", "end", "length_kb", "n_hom"])
 
-    return rows.groupBy(*by).applyInPandas(scan, f"{kinds}, start long, end long, length_kb double, n_hom long")
+    return rows.groupBy(*by, "island").applyInPandas(scan, f"{kinds}, start long, end long, length_kb double, n_hom long")

@@ -60,12 +60,20 @@ def nearest_centroid(points: DataFrame, means: DataFrame, id_col: str, vector: s
     return rows.select(id_col, first["label"].alias("nearest"), first["d"].alias("distance"), second["d"].alias("second_distance"), verdict.alias("verdict"))
 
 
-def knn_vote(queries: DataFrame, reference: DataFrame, id_col: str, ref_id: str, vector: str, label: str, k: int = 15) -> DataFrame:
-    """id, label, share: proportions among the k nearest rows of another id, ties by id. queries is a stated, small set."""
+def knn_vote(queries: DataFrame, reference: DataFrame, id_col: str, ref_id: str, vector: str, label: str, k: int = 15, parts: int = 64) -> DataFrame:
+    """id, label, share: proportions among the k nearest rows of another id, ties by id.
+
+    The stated queries are dealt to each of parts shares of the reference; a share keeps k rows a query, and the best of
+    those are merged, so that a query's candidates never meet in one group.
+    """
     q = queries.select(F.col(id_col).alias("_q"), F.col(vector).cast("array<double>").alias("_qv"))
     r = reference.select(F.col(ref_id).alias("_r"), F.col(vector).cast("array<double>").alias("_rv"), F.col(label).alias("label"))
-    d = q.join(r, F.col("_q") != F.col("_r")).select("_q", "_r", "label", squared_distance(F.col("_qv"), F.col("_rv")).alias("d"))
-    near = d.withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy("d", "_r"))).filter(F.col("_n") <= k)
+    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = r.withColumn("_part", F.pmod(F.xxhash64("_r"), F.lit(parts)).cast("int"))
+    d = r.join(q.hint("merge"), "_part").filter("_q <> _r").select("_q", "_part", "_r", "label", squared_distance(F.col("_qv"), F.col("_rv")).alias("d"))
+    order = ["d", "_r"]
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_q", "_part").orderBy(*order))).filter(F.col("_n") <= k)
+    near = d.withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy(*order))).filter(F.col("_n") <= k)
     out = near.groupBy(F.col("_q").alias(id_col), "label").agg(F.count("*").alias("_c"))
     return out.withColumn("share", F.col("_c") / F.sum("_c").over(Window.partitionBy(id_col))).drop("_c")
 

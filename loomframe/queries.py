@@ -785,24 +785,59 @@ def sex_signals(spark, sf_dir):
     return out.select("sample_id", "x_het", "x_hom", "x_hemizygous", "y_total", "y_typed", "sex")
 
 
-@query()
+@query(f"""
+WITH c AS ({CALLS_SQL}), d AS (SELECT sample_id, k, (gt[1] = 'G')::INT + (gt[2] = 'G')::INT AS n FROM c),
+g AS (SELECT s.sample_id, p.g AS g FROM (SELECT DISTINCT sample_id FROM c) s CROSS JOIN (SELECT DISTINCT p_partkey // 10 AS g FROM part) p),
+x AS (SELECT g.sample_id, g, a.n AS a, b.n AS b, e.n AS e FROM g LEFT JOIN d a ON a.sample_id = g.sample_id AND a.k = 10 * g + 1 LEFT JOIN d b ON b.sample_id = g.sample_id AND b.k = 10 * g + 2 LEFT JOIN d e ON e.sample_id = g.sample_id AND e.k = 10 * g + 3),
+n4 AS (SELECT *, least(2, coalesce(a, 0), coalesce(b, 0)) AS n4 FROM x),
+n10 AS (SELECT *, least(2 - n4, coalesce(e, 0)) AS n10 FROM n4), n2 AS (SELECT *, least(2 - n4 - n10, coalesce(a, 0) - n4) AS n2 FROM n10), n3 AS (SELECT *, least(2 - n4 - n10 - n2, coalesce(b, 0) - n4) AS n3 FROM n2),
+r AS (SELECT *, repeat('*1 ', 2 - n2 - n3 - n4 - n10) || repeat('*2 ', n2) || repeat('*3 ', n3) || repeat('*4 ', n4) || repeat('*10 ', n10) AS t, coalesce(a, 0) - n4 - n2 AS ra, coalesce(b, 0) - n4 - n3 AS rb, coalesce(e, 0) - n10 AS re FROM n3),
+y AS (SELECT *, replace(trim(t), ' ', '/') AS diplotype, n2 + n3 + n4 + n10 = 2 AND (ra > 0 OR rb > 0 OR re > 0) AS crowded_out, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (e IS NOT NULL)::INT AS seen FROM r)
+SELECT sample_id, 'G' || g AS gene, diplotype, CASE WHEN crowded_out OR seen = 0 THEN 'Insufficient' WHEN seen = 3 THEN 'Complete' ELSE 'Partial' END AS confidence,
+  CASE diplotype WHEN '*1/*2' THEN 'Intermediate' WHEN '*2/*2' THEN 'Poor' WHEN '*1/*1' THEN 'Normal' END AS phenotype, (ra > 0)::INT + (rb > 0)::INT + (re > 0)::INT AS residual_variants, crowded_out FROM y
+""")
 def star_alleles(spark, sf_dir):
-    """Greedy allele calls over invented definitions; stateful, no SQL."""
-    calls = _calls(spark, sf_dir).filter("k < 20").select("sample_id", F.concat(F.lit("rs"), "k").alias("rsid"), F.col("gt").alias("genotype"))
-    v = lambda *ks: [{"rsid": f"rs{k}", "ref": "A", "alt": "G"} for k in ks]
-    kind = "gene string, allele_name string, defining_variants array<struct<rsid:string,ref:string,alt:string>>"
-    alleles = spark.createDataFrame([("G1", "*1", []), ("G1", "*2", v(1)), ("G1", "*3", v(1, 2)), ("G2", "*1", []), ("G2", "*4", v(5)), ("G2", "*10", v(6))], kind)
-    pheno = spark.createDataFrame([("G1", "*1/*2", "Intermediate"), ("G1", "*2/*2", "Poor"), ("G2", "*1/*4", "Intermediate")], "gene string, diplotype string, phenotype string")
+    """Greedy allele calls in a gene for every ten parts, with what the calls leave over."""
+    calls = _calls(spark, sf_dir).select("sample_id", F.concat(F.lit("rs"), "k").alias("rsid"), F.col("gt").alias("genotype"))
+    g = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("g")).distinct()
+    v = lambda *places: F.array(*[F.struct(F.concat(F.lit("rs"), (F.col("g") * 10 + i).cast("string")).alias("rsid"), F.lit("A").alias("ref"), F.lit("G").alias("alt")) for i in places])
+    none = F.array().cast("array<struct<rsid:string,ref:string,alt:string>>")
+    named = [("*1", none), ("*2", v(1)), ("*3", v(2)), ("*4", v(1, 2)), ("*10", v(3))]
+    alleles = g.select(F.concat(F.lit("G"), "g").alias("gene"), "g", F.explode(F.array(*[F.struct(F.lit(n).alias("allele_name"), x.alias("defining_variants")) for n, x in named])).alias("a")).select("gene", "a.*")
+    pheno = alleles.select("gene").distinct().select("gene", F.explode(F.array(*[F.struct(F.lit(d).alias("diplotype"), F.lit(p).alias("phenotype")) for d, p in (("*1/*2", "Intermediate"), ("*2/*2", "Poor"), ("*1/*1", "Normal"))])).alias("p")).select("gene", "p.*")
     return callers.star_alleles(calls, alleles, pheno)
 
 
-@query()
+def _node_sql(name: str, *markers: tuple[int, str], guard: tuple[int, str] | None = None) -> str:
+    """Present, conflicting and total of a node's markers, and whether its guard is typed otherwise."""
+    seen = " + ".join(f"coalesce(contains(r{k}, '{a}'), false)::INT" for k, a in markers)
+    typed = " + ".join(f"(r{k} IS NOT NULL)::INT" for k, _ in markers)
+    bad = f"coalesce(r{guard[0]} <> '{guard[1] * 2}', false)" if guard else "false"
+    return f"{seen} AS {name}_n, {typed} - ({seen}) AS {name}_bad, {len(markers)} AS {name}_t, {bad} AS {name}_g"
+
+
+def _rank_sql(name: str) -> str:
+    return f"CASE WHEN {name}_bad = 0 AND {name}_n >= 1 AND {name}_n / {name}_t >= 0.5 THEN {name}_n / {name}_t * 1000 + {name}_n END"
+
+
+@query(f"""
+WITH c AS ({CALLS_SQL}), x AS (SELECT sample_id, {', '.join(f"min(gt) FILTER (k = {k}) AS r{k}" for k in range(1, 10))} FROM c GROUP BY 1),
+n AS (SELECT sample_id, {_node_sql('l', (1, 'G'), (2, 'G'))}, {_node_sql('l1', (3, 'A'))}, {_node_sql('l2', (4, 'G'), (5, 'A'), guard=(9, 'G'))}, {_node_sql('m', (6, 'A'), (7, 'A'))}, {_node_sql('m1', (8, 'G'))} FROM x),
+k AS (SELECT *, {_rank_sql('l')} AS l, {_rank_sql('l1')} AS l1, {_rank_sql('l2')} AS l2, {_rank_sql('m')} AS m, {_rank_sql('m1')} AS m1 FROM n),
+via AS (SELECT *, CASE WHEN l1 IS NULL AND l2 IS NULL THEN NULL WHEN l2 IS NULL OR l1 >= l2 THEN 'L1' WHEN NOT l2_g THEN 'L2' END AS below_l, CASE WHEN m1 IS NOT NULL THEN 'M1' END AS below_m FROM k),
+s AS (SELECT *, coalesce(l, CASE WHEN l_bad = 0 AND l_n = 0 THEN CASE below_l WHEN 'L1' THEN l1 WHEN 'L2' THEN l2 END END) AS sl, coalesce(m, CASE WHEN m_bad = 0 AND m_n = 0 AND below_m IS NOT NULL THEN m1 END) AS sm FROM via),
+t AS (SELECT *, CASE WHEN sl IS NULL AND sm IS NULL THEN '' WHEN sm IS NULL OR sl >= sm THEN 'L' ELSE 'M' END AS top FROM s),
+p AS (SELECT *, CASE top WHEN 'L' THEN below_l WHEN 'M' THEN below_m END AS leaf FROM t)
+SELECT sample_id, coalesce(leaf, nullif(top, ''), 'root') AS haplogroup, concat_ws('>', 'root', nullif(top, ''), leaf) AS path,
+  round((CASE top WHEN 'L' THEN l_n WHEN 'M' THEN m_n ELSE 0 END + CASE coalesce(leaf, '') WHEN 'L1' THEN l1_n WHEN 'L2' THEN l2_n WHEN 'M1' THEN m1_n ELSE 0 END)
+  / nullif(CASE top WHEN 'L' THEN l_t WHEN 'M' THEN m_t ELSE 0 END + CASE coalesce(leaf, '') WHEN 'L1' THEN l1_t WHEN 'L2' THEN l2_t WHEN 'M1' THEN m1_t ELSE 0 END, 0), 6) AS confidence FROM p
+""")
 def tree_descent(spark, sf_dir):
-    """Descent of an invented marker tree; a walk, no SQL."""
+    """Descent of an invented marker tree with a guard on one node, for every sample."""
     node = callers.Node
-    tree = node("root", (), [node("L", (("rs1", "G"), ("rs2", "G")), [node("L1", (("rs3", "A"),)), node("L2", (("rs4", "G"), ("rs5", "A")))]), node("M", (("rs6", "A"), ("rs7", "A")), [node("M1", (("rs8", "G"),))])])
-    calls = _calls(spark, sf_dir).filter("k < 20").select("sample_id", F.concat(F.lit("rs"), "k").alias("rsid"), F.col("gt").alias("genotype"))
-    return callers.descend(calls, tree).withColumn("path", F.array_join("path", ">"))
+    tree = node("root", (), [node("L", (("rs1", "G"), ("rs2", "G")), [node("L1", (("rs3", "A"),)), node("L2", (("rs4", "G"), ("rs5", "A")), guards=(("rs9", "G"),))]), node("M", (("rs6", "A"), ("rs7", "A")), [node("M1", (("rs8", "G"),))])])
+    calls = _calls(spark, sf_dir).select("sample_id", F.concat(F.lit("rs"), "k").alias("rsid"), F.col("gt").alias("genotype"))
+    return callers.descend(calls, tree).select("sample_id", "haplogroup", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
 # --- text in and out ----------------------------------------------------------------------------------------------

@@ -36,19 +36,21 @@ def vcf_lines(df: DataFrame, keep_no_calls: bool = False) -> DataFrame:
     return rows.select(F.struct(chromosome_order(F.col("chrom"), G.CHROMOSOMES).alias("o"), "pos", "rsid").alias("k"), line.alias("value"))
 
 
-def write_vcf(df: DataFrame, path: str, header: Sequence[str] = HEADER) -> None:
-    """One ordered file with its header."""
+def write_vcf(df: DataFrame, path: str, header: Sequence[str] = HEADER, single: bool = False) -> None:
+    """Lines in order of place over part files, the header at the top of the first; joined in order of name they are one VCF.
+    single: one file, which one task writes."""
     head = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(header)], "i int, value string")
     body = vcf_lines(df).select(F.lit(len(header)).alias("i"), "k", "value")
     both = head.select("i", F.lit(None).cast(body.schema["k"].dataType).alias("k"), "value").unionByName(body)
-    both.coalesce(1).sortWithinPartitions("i", "k").select("value").write.mode("overwrite").text(path)
+    dealt = both.coalesce(1) if single else both.repartitionByRange("i", "k")
+    dealt.sortWithinPartitions("i", "k").select("value").write.mode("overwrite").text(path)
 
 
 def write_vcf_by_chromosome(df: DataFrame, path: str) -> None:
-    """A folder a chromosome, each with sorted lines."""
+    """A folder a chromosome, with part files in order of place and sorted lines in each."""
     lines = vcf_fields(df).filter("gt <> './.'")
     text = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("rsid", F.lit(".")), "vcf_ref", "vcf_alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "gt")
-    lines.select(F.col("chrom").alias("unit"), "pos", text.alias("value")).repartition("unit").sortWithinPartitions("unit", "pos").select("unit", "value").write.mode("overwrite").partitionBy("unit").text(path)
+    lines.select(F.col("chrom").alias("unit"), "pos", text.alias("value")).repartitionByRange("unit", "pos").sortWithinPartitions("unit", "pos").select("unit", "value").write.mode("overwrite").partitionBy("unit").text(path)
 
 
 def region_lines(rows: DataFrame, alleles: DataFrame, chrom: str, lo: int, hi: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -380,15 +381,84 @@ def test_kinship_and_sex(spark):
     assert got == {"xx": ("XX", "no_aneuploidy_signal"), "xy": ("XY", "no_aneuploidy_signal"), "xxy": ("manual_review", "possible_xxy"), "thin": ("unknown", "indeterminate"), "grey": ("manual_review", "manual_review")}
 
 
-def test_greedy_alleles():
-    v = lambda *k: [(x, "A", "G") for x in k]
-    alleles = [{"allele_name": n, "variants": x} for n, x in (("*1", []), ("*2", v(1)), ("*3", v(1, 2)), ("*10", v(3)))]
-    at = lambda **k: {(int(x[1:]), "A", "G"): n for x, n in k.items()}
-    assert callers.greedy_alleles(alleles, at(r1=1, r2=1, r3=0)) == ("*1", "*3", "Complete")
-    assert callers.greedy_alleles(alleles, at(r1=2, r2=1, r3=0)) == ("*2", "*3", "Complete")
-    assert callers.greedy_alleles(alleles, at(r1=1, r2=0, r3=1)) == ("*2", "*10", "Complete")
-    assert callers.greedy_alleles(alleles, at(r1=1)) == ("*1", "*2", "Partial")
-    assert callers.greedy_alleles(alleles, {}) == ("*1", "*1", "Insufficient")
+def test_greedy_alleles(spark):
+    """One gene; each case is the calls of a sample as copies of G at r1, r2, r3."""
+    v = lambda *k: [{"rsid": f"r{x}", "ref": "A", "alt": "G"} for x in k]
+    named = [("*1", []), ("*2", v(1)), ("*3", v(1, 2)), ("*10", v(3)), ("*20", v(4))]
+    alleles = spark.createDataFrame([("G", n, x) for n, x in named], "gene string, allele_name string, defining_variants array<struct<rsid:string,ref:string,alt:string>>")
+    spelled = {0: "AA", 1: "AG", 2: "GG", None: "--"}
+    cases = {
+        "both": ((1, 1, 0, 0), ("*1/*3", "Complete", 0, False)), "two": ((2, 1, 0, 0), ("*2/*3", "Complete", 0, False)), "other": ((1, 0, 1, 0), ("*2/*10", "Complete", 0, False)),
+        "part": ((1, None, None, None), ("*1/*2", "Partial", 0, False)), "none": ((None,) * 4, ("*1/*1", "Insufficient", 0, False)),
+        "crowded": ((2, 0, 1, 0), ("*2/*10", "Insufficient", 1, True)), "poor": ((2, 0, 0, 0), ("*2/*2", "Complete", 0, False)), "leftover": ((0, 1, 0, 0), ("*1/*1", "Complete", 1, False)), "uncallable": ((1, 0, 0, 1), ("*1/*2", "Complete", 1, False)),
+    }
+    calls = [(c, f"r{i}", spelled[n]) for c, (copies, _) in cases.items() for i, n in enumerate(copies, 1)]
+    rows = spark.createDataFrame(calls, "sample_id string, rsid string, genotype string")
+    pheno = spark.createDataFrame([("G", "*2/*2", "Poor")], "gene string, diplotype string, phenotype string")
+    got = {r["sample_id"]: r for r in callers.star_alleles(rows, alleles, pheno, uncallable=["*20"]).collect()}
+    assert {c: tuple(got[c][k] for k in ("diplotype", "confidence", "residual_variants", "crowded_out")) for c in cases} == {c: want for c, (_, want) in cases.items()}
+    assert got["poor"]["phenotype"] == "Poor" and got["both"]["phenotype"] is None
+
+
+def test_guards_withhold_a_node():
+    n = callers.Node
+    tree = n("r", (), [n("A", (("1", "G"),), [n("A1", (("3", "G"),), guards=(("9", "T"),))]), n("B", (("6", "G"), ("7", "G")))])
+    a, b = {"A": (1, 0, 1, False)}, {"B": (1, 0, 2, False)}
+    assert callers.walk(tree, a | {"A1": (1, 0, 1, True)}) == ["r", "A"] and callers.walk(tree, a | {"A1": (1, 0, 1, False)}) == ["r", "A", "A1"]
+    assert callers.walk(tree, {"A": (1, 0, 1, True)} | b) == ["r"]  # the guarded child would have come first
+    assert callers.walk(tree, {"A": (1, 0, 1, False), "B": (1, 0, 2, True)}) == ["r", "A"]  # a guarded child that loses
+
+
+def test_runs_in_linear_time_as_by_the_rule():
+    """The scan against the rule read literally, and ten times the sites in about ten times the time."""
+    def plain(pos, het, gap, window, tolerance, span, least):
+        out, at = [], 0
+        while at < len(pos):
+            stop, seen = at, []
+            while stop < len(pos) and not (stop > at and pos[stop] - pos[stop - 1] > gap):
+                if het[stop]:
+                    seen = [x for x in seen if stop - x < window] + [stop]
+                    if len(seen) > tolerance:
+                        break
+                stop += 1
+            stop = max(stop, at + 1)
+            hom = [i for i in range(at, stop) if not het[i]]
+            if len(hom) >= least and pos[hom[-1]] - pos[hom[0]] >= span:
+                out.append((int(pos[hom[0]]), int(pos[hom[-1]]), len(hom)))
+            at = stop
+        return out
+
+    r = np.random.default_rng(2)
+    for tolerance in (0, 1, 2):
+        for _ in range(40):
+            pos, het = np.cumsum(r.integers(1, 30, 200)), r.random(200) < r.choice([0.02, 0.1, 0.4])
+            assert sequence.scan_runs(pos, het, 25, 12, tolerance, 60, 5) == plain(pos, het, 25, 12, tolerance, 60, 5)
+    took = []
+    for n in (20_000, 200_000):
+        pos, het = np.arange(n) * 10, np.arange(n) % 7 == 0
+        began = time.perf_counter()
+        sequence.scan_runs(pos, het, 1000, 50, 1, 100, 5)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 25 * took[0] + 0.2
+
+
+def test_normal_cdf(spark):
+    z = [x / 8 for x in range(-320, 321)] + [None, float("nan"), float("inf"), float("-inf")]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", S.normal_cdf(F.col("z")).alias("p")).collect()
+    for r in got:
+        if r["z"] is None or r["z"] != r["z"]:
+            assert r["p"] is None
+        else:
+            assert abs(r["p"] - 0.5 * math.erfc(-r["z"] / math.sqrt(2))) < 1e-14
+
+
+def test_z_score_far_from_zero(spark):
+    rows = [("a", 1e9 + x) for x in (1.0, 2.0, 4.0, 7.0)] + [("b", 1.0), (None, 3.0), (None, 4.0), (None, 5.0), (None, 5.5), ("a", None)]
+    got = {r["v"]: r["z"] for r in scores.z_score(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    others = [2.0, 4.0, 7.0]
+    mean = sum(others) / 3
+    assert abs(got[1e9 + 1] - (1 - mean) / math.sqrt(sum((x - mean) ** 2 for x in others) / 2)) < 1e-6
+    assert got[1.0] is None and got[None] is None and got[3.0] < -1
 
 
 def test_tree_walk():
