@@ -59,6 +59,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.get()
 
 
+#: Narrow rows (some keys and numbers) in a partition, at least, where there are so many.
+PACKED_ROWS = 50_000
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """A cut table of narrow rows with so few partitions that each has about PACKED_ROWS of them: what shrinks in a job
+    else keeps all partitions of its first shuffle, and each later shuffle writes files for each of them."""
+    return df.coalesce(df.count() // PACKED_ROWS + 1)
+
+
 def cut(df: DataFrame, forget_size: bool = False) -> DataFrame:
     """df written to the shared folder and read again, so that lost executors cost no recomputation of what is above.
 

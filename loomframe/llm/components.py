@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import cut
+from loomframe.llm.common import PACKED_ROWS, cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,20 +15,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     graph, so a round removes a constant share of the nodes of any component, a long path too. Only the number of
     remaining links reaches the driver. Links of a node with itself or with null are ignored.
     """
-    left = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
-    left, levels, turn = cut(left, forget_size=True), [], 0
-    while not left.isEmpty():
+    left = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), forget_size=True)
+    levels, turn = [], 0
+    while n := left.count():
+        few = n // PACKED_ROWS + 1  # partitions for what is left; see packed()
+        left = left.coalesce(few)
         first = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c.alias("n"))  # noqa: B023,E731
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min(first(F.col("b"))).alias("m")).select("a", F.least(F.col("m"), first(F.col("a")))["n"].alias("to"))
-        hooks = cut(hooks, forget_size=True)
+        hooks = cut(hooks.coalesce(few), forget_size=True)
         levels.append(hooks)
-        ends = left.join(hooks, "a").select(F.col("to").alias("x"), "b").join(hooks.select(F.col("a").alias("b"), "to"), "b")
-        left = cut(ends.select(F.col("x").alias("a"), F.col("to").alias("b")).filter("a <> b").distinct(), forget_size=True)
+        ends = left.join(hooks, "a").select(F.col("to").alias("x"), "b").coalesce(few).join(hooks.select(F.col("a").alias("b"), "to"), "b")
+        left = cut(ends.select(F.col("x").alias("a"), F.col("to").alias("b")).filter("a <> b").coalesce(few).distinct(), forget_size=True)
         turn += 1
     if not levels:
         return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
     out = levels[0].select(F.col("a").alias("node"), F.col("to").alias("label"))
     for hooks in levels[1:]:
-        out = cut(out.join(hooks.select(F.col("a").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), forget_size=True)
+        few = out.count() // PACKED_ROWS + 1
+        out = cut(out.coalesce(few).join(hooks.select(F.col("a").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")).coalesce(few), forget_size=True)
     return out

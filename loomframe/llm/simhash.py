@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import cut, to_python
+from loomframe.llm.common import cut, packed, to_python
 from loomframe.llm.components import components
 
 RADIUS = 2
@@ -88,7 +88,7 @@ def hamming_links(fps: DataFrame, bucket_cap: int = 100) -> DataFrame:
     """Links a, b between different fingerprints of fps (fp, no repeats) from which all components at RADIUS follow."""
     low, high = F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("fp", 32)
     entries = fps.select("fp", F.posexplode(F.array(low, high)).alias("segment", "value"))
-    crowded = cut(entries.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_cap).drop("n"))
+    crowded = packed(cut(entries.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_cap).drop("n")))
     some = not crowded.isEmpty()
     fetched = entries.join(crowded, ["segment", "value"], "left_anti") if some else entries
     probes = entries.select("segment", F.col("fp").alias("a"), _turned(F.col("value"), _ball(32)).alias("value"))
@@ -109,7 +109,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(hamming_links(distinct.select("fp"), bucket_cap))
     placed = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    placed = cut(placed)
+    placed = packed(cut(placed))
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     named = cut(placed.join(least, "label").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -190,12 +190,12 @@ def _proposed(nodes: DataFrame, bucket_cap: int) -> tuple[DataFrame, DataFrame]:
     """
     in_bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     entries = in_bands.unionByName(nodes.select("node", F.lit(-1).alias("band"), F.col("fp").alias("key")))
-    buckets = cut(entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+    buckets = packed(cut(entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")))
     small = entries.join(buckets.filter(F.col("n") <= bucket_cap).select("band", "key").hint("merge"), ["band", "key"]).groupBy("band", "key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     within = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.greatest(F.size("all") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    large = cut(entries.join(buckets.filter(F.col("n") > bucket_cap).hint("merge"), ["band", "key"]))
+    large = packed(cut(entries.join(buckets.filter(F.col("n") > bucket_cap).hint("merge"), ["band", "key"])))
     central = large.groupBy("node").agg(F.sum("n").alias("met"))
-    hubs = cut(large.join(central.hint("merge"), "node").groupBy("band", "key").agg(F.max_by("node", F.struct("met", "node")).alias("hub")))
+    hubs = packed(cut(large.join(central.hint("merge"), "node").groupBy("band", "key").agg(F.max_by("node", F.struct("met", "node")).alias("hub"))))
     members = large.join(hubs.hint("merge"), ["band", "key"]).filter("node <> hub").select("hub", "node").distinct()
     one = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = hamming_links(nodes.select("fp").distinct())
@@ -267,14 +267,12 @@ def _meeting(told: DataFrame, crowd: int | None, tenths: int) -> tuple[DataFrame
     entries = told.select("hub", "node", "size", "hub_size", "a", "r", "as_outside", "as_other", F.posexplode("elements").alias("at", "e"))
     x_role, y_role = F.col("at") < F.col("as_outside"), (F.col("at") < F.col("as_other")) & (~lack | (room > 0))
     entries = entries.select("hub", "node", "size", "a", "r", "at", "e", x_role.alias("x"), y_role.alias("y"), F.when(lack, over).otherwise(F.lit(0)).alias("over"), F.when(lack, room).otherwise(F.lit(0)).alias("room")).filter("x OR y")
-    entries = cut(entries)
     own = entries.groupBy("hub", "e").agg(
         F.count("*").alias("n"), F.min(F.when(F.col("x"), F.col("over"))).alias("least_over"), F.max(F.when(F.col("y"), F.col("room"))).alias("most_room")
     ).filter("n > 1 AND least_over <= most_room")
     met = entries.join(own.drop("n").hint("merge"), ["hub", "e"])
-    met = cut(met.withColumns({"x": F.expr("x AND over <= most_room"), "y": F.expr("y AND room >= least_over")}).filter("x OR y").drop("least_over", "most_room"))
+    met = met.withColumns({"x": F.expr("x AND over <= most_room"), "y": F.expr("y AND room >= least_over")}).filter("x OR y").drop("least_over", "most_room")
     sizes = met.groupBy("hub", "e").agg(F.count_if("x").alias("nx"), F.count_if("y").alias("ny"), F.min_by("node", F.struct(F.col("a") + F.col("r"), "node")).alias("new_hub")).filter("nx > 0 AND ny > 0")
-    sizes = cut(sizes)
     few = F.lit(True) if crowd is None else (F.col("ny") <= crowd) | (F.col("nx") <= 2)
     some = met.join(sizes.filter(few).select("hub", "e").hint("merge"), ["hub", "e"])
     x, y = (some.filter(k).select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "a", "r", "at")]) for k in ("x", "y"))
@@ -310,7 +308,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     marked = cut(sketches(docs, id_col, text, shingle))
     nodes = cut(marked.groupBy("whole").agg(F.min("node").alias("node"), F.min_by("fp", "node").alias("fp"), F.min_by("bands", "node").alias("bands")))
-    pairs, members = map(cut, _proposed(nodes, bucket_cap))
+    pairs, members = (packed(cut(x)) for x in _proposed(nodes, bucket_cap))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select(F.explode(F.array("hub", "node")).alias("node"))).distinct()
     rows = docs.select(node_of(docs, id_col, text).alias("node"), F.col(text).cast("string").alias("text"))
     texts = cut(rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
@@ -320,12 +318,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             break
         told = cut(_differences(texts, members, shingle, tenths))
         links.append(told.filter("inside").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        more, members = map(cut, _meeting(told, crowd if turn + 1 < ROUNDS else None, tenths))
+        more, members = (packed(cut(x)) for x in _meeting(told, crowd if turn + 1 < ROUNDS else None, tenths))
         links.append(_verified(texts, more, shingle, tenths))
     label = components(cut(reduce(DataFrame.unionByName, links)))
     placed = nodes.select("whole", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = cut(placed)
-    least = cut(placed.groupBy("label").agg(F.min("node").alias("component")))
+    placed = packed(cut(placed))
+    least = placed.groupBy("label").agg(F.min("node").alias("component"))
     named = cut(placed.join(least, "label").select("whole", "component"))
     return marked.select("node", "whole").join(named, "whole")
 
