@@ -53,12 +53,12 @@ def merge(intervals: DataFrame, group: str, start: str, end: str) -> DataFrame:
 def within(rows: DataFrame, intervals: DataFrame, group: str, pos: str, span: Column, start: str, end: str, width: int = 1_000_000) -> DataFrame:
     """Rows whose stretch [pos - 1, pos - 1 + span) meets a half-open interval of their group. No row twice, whatever overlaps."""
     flat = merge(intervals, group, start, end).select(F.col(group).alias("_g"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    marked = rows.withColumns({"_row": F.monotonically_increasing_id(), "_from": F.col(pos) - 1})
-    marked = marked.withColumn("_to", F.col("_from") + F.greatest(span, F.lit(1)))
-    x = marked.withColumn("_bin", _bins(F.col("_from"), F.col("_to") - 1, width))
+    marked = rows.withColumn("_from", F.col(pos) - 1).withColumn("_to", F.col(pos) - 1 + F.greatest(span, F.lit(1)))
+    places = [group, "_from", "_to"]
+    x = marked.select(*places).distinct().withColumn("_bin", _bins(F.col("_from"), F.col("_to") - 1, width))
     y = flat.filter("_s < _e").withColumn("_b", _bins(F.col("_s"), F.col("_e") - 1, width))
     hit = x.join(y, (F.col(group) == F.col("_g")) & (F.col("_bin") == F.col("_b")) & (F.col("_from") < F.col("_e")) & (F.col("_s") < F.col("_to")), "left_semi")
-    return hit.dropDuplicates(["_row"]).select(*rows.columns)
+    return marked.join(hit.select(*places).distinct(), places, "left_semi").select(*rows.columns)
 
 
 def overlay(points: DataFrame, intervals: DataFrame, key: str, group: str, pos: str, start: str, end: str, record: str, take: Sequence[str], width: int = 1_000_000) -> DataFrame:

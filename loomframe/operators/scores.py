@@ -133,7 +133,7 @@ def classify_points(df: DataFrame, criteria: Sequence[Column], standalone: str =
 
 def variant_criteria() -> list[Column]:
     """Criteria over consequence, gene_lof, gene_missense (may be null), missense_z, popmax_af, af_alleles, revel."""
-    terms = F.transform(F.split(F.lower(F.coalesce("consequence", F.lit(""))), "[&,;]"), F.trim)
+    terms = F.transform(F.split(F.lower(F.coalesce("consequence", F.lit(""))), "[&,;]"), lambda t: F.trim(t))
     has = lambda *names: F.arrays_overlap(terms, F.array(*[F.lit(n) for n in names]))
     af, n, revel, missense = F.col("popmax_af"), F.col("af_alleles"), F.col("revel"), has("missense_variant")
     nonsense, splice = has("transcript_ablation", "stop_gained", "frameshift_variant"), has("splice_donor_variant", "splice_acceptor_variant")

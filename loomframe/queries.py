@@ -297,9 +297,11 @@ def ranked_page(spark, sf_dir):
     return paging.ranked_page(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 20, 40)
 
 
-@query("SELECT count(*)::BIGINT AS total, count(*) > 2000 AS truncated FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, (SELECT count(*)::BIGINT FROM orders WHERE o_orderstatus = 'F') AS total, (SELECT count(*) > 2000 FROM orders WHERE o_orderstatus = 'F') AS truncated FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 2000")
 def capped_scan(spark, sf_dir):
-    return paging.capped(read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), [F.col("o_orderkey")], 2000)[1]
+    """The first rows of a scan with their total; the cap is the feature."""
+    rows, total = paging.capped(read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), [F.col("o_orderkey")], 2000)
+    return rows.select("o_orderkey").join(F.broadcast(total), F.lit(True))
 
 
 # --- counts -------------------------------------------------------------------------------------------------------
@@ -368,13 +370,13 @@ def distinct_or_each(spark, sf_dir):
 
 # --- intervals ----------------------------------------------------------------------------------------------------
 
-WINDOWS_SQL = "SELECT o_orderkey AS w, o_custkey % 150 AS g, 1704067200 + (o_orderkey * 7919) % 2592000 AS s, 1704067200 + (o_orderkey * 7919) % 2592000 + 600 + o_custkey % 20000 AS e FROM orders WHERE o_orderkey % 4 = 0"
+WINDOWS_SQL = "SELECT o_orderkey AS w, o_custkey % 150 AS g, 1704067200 + (o_orderkey * 7919) % 2592000 AS s, 1704067200 + (o_orderkey * 7919) % 2592000 + 600 + o_custkey % 20000 AS e FROM orders"
 
 
-def _windows(spark, sf_dir):
+def _windows(spark, sf_dir, group=None):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     s = 1704067200 + (k * 7919) % 2592000
-    return read(spark, sf_dir, "orders").filter(k % 4 == 0).select(k.alias("w"), (c % 150).alias("g"), s.alias("s"), (s + 600 + c % 20000).alias("e"))
+    return read(spark, sf_dir, "orders").select(k.alias("w"), (c % 150 if group is None else group).alias("g"), s.alias("s"), (s + 600 + c % 20000).alias("e"))
 
 
 def _points(spark, sf_dir):
@@ -386,9 +388,9 @@ def points_in_intervals(spark, sf_dir):
     return intervals.points_in(_points(spark, sf_dir), _windows(spark, sf_dir), "g", "t", "s", "e", 7200).select("event_id", "w")
 
 
-@query(f"WITH w AS ({WINDOWS_SQL}) SELECT a.w, b.w AS b_w FROM w a JOIN w b ON a.g = b.g AND a.w < b.w AND a.s <= b.e AND b.s <= a.e")
+@query(f"WITH w AS ({WINDOWS_SQL.replace('o_custkey % 150 AS g', 'o_custkey AS g')}) SELECT a.w, b.w AS b_w FROM w a JOIN w b ON a.g = b.g AND a.w < b.w AND a.s <= b.e AND b.s <= a.e")
 def interval_overlaps(spark, sf_dir):
-    w = _windows(spark, sf_dir)
+    w = _windows(spark, sf_dir, F.col("o_custkey"))
     return intervals.overlaps(w, w, "g", "s", "e", 7200).filter("w < b_w").select("w", "b_w")
 
 
@@ -425,8 +427,8 @@ def lift_positions(spark, sf_dir):
 
 # --- merges -------------------------------------------------------------------------------------------------------
 
-SIDES_SQL = """WITH a AS (SELECT o_orderkey % 9000 AS k, max_by(v, nm) AS v, max(nm) AS nm FROM (SELECT o_orderkey, 'n' || o_orderkey AS nm, CASE WHEN o_custkey % 9 = 0 THEN '--' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY 1),
-b AS (SELECT o_orderkey % 9000 AS k, max_by(v, nm) AS v, max(nm) AS nm FROM (SELECT o_orderkey, 'n' || (o_orderkey + o_custkey % 2) AS nm, CASE WHEN o_custkey % 7 = 0 THEN '--' WHEN o_custkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0) GROUP BY 1)"""
+SIDES_SQL = """WITH a AS (SELECT o_orderkey AS k, max_by(v, nm) AS v, max(nm) AS nm FROM (SELECT o_orderkey, 'n' || o_orderkey AS nm, CASE WHEN o_custkey % 9 = 0 THEN '--' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY 1),
+b AS (SELECT o_orderkey AS k, max_by(v, nm) AS v, max(nm) AS nm FROM (SELECT o_orderkey, 'n' || (o_orderkey + o_custkey % 2) AS nm, CASE WHEN o_custkey % 7 = 0 THEN '--' WHEN o_custkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 4 <> 0) GROUP BY 1)"""
 
 
 @query(SIDES_SQL + """
@@ -441,8 +443,8 @@ def reconcile_samples(spark, sf_dir):
     """Full outer merge of two slices with no-calls, clashes and differing names."""
     o = read(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    a = o.filter(k % 3 != 0).select((k % 9000).alias("k"), F.concat(F.lit("n"), k).alias("nm"), F.when(c % 9 == 0, "--").otherwise(F.col("o_orderstatus")).alias("v"))
-    b = o.filter(k % 4 != 0).select((k % 9000).alias("k"), F.concat(F.lit("n"), k + c % 2).alias("nm"), F.when(c % 7 == 0, "--").when(c % 5 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("v"))
+    a = o.filter(k % 3 != 0).select(k.alias("k"), F.concat(F.lit("n"), k).alias("nm"), F.when(c % 9 == 0, "--").otherwise(F.col("o_orderstatus")).alias("v"))
+    b = o.filter(k % 4 != 0).select(k.alias("k"), F.concat(F.lit("n"), k + c % 2).alias("nm"), F.when(c % 7 == 0, "--").when(c % 5 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("v"))
     return merge.reconcile(a, b, ["k"], "v", "nm", missing=G.is_no_call(F.col("v"), G.MERGE_NO_CALLS))
 
 
@@ -532,7 +534,7 @@ def pair_kinship(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS ({CALLS_SQL}), w AS (SELECT p_partkey AS k, substr('ACGT', p_size % 2 * 2 + 1, 1) AS e, substr('ACGT', (p_size + 1) % 2 * 2 + 1, 1) AS o, p_size / 10.0 AS w FROM part WHERE p_partkey % 3 = 0),
+WITH c AS ({CALLS_SQL}), w AS (SELECT p_partkey AS k, substr('ACGT', p_size % 2 * 2 + 1, 1) AS e, substr('ACGT', (p_size + 1) % 2 * 2 + 1, 1) AS o, p_size / 10.0 AS w FROM part),
 j AS (SELECT s.sample_id, w.w, CASE WHEN gt IS NOT NULL THEN (gt[1] = e)::INT + (gt[2] = e)::INT END AS d FROM (SELECT DISTINCT sample_id FROM c) s CROSS JOIN w LEFT JOIN c ON c.sample_id = s.sample_id AND c.k = w.k)
 SELECT sample_id, round(coalesce(sum(d * w), 0), 4) AS score, count(*)::BIGINT AS n_total, count(d)::BIGINT AS n_used, round(count(d) / count(*), 6) AS coverage FROM j GROUP BY 1
 """)
@@ -540,7 +542,7 @@ def weighted_scores(spark, sf_dir):
     """Weighted score of each sample; alleles are A and G, so both strands stay apart."""
     calls = _calls(spark, sf_dir).select("sample_id", F.col("k").cast("string").alias("rsid"), F.lit(None).cast("string").alias("chrom"), F.lit(None).cast("long").alias("pos"), F.col("gt").alias("genotype"))
     letter = lambda c: F.substring(F.lit("ACGT"), (c % 2 * 2 + 1).cast("int"), F.lit(1))
-    w = read(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("weight_id"), F.col("p_partkey").cast("string").alias("rsid"), F.lit(None).cast("string").alias("chrom"), F.lit(None).cast("long").alias("pos"), letter(F.col("p_size")).alias("effect_allele"), letter(F.col("p_size") + 1).alias("other_allele"), (F.col("p_size") / 10.0).alias("weight"))
+    w = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("weight_id"), F.col("p_partkey").cast("string").alias("rsid"), F.lit(None).cast("string").alias("chrom"), F.lit(None).cast("long").alias("pos"), letter(F.col("p_size")).alias("effect_allele"), letter(F.col("p_size") + 1).alias("other_allele"), (F.col("p_size") / 10.0).alias("weight"))
     out = scores.weighted_score(calls, w)
     return out.select("sample_id", F.round("score", 4).alias("score"), "n_total", "n_used", F.round("coverage", 6).alias("coverage"))
 
@@ -651,9 +653,20 @@ def group_status(spark, sf_dir):
     return scores.disease_status(g, "c_nationkey", "m", "z", ["c_custkey"]).select("c_custkey", "status")
 
 
-@query()
+def _poly_sql(terms) -> str:
+    out = repr(terms[0])
+    for t in terms[1:]:
+        out = f"({out} * x + {t!r})"
+    return out
+
+
+@query(f"""
+WITH z AS (SELECT c_custkey, round((c_acctbal - 4500) / 3000, 4) AS z FROM customer), t AS (SELECT *, abs(z) AS x FROM z),
+p AS (SELECT *, exp(-x * x / 2) * {_poly_sql(S.TAIL_OVER)} / {_poly_sql(S.TAIL_UNDER)} AS tail FROM t)
+SELECT c_custkey, round((CASE WHEN z > 0 THEN 1 - tail ELSE tail END) * 100, 2) AS percentile FROM p
+""")
 def score_percentile(spark, sf_dir):
-    """Percentile of balances under a normal distribution; DuckDB has no erf."""
+    """Percentile of balances under a normal distribution; no balance is beyond the range of the rational function."""
     return read(spark, sf_dir, "customer").select("c_custkey", S.percentile(F.col("c_acctbal"), F.lit(4500.0), F.lit(3000.0)).alias("percentile"))
 
 
@@ -706,14 +719,14 @@ def cosine_similarity(spark, sf_dir):
 
 @query("""
 WITH l AS (SELECT p_partkey, p_size / 50.0 AS mean, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE 0.5 END AS sd, p_size / 100.0 AS l1, p_retailprice / 1000 AS l2 FROM part),
-d AS (SELECT o_custkey % 40 AS s, o_orderkey % 2000 AS p_partkey, min(o_custkey % 3) AS dosage FROM orders GROUP BY 1, 2),
+d AS (SELECT l_suppkey % 40 AS s, l_partkey AS p_partkey, min(l_orderkey % 3) AS dosage FROM lineitem GROUP BY 1, 2),
 z AS (SELECT s, CASE WHEN sd > 0 THEN (dosage - mean) / sd ELSE 0 END AS z, l1, l2 FROM d JOIN l USING (p_partkey))
 SELECT s, round(sum(z * l1), 4) AS x, round(sum(z * l2), 4) AS y, round(count(*) / (SELECT count(*) FROM l), 6) AS coverage FROM z GROUP BY 1
 """)
 def projection(spark, sf_dir):
     s = F.col("p_size")
     load = read(spark, sf_dir, "part").select("p_partkey", (s / 50.0).alias("mean"), F.when(s % 7 == 0, 0.0).otherwise(0.5).alias("sd"), F.array(s / 100.0, F.col("p_retailprice") / 1000).alias("load"))
-    d = read(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("s"), (F.col("o_orderkey") % 2000).alias("p_partkey")).agg(F.min(F.col("o_custkey") % 3).alias("dosage"))
+    d = read(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("s"), F.col("l_partkey").alias("p_partkey")).agg(F.min(F.col("l_orderkey") % 3).alias("dosage"))
     out = vectors.project(d, load, "s", "p_partkey", 2)
     return out.select("s", F.round(F.get("point", F.lit(0)), 4).alias("x"), F.round(F.get("point", F.lit(1)), 4).alias("y"), F.round("coverage", 6).alias("coverage"))
 
@@ -732,14 +745,14 @@ EFFECTS = {"AA": "Standard", "AG": "Moderate", "GG": "Elevated"}
 
 
 @query(f"""
-WITH c AS ({CALLS_SQL}), p AS (SELECT p_partkey AS k, p_type AS pathway, p_size % 3 AS stars FROM part WHERE p_partkey % 100 = 0),
+WITH c AS ({CALLS_SQL}), p AS (SELECT p_partkey AS k, p_type AS pathway, p_size % 3 AS stars FROM part),
 g AS (SELECT s.sample_id, p.pathway, p.stars, CASE WHEN p.stars = 0 AND gt[1] = 'G' THEN '--' ELSE gt END AS gt FROM (SELECT DISTINCT sample_id FROM c) s CROSS JOIN p LEFT JOIN c ON c.sample_id = s.sample_id AND c.k = p.k),
 x AS (SELECT *, CASE WHEN gt IS NULL THEN 'not_on_array' WHEN gt = '--' THEN 'no_call' ELSE 'called' END AS st, CASE WHEN gt IN ('AA') THEN 1 WHEN gt IN ('AG', 'GA') THEN 2 WHEN gt = 'GG' THEN CASE WHEN stars < 2 THEN 2 ELSE 3 END END AS r FROM g)
 SELECT sample_id, pathway, CASE coalesce(max(r) FILTER (st = 'called'), 1) WHEN 1 THEN 'Standard' WHEN 2 THEN 'Moderate' ELSE 'Elevated' END AS level, count(*) FILTER (st = 'called')::BIGINT AS n_called, count(*) FILTER (st = 'no_call')::BIGINT AS n_no_call, count(*) FILTER (st = 'not_on_array')::BIGINT AS n_not_on_array FROM x GROUP BY 1, 2
 """)
 def panel_pathways(spark, sf_dir):
     """Categorical panel scored and rolled up to pathways."""
-    panel = read(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("pathway"), (F.col("p_size") % 3).alias("stars"), S.as_map(EFFECTS).alias("effects"))
+    panel = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("pathway"), (F.col("p_size") % 3).alias("stars"), S.as_map(EFFECTS).alias("effects"))
     calls = _calls(spark, sf_dir)
     held = panel.filter("stars = 0").select("k").withColumn("_h", F.lit(True))
     calls = calls.join(held, "k", "left").withColumn("gt", F.when(F.col("_h") & (F.substring("gt", 1, 1) == "G"), "--").otherwise(F.col("gt"))).drop("_h")
@@ -747,12 +760,12 @@ def panel_pathways(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS ({CALLS_SQL}), p AS (SELECT p_partkey // 10 AS locus, p_partkey AS k, p_partkey % 10 AS rank FROM part WHERE p_partkey % 10 < 3 AND p_partkey < 500),
+WITH c AS ({CALLS_SQL}), p AS (SELECT p_partkey // 10 AS locus, p_partkey AS k, p_partkey % 10 AS rank FROM part),
 j AS (SELECT s.sample_id, locus, rank, CASE WHEN gt = 'GG' THEN '--' ELSE gt END AS gt FROM (SELECT DISTINCT sample_id FROM c) s CROSS JOIN p LEFT JOIN c ON c.sample_id = s.sample_id AND c.k = p.k)
 SELECT sample_id, locus, arg_min(gt, rank) FILTER (gt IS NOT NULL AND gt <> '--') AS gt, CASE WHEN count(*) FILTER (gt <> '--') > 0 THEN 'typed' WHEN count(gt) > 0 THEN 'no_call' ELSE 'absent' END AS status FROM j GROUP BY 1, 2
 """)
 def probe_reads(spark, sf_dir):
-    probes = read(spark, sf_dir, "part").filter("p_partkey % 10 < 3 and p_partkey < 500").select(F.floor(F.col("p_partkey") / 10).alias("locus"), F.col("p_partkey").alias("k"), (F.col("p_partkey") % 10).alias("rank"), F.lit(False).alias("positional"))
+    probes = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("locus"), F.col("p_partkey").alias("k"), (F.col("p_partkey") % 10).alias("rank"), F.lit(False).alias("positional"))
     calls = _calls(spark, sf_dir).withColumn("gt", F.when(F.col("gt") == "GG", "--").otherwise(F.col("gt")))
     return panels.read_probe(calls, probes, key="k", genotype="gt")
 

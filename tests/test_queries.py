@@ -62,7 +62,7 @@ def test_base_stands_alone(tmp_path):
         "class Gone:\n"
         "    def find_spec(self, name, *a):\n"
         "        if name == 'corpus_pipeline' or name.startswith('loomframe.llm'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "q = e.queries()\n"
