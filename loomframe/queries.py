@@ -661,13 +661,15 @@ def _poly_sql(terms) -> str:
 
 
 @query(f"""
-WITH z AS (SELECT c_custkey, round((c_acctbal - 4500) / 3000, 4) AS z FROM customer), t AS (SELECT *, abs(z) AS x FROM z),
+WITH z AS (SELECT c_custkey, (c_acctbal - 4500) / 3000 AS z FROM customer), t AS (SELECT *, abs(z) AS x FROM z),
 p AS (SELECT *, exp(-x * x / 2) * {_poly_sql(S.TAIL_OVER)} / {_poly_sql(S.TAIL_UNDER)} AS tail FROM t)
-SELECT c_custkey, round((CASE WHEN z > 0 THEN 1 - tail ELSE tail END) * 100, 2) AS percentile FROM p
+SELECT c_custkey, round(CASE WHEN z > 0 THEN 1 - tail ELSE tail END, 8) AS share FROM p
 """)
 def score_percentile(spark, sf_dir):
-    """Percentile of balances under a normal distribution; no balance is beyond the range of the rational function."""
-    return read(spark, sf_dir, "customer").select("c_custkey", S.percentile(F.col("c_acctbal"), F.lit(4500.0), F.lit(3000.0)).alias("percentile"))
+    """Share of a normal distribution below each balance, to eight digits; a percentile rounds the deviation and the share to
+    four, where two engines' last bits can fall on either side. No balance is beyond the range of the rational function."""
+    z = (F.col("c_acctbal") - 4500.0) / 3000.0
+    return read(spark, sf_dir, "customer").select("c_custkey", F.round(S.normal_cdf(z), 8).alias("share"))
 
 
 @query("""

@@ -601,7 +601,7 @@ def region_rows(spark, sf_dir):
 
 
 @query("""
-SELECT count(*)::BIGINT AS total, count(*) FILTER (p_size % 4 <> 0 AND (p_partkey - 1) % 1000 < 600)::BIGINT AS converted, count(*) FILTER (p_size % 4 <> 0 AND (p_partkey - 1) % 1000 >= 600)::BIGINT AS failed, count(*) FILTER (p_size % 4 = 0)::BIGINT AS already_lifted FROM part
+SELECT count(*)::BIGINT AS total, count(*) FILTER (p_size % 4 <> 0 AND p_partkey > 0 AND (p_partkey - 1) % 1000 < 600)::BIGINT AS converted, count(*) FILTER (p_size % 4 <> 0 AND (p_partkey = 0 OR (p_partkey - 1) % 1000 >= 600))::BIGINT AS failed, count(*) FILTER (p_size % 4 = 0)::BIGINT AS already_lifted FROM part
 """)
 def lift_missing_places(spark, sf_dir):
     """New places for rows without one, and how many there were."""
