@@ -78,6 +78,15 @@ def qualified(coverage: Column, calibrated: Column, mismatch: Column, top_fracti
     return {"sufficient": enough, "top_warning": top_fraction < 0.70, "ancestry_mismatch": mismatch, "show_percentile": enough & calibrated}
 
 
+def sex_gated(df: DataFrame, trait: str, sex: Column, required: Mapping[str, str], numbers: Sequence[str]) -> DataFrame:
+    """df with gate (the sex that a sex-specific trait requires where the sample's is not known to be that one, else null);
+    a gated row keeps its trait and loses its numbers. An unknown sex is no match."""
+    needs = F.create_map(*[F.lit(x) for pair in required.items() for x in pair])[F.col(trait)] if required else F.lit(None).cast("string")
+    gate = F.when(needs.isNotNull() & ~F.coalesce(sex == needs, F.lit(False)), needs)
+    out = df.withColumn("gate", gate)
+    return out.withColumns({c: F.when(F.col("gate").isNull(), F.col(c)) for c in numbers})
+
+
 def z_score(df: DataFrame, by: Sequence[str], value: str, least: int = 3) -> DataFrame:
     """df with z: distance from the mean of the *other* rows of its group in their sample deviations; null below least others or without spread."""
     x = F.col(value).cast("double")

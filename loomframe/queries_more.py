@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from loomframe.functions import genotype as G
 from loomframe.functions import scalar as S
 from loomframe.operators import callers, facets, intervals, lookup, merge, paging, panels, rules, scores, selection, sequence
+from loomframe.plans import ancestry, console
 from loomframe.plans import annotate as enrich
-from loomframe.plans import console
 from loomframe.sources import sinks, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -702,3 +702,38 @@ def region_vcf(spark, sf_dir):
     none = F.lit(None).cast("string")
     alleles = rows.limit(0).select("rsid", "chrom", "pos", none.alias("ref"), none.alias("alt"), none.alias("zygosity"))
     return sinks.region_lines(rows, alleles, "1", 10, 1000)
+
+
+# --- composed plans -----------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH c AS (SELECT l_suppkey % 40 AS sample_id, l_partkey AS k, min(CASE l_orderkey % 4 WHEN 0 THEN 'AA' WHEN 1 THEN 'AG' WHEN 2 THEN 'GG' ELSE '--' END) AS g FROM lineitem GROUP BY 1, 2),
+b AS (SELECT p_partkey AS k, p_size / 50.0 AS mean, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE 0.5 END AS sd, p_size / 1000.0 AS l1, (p_partkey % 10) / 1000.0 AS l2 FROM part),
+d AS (SELECT sample_id, CASE WHEN sd > 0 THEN ((g[1] = 'G')::INT + (g[2] = 'G')::INT - mean) / sd ELSE 0 END AS z, l1, l2 FROM c JOIN b USING (k) WHERE g <> '--'),
+p AS (SELECT sample_id, sum(z * l1) AS x, sum(z * l2) AS y, count(*) / (SELECT count(*) FROM b) AS coverage FROM d GROUP BY 1),
+m AS (SELECT * FROM (VALUES ('P', 0.0, 0.0), ('Q', 5.0, 1.0), ('R', -5.0, 1.0)) t(label, cx, cy)),
+r AS (SELECT p.*, label, (x - cx) ** 2 + (y - cy) ** 2 AS d, row_number() OVER (PARTITION BY sample_id ORDER BY (x - cx) ** 2 + (y - cy) ** 2, label) AS r FROM p, m)
+SELECT a.sample_id, round(a.coverage, 6) AS coverage, a.label AS nearest, round(a.d, 5) AS distance, CASE WHEN a.coverage < 0.05 THEN 'UNCERTAIN' WHEN sqrt(b.d) / sqrt(a.d) < 2 THEN 'ADMIXED' ELSE a.label END AS verdict, 3::INT AS n_fractions FROM r a JOIN r b ON a.sample_id = b.sample_id AND a.r = 1 AND b.r = 2
+""")
+def ancestry_plan(spark, sf_dir):
+    """Calls to dosages, projection, nearest centroid and mixture in one plan; the mixture itself is held by tests."""
+    code = F.col("l_orderkey") % 4
+    g = F.when(code == 0, "AA").when(code == 1, "AG").when(code == 2, "GG").otherwise("--")
+    calls = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 40).alias("sample_id"), text_of(F.col("l_partkey")).alias("rsid"), g.alias("genotype"))
+    load = F.array(size() / 1000.0, key() % 10 / 1000.0)
+    bundle = parts(spark, sf_dir).select(text_of(key()).alias("rsid"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), (size() / 50.0).alias("mean"), F.when(size() % 7 == 0, 0.0).otherwise(0.5).alias("sd"), load.alias("load"))
+    out = ancestry.infer(calls, bundle, {"P": (0, 0), "Q": (5, 1), "R": (-5, 1)}, least=0.05, margin=2.0)
+    return out.select("sample_id", F.round("coverage", 6).alias("coverage"), "nearest", F.round("distance", 5).alias("distance"), "verdict", F.size("fractions").alias("n_fractions"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, p_type AS trait, CASE p_size % 3 WHEN 0 THEN 'XX' WHEN 1 THEN 'XY' END AS sex, p_retailprice AS score FROM part)
+SELECT p_partkey, trait, CASE WHEN trait = 'PROMO' AND sex IS DISTINCT FROM 'XX' THEN 'XX' WHEN trait = 'ECONOMY' AND sex IS DISTINCT FROM 'XY' THEN 'XY' END AS gate,
+  CASE WHEN (trait = 'PROMO' AND sex IS DISTINCT FROM 'XX') OR (trait = 'ECONOMY' AND sex IS DISTINCT FROM 'XY') THEN NULL ELSE score END AS score FROM t
+""")
+def sex_gated_scores(spark, sf_dir):
+    """Scores of sex-specific traits are shown for the sex they are for only."""
+    sex = F.when(size() % 3 == 0, "XX").when(size() % 3 == 1, "XY")
+    rows = parts(spark, sf_dir).select("p_partkey", F.col("p_type").alias("trait"), sex.alias("sex"), F.col("p_retailprice").alias("score"))
+    return scores.sex_gated(rows, "trait", F.col("sex"), {"PROMO": "XX", "ECONOMY": "XY"}, ["score"]).select("p_partkey", "trait", "gate", "score")
