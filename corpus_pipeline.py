@@ -1,4 +1,12 @@
-"""A corpus pipeline of five stages over documents; each stage's result is written as Parquet and read by the next."""
+"""A corpus pipeline of five stages over documents; each stage's result is written as Parquet and read by the next.
+
+Every stage carries all columns of its rows, whatever their names. Defined results: quality_rules rejects null, empty and
+blank texts and judges repeated rows alike. simhash_near_dedup keeps one of rows that repeat a text, the one with the
+least id (null before others), then by hashes of the other columns. substring_dedup leaves a null text null and treats
+rows that agree in id and text alike. mix_sources takes no pieces of texts without words; a null source is one of its
+own. sentence_pieces gives a null text null pieces. Texts of any length are taken whole, and an empty table passes every
+stage as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -39,8 +47,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled SentencePiece ids of every row."""
-    return pieces.encode(docs, keep=("doc_id", "lang", "source", "n_chars"), key=("doc_id", "text"), check=True)
+    """Sampled SentencePiece ids of every row in place of its text; a column named as one of the stage's own gives way to it."""
+    others = [c for c in docs.columns if c not in ("text", "piece_ids", "n_pieces", "round_trip")]
+    packed = docs.select("doc_id", "text", F.struct(*others).alias("row"))
+    out = pieces.encode(packed, keep=("row",), key=("doc_id", "text"), check=True)
+    return out.select(*[F.col("row")[c].alias(c) for c in others], "piece_ids", "n_pieces", "round_trip")
 
 
 STAGES = [
