@@ -31,7 +31,28 @@ def test_stages_stand_extra_and_clashing_columns(spark):
         assert docs.columns == columns and docs.dtypes == kinds, name
         rows = docs.select("doc_id", *names).collect()
         assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names), name
-    assert C.STAGES[-1][1](spark, docs, D).filter("round_trip").count() == len(rows)
+    last = C.STAGES[-1][1](spark, docs, D)
+    assert last.filter("round_trip").count() == len(rows) and set(names) <= set(last.columns)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, blank, repeated and very long texts, ties, and an empty table, through all stages."""
+    prose = lambda k: " ".join(f"word{(i * k) % 997}" for i in range(120))
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, " \n\t", "en", "a", 3), (3, prose(3), "en", None, 7), (3, prose(3), "en", None, 7), (3, prose(3), "fr", "b", 7), (4, prose(3), "en", "a", 7), (None, prose(5), None, None, None), (5, prose(7), None, "b", 1), (6, " ".join(f"w{i}" for i in range(60_000)), "en", "a", 5)]
+    docs = spark.createDataFrame(rows, kind)
+    counts = []
+    for name, stage in C.STAGES:
+        docs = stage(spark, docs, D).cache()
+        counts.append(docs.count())
+        if name == "simhash_near_dedup":
+            assert sorted((r["doc_id"] is None, r["doc_id"]) for r in docs.collect()) == [(False, 3), (False, 5), (False, 6), (True, None)]
+    assert counts[0] == 7 and counts[1] == counts[2] == 4 and counts[3] == counts[4] > 0
+    assert docs.filter("not round_trip").count() == 0 and {r["doc_id"] for r in docs.collect()} == {3, None, 5, 6}
+    empty = spark.createDataFrame([], kind)
+    for _, stage in C.STAGES:
+        empty = stage(spark, empty, D)
+        assert empty.count() == 0
 
 
 def test_run_reruns(spark):
