@@ -74,6 +74,8 @@ class Mix:
     """A mix of docs. sources: a row a source; documents: a row a document with its place in its source's stream.
 
     carry: None if no text is wanted; else columns of docs to pass on as _c_<name>, and pieces can have texts.
+    shard_slots: slots of an output shard, at least; a mix of more than 4096 such shards gets 4096 larger ones, so that the
+    table of sources and shards stays bounded. Draws belong to shards, so they differ with their number.
     """
 
     def __init__(
