@@ -56,3 +56,19 @@ def before(rows: DataFrame, by: Sequence[str], **folds: tuple[Callable[[Column],
     two = {F.max: F.greatest, F.min: F.least}
     out = {c: two[f](c, names[c]) if f in two else F.coalesce(F.col(c) + F.col(names[c]), c, names[c]) for c, (f, _) in folds.items()}
     return both.withColumns(out).select(*rows.columns, *folds)
+
+
+def numbered(rows: DataFrame, by: Sequence[str], name: str = "_n") -> DataFrame:
+    """rows of pieces() with their number in the group, from 0, in place of _piece and _at.
+
+    A group's rows lie side by side in a piece, so one row for each group and piece says by how much a place has to be moved.
+    """
+    sums = rows.groupBy(*by, PIECE).agg(F.min(AT).alias("_first"), F.count("*").alias("_rows"))
+    along = Window.partitionBy(*by).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(along), F.lit(0)) - F.col("_first")
+    shifts = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(PIECE).alias("_from"), shift.alias("_shift"))
+    on = F.col(PIECE) == F.col("_from")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    kept = [c for c in rows.columns if c not in (PIECE, AT)]
+    return rows.join(shifts, on).select(*kept, (F.col(AT) + F.col("_shift")).alias(name))
