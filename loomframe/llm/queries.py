@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import htmltext, mixing, pieces, quality, repeats, simhash, tokencounts, topk, toxicity, warc
+from loomframe.llm import chat, htmltext, mixing, pieces, quality, repeats, simhash, tokencounts, topk, toxicity, warc
 from loomframe.llm.common import cut, shared_folder, table
 
 
@@ -99,8 +99,23 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of one that quotes markers, read back from their formatted text."""
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.formatted(talks))
+
+
 SQL: dict[str, str] = {}
 
+SQL["op13_chat"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, 16 + length(regexp_replace(role || text, '([\\<>])', 'xx', 'g')) AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
+
 SQL["op7_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -124,4 +139,4 @@ b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f & 3) <> 0 AS base_failed, f = 0 AS kept, f::BIGINT AS fail_bits FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_merkle_audit, op3_repeats, op4_token_counts, op5_pieces, op6_quality_rules, op7_topk, op8_simhash, op9_toxicity, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_merkle_audit, op3_repeats, op4_token_counts, op5_pieces, op6_quality_rules, op7_topk, op8_simhash, op9_toxicity, op10_html, op13_chat)}
