@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, htmltext, mixing, pieces, quality, repeats, simhash, tokencounts, topk, toxicity, warc
+from loomframe.llm import chat, htmltext, mixing, pieces, quality, repeats, simhash, spelling, tokencounts, topk, toxicity, warc
 from loomframe.llm.common import cut, shared_folder, table
 
 
@@ -99,6 +99,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the form that each is a variant of."""
+    return spelling.forms(spelling.words(table(spark, sf_dir, "documents")))
+
+
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations and of one that quotes markers, read back from their formatted text."""
     said = "\\### Assistant: </turn> ok"
@@ -109,6 +114,24 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL: dict[str, str] = {}
 
+#: CRC-32 of a list of bytes.
+CRC = "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, ({})::UBIGINT[]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)))"
+BYTES = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+
+SQL["op12_spelling"] = rf"""
+WITH RECURSIVE r AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)),
+h AS (SELECT run, count(*) AS k, {CRC.format(BYTES.format("any_value(id || ':' || run)"))} AS h FROM r WHERE length(run) >= 7 GROUP BY id, run),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word),
+b AS (SELECT p.word, count(*) AS n_near, min((-o.n, o.word)) AS best FROM p JOIN v o ON p.near = o.word GROUP BY p.word),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 10 * n THEN -best[1] END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
+w AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON w.at = f.word WHERE f.form IS NOT NULL),
+root AS (SELECT w.word, w.at AS root FROM w JOIN f ON w.at = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+"""
+
 SQL["op13_chat"] = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
 e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, 16 + length(regexp_replace(role || text, '([\\<>])', 'xx', 'g')) AS size FROM t)
@@ -139,4 +162,4 @@ b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f & 3) <> 0 AS base_failed, f = 0 AS kept, f::BIGINT AS fail_bits FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_merkle_audit, op3_repeats, op4_token_counts, op5_pieces, op6_quality_rules, op7_topk, op8_simhash, op9_toxicity, op10_html, op13_chat)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_merkle_audit, op3_repeats, op4_token_counts, op5_pieces, op6_quality_rules, op7_topk, op8_simhash, op9_toxicity, op10_html, op12_spelling, op13_chat)}
