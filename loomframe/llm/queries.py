@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, htmltext, mixing, pieces, quality, repeats, simhash, spelling, tokencounts, topk, toxicity, warc
+from loomframe.llm import chat, htmltext, mixing, pieces, quality, repair, repeats, simhash, spelling, tokencounts, topk, toxicity, warc
 from loomframe.llm.common import cut, shared_folder, table
 
 
@@ -99,6 +100,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of all conversations after some damage."""
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.reports(repair.edits(repair.damaged(talks)))
+    every = talks.groupBy("conv_id").agg(F.struct("conv_id").alias("_key"))  # a struct, so that a null meets a null
+    out = every.join(found.withColumn("_key", F.struct("conv_id")).drop("conv_id"), "_key", "left")
+    empty = hashlib.sha256().hexdigest()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the form that each is a variant of."""
     return spelling.forms(spelling.words(table(spark, sf_dir, "documents")))
@@ -162,4 +174,4 @@ b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f & 3) <> 0 AS base_failed, f = 0 AS kept, f::BIGINT AS fail_bits FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_merkle_audit, op3_repeats, op4_token_counts, op5_pieces, op6_quality_rules, op7_topk, op8_simhash, op9_toxicity, op10_html, op12_spelling, op13_chat)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_merkle_audit, op3_repeats, op4_token_counts, op5_pieces, op6_quality_rules, op7_topk, op8_simhash, op9_toxicity, op10_html, op11_repair, op12_spelling, op13_chat)}
