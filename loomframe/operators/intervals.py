@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.operators import ordered
+
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
@@ -43,11 +45,16 @@ def half_open(df: DataFrame, group: str, value: str, pos: str, lo: int, hi: int)
 
 
 def merge(intervals: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Disjoint intervals: one that begins at or before the furthest end so far joins the run."""
-    w = Window.partitionBy(group).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = intervals.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
-    return runs.groupBy(group, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_run")
+    """Disjoint intervals with the number n of those in each: one that begins at or before the furthest end so far joins the run.
+
+    The furthest end, and then the run that is open, are carried along the group's pieces (see ordered.py).
+    """
+    own = intervals.groupBy(group, start, end).agg(F.count("*").alias("_n"))
+    rows = ordered.before(ordered.pieces(own, [group], [start, end]), _reach=(F.max, F.col(end)))
+    fresh = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(ordered.AT))
+    rows = ordered.before(rows.withColumn("_fresh", fresh), _open=(F.max, F.col("_fresh")))
+    runs = rows.withColumn("_run", F.coalesce("_fresh", "_open"))
+    return runs.groupBy(group, "_run").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("n")).drop("_run")
 
 
 def within(rows: DataFrame, intervals: DataFrame, group: str, pos: str, span: Column, start: str, end: str, width: int = 1_000_000) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.operators import ordered
+
 STRATEGIES = ("flag_only", "prefer_left", "prefer_right", "prefer_vendor_a", "prefer_vendor_b")
 
 
@@ -66,28 +68,28 @@ def multiset_diff(old: DataFrame, new: DataFrame, identity: Sequence[str], meani
     Rows equal in identity and meaning cancel out as often as both sides have them. Of what is left under one identity,
     the n-th rows by text are pairs of a change; what has no partner was added or removed. Null equals null.
     """
+    key, order = [*identity, *meaning], F.coalesce(F.col(text), F.lit(""))
+
     def left_over(a: DataFrame, b: DataFrame) -> DataFrame:
-        key = [*identity, *meaning]
-        n = Window.partitionBy(*key).orderBy(F.coalesce(F.col(text), F.lit("")))
-        x = a.select(*key, text).withColumn("_n", F.row_number().over(n))
-        y = b.groupBy(*key).agg(F.count("*").alias("_twins")).select(*[F.col(c).alias(f"_other_{c}") for c in key], "_twins")
-        on = F.lit(True)
-        for c in key:
-            on = on & F.col(c).eqNullSafe(F.col(f"_other_{c}"))
-        rest = x.join(y, on, "left").filter(F.col("_n") > F.coalesce("_twins", F.lit(0)))
-        w = Window.partitionBy(*identity).orderBy(F.coalesce(F.col(text), F.lit("")), *meaning)
-        return rest.select(*key, text, F.row_number().over(w).alias("_n"))
+        # Equal rows are a row with their number; places along a key, and then along an identity, are carried (ordered.py).
+        own = a.groupBy(*key, text).agg(F.count("*").alias("_rows"))
+        own = ordered.before(ordered.pieces(own, key, [order, text]), _earlier=(F.sum, F.col("_rows")))
+        twins = b.groupBy(F.struct(*key).alias("_key")).agg(F.count("*").alias("_twins"))
+        both = own.withColumn("_key", F.struct(*key)).join(twins.hint("merge"), "_key", "left")
+        spare = F.least(F.col("_rows"), F.coalesce("_earlier", F.lit(0)) + F.col("_rows") - F.coalesce("_twins", F.lit(0)))
+        rest = both.select(*key, text, spare.alias("_rows")).filter("_rows > 0")
+        rest = ordered.before(ordered.pieces(rest, identity, [order, *meaning, text]), _earlier=(F.sum, F.col("_rows")))
+        first = F.coalesce("_earlier", F.lit(0)) + 1
+        return rest.select(*key, text, F.explode(F.sequence(first, first + F.col("_rows") - 1)).alias("_n"))
 
     before, after = left_over(old, new), left_over(new, old)
-    x = before.select(F.struct(*before.columns).alias("x"))
-    y = after.select(F.struct(*after.columns).alias("y"))
-    on = F.col("x._n") == F.col("y._n")
-    for c in identity:
-        on = on & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    place = F.struct("_n", *identity).alias("_place")
+    x = before.select(place, F.struct(*before.columns).alias("x"))
+    y = after.select(place, F.struct(*after.columns).alias("y"))
     state = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").otherwise("changed")
     pick = lambda c: F.when(F.col("y").isNull(), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(c)
     olds = [F.when(state == "changed", F.col(f"x.{c}")).alias(f"old_{c}") for c in meaning]
-    return x.join(y, on, "full_outer").select(state.alias("state"), *[pick(c) for c in (*identity, *meaning, text)], *olds)
+    return x.join(y, "_place", "full_outer").select(state.alias("state"), *[pick(c) for c in (*identity, *meaning, text)], *olds)
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: Sequence[str], update: Sequence[str], ored: Sequence[str] = ()) -> DataFrame:

@@ -504,9 +504,16 @@ def islands(spark, sf_dir):
     return sequence.island_summary(read(spark, sf_dir, "events"), ["user_id"], "ts", 6 * 3600 * 1_000_000, S.since_epoch(F.col("ts"), "MICROSECOND"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS p, event_type = 'error' AS h FROM events),
+a AS (SELECT *, row_number() OVER w AS n, p - lag(p) OVER w AS step FROM e WINDOW w AS (PARTITION BY user_id ORDER BY p, h)),
+b AS (SELECT *, max(CASE WHEN step IS NULL OR step > 86400 THEN n END) OVER (PARTITION BY user_id ORDER BY n) AS stretch, max(CASE WHEN h THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS het FROM a),
+c AS (SELECT *, max(CASE WHEN n = stretch OR h AND n - het < 20 AND het >= stretch THEN n END) OVER (PARTITION BY user_id ORDER BY n) AS run FROM b),
+r AS (SELECT user_id, min(p) FILTER (NOT h) AS "start", max(p) FILTER (NOT h) AS "end", count(*) FILTER (NOT h) AS n_hom FROM c GROUP BY user_id, run)
+SELECT user_id, "start", "end", printf('%.1f', ("end" - "start") / 1000.0)::DOUBLE AS length_kb, n_hom FROM r WHERE n_hom >= 4 AND "end" - "start" >= 20000
+""")
 def homozygous_runs(spark, sf_dir):
-    """Greedy runs over events of a user; no SQL states it."""
+    """Runs over the events of a user, an error for a heterozygous site."""
     e = read(spark, sf_dir, "events")
     return sequence.homozygous_runs(e.withColumn("pos", S.since_epoch(F.col("ts"))), ["user_id"], "pos", F.col("event_type") == "error", 86400, 20, 1, 20000, 4)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import genotype as G
 from loomframe.functions import scalar as S
-from loomframe.operators import callers, cohort, facets, intervals, lookup, merge, paging, panels, rules, scores, sequence, vectors
+from loomframe.operators import callers, cohort, facets, intervals, lookup, merge, ordered, paging, panels, rules, scores, sequence, vectors
 
 COMP = str.maketrans("ACGT", "TGCA")
 
@@ -477,3 +477,59 @@ def test_facets_of_nothing(spark):
     assert tuple(m) == (None, None, None)
     two = spark.createDataFrame([("a", 1.0), (None, 2.0), ("a", None)], "k string, v double")
     assert [tuple(r) for r in facets.facet(two, "k").collect()] == [("a", 2), ("unknown", 1)] and facets.facet(two, "k", None).count() == 1
+
+
+# --- ordered scans ------------------------------------------------------------------------------------------------
+
+def test_one_group_of_all_rows_is_dealt_to_many_pieces(spark):
+    df = spark.createDataFrame([("g", i) for i in range(4000)], "g string, i long")
+    rows = ordered.pieces(df, ["g"], ["i"])
+    sizes = [r["count"] for r in rows.groupBy(ordered.PIECE).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+    got = ordered.before(rows, most=(F.max, F.col("i")), total=(F.sum, F.lit(1)), least=(F.min, -F.col("i"))).orderBy("i").collect()
+    assert [r["most"] for r in got] == [None, *range(3999)] and [r["total"] for r in got] == [None, *range(1, 4000)] and [r["least"] for r in got] == [None, *range(0, -3999, -1)]
+    assert all(r["i"] == r["_n"] for r in ordered.numbered(rows).collect())
+    same = spark.createDataFrame([(None, 1)] * 400 + [("a", None)] * 7, "g string, i long")
+    assert ordered.pieces(same, ["g"], ["i"], salted=True).select(f"{ordered.PIECE}.number").distinct().count() > 1
+    numbers = ordered.numbered(ordered.pieces(same, ["g"], ["i"], salted=True)).groupBy("g").agg(F.sort_array(F.collect_list("_n")).alias("n")).collect()
+    assert {r["g"]: r["n"] for r in numbers} == {None: list(range(400)), "a": list(range(7))}
+    assert ordered.numbered(ordered.pieces(df.limit(0), ["g"], ["i"])).count() == 0
+
+
+def plain_merge(rows):
+    out = []
+    for g, s, e in sorted(rows, key=lambda r: (r[0] is not None, r)):
+        if out and out[-1][0] == g and s <= out[-1][2]:
+            out[-1] = (g, out[-1][1], max(e, out[-1][2]), out[-1][3] + 1)
+        else:
+            out.append((g, s, e, 1))
+    return sorted(out, key=repr)
+
+
+def test_merge_islands_and_runs_over_pieces(spark, rows):
+    r = random.Random(2)
+    data = [("a", s, s + r.choice([1, 5, 40])) for s in (r.randrange(9000) for _ in range(900))] + [("a", 0, 9500)] * 2 + [(None, i * 3, i * 3 + 3) for i in range(300)] + [("b", 5, 5)]
+    df = spark.createDataFrame(data, "g string, s long, e long")
+    assert rows(intervals.merge(df, "g", "s", "e").select("g", "s", "e", "n")) == plain_merge(data)
+    assert rows(intervals.merge(df.filter("e < 9500"), "g", "s", "e").select("g", "s", "e", "n")) == plain_merge([x for x in data if x[2] < 9500])
+    pos = sorted({r.randrange(20000) for _ in range(3000)})
+    sites = [("x", p, r.random() < 0.1) for p in pos]
+    df = spark.createDataFrame(sites, "c string, p long, h boolean")
+    for gap, window, span, least in ((30, 20, 50, 3), (1000, 10, 0, 1), (5, 50, 0, 2)):
+        want = [("x", s, e, round((e - s) / 1000, 1), n) for s, e, n in sequence.scan_runs(np.array(pos), np.array([h for *_, h in sites]), gap, window, 1, span, least)]
+        assert rows(sequence.homozygous_runs(df, ["c"], "p", F.col("h"), gap, window, 1, span, least)) == sorted(want, key=repr)
+        want = [("x", s, e, round((e - s) / 1000, 1), n) for s, e, n in sequence.scan_runs(np.array(pos), np.array([h for *_, h in sites]), gap, window, 2, span, least)]
+        assert rows(sequence.homozygous_runs(df, ["c"], "p", F.col("h"), gap, window, 2, span, least)) == sorted(want, key=repr)
+    got = sequence.islands(df, ["c"], "p", 9).orderBy("p").collect()
+    assert [r["island"] for r in got] == list(1 + np.cumsum([0, *(b - a > 9 for a, b in zip(pos, pos[1:]))]))
+
+
+def test_multiset_diff_with_many_copies(spark, rows):
+    old = [("i", "a", "t")] * 50 + [("i", "b", f"u{k}") for k in range(60)]
+    new = [("i", "a", "t")] * 20 + [("i", "c", f"v{k}") for k in range(70)] + [("i", "b", "u0")]
+    kind = "i string, m string, t string"
+    got = merge.multiset_diff(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), ["i"], ["m"], "t")
+    assert {r["state"]: r["count"] for r in got.groupBy("state").count().collect()} == {"changed": 70, "removed": 19}
+    pairs = sorted((r["t"], r["old_m"]) for r in got.filter("state = 'changed'").collect())
+    left = [("t", "a")] * 30 + [(f"u{k}", "b") for k in sorted(range(60), key=lambda k: f"u{k}")[1:]]
+    assert pairs == sorted(zip((f"v{k}" for k in sorted(range(70), key=lambda k: f"v{k}")), (m for _, m in left[:70])))
