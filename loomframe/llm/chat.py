@@ -124,7 +124,7 @@ def formatted(
     The text's place is null for roles that are not learnt, and where the template doesn't give a text back whole.
     """
     rows = conversations.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = numbered(pieces(rows, ["conv"], ["turn", "role", F.xxhash64("text")], salted=True), ["conv"], "n")
+    rows = numbered(pieces(rows, ["conv"], ["turn", "role", F.xxhash64("text")], salted=True), "n")
     rows = rows.select("conv", F.expr(f"n - n % {turns}").alias("at"), "n", "role", "text")
     kind = rows.schema["conv"].dataType
 

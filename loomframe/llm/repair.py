@@ -188,7 +188,7 @@ def edits(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     said = F.trim(F.translate("text", BLANKS, " " * len(BLANKS)))
     place = F.instr(F.lit(INITIALS), F.substring("role", 1, 1))
     initial = F.when((F.col("role") == "") | (place == 0), 3).otherwise(place - 1)
-    facts = numbered(rows.withColumn("at", F.col(AT)), ["conv"]).select(
+    facts = numbered(rows.withColumn("at", F.col(AT))).select(
         "conv", "at", F.col("_n").alias("n"), initial.alias("initial"), (said == "").alias("blank"), (~F.right(said, F.lit(1)).isin(".", "!", "?")).alias("open"),
         F.sha2(F.concat(F.length("role"), F.lit(":"), "role", "text"), 256).alias("same"),
     )
