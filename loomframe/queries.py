@@ -533,8 +533,9 @@ def _calls(spark, sf_dir):
 WITH c AS ({CALLS_SQL}), p AS (SELECT a.sample_id AS s, b.sample_id AS s2, a.gt AS x, b.gt AS y FROM c a JOIN c b ON a.k = b.k AND a.sample_id < b.sample_id),
 g AS (SELECT s, s2, count(*)::BIGINT AS n_shared, count(*) FILTER (x[1] <> x[2])::BIGINT AS het_i, count(*) FILTER (y[1] <> y[2])::BIGINT AS het_j, count(*) FILTER (x[1] <> x[2] AND y[1] <> y[2])::BIGINT AS hethet, count(*) FILTER (x[1] = x[2] AND y[1] = y[2] AND x[1] <> y[1])::BIGINT AS ibs0 FROM p GROUP BY 1, 2)
 SELECT *, round((hethet - 2 * ibs0) / (het_i + het_j), 4) AS phi, round(ibs0 / n_shared, 5) AS ibs0_proportion,
-  CASE WHEN n_shared < 100 THEN 'indeterminate' WHEN (hethet - 2 * ibs0) / (het_i + het_j) > 0.354 THEN 'duplicate_or_mz_twin' WHEN (hethet - 2 * ibs0) / (het_i + het_j) > 0.177 THEN CASE WHEN ibs0 / n_shared < 0.0012 THEN 'parent_offspring' ELSE 'full_sibling' END
-  WHEN (hethet - 2 * ibs0) / (het_i + het_j) > 0.0884 THEN 'second_degree' WHEN (hethet - 2 * ibs0) / (het_i + het_j) > 0.0442 THEN 'third_degree' ELSE 'unrelated' END AS relationship FROM g
+  CASE WHEN het_i + het_j = 0 OR n_shared < 100 THEN 'indeterminate' WHEN (hethet - 2 * ibs0) / (het_i + het_j) > 0.354 THEN 'duplicate_or_mz_twin' WHEN (hethet - 2 * ibs0) / (het_i + het_j) >= 0.177 THEN CASE WHEN ibs0 / n_shared < 0.0012 THEN 'parent_offspring' ELSE 'full_sibling' END
+  WHEN (hethet - 2 * ibs0) / (het_i + het_j) >= 0.0884 THEN 'second_degree' WHEN (hethet - 2 * ibs0) / (het_i + het_j) >= 0.0442 THEN 'third_degree' ELSE 'unrelated' END AS relationship,
+  CASE WHEN het_i + het_j = 0 THEN 'no_heterozygous_information' WHEN n_shared < 100 THEN 'insufficient_shared_snps' END AS indeterminate_reason FROM g
 """)
 def pair_kinship(spark, sf_dir):
     return cohort.pair_statistic(_calls(spark, sf_dir), "sample_id", "k", F.substring("gt", 1, 1), F.substring("gt", 2, 1), least=100)

@@ -533,3 +533,20 @@ def test_multiset_diff_with_many_copies(spark, rows):
     pairs = sorted((r["t"], r["old_m"]) for r in got.filter("state = 'changed'").collect())
     left = [("t", "a")] * 30 + [(f"u{k}", "b") for k in sorted(range(60), key=lambda k: f"u{k}")[1:]]
     assert pairs == sorted(zip((f"v{k}" for k in sorted(range(70), key=lambda k: f"v{k}")), (m for _, m in left[:70])))
+
+
+def test_kinship_by_bit_planes(spark):
+    """Many groups of samples and several blocks of markers against plain counts."""
+    r = random.Random(7)
+    letters = [r.sample("ACGT", r.choice([2, 2, 2, 3])) for _ in range(300)]
+    calls = {s: {m: "".join(r.choice(letters[m]) for _ in "xy") for m in range(300) if r.random() < 0.8} for s in range(9)}
+    calls[9] = {1: "--", 2: "A", 400: "AA"}
+    data = [(s, f"m{m}", g) for s, own in calls.items() for m, g in own.items()] + [(0, "m1", "ZZ"), (3, None, "AA")]
+    df = spark.createDataFrame(data, "s long, k string, g string")
+    got = {(x["s"], x["s2"]): tuple(x[c] for c in ("n_shared", "het_i", "het_j", "hethet", "ibs0")) for x in cohort.pair_statistic(df, "s", "k", F.substring("g", 1, 1), F.substring("g", 2, 1), group_size=3).collect()}
+    want = {}
+    for a, b in itertools.combinations(range(9), 2):
+        both = [(calls[a][m], calls[b][m]) for m in calls[a].keys() & calls[b].keys()]
+        het = lambda g: g[0] != g[1]
+        want[a, b] = (len(both), sum(het(x) for x, _ in both), sum(het(y) for _, y in both), sum(het(x) and het(y) for x, y in both), sum(not het(x) and not het(y) and x != y for x, y in both))
+    assert got == want
