@@ -31,9 +31,10 @@ def join_best(left: DataFrame, right: DataFrame, on: Sequence[str], order: Seque
     return chosen.select("*", again).select(*left.columns, *[F.col(f"_best.{c}").alias(c) for c in take])
 
 
-def grid(left: DataFrame, right: DataFrame, parts: int = 64) -> DataFrame:
+def grid(left: DataFrame, right: DataFrame, parts: int | None = None) -> DataFrame:
     """Each row of left with each row of right, a small table such as a panel: right is repeated for each of parts shares of
-    left, so the pairs are made in as many tasks and nothing is broadcast."""
+    left, by default as many as a shuffle has partitions, so the pairs are made in as many tasks and nothing is broadcast."""
+    parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")).join(shares.hint("merge"), "_part").drop("_part")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,17 +62,18 @@ def nearest_centroid(points: DataFrame, means: DataFrame, id_col: str, vector: s
     return rows.select(id_col, first["label"].alias("nearest"), first["d"].alias("distance"), second["d"].alias("second_distance"), verdict.alias("verdict"))
 
 
-def knn_vote(queries: DataFrame, reference: DataFrame, id_col: str, ref_id: str, vector: str, label: str, k: int = 15, parts: int = 64) -> DataFrame:
-    """id, label, share: proportions among the k nearest rows of another id, ties by id.
+def knn_vote(queries: DataFrame, reference: DataFrame, id_col: str, ref_id: str, vector: str, label: str, k: int = 15, parts: int | None = None, same_ids: bool = True) -> DataFrame:
+    """id, label, share: proportions among the k nearest rows (of another id, if both tables have the same ids), ties by id.
 
-    The stated queries are dealt to each of parts shares of the reference; a share keeps k rows a query, and the best of
-    those are merged, so that a query's candidates never meet in one group.
+    The stated queries are dealt to each of parts shares of the reference, as many as a shuffle has partitions; a share
+    keeps k rows a query, and the best of those are merged, so that a query's candidates never meet in one group.
     """
+    parts = parts or int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select(F.col(id_col).alias("_q"), F.col(vector).cast("array<double>").alias("_qv"))
     r = reference.select(F.col(ref_id).alias("_r"), F.col(vector).cast("array<double>").alias("_rv"), F.col(label).alias("label"))
     q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     r = r.withColumn("_part", F.pmod(F.xxhash64("_r"), F.lit(parts)).cast("int"))
-    d = r.join(q.hint("merge"), "_part").filter("_q <> _r").select("_q", "_part", "_r", "label", squared_distance(F.col("_qv"), F.col("_rv")).alias("d"))
+    d = r.join(q.hint("merge"), "_part").filter("_q <> _r" if same_ids else "true").select("_q", "_part", "_r", "label", squared_distance(F.col("_qv"), F.col("_rv")).alias("d"))
     order = ["d", "_r"]
     d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_q", "_part").orderBy(*order))).filter(F.col("_n") <= k)
     near = d.withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy(*order))).filter(F.col("_n") <= k)
@@ -101,28 +104,58 @@ def simplex_fit(a: np.ndarray, b: np.ndarray, weight: float = 1e4, steps: int =
     return x / x.sum() if x.sum() > 0 else np.full(len(x), 1 / len(x))
 
 
-def mixture(points: DataFrame, id_col: str, vector: str, means: Sequence[Sequence[float]], labels: Sequence[str], resamples: int = 0, seed: int = 42) -> DataFrame:
-    """id, label, fraction (rounded to 4, the rest put on the largest) and, with resamples of the dimensions, low and high (2.5 and 97.5 %)."""
+def mixture(points: DataFrame, id_cols: Sequence[str], vector: str, means: Sequence[Sequence[float]], labels: Sequence[str], rounded: bool = True) -> DataFrame:
+    """id columns, label, fraction of a mixture of the means; rounded to 4, what that leaves put on the largest (ties: the first label)."""
     a = np.array(means, float).T
-    names = list(labels)
-    kind = points.schema[id_col].dataType.simpleString()
+    names, ids = list(labels), list(id_cols)
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in ids)
 
     def fit(batches):
         for pdf in batches:
             out = []
-            for key, v in zip(pdf[id_col], pdf[vector], strict=True):
-                b = np.array(v, float)
-                x = np.round(simplex_fit(a, b), 4)
-                x[x.argmax()] += round(1 - x.sum(), 4)
-                lo, hi = [None] * len(x), [None] * len(x)
-                if resamples:
-                    r = np.random.default_rng(seed)
-                    at = [r.integers(0, len(b), len(b)) for _ in range(resamples)]
-                    lo, hi = np.percentile([simplex_fit(a[i], b[i]) for i in at], [2.5, 97.5], axis=0)
-                out += [(key, n, float(f), *(None if z is None else float(z) for z in (p, q))) for n, f, p, q in zip(names, x, lo, hi, strict=True)]
-            yield pd.DataFrame(out, columns=[id_col, "label", "fraction", "low", "high"])
-
-    return points.select(id_col, vector).mapInPandas(fit, f"`{id_col}` {kind}, label string, fraction double, low double, high double")
+            for *key, v in zip(*(pdf[c] for c in ids), pdf[vector], strict=True):
+                x = simplex_fit(a, np.array(v, float))
+                if rounded:
+                    x = np.round(x, 4)
+                    x[x.argmax()] = round(x[x.argmax()] + round(1 - x.sum(), 8), 4)
+                out += [(*key, n, float(f)) for n, f in zip(names, x, strict=True)]
+            yield pd.DataFrame(out, columns=[*ids, "label", "fraction"])
+
+    return points.select(*ids, vector).mapInPandas(fit, f"{kinds}, label string, fraction double")
+
+
+#: The distribution of a Poisson variable of mean 1, in units of 2^-32: a uniform number's place among these is how often a marker is drawn.
+DRAWS = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def draws(marker: Column, resamples: int) -> Column:
+    """How often each of `resamples` resamples of the markers draws a marker: an array, from digests of marker and number."""
+    number = lambda r: F.conv(F.substring(F.md5(F.concat_ws(":", marker.cast("string"), r.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    times = lambda u: reduce(lambda x, y: x + y, [(u >= d).cast("int") for d in DRAWS])
+    return F.transform(F.sequence(F.lit(0), F.lit(resamples - 1)), lambda r: times(number(r)))
+
+
+def resampled_points(dosages: DataFrame, loadings: DataFrame, by: str, marker: str, n_components: int, resamples: int = 100) -> DataFrame:
+    """by, resample, point: the projection (see project) over markers drawn with replacement, as often as there are markers.
+
+    Draws of a marker are Poisson numbers, scaled by a resample's total, so they need no order of markers; all resamples
+    are sums of one aggregate, in which each map task adds up its rows first.
+    """
+    drawn = loadings.withColumn("_draws", draws(F.col(marker), resamples))
+    total = drawn.select(F.posexplode("_draws").alias("resample", "_d")).groupBy("resample").agg(F.sum("_d").alias("_sum"), F.count("*").alias("_markers"))
+    z = F.when(F.col("sd") > 0, (F.col("dosage") - F.col("mean")) / F.col("sd")).otherwise(0.0)
+    rows = dosages.filter("dosage is not null").join(drawn, marker).select(by, z.alias("_z"), "load", F.posexplode("_draws").alias("resample", "_d"))
+    # A draw of 0 stays, so that a sample has all its resamples.
+    sums = rows.groupBy(by, "resample").agg(*[F.sum(F.col("_d") * F.col("_z") * F.get("load", F.lit(i))).alias(f"_{i}") for i in range(n_components)])
+    scale = F.coalesce(F.try_divide("_markers", "_sum"), F.lit(0.0))
+    return sums.join(total, "resample").select(by, "resample", F.array(*[F.col(f"_{i}") * scale for i in range(n_components)]).alias("point"))
+
+
+def mixture_bounds(points: DataFrame, id_col: str, means: Sequence[Sequence[float]], labels: Sequence[str], width: float = 0.95) -> DataFrame:
+    """id, label, low and high: percentiles of the fractions of resampled points (id, resample, point), rounded to 4."""
+    parts = mixture(points, [id_col, "resample"], "point", means, labels, rounded=False)
+    ends = [(1 - width) / 2, (1 + width) / 2]
+    return parts.groupBy(id_col, "label").agg(*[F.round(F.percentile("fraction", F.lit(e)), 4).alias(n) for e, n in zip(ends, ("low", "high"), strict=True)])
 
 
 def inverse_distance_fractions(df: DataFrame, id_col: str, label: str, distance: str) -> DataFrame:

@@ -746,7 +746,7 @@ def mixture_fractions(spark, sf_dir):
     """Simplex fit of every vector to three corner vectors; iterative, no SQL."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     corners = [[float(i % 3 == c) / 4 for i in range(64)] for c in range(3)]
-    return vectors.mixture(e, "vec_id", "embedding", corners, ["a", "b", "c"])
+    return vectors.mixture(e, ["vec_id"], "embedding", corners, ["a", "b", "c"])
 
 
 # --- panels -------------------------------------------------------------------------------------------------------

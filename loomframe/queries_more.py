@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import genotype as G
 from loomframe.functions import scalar as S
-from loomframe.operators import callers, facets, intervals, lookup, merge, paging, panels, rules, scores, selection, sequence
+from loomframe.operators import callers, facets, intervals, lookup, merge, paging, panels, rules, scores, selection, sequence, vectors
 from loomframe.plans import ancestry, console
 from loomframe.plans import annotate as enrich
 from loomframe.sources import sinks, text
@@ -727,6 +727,40 @@ def ancestry_plan(spark, sf_dir):
     return out.select("sample_id", F.round("coverage", 6).alias("coverage"), "nearest", F.round("distance", 5).alias("distance"), "verdict", F.size("fractions").alias("n_fractions"))
 
 
+RESAMPLES = 20
+DRAWN = " + ".join(f"(u >= {d})::INT" for d in vectors.DRAWS)
+
+
+@query(f"""
+WITH c AS (SELECT l_suppkey % 40 AS sample_id, l_partkey AS k, min(CASE l_orderkey % 4 WHEN 0 THEN 'AA' WHEN 1 THEN 'AG' WHEN 2 THEN 'GG' ELSE '--' END) AS g FROM lineitem GROUP BY 1, 2),
+b AS (SELECT p_partkey AS k, p_size / 50.0 AS mean, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE 0.5 END AS sd, p_size / 1000.0 AS l1, (p_partkey % 10) / 1000.0 AS l2 FROM part),
+u AS (SELECT k, r, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(md5(k || ':' || r), 1, 8), ''), lambda x: instr('0123456789abcdef', x) - 1)), lambda x, y: x * 16 + y) AS u FROM b, range({RESAMPLES}) t(r)),
+w AS (SELECT k, r, {DRAWN} AS w FROM u), t AS (SELECT r, count(*) / sum(w) AS scale FROM w GROUP BY r),
+d AS (SELECT sample_id, k, CASE WHEN sd > 0 THEN ((g[1] = 'G')::INT + (g[2] = 'G')::INT - mean) / sd ELSE 0 END AS z, l1, l2 FROM c JOIN b USING (k) WHERE g <> '--'),
+p AS (SELECT sample_id, sum(z * l1) AS x, sum(z * l2) AS y, count(*) / (SELECT count(*) FROM b) AS coverage FROM d GROUP BY 1),
+f AS (SELECT *, greatest(0, least(1, (x * 5 + y) / 26)) AS e, x ** 2 + y ** 2 AS da, (x - 5) ** 2 + (y - 1) ** 2 AS de FROM p),
+q AS (SELECT sample_id, r, sum(w * z * l1) * any_value(scale) AS x, sum(w * z * l2) * any_value(scale) AS y FROM d JOIN w USING (k) JOIN t USING (r) GROUP BY 1, 2),
+i AS (SELECT sample_id, round(quantile_cont(e, 0.025), 4) AS low, round(quantile_cont(e, 0.975), 4) AS high FROM (SELECT sample_id, greatest(0, least(1, (x * 5 + y) / 26)) AS e FROM q) GROUP BY 1),
+n AS (SELECT sample_id, CASE WHEN vec_id % 3 = 0 THEN 'AFR' ELSE 'EUR' END AS label, row_number() OVER (PARTITION BY sample_id ORDER BY (x - 20 * embedding[1]::DOUBLE) ** 2 + (y - 2 * embedding[2]::DOUBLE) ** 2, vec_id) AS n FROM p, embeddings),
+v AS (SELECT sample_id, round(count(*) FILTER (label = 'EUR') / 15, 4) AS knn FROM n WHERE n <= 15 GROUP BY 1)
+SELECT sample_id, round(1 - coverage, 4) AS missing_rate, round(e, 4) AS eur, low, high, knn, round(greatest(0, least(1, ((1 - e4) * (1 - knn) + e4 * knn) / (sqrt((1 - e4) ** 2 + e4 ** 2) * sqrt((1 - knn) ** 2 + knn ** 2)))), 4) AS confidence,
+  CASE WHEN coverage < 0.05 OR sqrt(greatest(da, de)) / sqrt(least(da, de)) < 2 THEN 'gnomad_af_global' WHEN da <= de THEN 'gnomad_af_afr' ELSE 'gnomad_af_eur' END AS frequency_column
+FROM (SELECT *, round(e, 4) AS e4 FROM f) JOIN i USING (sample_id) JOIN v USING (sample_id)
+""")
+def ancestry_bounds(spark, sf_dir):
+    """Fractions with bounds by resampled markers, a neighbour vote over a reference, agreement of both and the frequency column."""
+    code = F.col("l_orderkey") % 4
+    g = F.when(code == 0, "AA").when(code == 1, "AG").when(code == 2, "GG").otherwise("--")
+    calls = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 40).alias("sample_id"), text_of(F.col("l_partkey")).alias("rsid"), g.alias("genotype"))
+    load = F.array(size() / 1000.0, key() % 10 / 1000.0)
+    bundle = parts(spark, sf_dir).select(text_of(key()).alias("rsid"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), (size() / 50.0).alias("mean"), F.when(size() % 7 == 0, 0.0).otherwise(0.5).alias("sd"), load.alias("load"))
+    at = lambda i, by: F.get("embedding", F.lit(i)).cast("double") * by
+    reference = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("ref_id"), F.array(at(0, 20), at(1, 2)).alias("point"), F.when(F.col("vec_id") % 3 == 0, "AFR").otherwise("EUR").alias("label"))
+    out = ancestry.infer(calls, bundle, {"AFR": (0, 0), "EUR": (5, 1)}, least=0.05, margin=2.0, resamples=RESAMPLES, reference=reference)
+    eur = lambda c: F.coalesce(F.try_element_at(c, F.lit("EUR")), F.lit(0.0))
+    return out.select("sample_id", "missing_rate", eur("fractions").alias("eur"), eur("low").alias("low"), eur("high").alias("high"), eur("knn_fractions").alias("knn"), "confidence", "frequency_column")
+
+
 @query("""
 WITH t AS (SELECT p_partkey, p_type AS trait, CASE p_size % 3 WHEN 0 THEN 'XX' WHEN 1 THEN 'XY' END AS sex, p_retailprice AS score FROM part)
 SELECT p_partkey, trait, CASE WHEN trait = 'PROMO' AND sex IS DISTINCT FROM 'XX' THEN 'XX' WHEN trait = 'ECONOMY' AND sex IS DISTINCT FROM 'XY' THEN 'XY' END AS gate,

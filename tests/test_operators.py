@@ -1,5 +1,6 @@
 """Operators on small frames made by hand: nulls, ties, empty tables, boundaries."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -336,11 +337,27 @@ def test_simplex_fit():
         assert got.min() >= 0 and math.isclose(got.sum(), 1) and np.sum((a @ got - b) ** 2) <= best + 1e-6
 
 
-def test_mixture_intervals(spark):
+def test_mixture_and_bounds_by_markers(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0, 0.5, 0.2]), (2, [0.5, 0.5, 0.5, 0.5])], "i int, v array<double>")
-    got = vectors.mixture(df, "i", "v", [[1.0, 0.0, 0.5, 0.2], [0.0, 1.0, 0.5, 0.8]], ["a", "b"], resamples=20).collect()
+    got = vectors.mixture(df, ["i"], "v", [[1.0, 0.0, 0.5, 0.2], [0.0, 1.0, 0.5, 0.8]], ["a", "b"]).collect()
     assert {(r["i"], r["label"]): r["fraction"] for r in got} == {(1, "a"): 1.0, (1, "b"): 0.0, (2, "a"): 0.5, (2, "b"): 0.5}
-    assert all(r["low"] <= r["fraction"] + 1e-9 and r["fraction"] <= r["high"] + 1e-9 for r in got if r["i"] == 1)
+    r = random.Random(6)
+    n, resamples, middles = 120, 30, [[0.0, 0.0], [30.0, 5.0], [-10.0, 25.0]]
+    load = [(f"m{i}", r.random() * 2, 0.0 if i % 11 == 0 else 0.5, [r.random(), r.random()]) for i in range(n)]
+    dosages = [(s, f"m{i}", r.choice([0, 1, 2, None])) for s in ("x", "y") for i in range(n) if s == "x" or i % 3] + [("y", "other", 2)]
+    loadings = spark.createDataFrame(load, "rsid string, mean double, sd double, load array<double>")
+    points = vectors.resampled_points(spark.createDataFrame(dosages, "s string, rsid string, dosage int"), loadings, "s", "rsid", 2, resamples)
+    times = np.array([[sum(int(hashlib.md5(f"{m}:{k}".encode()).hexdigest()[:8], 16) >= d for d in vectors.DRAWS) for k in range(resamples)] for m, *_ in load])
+    assert abs(times.mean() - 1) < 0.05 and times.max() >= 4
+    known = {(s, m): d for s, m, d in dosages}
+    for s in "xy":
+        z = np.array([(known[s, m] - mean) / sd if sd > 0 and known.get((s, m)) is not None else 0.0 for m, mean, sd, _ in load])
+        want = (times * z[:, None]).T @ np.array([x[3] for x in load]) * (n / times.sum(0))[:, None]
+        got = {r["resample"]: r["point"] for r in points.filter(F.col("s") == s).collect()}
+        assert len(got) == resamples and np.allclose([got[k] for k in range(resamples)], want)
+        parts = np.array([vectors.simplex_fit(np.array(middles).T, p) for p in want])
+        ends = {x["label"]: (x["low"], x["high"]) for x in vectors.mixture_bounds(points.filter(F.col("s") == s), "s", middles, ["a", "b", "c"]).collect()}
+        assert np.allclose([ends[c] for c in "abc"], np.percentile(parts, [2.5, 97.5], axis=0).T, atol=6e-5)
 
 
 # --- panels, cohorts, callers -------------------------------------------------------------------------------------
