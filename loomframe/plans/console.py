@@ -53,8 +53,8 @@ def _seq(items: Any) -> list[Any]:
     return [items.apply(i) for i in range(items.size())]
 
 
-def check_read_only(spark: SparkSession, sql: str, allowed: Sequence[str]) -> None:
-    """Raises unless the text parses to one plan that only reads, only allowed tables, by built-in functions.
+def check_read_only(spark: SparkSession, sql: str, allowed: Sequence[str | Sequence[str]]) -> None:
+    """Raises unless the text parses to one plan that only reads, only allowed tables (names, or lists of their parts), by built-in functions.
 
     The parsed plan decides, not the words in the text: every operator of it, of its common table expressions and of the
     subqueries in its expressions. A common table expression hides a table only where it is in scope.
@@ -66,7 +66,8 @@ def check_read_only(spark: SparkSession, sql: str, allowed: Sequence[str]) -> No
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise QueryError(str(e).split("\n")[0]) from None
-    tables = {a.lower() for a in allowed}
+    # Names are compared part by part: a part may hold a dot, and only a name of one part can be a common table expression.
+    tables = {tuple(x.lower() for x in (a.split(".") if isinstance(a, str) else a)) for a in allowed}
     holds_plan = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression")
 
     def function(parts: Sequence[str]) -> None:
@@ -92,9 +93,9 @@ def check_read_only(spark: SparkSession, sql: str, allowed: Sequence[str]) -> No
         if kind not in READS:
             raise QueryError(f"not a query: {kind}")
         if kind == "UnresolvedRelation":
-            name = ".".join(_seq(node.multipartIdentifier())).lower()
-            if name not in tables and name not in scope:
-                raise QueryError(f"not allowed: {name}")
+            name = tuple(x.lower() for x in _seq(node.multipartIdentifier()))
+            if name not in tables and not (len(name) == 1 and name[0] in scope):
+                raise QueryError(f"not allowed: {'.'.join(name)}")
         if kind == "UnresolvedTableValuedFunction":
             function(_seq(node.name()))
         if kind == "UnresolvedWith":

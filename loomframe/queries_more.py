@@ -110,19 +110,22 @@ def parse_allele_pairs(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT p_partkey AS k, p_size AS s FROM part)
-SELECT CASE WHEN s % 9 <> 0 THEN 'rs' || k END AS rsid, CASE WHEN k % 25 = 0 THEN 'MT' WHEN k % 25 = 24 THEN 'GL7' ELSE (k % 25)::VARCHAR END AS chrom, CASE WHEN s % 13 <> 0 THEN k END AS pos, 'A' AS ref, 'G' AS alt,
-  CASE s % 4 WHEN 0 THEN 'Likely pathogenic' WHEN 1 THEN 'Pathogenic' WHEN 2 THEN 'Pathogenic/Pathogenic, low penetrance|Established risk allele' ELSE 'Benign' END AS significance,
-  CASE s % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS review_stars, 'VCV' || lpad(k::VARCHAR, 9, '0') AS accession, 'some thing|x' AS conditions, CASE WHEN s % 5 <> 0 THEN 'GENE' || k % 10 END AS gene_symbol,
-  CASE WHEN k % 25 > 22 THEN 'chromosome' WHEN s % 13 = 0 THEN 'position' WHEN s % 9 = 0 OR k = 0 THEN 'no_rsid' END AS reason FROM t
+SELECT CASE WHEN s % 9 > 1 AND k > 0 THEN 'rs' || k END AS rsid, CASE WHEN k % 25 = 0 THEN 'MT' WHEN k % 25 = 24 THEN 'GL7' ELSE (k % 25)::VARCHAR END AS chrom, CASE WHEN s % 13 <> 0 THEN k END AS pos, 'A' AS ref, 'G' AS alt,
+  CASE WHEN s % 17 = 5 THEN NULL WHEN s % 4 = 0 THEN 'Likely pathogenic' WHEN s % 4 = 1 THEN 'Pathogenic' WHEN s % 4 = 2 THEN 'Pathogenic/Pathogenic, low penetrance|Established risk allele' ELSE 'Benign' END AS significance,
+  CASE WHEN s % 17 = 5 THEN 0 WHEN s % 3 = 0 THEN 3 WHEN s % 3 = 1 THEN 2 ELSE 0 END AS review_stars, CASE WHEN s % 17 = 5 THEN NULL WHEN s % 4 = 0 THEN 'VCV' || lpad(k::VARCHAR, 9, '0') WHEN s % 4 = 1 THEN 'RCV' || k END AS accession, CASE WHEN s % 17 <> 5 THEN 'some thing|x' END AS conditions,
+  CASE WHEN s % 17 <> 5 AND s % 5 > 1 THEN 'GENE' || k % 10 END AS gene_symbol, CASE WHEN s % 2 = 0 THEN k END AS variation_id, CASE WHEN s % 7 <> 0 THEN 'SO:1|x' END AS molecular_consequence,
+  CASE WHEN k % 25 = 0 OR k % 25 > 22 THEN 'chromosome' WHEN s % 13 = 0 THEN 'position' WHEN s % 9 = 1 OR s % 9 > 1 AND k = 0 THEN 'rsid' WHEN s % 9 = 0 AND s % 17 = 5 THEN 'no_info' END AS reason FROM t
 """)
 def parse_clinical(spark, sf_dir):
-    """Clinical VCF lines with reasons for those that are left out."""
+    """Clinical VCF lines with reasons for those that are left out; records without an id stay."""
     sig = F.when(size() % 4 == 0, "Likely_pathogenic").when(size() % 4 == 1, "Pathogenic/Likely_pathogenic").when(size() % 4 == 2, "Pathogenic/Pathogenic,_low_penetrance|Established_risk_allele").otherwise("Benign")
     status = F.when(size() % 3 == 0, "reviewed_by_expert_panel").when(size() % 3 == 1, "criteria_provided,_multiple_submitters,_no_conflicts").otherwise("something_else")
-    rs = F.when(size() % 9 == 0, "").otherwise(F.concat(F.lit("RS="), key(), F.lit(";")))
-    info = F.concat(rs, F.lit("CLNSIG="), sig, F.lit(";CLNREVSTAT="), status, F.lit(";CLNDN=some_thing|x;GENEINFO=GENE"), key() % 10, F.lit(":12|OTHER:13"))
-    chrom = F.when(key() % 25 == 0, "chrM").when(key() % 25 == 24, "GL7").otherwise(text_of(key() % 25))
-    own = lines(spark, sf_dir, chrom, F.when(size() % 13 == 0, "?").otherwise(text_of(key())), text_of(key()), "A", F.when(size() % 5 == 0, "G,T").otherwise("G"), ".", ".", info)
+    rs = F.when(size() % 9 == 0, "").when(size() % 9 == 1, "RS=abc;").otherwise(F.concat(F.lit("RS="), key(), F.lit(";")))
+    gene = F.when(size() % 5 == 0, "").when(size() % 5 == 1, F.concat(F.lit("GENEINFO=GENE"), key() % 10, F.lit(":12|OTHER:13;"))).otherwise(F.concat(F.lit("GENEINFO=GENE"), key() % 10, F.lit(":12;")))
+    ident = F.when(size() % 4 == 0, F.concat(F.lit("CLNVCID="), key(), F.lit(";"))).when(size() % 4 == 1, F.concat(F.lit("CLNACC=RCV"), key(), F.lit("|RCV2;"))).otherwise("")
+    known = F.when(size() % 17 == 5, "").otherwise(F.concat(F.lit("CLNSIG="), sig, F.lit(";CLNREVSTAT="), status, F.lit(";CLNDN=some_thing|x;"), gene, ident))
+    chrom = F.when(key() % 25 == 0, "chrM").when(key() % 25 == 24, "GL7").otherwise(F.concat(F.lit("chr"), key() % 25))
+    own = lines(spark, sf_dir, chrom, F.when(size() % 13 == 0, "?").otherwise(text_of(key())), F.when(size() % 2 == 0, text_of(key())).otherwise("."), "A", F.when(size() % 7 == 0, "G,T").otherwise("G"), ".", ".", F.concat(rs, known, F.lit("MC=SO:1|x")))
     return text.clinical(own)
 
 
@@ -163,10 +166,16 @@ def parse_transcript_scores(spark, sf_dir):
     return text.transcript_scores(rows, {"a": "least"}, {"b": "greatest"}, {"c": ("worst", {"D": 2, "P": 1, "B": 0})}).select("k", "least", "greatest", "worst")
 
 
-@query("SELECT 'rs' || p_partkey AS old_rsid, 'rs' || CASE WHEN p_size % 2 = 0 THEN p_partkey + 1 ELSE p_partkey + p_size % 3 END AS current_rsid, p_size AS build_id FROM part WHERE p_size % 2 = 0 OR p_size % 3 <> 0")
+@query("""
+WITH t AS (SELECT p_partkey AS k, p_size AS s FROM part), u AS (SELECT s, CASE WHEN s % 11 = 0 THEN NULL ELSE 'rs' || k END AS old_rsid, CASE WHEN s % 2 = 0 THEN 'rs' || (k + 1) WHEN s % 7 = 0 THEN NULL ELSE 'rs' || (k + s % 3) END AS current_rsid FROM t)
+SELECT old_rsid, current_rsid, CASE WHEN s % 5 <> 0 THEN s END AS build_id FROM u WHERE old_rsid <> current_rsid
+""")
 def parse_merge_history(spark, sf_dir):
-    now = F.when(size() % 2 == 0, text_of(key() + 1)).otherwise("")
-    return text.merge_history(lines(spark, sf_dir, text_of(key()), text_of(key() + size() % 3), text_of(size()), "0", "x", "y", now, "0", ""))
+    """Merged ids; some lines lack an id, some ids have their prefix already."""
+    now = F.when(size() % 2 == 0, F.concat(F.when(size() % 4 == 0, "rs").otherwise(""), key() + 1)).otherwise("")
+    old = F.when(size() % 11 == 0, " ").when(size() % 3 == 0, F.concat(F.lit("rs"), key())).otherwise(text_of(key()))
+    low = F.when(size() % 7 == 0, "").otherwise(text_of(key() + size() % 3))
+    return text.merge_history(lines(spark, sf_dir, old, low, F.when(size() % 5 == 0, "b1").otherwise(text_of(size())), "0", "x", "y", now, "0", "", head=("7\t8",)))
 
 
 @query("""

@@ -5,7 +5,9 @@ Lines are read with their place in the file only where a rule needs it; everythi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,12 @@ def chromosome(c: Column, vendor: str) -> Column:
     return F.when(name.isin(*G.CHROMOSOMES), name)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and record of text files: record orders lines by file, split and place in the split, whichever task reads them."""
+    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    return raw.select("value", F.struct("file_path", "file_block_start", "at").alias("record"))
+
+
 def _lines(df: DataFrame) -> DataFrame:
     return df.filter((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
 
@@ -130,7 +138,7 @@ def vcf(lines: DataFrame) -> DataFrame:
     rows = _lines(lines).filter(F.size(f) >= 8)
     chrom = F.regexp_replace(at(0), "(?i)^chr", "")
     chrom = F.when(F.upper(chrom) == "M", "MT").otherwise(chrom)
-    return rows.select(chrom.alias("chrom"), at(1).try_cast("long").alias("pos"), at(2).alias("id"), at(3).alias("ref"), at(4).alias("alt"), at(6).alias("filter"), info_map(at(7)).alias("info"), at(8).alias("format"), at(9).alias("sample"), F.size(f).alias("n_fields"))
+    return rows.select(chrom.alias("chrom"), at(1).try_cast("long").alias("pos"), at(2).alias("id"), at(3).alias("ref"), at(4).alias("alt"), at(6).alias("filter"), info_map(at(7)).alias("info"), at(8).alias("format"), at(9).alias("sample"), F.size(f).alias("n_fields"), at(0).alias("written"))
 
 
 def _for_alt(values: Column, n_alts: Column, i: Column) -> Column:
@@ -149,25 +157,32 @@ def frequencies(lines: DataFrame, numbers: Mapping[str, str]) -> DataFrame:
     return rows.filter("one <> ''").select(F.when(rsid != ".", rsid).alias("rsid"), "chrom", "pos", "ref", F.col("one").alias("alt"), *[number(k).alias(c) for k, c in numbers.items()])
 
 
-CLINICAL_KEYS = ("RS", "CLNSIG", "CLNREVSTAT", "CLNDN", "GENEINFO", "CLNVCID", "MC")
+CLINICAL_KEYS = ("RS", "CLNSIG", "CLNREVSTAT", "CLNDN", "GENEINFO", "CLNVCID", "CLNACC")
 
 
 def clinical(lines: DataFrame) -> DataFrame:
-    """Clinical assertions: rsid, chrom, pos, ref, alt (the first), significance, review_stars, accession, conditions, gene_symbol, reason."""
+    """Clinical assertions: rsid, chrom, pos, ref, alt (the first), significance, review_stars, accession, conditions, gene_symbol,
+    variation_id, molecular_consequence and reason.
+
+    A record without RS stays, to be found by its place; an RS that isn't a positive number makes the line malformed. A
+    gene counts if it is the only one; the consequence counts if there is one ALT.
+    """
     v = vcf(lines)
     get = lambda k: F.try_element_at("info", F.lit(k))
-    rs = get("RS")
-    single = ~F.contains("alt", F.lit(","))
-    some = F.lit(False)
-    for k in CLINICAL_KEYS:
-        some = some | get(k).isNotNull()
+    filled = lambda k: F.nullif(get(k), F.lit(""))
+    rs = filled("RS")
+    some = reduce(lambda x, y: x | y, [filled(k).isNotNull() for k in CLINICAL_KEYS])
     status = F.replace(get("CLNREVSTAT"), F.lit("_"), F.lit(" "))
-    reason = F.when(~F.col("chrom").isin(*G.CHROMOSOMES), "chromosome").when(F.col("pos").isNull(), "position").when(~some, "no_info").when(~F.coalesce(rs.rlike("^[0-9]+$") & (rs.try_cast("long") > 0), F.lit(False)), "no_rsid")
-    ident = F.coalesce(get("CLNVCID"), F.when(F.col("id") != ".", F.col("id")))
+    chrom = F.upper(F.regexp_replace("written", "^chr", ""))
+    bad_rs = rs.isNotNull() & ~F.coalesce(rs.rlike("^[0-9]+$") & rs.rlike("[1-9]"), F.lit(False))
+    reason = F.when(~chrom.isin(*G.CHROMOSOMES), "chromosome").when(F.col("pos").isNull(), "position").when(bad_rs, "rsid").when(~some, "no_info")
+    ident = filled("CLNVCID")
+    accession = F.when(ident.isNotNull(), F.concat(F.lit("VCV"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 9 - F.length(ident))), ident)).otherwise(F.substring_index(get("CLNACC"), "|", 1))
+    gene = F.nullif(F.regexp_extract(F.coalesce(get("GENEINFO"), F.lit("")), "^([A-Za-z0-9][A-Za-z0-9_.-]*):[1-9][0-9]*$", 1), F.lit(""))
     return v.select(
-        F.concat(F.lit("rs"), rs).alias("rsid"), "chrom", "pos", "ref", F.substring_index("alt", ",", 1).alias("alt"), significance_label(get("CLNSIG")).alias("significance"),
-        ranked(status, REVIEW_STARS).alias("review_stars"), F.when(ident.rlike("^[0-9]+$"), F.concat(F.lit("VCV"), F.lpad(ident, 9, "0"))).otherwise(ident).alias("accession"),
-        F.replace(get("CLNDN"), F.lit("_"), F.lit(" ")).alias("conditions"), F.when(single, F.substring_index(get("GENEINFO"), ":", 1)).alias("gene_symbol"), reason.alias("reason"),
+        F.when(~bad_rs, F.concat(F.lit("rs"), rs)).alias("rsid"), "chrom", "pos", "ref", F.substring_index("alt", ",", 1).alias("alt"), significance_label(get("CLNSIG")).alias("significance"),
+        ranked(status, REVIEW_STARS).alias("review_stars"), accession.alias("accession"), F.replace(filled("CLNDN"), F.lit("_"), F.lit(" ")).alias("conditions"), gene.alias("gene_symbol"),
+        F.col("id").try_cast("long").alias("variation_id"), F.when(~F.contains("alt", F.lit(",")), get("MC")).alias("molecular_consequence"), reason.alias("reason"),
     )
 
 
@@ -210,11 +225,14 @@ def transcript_scores(df: DataFrame, low: Mapping[str, str], high: Mapping[str,
 
 
 def merge_history(lines: DataFrame) -> DataFrame:
-    """old_rsid and current_rsid of an id history: field 7 is the current id, else field 2; merges into themselves go."""
+    """old_rsid, current_rsid and build_id of an id history: field 7 is the current id, else field 2.
+
+    Lines without an old or a current id, short ones and merges into themselves are left out; an id may have its prefix.
+    """
     f = F.split("value", "\t")
-    at = lambda i: F.trim(F.get(f, F.lit(i)))
-    now = F.when(F.coalesce(at(6), F.lit("")) != "", at(6)).otherwise(at(1))
-    rows = _lines(lines).filter(F.size(f) >= 7).select(F.concat(F.lit("rs"), at(0)).alias("old_rsid"), F.concat(F.lit("rs"), now).alias("current_rsid"), at(2).try_cast("int").alias("build_id"))
+    at = lambda i: F.nullif(F.trim(F.get(f, F.lit(i))), F.lit(""))
+    named = lambda c: F.when(F.startswith(c, F.lit("rs")), c).otherwise(F.concat(F.lit("rs"), c))
+    rows = _lines(lines).filter(F.size(f) >= 7).select(named(at(0)).alias("old_rsid"), named(F.coalesce(at(6), at(1))).alias("current_rsid"), at(2).try_cast("int").alias("build_id"))
     return rows.filter("old_rsid <> current_rsid")
 
 
@@ -236,19 +254,22 @@ def regulatory_bed(lines: DataFrame) -> DataFrame:
 
 
 def bed(lines: DataFrame) -> DataFrame:
-    """chrom, start, end, name, record (order) and reason of a BED panel: 0 <= start < end."""
+    """chrom, start, end, name, record (order) and reason of a BED panel: 0 <= start < end.
+
+    record is that of lines, if it has one (see numbered_lines), so that a task that is run again gives the same; else rows
+    are numbered as they come.
+    """
     f = F.split("value", r"\s+")
     at = lambda i: F.get(f, F.lit(i))
     start, end = at(1).try_cast("long"), at(2).try_cast("long")
     reason = F.when(F.size(f) < 3, "arity").when(start.isNull() | end.isNull(), "number").when((start < 0) | (start >= end), "range")
-    rows = _lines(lines).withColumn("record", F.monotonically_increasing_id()).filter(~F.col("value").rlike("^(track|browser)"))
+    rows = lines if "record" in lines.columns else lines.withColumn("record", F.monotonically_increasing_id())
+    rows = _lines(rows).filter(~F.col("value").rlike("^(track|browser)"))
     return rows.select(F.regexp_replace(at(0), "(?i)^chr", "").alias("chrom"), start.alias("start"), end.alias("end"), at(3).alias("name"), "record", reason.alias("reason"))
 
 
 def gene_list(text: str, most: int = 5000) -> tuple[list[str], list[str]]:
-    """Gene symbols of a list in order, each once, and warnings."""
-    import re
-
+    """Gene symbols of a list in order, each once, and warnings. A list without a symbol or with more than `most` is refused."""
     seen: dict[str, None] = {}
     warnings = []
     for line in text.splitlines():
@@ -258,8 +279,12 @@ def gene_list(text: str, most: int = 5000) -> tuple[list[str], list[str]]:
                 continue
             if not re.fullmatch(r"[A-Z][A-Z0-9\-.]{0,29}", name):
                 warnings.append(f"not a gene symbol: {token}")
-            elif len(seen) < most:
+            else:
                 seen.setdefault(name)
+    if not seen:
+        raise FormatError("no gene symbol in the list")
+    if len(seen) > most:
+        raise FormatError(f"a panel has at most {most} genes; the list has {len(seen)}")
     return list(seen), warnings
 
 

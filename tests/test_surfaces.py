@@ -51,15 +51,18 @@ def test_genotype_files(spark):
 def test_clinical_vcf(spark, tmp_path):
     rows = [
         "##x", "#CHROM\tPOS", "1\t100\t55\tA\tG,T\t.\t.\tRS=7;CLNSIG=Pathogenic/Likely_pathogenic;CLNREVSTAT=criteria_provided,_single_submitter;GENEINFO=BR:1;MC=SO:0001583|missense_variant",
-        "chrX\t5\t9\tA\tC\t.\t.\tRS=8;CLNSIG=Benign;GENEINFO=XG:3|YG:4;CLNREVSTAT=practice_guideline", "1\t6\t9\tA\tC\t.\t.\tRS=x;CLNSIG=Benign", "1\t7\t9\tA\tC\t.\t.\tAF=1", "GL1\t7\t9\tA\tC\t.\t.\tRS=1", "1\t2\tshort",
+        "chrX\t5\t9\tA\tC\t.\t.\tRS=8;CLNSIG=Benign;GENEINFO=XG:3|YG:4;CLNREVSTAT=practice_guideline", "1\t6\t9\tA\tC\t.\t.\tRS=x;CLNSIG=Benign", "1\t8\t9\tA\tC\t.\t.\tRS=;CLNSIG=Benign;CLNVCID=12", "1\t9\t.\tA\tC\t.\t.\tCLNACC=RCV1|RCV2", "1\t10\t.\tA\tC\t.\t.\tMC=SO:1", "1\t11\t.\tA\tC\t.\t.\tRS=000", "1\t7\t9\tA\tC\t.\t.\tAF=1", "GL1\t7\t9\tA\tC\t.\t.\tRS=1", "1\t2\tshort",
     ]
     path = tmp_path / "c.vcf.gz"
     path.write_bytes(gzip.compress("\n".join(rows).encode()))
     got = {r["pos"]: r for r in text.clinical(spark.read.text(str(path))).filter("chrom <> 'GL1'").collect()}
-    assert (got[100]["rsid"], got[100]["alt"], got[100]["significance"], got[100]["review_stars"], got[100]["accession"], got[100]["gene_symbol"]) == ("rs7", "G", "Pathogenic", 1, "VCV000000055", None)
-    assert (got[5]["chrom"], got[5]["review_stars"], got[5]["gene_symbol"]) == ("X", 4, "XG")
-    assert got[6]["reason"] == "no_rsid" and got[7]["reason"] == "no_info" and got[5]["reason"] is None
-    assert {r["reason"]: r["n"] for r in text.reasons(text.clinical(spark.read.text(str(path)))).collect()} == {"no_rsid": 1, "no_info": 1, "chromosome": 1}
+    assert (got[100]["rsid"], got[100]["alt"], got[100]["significance"], got[100]["review_stars"], got[100]["accession"], got[100]["gene_symbol"]) == ("rs7", "G", "Pathogenic", 1, None, "BR")
+    assert (got[100]["variation_id"], got[100]["molecular_consequence"]) == (55, None)
+    assert (got[5]["chrom"], got[5]["review_stars"], got[5]["gene_symbol"]) == ("X", 4, None)  # of two genes neither counts
+    assert got[6]["reason"] == got[11]["reason"] == "rsid" and got[7]["reason"] == got[10]["reason"] == "no_info" and got[5]["reason"] is None
+    assert (got[8]["rsid"], got[8]["accession"], got[8]["reason"]) == (None, "VCV000000012", None)  # stays, to be found by its place
+    assert (got[9]["rsid"], got[9]["accession"], got[9]["reason"]) == (None, "RCV1", None)
+    assert {r["reason"]: r["n"] for r in text.reasons(text.clinical(spark.read.text(str(path)))).collect()} == {"rsid": 2, "no_info": 2, "chromosome": 1}
 
 
 def test_frequency_and_nested_vcf(spark):
@@ -81,11 +84,24 @@ def test_imputed_vcf(spark):
 def test_other_scans(spark, tmp_path):
     m = text.merge_history(lines(spark, ["7\t3\t130\t0\tx\ty\t2\t0\tc", "8\t4\t130\t0\tx\ty\t\t0\tc", "9\t9\t130\t0\tx\ty\t9\t0\tc", "1\t2"]))
     assert [(r["old_rsid"], r["current_rsid"]) for r in m.collect()] == [("rs7", "rs2"), ("rs8", "rs4")]
+    odd = text.merge_history(lines(spark, ["\t".join(x) for x in (["", "3", "", "", "", "", "2"], ["rs7", "3", "b", "", "", "", "rs9"], ["7", " ", "", "", "", "", " "], ["rs7", "7", "", "", "", "", ""])]))
+    assert [tuple(r) for r in odd.collect()] == [("rs7", "rs9", None)]
     b = text.bed(lines(spark, ["track x", "#c", "chr1\t5\t9\tn", "1\t9\t5", "1\ta\t5", "1\t2"])).collect()
     assert [(r["chrom"], r["start"], r["end"], r["name"], r["reason"]) for r in b] == [("1", 5, 9, "n", None), ("1", 9, 5, None, "range"), ("1", None, 5, None, "number"), ("1", 2, None, None, "arity")]
     c = text.regulatory_bed(lines(spark, ["chr1\t1\t5\tEHD1\tEH38E1\tPLS", "chr1\t1\t5\tE2,dELS\tx", "chrZ\t1\t5\tE\tPLS", "1\t1\t5\tE\tzzz", "1\tq\t5\tE\tPLS"])).collect()
     assert [(r["accession"], r["ccre_class"], r["reason"]) for r in c] == [("EH38E1", "PLS", None), ("E2", "dELS", None), ("E", "PLS", "invalid_chrom"), ("E", None, "unknown_class"), ("E", "PLS", "malformed")]
     assert text.gene_list("brca1, TP53;x y\n# c\nBRCA1 9z") == (["BRCA1", "TP53", "X", "Y"], ["not a gene symbol: 9z"])
+    for bad in ("# none", "9z", " ".join(f"G{i}" for i in range(5001))):
+        with pytest.raises(text.FormatError):
+            text.gene_list(bad)
+    path = tmp_path / "panel.bed"
+    path.write_text("".join(f"chr1\t{i}\t{i + 5}\tn{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        split = text.bed(text.numbered_lines(spark, f"file://{path}")).orderBy("record").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r["record"]["file_block_start"] for r in split}) > 3 and [r["start"] for r in split] == list(range(3000))
     head = ["MAPPED_TRAIT", "DISEASE/TRAIT", "INITIAL SAMPLE SIZE", "OR or BETA", "95% CI (TEXT)", "SNPS", "P-VALUE"]
     g = spark.createDataFrame([("body height", "", "1,200 men and 300 women", "1.2", "[1.1-1.3]", "rs1", "3e-9"), ("", "Height", "none", "0.3", "[0.1-0.4] unit increase", "rs2; rs3", "x"), ("eye", "", "", "", "", "rs4", "1"), ("height", "", "", "", "", "chr1", "1")], head)
     assert [tuple(r) for r in text.associations(g, ["height"]).collect()] == [("rs1", "body height", 3e-9, 1.2, True, 1500), ("rs2", "Height", None, 0.3, False, None)]
@@ -147,6 +163,7 @@ def test_text_sinks(spark, tmp_path):
         "SELECT * FROM (WITH secret AS (SELECT 1 AS x) SELECT x FROM secret) JOIN secret", "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 AS x) SELECT * FROM a", "SELECT nothing_known(i) FROM t", "SELECT input_file_name() FROM t",
         "SELECT i FROM t WHERE EXISTS (SELECT 1 FROM secret WHERE x = i)", "SELECT sum(i) OVER (ORDER BY (SELECT max(x) FROM secret)) FROM t", "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM t, LATERAL (SELECT * FROM secret)",
         "EXECUTE IMMEDIATE 'SELECT * FROM secret'", "BEGIN SELECT 1; END", "SELECT IDENTIFIER('reflect')('java.lang.System', 'nanoTime')", "SELECT transform(array(1), x -> reflect('java.lang.System', 'nanoTime'))", "FROM secret |> SELECT x",
+        "WITH `parquet./etc` AS (SELECT 1 AS x) SELECT x FROM parquet.`/etc`", "WITH `db.secret` AS (SELECT 1 AS x) SELECT x FROM db.secret", "SELECT * FROM `t.x`",
     ],
 )
 def test_console_refuses(spark, sql):
