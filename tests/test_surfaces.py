@@ -94,7 +94,7 @@ def test_other_scans(spark, tmp_path):
     for bad in ("# none", "9z", " ".join(f"G{i}" for i in range(5001))):
         with pytest.raises(text.FormatError):
             text.gene_list(bad)
-    path = tmp_path / "panel.bed"
+    path = tmp_path.parent / f"{tmp_path.name}.bed"
     path.write_text("".join(f"chr1\t{i}\t{i + 5}\tn{i}\n" for i in range(3000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:
