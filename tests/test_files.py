@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.sources import plink
+from loomframe.sources import bundles, plink
 
 
 def read_fileset(folder):
@@ -58,3 +58,54 @@ def test_an_empty_fileset_has_samples_and_no_parts(spark, tmp_path):
     df = spark.createDataFrame([("a", "r", "1", 1, "A", "G", None)], "sample_id string, rsid string, chrom string, pos long, ref string, alt string, zygosity string")
     plink.write(df, str(tmp_path / "set"))
     assert read_fileset(tmp_path / "set") == (["a"], [])
+
+
+def a_bundle(n=40, k=3, **other):
+    r = np.random.default_rng(2)
+    own = {
+        "loadings": np.asfortranarray(r.random((n, k))), "means": r.random(n), "stds": np.ones(n, np.float32), "eigenvalues": np.arange(k, 0, -1.0), "tw_pvalues": np.zeros(20),
+        "aim_rsids": np.array([f"rs{i}" for i in range(n)]), "aim_rsids_23andme": np.array([f"rs{i}" for i in range(n)]), "aim_chroms": np.array(["1"] * n), "aim_positions_grch38": np.arange(n, dtype=np.int32),
+        "aim_a1": np.array(["G"] * n), "aim_a2": np.array(["A"] * n), "populations": np.array(["AFR", "EUR"]), "population_centroids": r.random((2, k)), "ref_pca_coords": r.random((7, k)),
+        "ref_labels": np.array(["AFR", "EUR"] * 3 + ["EUR"]), "ref_sample_ids": np.array([f"s{i}" for i in range(7)]), "n_significant_pcs": np.array(2), "n_total_snps": np.array(90), "n_selected_aims": np.array(n),
+    } | other
+    return {name: x for name, x in own.items() if x is not None}
+
+
+def test_npz_bundles(spark, tmp_path):
+    own = a_bundle()
+    for save, name in ((np.savez, "plain.npz"), (np.savez_compressed, "packed.npz")):
+        path = str(tmp_path / name)
+        save(path, **own)
+        p = bundles.projection(spark, path)
+        got = p.markers.orderBy("pos").collect()
+        assert np.allclose([r["load"] for r in got], own["loadings"]) and [r["mean"] for r in got] == list(own["means"]) and (got[3]["rsid"], got[3]["ref"], got[3]["sd"]) == ("rs3", "A", 1.0)
+        assert {x: list(map(float, v)) for x, v in zip(own["populations"], own["population_centroids"])} == p.centroids and p.reference.count() == 7
+    few = spark.read.format("npz").option("path", path).option("members", "ref_pca_coords,ref_labels").option("rows", "2").load()
+    assert few.rdd.getNumPartitions() == 4 and np.allclose([r["ref_pca_coords"] for r in few.orderBy("row").collect()], own["ref_pca_coords"])
+    assert few.columns == ["row", "ref_pca_coords", "ref_labels"]
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"extra": np.zeros(2)}, {"means": None}, {"means": np.zeros(39)}, {"loadings": np.zeros(40)}, {"tw_pvalues": np.zeros(19)}, {"population_centroids": np.zeros((2, 4))}, {"ref_labels": np.array(["ZZZ"] * 7)},
+     {"aim_rsids_23andme": np.array(["rs1"] * 40)}, {"means": np.full(40, np.nan)}, {"aim_a1": np.array([{}] * 40, dtype=object)}, {"populations": np.array(["EUR", "EUR"])}],
+)
+def test_npz_bundles_that_are_refused(spark, tmp_path, change):
+    path = str(tmp_path / "b.npz")
+    np.savez(path, **a_bundle(**change))
+    with pytest.raises(bundles.BundleError):
+        bundles.projection(spark, path)
+
+
+def test_tree_bundles(tmp_path):
+    snp = {"rsid": "i1", "allele": "G", "pos": 5}
+    leaf = {"haplogroup": "H1", "defining_snps": [snp], "children": [], "optional_conflict_snps": [{"rsid": "i2", "allele": "T"}]}
+    whole = {"trees": {"mt": {"haplogroup": "L", "defining_snps": [], "children": [leaf]}, "Y": {"haplogroup": "A", "defining_snps": [], "children": []}}}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(whole))
+    found = bundles.trees(str(path))
+    assert found["mt"].children[0].markers == (("i1", "G"),) and found["mt"].children[0].guards == (("i2", "T"),) and found["Y"].name == "A"
+    for bad in ("{", "[]", '{"trees": {"mt": {}}}', json.dumps({"trees": whole["trees"] | {"Y": {"haplogroup": "A", "defining_snps": [{"rsid": "x"}], "children": []}}})):
+        path.write_text(bad)
+        with pytest.raises(bundles.BundleError):
+            bundles.trees(str(path))
