@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,29 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that lost executors cost no recomputation of what is above."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def publish(df: DataFrame, folder: str, name: str) -> bool:
+    """df written as Parquet beside folder/name and moved there by one rename; False, and nothing written, if the name is taken."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    aside, place = path(f"{folder}/_{name}-{uuid.uuid4().hex}"), path(f"{folder}/{name}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        return False
+    df.write.parquet(aside.toString())
+    if fs.exists(place) or not fs.rename(aside, place):
+        fs.delete(aside, True)
+        return False
+    return True
+
+
+def discard(spark: SparkSession, place: str) -> None:
+    """Removes a folder, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, place: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -30,13 +30,18 @@ def head(spark: SparkSession, path: str, n: int = SNIFF_LINES) -> list[str]:
     return [r["value"] for r in spark.read.text(path).limit(n).collect()]
 
 
-def sniff(lines: Sequence[str], raw: bytes = b"") -> str:
-    """The vendor of a genotype file: "a" (four columns) or "b" (five). Raises FormatError with what the file looks like."""
+def refuse_binary(raw: bytes) -> None:
+    """Raises FormatError if a file's first bytes are no text."""
     first = raw[:SNIFF_BYTES]
     if first.startswith(b"PK\x03\x04"):
         raise FormatError("a ZIP archive; unpack it first")
     if b"\0" in first:
         raise FormatError("a binary file")
+
+
+def sniff(lines: Sequence[str], raw: bytes = b"") -> str:
+    """The vendor of a genotype file: "a" (four columns) or "b" (five). Raises FormatError with what the file looks like."""
+    refuse_binary(raw)
     own = [x.rstrip("\r\n") for x in lines[:SNIFF_LINES]]
     low = [x.lower() for x in own]
     if any("23andme" in x for x in low) or any(x.lstrip("# ").split("\t") == ["rsid", "chromosome", "position", "genotype"] for x in low):
@@ -90,8 +95,8 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.filter((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
 
 
-def genotypes(lines: DataFrame, vendor: str) -> DataFrame:
-    """rsid, chrom, pos, genotype and reason (null for a good row) of the data lines (column value)."""
+def genotypes(lines: DataFrame, vendor: str, keep: Sequence[str] = ()) -> DataFrame:
+    """rsid, chrom, pos, genotype, reason (null for a good row), value and the columns in keep of the data lines (column value)."""
     f = F.split(F.rtrim("value"), "\t")
     n = 4 if vendor == "a" else 5
     at = lambda i: F.trim(F.get(f, F.lit(i)))
@@ -106,7 +111,7 @@ def genotypes(lines: DataFrame, vendor: str) -> DataFrame:
     reason = (
         F.when(F.size(f) != n, "arity").when(at(0) == "", "rsid").when(chrom.isNull(), "chromosome").when(pos.isNull() | (pos < 0), "position").when(gt == "", "genotype")
     )
-    return rows.select(at(0).alias("rsid"), chrom.alias("chrom"), pos.alias("pos"), gt.alias("genotype"), reason.alias("reason"), "value")
+    return rows.select(at(0).alias("rsid"), chrom.alias("chrom"), pos.alias("pos"), gt.alias("genotype"), reason.alias("reason"), "value", *keep)
 
 
 def strict(parsed: DataFrame) -> DataFrame:

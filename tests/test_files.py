@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.sources import bundles, plink
+from loomframe.sources import archives, bundles, plink
 
 
 def read_fileset(folder):
@@ -109,3 +109,66 @@ def test_tree_bundles(tmp_path):
         path.write_text(bad)
         with pytest.raises(bundles.BundleError):
             bundles.trees(str(path))
+
+
+A = "# This data file generated by 23andMe\n# build 37\n# rsid\tchromosome\tposition\tgenotype\n"
+
+
+def zipped(**files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files.items():
+            z.writestr(name.replace("_", "."), data)
+    return out.getvalue()
+
+
+def lying(data):
+    """An archive whose headers say that its file has 5 bytes."""
+    raw, size = bytearray(zipped(a_txt=data)), len(data).to_bytes(4, "little")
+    for at in [i for i in range(len(raw)) if raw[i : i + 4] == size]:
+        raw[at : at + 4] = (5).to_bytes(4, "little")
+    return bytes(raw)
+
+
+def test_uploads(spark, tmp_path):
+    good = (A + "".join(f"rs{i}\t1\t{i}\tAG\n" for i in range(1, 9000)) + "i\xe9\t2\t5\t--\r\nrs9\tX\t7\tA").encode("latin-1")
+    b = "#AncestryDNA raw data download\nrsid\tchromosome\tposition\tallele1\tallele2\nrs5\t1\t9\tT\tC\n".encode()
+    files = {
+        "good.zip": zipped(in_txt=good), "same.txt": good, "b.txt": b, "two.zip": zipped(a_txt=good, b_txt=good), "csv.zip": zipped(a_csv=good), "bomb.zip": zipped(a_txt=A.encode() + b"x" * 3_000_000), "lying.zip": lying(A.encode() + b"\n" * 3_000_000),
+        "large.txt": b"#" * 2_000_000, "broken.zip": b"PK\x03\x04binary", "notes.txt": b"hello world\nnot genotype data\n", "binary.txt": b"a\0b", "bad.txt": (A + "rs1\t1\t5\tAG\nrs2\t99\t5\tAG\n").encode(), "old.txt": A.replace("37", "36").encode() + b"rs1\t1\t5\tAG\n", "empty.txt": b"", "none.txt": A.encode(),
+    }
+    (tmp_path / "in").mkdir()
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    root = str(tmp_path / "store")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in archives.ingest(spark, str(tmp_path / "in"), root, "one", most=1_000_000).collect()}
+    assert {k: r["reason"] for k, r in got.items()} == {
+        "good.zip": None, "same.txt": "known", "b.txt": None, "two.zip": "the archive has to hold one file", "csv.zip": "the archive has to hold a .txt file", "bomb.zip": "too large", "lying.zip": got["lying.zip"]["reason"], "large.txt": "too large",
+        "broken.zip": "not a readable archive", "notes.txt": "unknown format", "binary.txt": "a binary file", "bad.txt": "chromosome", "old.txt": "a build 36 file needs a chain", "none.txt": "no calls",
+    }
+    assert got["lying.zip"]["reason"] in ("too large", "not a readable archive") and got["lying.zip"]["n_bytes"] <= 1_000_000
+    one = got["good.zip"]
+    assert (one["name"], one["vendor"], one["version"], one["build"], one["n_variants"], one["n_nocalls"], one["n_bytes"]) == ("in.txt", "a", "v4", "GRCh37", 9001, 1, len(good)) and one["file_hash"] == hashlib.sha256(good).hexdigest()
+    calls = archives.committed(spark, root)
+    assert calls.count() == 9002 and calls.filter("rsid = 'i�' and genotype = '--'").count() == 1 and calls.filter("genotype = 'CT'").count() == 1
+    again = archives.ingest(spark, str(tmp_path / "in" / "good.zip"), root, "two", most=1_000_000).collect()
+    assert [r["reason"] for r in again] == ["known"] and archives.committed(spark, root).count() == 9002
+
+
+def test_a_batch_that_was_broken_off_leaves_nothing(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_bytes((A + "rs1\t1\t5\tAG\n").encode())
+    root, write = str(tmp_path / "store"), archives.publish
+
+    def broken(df, folder, name):
+        if folder.endswith("files"):
+            raise KeyboardInterrupt
+        return write(df, folder, name)
+
+    monkeypatch.setattr(archives, "publish", broken)
+    with pytest.raises(KeyboardInterrupt):
+        archives.ingest(spark, str(tmp_path / "a.txt"), root, "one")
+    assert archives.committed(spark, root).count() == 0
+    monkeypatch.setattr(archives, "publish", write)
+    for _ in range(2):
+        archives.ingest(spark, str(tmp_path / "a.txt"), root, "one")
+        assert archives.committed(spark, root).count() == 1
