@@ -107,57 +107,134 @@ def flatten(root: Node) -> list[tuple[str, str, str, bool, bool]]:
 
 
 def marker_counts(genotypes: DataFrame, root: Node, sample: str = "sample_id") -> DataFrame:
-    """sample, node and counts of the node's own markers: present (derived allele seen), conflicting; guarded: a guard is
-    typed and not purely derived. Only nodes of which the sample has a marker; the tree goes to the genotypes."""
-    rows = genotypes.sparkSession.createDataFrame([(n, m, a, g) for n, m, a, own, g in flatten(root) if own], "node string, rsid string, allele string, guard boolean")
-    own = genotypes.groupBy(sample, "rsid").agg(F.min("genotype").alias("g"))
-    x = own.join(F.broadcast(rows), "rsid")
+    """sample, node and counts: present (derived allele seen) and conflicting of the node's own markers, all_present and
+    all_conflicting of those that it repeats of its ancestors too; guarded: a guard is typed and not purely derived.
+
+    Only nodes of which the sample has a marker. The tree's markers go to the genotypes, which are broadcast if Spark finds
+    them small.
+    """
+    kinds = "node string, rsid string, allele string, own boolean, guard boolean"
+    rows = genotypes.sparkSession.createDataFrame(flatten(root), kinds)
+    called = genotypes.groupBy(sample, "rsid").agg(F.min("genotype").alias("g"))
+    x = called.join(rows, "rsid")
     typed = ~G.is_no_call(F.col("g"))
     seen = F.contains(F.upper("g"), F.upper("allele"))
     pure = F.replace(F.upper("g"), F.upper("allele"), F.lit("")) == ""
     marker = typed & ~F.col("guard")
-    return x.groupBy(sample, "node").agg(F.count_if(marker & seen).alias("present"), F.count_if(marker & ~seen).alias("conflicting"), F.bool_or(typed & F.col("guard") & ~pure).alias("guarded"))
+    counts = {"present": marker & F.col("own") & seen, "conflicting": marker & F.col("own") & ~seen, "all_present": marker & seen, "all_conflicting": marker & ~seen}
+    return x.groupBy(sample, "node").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.bool_or(typed & F.col("guard") & ~pure).alias("guarded"))
 
 
-def walk(root: Node, counts: Mapping[str, tuple[int, ...]], fraction: float = 0.5) -> list[str]:
-    """Names from the root down: at each node the child that nothing contradicts, with a marker present and at least fraction of
-    its own markers; best fraction first, then most markers. A child without own evidence may be passed through to one that has it.
+@dataclass(frozen=True)
+class Descent:
+    """Rules of a descent. fraction: of a node's own markers that have to be present. floor: own markers without which an inner
+    node is no result but may be passed through, unless its only marker is in trusted. passable: markers whose node may be
+    passed through where none of its own is typed."""
 
-    counts: node -> present, conflicting, total and perhaps guarded. A guard withholds its node and doesn't exclude it: if the
-    child that comes first is guarded, the walk ends above it; a guarded child that loses to a sibling changes nothing.
-    """
-    path, node = [root.name], root
-    while True:
-        best = None
-        for child in node.children:
-            n, bad, total, *guarded = counts.get(child.name, (0, 0, 0))
-            if bad == 0 and n >= 1 and n / total >= fraction:
-                rank = (n / total, n, [child.name])
-            elif bad == 0 and n == 0:
-                below = walk(child, counts, fraction)
-                if len(below) < 2:
-                    continue
-                n, _, total, *_ = counts[below[-1]]
-                rank = (n / total, n, below)
-            else:
-                continue
-            if best is None or rank[:2] > best[0][:2]:
-                best = (rank, bool(guarded and guarded[0]))
-        if best is None or best[1]:
-            return path
-        path += best[0][2]
-        names = {c.name: c for c in _all(node)}
-        node = names[path[-1]]
+    fraction: float = 0.5
+    floor: int = 1
+    trusted: frozenset[str] = frozenset()
+    passable: frozenset[str] = frozenset()
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """A tree in order from the leaves up: name, children, number of own and all markers, and whether it is trusted or passable."""
+
+    steps: list[tuple[str, list[str], int, int, bool, bool]]
+
+    @classmethod
+    def of(cls, root: Node, rules: Descent) -> _Plan:
+        own, every = Counter(), Counter()
+        special: dict[str, set[str]] = {}
+        for node, marker, _, is_own, guard in flatten(root):
+            if not guard:
+                every[node] += 1
+                own[node] += is_own
+                if is_own:
+                    special.setdefault(node, set()).add(marker)
+        steps, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            marks = special.get(node.name, set())
+            steps.append((node.name, [c.name for c in node.children], own[node.name], every[node.name], bool(marks & rules.trusted), bool(marks & rules.passable)))
+            stack += node.children
+        return cls(steps[::-1])
 
 
-def _all(node: Node) -> list[Node]:
-    return [node, *(x for c in node.children for x in _all(c))]
+Way = tuple[list[str], int, int, int]  # names below a node, and over them: own markers present, own markers, nodes that have some
 
 
-def descend(genotypes: DataFrame, root: Node, sample: str = "sample_id") -> DataFrame:
-    """sample, haplogroup, path and confidence (present of total over the path). The walk runs per sample over its node counts."""
-    totals = Counter(n for n, _, _, own, guard in flatten(root) if own and not guard)
-    met = marker_counts(genotypes, root, sample).groupBy(sample).agg(F.collect_list(F.struct("node", "present", "conflicting", "guarded")).alias("c"))
+def _score(way: Way) -> tuple[int, float, int]:
+    _, present, total, depth = way
+    return present, present / total if total else 0.0, depth
+
+
+def walk(root: Node, counts: Mapping[str, tuple], rules: Descent = Descent(), plan: _Plan | None = None) -> list[str]:
+    """Names from the root down the best supported way.
+
+    counts: node -> present and conflicting own markers, own markers, and perhaps whether a guard speaks against the node, and
+    conflicting markers with repeated ones.
+
+    One pass from the leaves up keeps each node's best way below it. Among a node's children that nothing contradicts, the
+    one with the greatest share of own markers (then the most, then the first) is the direct candidate. Children that
+    only repeat markers of their ancestors, sparse inner nodes and passable ones count if their way goes on below them.
+    Candidates are compared by present markers, their share and the number of nodes that have some. A guard withholds its
+    node: if that node would come first, the way ends above it; if it would not, it is left out.
+    """
+    plan = plan or _Plan.of(root, rules)
+    below: dict[str, Way | None] = {}
+    static = {name: (bool(inner), total, trusted, passable) for name, inner, total, _, trusted, passable in plan.steps}
+
+    def best(children: list[str]) -> tuple[str | None, Way | None]:
+        direct, passed = None, []
+        for c in children:
+            n, bad, _, *more = counts.get(c, (0, 0, 0))
+            inner, total, trusted, passable = static[c]
+            if not total:
+                passed.append((c, 0, 0))
+            elif bad:
+                continue
+            elif not n:
+                if inner and passable:
+                    passed.append((c, 0, total))
+            elif n / total >= rules.fraction:
+                if inner and total < rules.floor and not (trusted and total == 1):
+                    passed.append((c, n, total))
+                elif direct is None or (n / total, n) > direct[0]:
+                    direct = ((n / total, n), c, n, total)
+        found: tuple[str | None, Way | None] = (None, None)
+        if direct:
+            _, c, n, total = direct
+            names, p, t, d = below[c] or ([], 0, 0, 0)
+            found = c, ([c, *names], n + p, total + t, 1 + d)
+        for c, n, total in passed:
+            _, bad, _, *more = counts.get(c, (0, 0, 0))
+            if below[c] is None or (more[1] if len(more) > 1 else bad):
+                continue
+            names, p, t, d = below[c]
+            way = [c, *names], n + p, total + t, d + (total > 0)
+            if found[1] is None or _score(way) > _score(found[1]):
+                found = c, way
+        return found
+
+    guarded = lambda c: bool(len(counts.get(c, ())) > 3 and counts[c][3])
+    for name, children, *_ in plan.steps:
+        first, way = best(children)
+        if first is not None and guarded(first):
+            way = None
+        elif any(guarded(c) for c in children):
+            _, way = best([c for c in children if not guarded(c)])
+        below[name] = way
+    return [root.name, *(below[root.name] or ([],))[0]]
+
+
+def descend(genotypes: DataFrame, root: Node, sample: str = "sample_id", rules: Descent = Descent()) -> DataFrame:
+    """sample, haplogroup, path and confidence (present of all markers of the path's nodes; null without one). The walk runs per sample over its node counts."""
+    plan = _Plan.of(root, rules)
+    own, every = {n: t for n, _, t, *_ in plan.steps}, {n: t for n, _, _, t, *_ in plan.steps}
+    names = ("node", "present", "conflicting", "guarded", "all_present", "all_conflicting")
+    met = marker_counts(genotypes, root, sample).groupBy(sample).agg(F.collect_list(F.struct(*names)).alias("c"))
     counts = genotypes.select(sample).distinct().join(met, sample, "left")
     kind = counts.schema[sample].dataType.simpleString()
 
@@ -165,10 +242,9 @@ def descend(genotypes: DataFrame, root: Node, sample: str = "sample_id") -> Data
         for pdf in batches:
             out = []
             for s, c in zip(pdf[sample], pdf["c"], strict=True):
-                table = {n: (0, 0, k, False) for n, k in totals.items()}
-                table |= {x["node"]: (int(x["present"]), int(x["conflicting"]), totals[x["node"]], bool(x["guarded"])) for x in (c if c is not None else ())}
-                path = walk(root, table)
-                n, total = sum(table.get(p, (0,))[0] for p in path), sum(totals[p] for p in path)
+                rows = {x["node"]: x for x in (c if c is not None else ())}
+                path = walk(root, {n: (int(x["present"]), int(x["conflicting"]), own[n], bool(x["guarded"]), int(x["all_conflicting"])) for n, x in rows.items()}, rules, plan)
+                n, total = sum(int(rows[p]["all_present"]) for p in path if p in rows), sum(every[p] for p in path)
                 out.append((s, path[-1], path, n / total if total else None))
             yield pd.DataFrame(out, columns=[sample, "haplogroup", "path", "confidence"])
 

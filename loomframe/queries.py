@@ -848,7 +848,7 @@ WITH c AS ({CALLS_SQL}), x AS (SELECT sample_id, {', '.join(f"min(gt) FILTER (k
 n AS (SELECT sample_id, {_node_sql('l', (1, 'G'), (2, 'G'))}, {_node_sql('l1', (3, 'A'))}, {_node_sql('l2', (4, 'G'), (5, 'A'), guard=(9, 'G'))}, {_node_sql('m', (6, 'A'), (7, 'A'))}, {_node_sql('m1', (8, 'G'))} FROM x),
 k AS (SELECT *, {_rank_sql('l')} AS l, {_rank_sql('l1')} AS l1, {_rank_sql('l2')} AS l2, {_rank_sql('m')} AS m, {_rank_sql('m1')} AS m1 FROM n),
 via AS (SELECT *, CASE WHEN l1 IS NULL AND l2 IS NULL THEN NULL WHEN l2 IS NULL OR l1 >= l2 THEN 'L1' WHEN NOT l2_g THEN 'L2' END AS below_l, CASE WHEN m1 IS NOT NULL THEN 'M1' END AS below_m FROM k),
-s AS (SELECT *, coalesce(l, CASE WHEN l_bad = 0 AND l_n = 0 THEN CASE below_l WHEN 'L1' THEN l1 WHEN 'L2' THEN l2 END END) AS sl, coalesce(m, CASE WHEN m_bad = 0 AND m_n = 0 AND below_m IS NOT NULL THEN m1 END) AS sm FROM via),
+s AS (SELECT *, l AS sl, m AS sm FROM via),
 t AS (SELECT *, CASE WHEN sl IS NULL AND sm IS NULL THEN '' WHEN sm IS NULL OR sl >= sm THEN 'L' ELSE 'M' END AS top FROM s),
 p AS (SELECT *, CASE top WHEN 'L' THEN below_l WHEN 'M' THEN below_m END AS leaf FROM t)
 SELECT sample_id, coalesce(leaf, nullif(top, ''), 'root') AS haplogroup, concat_ws('>', 'root', nullif(top, ''), leaf) AS path,
@@ -863,6 +863,26 @@ def tree_descent(spark, sf_dir):
     return callers.descend(calls, tree).select("sample_id", "haplogroup", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"""
+WITH c AS ({CALLS_SQL}), x AS (SELECT sample_id, {', '.join(f"min(gt) FILTER (k = {k}) AS r{k}" for k in range(1, 10))} FROM c GROUP BY 1),
+n AS (SELECT sample_id, {_node_sql('l', (1, 'G'), (2, 'G'))}, {_node_sql('l1', (3, 'A'))}, {_node_sql('l2', (4, 'G'), (5, 'A'), guard=(9, 'G'))}, {_node_sql('m', (6, 'A'))}, {_node_sql('m1', (7, 'A'), (8, 'G'))} FROM x),
+k AS (SELECT *, {_rank_sql('l')} AS l, {_rank_sql('l1')} AS l1, {_rank_sql('l2')} AS l2, {_rank_sql('m1')} AS m1 FROM n),
+b AS (SELECT *, CASE WHEN l1 IS NULL AND l2 IS NULL THEN NULL WHEN l2 IS NULL OR l1 >= l2 THEN 'L1' WHEN NOT l2_g THEN 'L2' END AS below FROM k),
+u AS (SELECT *, CASE below WHEN 'L1' THEN l1_n WHEN 'L2' THEN l2_n ELSE 0 END AS bn, CASE below WHEN 'L1' THEN l1_t WHEN 'L2' THEN l2_t ELSE 0 END AS bt FROM b),
+w AS (SELECT *, CASE WHEN l IS NOT NULL OR l_bad = 0 AND l_n = 0 AND below IS NOT NULL THEN (l_n + bn) * 1000000 + (l_n + bn) / (l_t + bt) * 1000 + 1 + (below IS NOT NULL)::INT END AS ls,
+  CASE WHEN m_bad = 0 AND m_n = 1 AND m1 IS NOT NULL THEN (m_n + m1_n) * 1000000 + (m_n + m1_n) / (m_t + m1_t) * 1000 + 2 END AS ms FROM u),
+t AS (SELECT *, CASE WHEN ls IS NULL AND ms IS NULL THEN '' WHEN ms IS NULL OR ls >= ms THEN 'L' ELSE 'M' END AS top FROM w)
+SELECT sample_id, CASE top WHEN 'L' THEN concat_ws('>', 'root', 'L', below) WHEN 'M' THEN 'root>M>M1' ELSE 'root' END AS path, CASE top WHEN 'L' THEN round((l_n + bn) / (l_t + bt), 6) WHEN 'M' THEN round((m_n + m1_n) / (m_t + m1_t), 6) END AS confidence FROM t
+""")
+def sparse_descent(spark, sf_dir):
+    """Descent where an inner node of one marker and one that isn't typed may be passed through and are no result."""
+    node = callers.Node
+    tree = node("root", (), [node("L", (("rs1", "G"), ("rs2", "G")), [node("L1", (("rs3", "A"),)), node("L2", (("rs4", "G"), ("rs5", "A")), guards=(("rs9", "G"),))]), node("M", (("rs6", "A"),), [node("M1", (("rs7", "A"), ("rs8", "G")))])])
+    calls = _calls(spark, sf_dir).select("sample_id", F.concat(F.lit("rs"), "k").alias("rsid"), F.col("gt").alias("genotype"))
+    rules = callers.Descent(floor=2, passable=frozenset({"rs1"}))
+    return callers.descend(calls, tree, rules=rules).select("sample_id", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
+
+
 # --- text in and out ----------------------------------------------------------------------------------------------
 
 @query("""

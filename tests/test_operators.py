@@ -483,10 +483,71 @@ def test_tree_walk():
     tree = n("r", (), [n("A", (("1", "G"), ("2", "G")), [n("A1", (("3", "G"),)), n("A2", (("4", "G"), ("5", "G")))]), n("B", (("6", "G"),)), n("P", (("9", "G"),), [n("P1", (("7", "G"), ("8", "G"), ("10", "G")))])])
     assert callers.walk(tree, {"A": (2, 0, 2), "A1": (1, 0, 1), "A2": (2, 0, 2)}) == ["r", "A", "A2"]
     assert callers.walk(tree, {"A": (1, 1, 2), "B": (1, 0, 1)}) == ["r", "B"]
-    assert callers.walk(tree, {"P": (0, 0, 1), "P1": (3, 0, 3)}) == ["r", "P", "P1"]
+    untyped = {"P": (0, 0, 1), "P1": (3, 0, 3)}
+    assert callers.walk(tree, untyped) == ["r"] and callers.walk(tree, untyped, callers.Descent(passable=frozenset({"9"}))) == ["r", "P", "P1"]
     assert callers.walk(tree, {}) == ["r"]
 
 
+def plain_walk(node, counts, rules, seen=frozenset()):
+    """The rules read literally, each child's way walked anew: (names, [(present, own markers)])."""
+    seen = seen | {m for m, _ in node.markers}
+    value = lambda s: (sum(a for a, _ in s), sum(a for a, _ in s) / sum(b for _, b in s) if sum(b for _, b in s) else 0.0, sum(b > 0 for _, b in s))
+
+    def pick(children):
+        direct, passed = None, []
+        for c in children:
+            own = [m for m, _ in c.markers if m not in seen]
+            n, bad, *_ = counts.get(c.name, (0, 0, 0))
+            if not own:
+                passed.append((c, 0, 0))
+            elif not bad and not n and c.children and set(own) & rules.passable:
+                passed.append((c, 0, len(own)))
+            elif not bad and n and n / len(own) >= rules.fraction:
+                if c.children and len(own) < rules.floor and not (len(own) == 1 and own[0] in rules.trusted):
+                    passed.append((c, n, len(own)))
+                elif direct is None or (n / len(own), n) > direct[0]:
+                    direct = ((n / len(own), n), c, len(own))
+        out = (None, [], [])
+        if direct:
+            names, support = plain_walk(direct[1], counts, rules, seen)
+            out = (direct[1].name, [direct[1].name, *names], [(direct[0][1], direct[2]), *support])
+        for c, n, total in passed:
+            names, support = plain_walk(c, counts, rules, seen)
+            way = [(n, total), *support]
+            if names and not (counts[c.name][4] if c.name in counts else 0) and (out[0] is None or value(way) > value(out[2])):
+                out = (c.name, [c.name, *names], way)
+        return out
+
+    guarded = {c.name for c in node.children if c.name in counts and counts[c.name][3]}
+    first = pick(node.children)
+    if first[0] in guarded:
+        return [], []
+    return pick([c for c in node.children if c.name not in guarded])[1:]
+
+
+def test_support_ranked_descent():
+    r = random.Random(12)
+    for _ in range(400):
+        names = iter(range(1000))
+        marks = [f"m{i}" for i in range(12)]
+
+        def grow(depth):
+            own = tuple((m, "G") for m in r.sample(marks, r.choice([0, 1, 1, 2, 3])))  # noqa: B023
+            return callers.Node(f"n{next(names)}", own, [grow(depth - 1) for _ in range(r.choice([0, 1, 2, 3]) if depth else 0)])  # noqa: B023
+
+        root = grow(4)
+        typed = {m: r.choice([True, True, True, False, None]) for m in marks}
+        rules = callers.Descent(floor=r.choice([1, 2]), trusted=frozenset(r.sample(marks, 2)), passable=frozenset(r.sample(marks, 4)))
+        counts, stack = {}, [(root, frozenset())]
+        while stack:
+            node, above = stack.pop()
+            own = [m for m, _ in node.markers if m not in above]
+            state = lambda ms, x: sum(typed[m] is x for m in ms)  # noqa: B023, E731
+            counts[node.name] = (state(own, True), state(own, False), len(own), r.random() < 0.1, state([m for m, _ in node.markers], False))
+            stack += [(c, above | {m for m, _ in node.markers}) for c in node.children]
+        assert callers.walk(root, counts, rules) == [root.name, *plain_walk(root, counts, rules)[0]]
+
+
 def test_facets_of_nothing(spark):
     empty = spark.createDataFrame([], "k string, v double")
     assert facets.facet(empty, "k").count() == 0 and facets.histogram(empty, "v", 1.0, F.col("k"), ["a"]).count() == 0
