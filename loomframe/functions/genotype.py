@@ -172,3 +172,18 @@ def allelic_state(chrom: Column, pos: Column, zyg: Column, sex: Column) -> Colum
     single = (sex == "XY") & (zyg == "hom_alt") & (((c == "X") & ~in_x_par(pos)) | (c == "Y"))
     plain = F.when(zyg == "het", "heterozygous").when(zyg == "hom_alt", "homozygous").when(zyg == "hom_ref", "reference")
     return F.when(mito & (zyg == "hom_alt"), "homoplasmic").when(mito & (zyg == "het"), "heteroplasmic").when(F.coalesce(single, F.lit(False)), "hemizygous").otherwise(plain)
+
+
+def anchor_dosage(g: Column, effect: Column, other: Column) -> Column:
+    """struct(dosage int, status) of one directly typed marker: resolved, untyped, palindrome (a homozygote whose strand nothing tells) or unresolved.
+
+    A heterozygote of a palindromic pair has one copy on either strand.
+    """
+    found = effect_dosage(g, effect, other, F.lit(None).cast("double"))
+    u, a, b = _ends(g)
+    e, o = F.upper(F.trim(effect)), F.upper(F.trim(other))
+    inside = a.isin(e, o) & b.isin(e, o)
+    answer = lambda dose, status: F.struct(F.lit(dose).cast("int").alias("dosage"), F.lit(status).alias("status"))
+    known = F.struct(found["dosage"].alias("dosage"), F.lit("resolved").alias("status"))
+    pair = F.coalesce((found["status"] == "missing_freq") & inside, F.lit(False))
+    return F.when(is_no_call(g), answer(None, "untyped")).when(found["dosage"].isNotNull(), known).when(pair & (a != b), answer(1, "resolved")).when(pair, answer(None, "palindrome")).otherwise(answer(None, "unresolved"))

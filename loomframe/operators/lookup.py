@@ -145,3 +145,14 @@ def reclassified(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFr
 def one_place_each(df: DataFrame, key: str, place: Sequence[str], show: int = 5) -> DataFrame:
     """Keys that stand at several places, at most show of them; empty if the table is clean."""
     return df.groupBy(key).agg(F.count_distinct(*place).alias("n")).filter("n > 1").orderBy(key).limit(show)
+
+
+def by_context(df: DataFrame, figures: DataFrame, key: str, context: Column, take: Sequence[str]) -> DataFrame:
+    """df with take of the figures (key, context, take) for its key and context, else of the context's row without a key."""
+    own = figures.select(F.struct(F.col(key).alias("k"), F.col("context").alias("c")).alias("_at"), F.struct(*take).alias("_v"))
+    one = own.groupBy("_at").agg(F.min("_v").alias("_v"))
+    rows = df.withColumn("_c", context)
+    rows = rows.withColumns({"_at": F.struct(F.col(key).alias("k"), F.col("_c").alias("c")), "_any": F.struct(F.lit(None).cast(df.schema[key].dataType).alias("k"), F.col("_c").alias("c"))})
+    first = rows.join(one, "_at", "left").withColumnRenamed("_v", "_own")
+    both = first.join(one.select(F.col("_at").alias("_any"), F.col("_v").alias("_rest")), "_any", "left")
+    return both.select(*df.columns, *[F.when(F.col("_own").isNotNull(), F.col(f"_own.{c}")).otherwise(F.col(f"_rest.{c}")).alias(c) for c in take])

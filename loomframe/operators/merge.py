@@ -165,3 +165,16 @@ def stale(recorded: DataFrame, now: DataFrame, name: str, version: str) -> DataF
     any_ = recorded.agg((F.count("*") > 0).alias("_any")).withColumn("_k", F.lit(1))
     out = n.join(r, name, "left").join(any_, "_k").filter(F.col("_any") & ~F.col("recorded_version").eqNullSafe(F.col("current_version")))
     return out.select(name, "recorded_version", "current_version")
+
+
+def still_declared(stored: DataFrame, declared: DataFrame, key: Sequence[str], take: Sequence[str], withheld: Column, kept: Column, caveat: str, text: str = "text") -> DataFrame:
+    """Stored rows that the declarations loaded now still have, with take of these in place of their own.
+
+    Rows of a withheld call go, unless they are to be kept: then their text ends with the caveat, once.
+    """
+    now = declared.groupBy(*key).agg(F.min(F.struct(*take)).alias("_now"))
+    rows = stored.drop(*take).join(now, list(key))
+    gone = F.coalesce(withheld, F.lit(False))
+    rows = rows.filter(~gone | F.coalesce(kept, F.lit(False)))
+    told = F.when(gone & ~F.contains(text, F.lit(caveat)), F.concat_ws(" ", text, F.lit(caveat))).otherwise(F.col(text))
+    return rows.withColumn(text, told).select(*[c for c in stored.columns if c not in take], *[F.col(f"_now.{c}").alias(c) for c in take])

@@ -185,3 +185,15 @@ def gate(checks: Sequence[tuple[str, Column]], passed: Column | None = None, ok:
 def surfaceable(chrom: Column, sex: Column) -> Column:
     """All but chromosome Y of samples that are known to be XX."""
     return ~(F.upper(chrom).isin("Y", "CHRY") & F.coalesce(sex == "XX", F.lit(False)))
+
+
+def consented(df: DataFrame, consent: Column, numbers: Sequence[str]) -> DataFrame:
+    """df with opt_in_required; the numbers of a row without consent are null. An unknown consent is none."""
+    given = F.coalesce(consent, F.lit(False))
+    return df.withColumns({"opt_in_required": ~given} | {c: F.when(given, F.col(c)) for c in numbers})
+
+
+def sex_context(recorded: Column, inferred: Column) -> Column:
+    """female, male or unresolved: the recorded sex counts before the inferred one."""
+    sex = F.coalesce(F.when(recorded.isin("XX", "XY"), recorded), inferred)
+    return F.when(sex == "XX", "female").when(sex == "XY", "male").otherwise("unresolved")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -181,8 +182,32 @@ def condition(dosages: Mapping[str, Column], spec: Any, key: str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def classify_rules(df: DataFrame, dosages: Mapping[str, Column], models: Sequence[Mapping[str, Any]], mode: str = "first_match", suppressed: Column | None = None) -> DataFrame:
-    """df with calls, names of the matching models in order: the first only, or all. A model has name, match and perhaps veto, another match that must not hold."""
+def concordant_dosages(dosages: Mapping[str, Column], partners: Mapping[str, Sequence[str]]) -> tuple[dict[str, Column], Column]:
+    """dosages in which that of a tag is unknown where a known partner has fewer copies, and the array of such tags.
+
+    A partner that has more, or that isn't known, says nothing against the tag. Partners' own dosages are read as they were.
+    """
+    below = {}
+    for tag, others in partners.items():
+        less = [F.coalesce(dosages[p] < dosages[tag], F.lit(False)) for p in others if p in dosages]
+        below[tag] = reduce(lambda x, y: x | y, less, F.lit(False))
+    adjusted = {n: F.when(~below[n], d) if n in below else d for n, d in dosages.items()}
+    discordant = F.filter(F.array(*[F.when(b, F.lit(n)) for n, b in below.items()]), lambda x: x.isNotNull()) if below else F.array().cast("array<string>")
+    return adjusted, discordant
+
+
+def classify_rules(
+    df: DataFrame, dosages: Mapping[str, Column], models: Sequence[Mapping[str, Any]], mode: str = "first_match", suppressed: Column | None = None,
+    partners: Mapping[str, Sequence[str]] | None = None, caveat: Column | None = None,
+) -> DataFrame:
+    """df with calls, names of the matching models in order: the first only, or all. A model has name, match and perhaps veto, another match that must not hold.
+
+    With partners (tag -> markers that have to have as many copies) dosages are made concordant first, and discordant
+    lists the tags that were not. caveat is a text beside calls that stand, as of another ancestry; suppressed takes them away.
+    """
+    if partners is not None:
+        dosages, discordant = concordant_dosages(dosages, partners)
+        df = df.withColumn("discordant", discordant)
     items = []
     for m in models:
         ok = F.lit(True)
@@ -201,7 +226,8 @@ def classify_rules(df: DataFrame, dosages: Mapping[str, Column], models: Sequenc
         raise ValueError(f"unknown mode: {mode}")
     if suppressed is not None:
         calls = F.when(F.coalesce(suppressed, F.lit(False)), F.array().cast("array<string>")).otherwise(calls)
-    return df.withColumn("calls", calls)
+    out = df.withColumn("calls", calls)
+    return out if caveat is None else out.withColumn("caveat", F.when(F.size("calls") > 0, caveat))
 
 
 def disease_status(df: DataFrame, gene: str, mode: str, zygosity: str, locus: Sequence[str]) -> DataFrame:

@@ -36,6 +36,25 @@ def vcf_lines(df: DataFrame, keep_no_calls: bool = False) -> DataFrame:
     return rows.select(F.struct(chromosome_order(F.col("chrom"), G.CHROMOSOMES).alias("o"), "pos", "rsid").alias("k"), line.alias("value"))
 
 
+RESOLVED = ("hom_ref", "het", "hom_alt")
+
+
+def refuse_unresolved(df: DataFrame) -> DataFrame:
+    """df as it is; a VCF of all positions stops the job if a row's zygosity is unresolved, as it would leave the row out or guess."""
+    known = F.coalesce(F.col("zygosity").isin(*RESOLVED), F.lit(False))
+    return df.filter(F.when(known, True).otherwise(F.raise_error(F.lit("unresolved zygosity: export CSV, TSV or JSON, or filter to resolved positions")).cast("boolean")))
+
+
+def export(df: DataFrame, path: str, kind: str, all_positions: bool = False) -> None:
+    """Rows of a query in order of place as csv, tsv, json or vcf; only what the sample carries, unless all positions are asked for."""
+    rows = df if all_positions else df.filter(F.col("zygosity").isin("het", "hom_alt"))
+    if kind == "vcf":
+        write_vcf(refuse_unresolved(rows), path)
+    else:
+        place = [chromosome_order(F.col("chrom"), G.CHROMOSOMES), F.col("pos")]
+        write_table(rows.repartitionByRange(*place).sortWithinPartitions(*place), path, kind)
+
+
 def write_vcf(df: DataFrame, path: str, header: Sequence[str] = HEADER, single: bool = False) -> None:
     """Lines in order of place over part files, the header at the top of the first; joined in order of name they are one VCF.
     single: one file, which one task writes."""
@@ -92,6 +111,47 @@ def write_table(df: DataFrame, path: str, kind: str) -> None:
         out.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
 
 
+def _uuid(*parts: Column) -> Column:
+    """A version 5 style name from content, so that a document that is made again has the same ids."""
+    h = F.sha1(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+#: Codes of the components of an observation and of allelic states.
+COMPONENTS = (("gene_symbol", "48018-6", "Gene studied"), ("rsid", "81255-2", "dbSNP ID"), ("ref", "69547-8", "Genomic ref allele"), ("alt", "69551-0", "Genomic alt allele"))
+STATES = {"het": ("LA6706-1", "Heterozygous"), "hom_alt": ("LA6705-3", "Homozygous"), "hemi": ("LA6707-9", "Hemizygous")}
+MAX_OBSERVATIONS = 10_000
+
+
+def resource_documents(df: DataFrame, sample: str = "sample_id", most: int = MAX_OBSERVATIONS) -> DataFrame:
+    """sample and document: a bundle of a report and an observation for each carried row, in order of place. The report refers to
+    the observations by ids that follow from their content; equal rows of a sample are one. More than `most` stop the job.
+
+    df: sample, chrom, pos, ref, alt, rsid, gene_symbol, zygosity (het, hom_alt or hemi).
+    """
+    system = "http://loinc.org"
+    coded = lambda code, shown: F.struct(F.array(F.struct(F.lit(system).alias("system"), F.lit(code).alias("code"), F.lit(shown).alias("display"))).alias("coding"))
+    part = lambda column, code, shown: F.when(F.col(column).isNotNull(), F.struct(coded(code, shown).alias("code"), F.col(column).alias("valueString")))
+    state = F.coalesce(*[F.when(F.col("zygosity") == z, F.struct(coded("53034-5", "Allelic state").alias("code"), F.lit(shown).alias("valueString"))) for z, (_, shown) in STATES.items()])
+    place = F.struct(coded("81254-5", "Genomic allele start-end").alias("code"), F.concat_ws(":", "chrom", F.col("pos").cast("string")).alias("valueString"))
+    parts = F.filter(F.array(*[part(*c) for c in COMPONENTS], place, state), lambda x: x.isNotNull())
+    rows = df.filter(F.col("zygosity").isin(*STATES)).select(sample, "chrom", "pos", "ref", "alt", "rsid", "gene_symbol", "zygosity").distinct()
+    ident = _uuid(F.lit("observation"), F.col(sample), *[F.col(c) for c in ("chrom", "pos", "ref", "alt", "rsid", "gene_symbol", "zygosity")])
+    rows = rows.withColumn("_id", ident)
+    body = F.struct(F.lit("Observation").alias("resourceType"), F.col("_id").alias("id"), F.lit("preliminary").alias("status"), coded("69548-6", "Genetic variant assessment").alias("code"), coded("LA9633-4", "Present").alias("valueCodeableConcept"), parts.alias("component"))
+    order = F.struct(chromosome_order(F.col("chrom"), G.CHROMOSOMES).alias("o"), F.col("chrom"), F.col("pos"), F.col("_id"))
+    sized = rows.groupBy(sample).agg(F.count("*").alias("_n"))
+    sized = sized.filter(F.when(F.col("_n") <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} observations")).cast("boolean")))
+    made = rows.join(sized, sample).groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(order.alias("order"), F.concat(F.lit("urn:uuid:"), F.col("_id")).alias("url"), body.alias("body")))).alias("_o"))
+    every = df.select(sample).distinct().join(made, sample, "left")
+    urls = F.coalesce(F.transform("_o", lambda x: F.struct(x["url"].alias("reference"))), F.array().cast("array<struct<reference:string>>"))
+    report_id = _uuid(F.lit("report"), F.col(sample), F.array_join(F.transform(urls, lambda x: x["reference"]), ","))
+    report = F.struct(F.lit("DiagnosticReport").alias("resourceType"), report_id.alias("id"), F.lit("preliminary").alias("status"), coded("51969-4", "Genetic analysis report").alias("code"), urls.alias("result"))
+    text = lambda url, x: F.concat(F.lit('{"fullUrl":"'), url, F.lit('","resource":'), F.to_json(x), F.lit("}"))
+    entries = F.concat(F.array(text(F.concat(F.lit("urn:uuid:"), report_id), report)), F.coalesce(F.transform("_o", lambda x: text(x["url"], x["body"])), F.array().cast("array<string>")))
+    return every.select(sample, F.concat(F.lit('{"resourceType":"Bundle","type":"collection","entry":['), F.array_join(entries, ","), F.lit("]}")).alias("document"))
+
+
 def bundle(df: DataFrame, resource: Column, entries: Sequence[str]) -> DataFrame:
     """A JSON document a row: resource type and its entries."""
     return df.select(F.to_json(F.struct(resource.alias("resourceType"), *entries)).alias("value"))
