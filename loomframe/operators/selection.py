@@ -61,3 +61,16 @@ def carriers_among(findings: DataFrame, listed: DataFrame, gated: Sequence[str],
     own = findings.filter(~F.col(gene).isin(*gated)) if gated else findings
     hit = listed.join(own.select(gene).distinct(), gene, "left_semi")
     return hit.groupBy("score_id").agg(F.array_sort(F.collect_set(gene)).alias("genes"))
+
+
+def covering(groups: DataFrame, registry: DataFrame, group: str, covers: str, order: str, take: Sequence[str]) -> DataFrame:
+    """groups with take of the first registry entry (by order) whose list covers the row's group, or "any"; null without one.
+
+    The registry is reduced to an entry a name before it meets the rows.
+    """
+    entry = F.struct(F.col(order).alias("o"), F.struct(*take).alias("v"))
+    first = registry.select(F.explode(covers).alias("_g"), entry.alias("_e")).groupBy("_g").agg(F.min("_e").alias("_e"))
+    own = first.select(F.col("_g").alias(group), F.col("_e").alias("_own"))
+    rest = first.filter("_g = 'any'").select(F.lit("any").alias("_k"), F.col("_e").alias("_any"))
+    rows = groups.join(own, group, "left").withColumn("_k", F.lit("any")).join(F.broadcast(rest), "_k", "left")  # one row
+    return rows.select(*groups.columns, *[F.least("_own", "_any")["v"][c].alias(c) for c in take])
