@@ -13,7 +13,7 @@ from loomframe.functions import genotype as G
 from loomframe.operators import lookup, merge, paging, rules, scores, selection
 from loomframe.plans import annotate as enrich
 from loomframe.plans.panels import PanelStore
-from loomframe.sources import sinks
+from loomframe.sources import sinks, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,6 +156,31 @@ def normal_names(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.upper(F.trim(raw)).alias("gene"))
 
 
+# --- formats ------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS file, p_partkey % 9 AS k, p_size AS s FROM part)
+SELECT file, CASE WHEN k IN (0, 1, 2) THEN 'a' WHEN k IN (3, 4) THEN 'b' END AS vendor, CASE WHEN k = 0 AND s % 2 = 1 THEN 'v3' WHEN k = 0 OR k = 2 AND s < 20 THEN 'v4' WHEN k = 2 THEN 'v5' WHEN k = 3 THEN 'v' || s || '.0' WHEN k = 4 THEN 'v2.0' END AS version,
+  CASE WHEN k = 0 AND s % 2 = 1 THEN 'GRCh36' WHEN k IN (0, 2, 3, 4) THEN 'GRCh37' END AS build,
+  CASE k WHEN 1 THEN 'the comments name no build' WHEN 5 THEN 'a VCF file; genotype exports are tab-separated' WHEN 6 THEN 'a CSV file; genotype exports are tab-separated' WHEN 7 THEN 'a ZIP archive; unpack it first' WHEN 8 THEN 'unknown format' END AS reason FROM t
+""")
+def file_formats(spark, sf_dir):
+    """Formats, versions and rejections of a file for each part, from its first lines."""
+    k, four = key() % 9, "# rsid\tchromosome\tposition\tgenotype"
+    lines = lambda *x: F.array(*[v if isinstance(v, Column) else F.lit(v) for v in x])
+    build = F.when(size() % 2 == 1, "# build 36").otherwise("# build 37")
+    many = F.concat(F.array_repeat(F.lit("# comment"), F.when(size() < 20, 3).otherwise(30)), lines("# GRCh37", four))
+    five = "rsid\tchromosome\tposition\tallele1\tallele2"
+    head = (
+        F.when(k == 0, lines(build, four)).when(k == 1, lines("# no such thing", four)).when(k == 2, many).when(k == 3, lines("#AncestryDNA", F.concat(F.lit("# array version: V"), size(), F.lit(".0")), five)).when(k == 4, lines("#AncestryDNA", five))
+        .when(k == 5, lines("##fileformat=VCFv4.2")).when(k == 6, lines("a,b", "1,2", "x")).when(k == 7, lines("PK\x03\x04")).otherwise(lines("hello", ""))
+    )
+    body = F.array_repeat(F.lit("rs1\t1\t5\tAG"), size())
+    rows = read(spark, sf_dir, "part").select(key().alias("file"), F.posexplode(F.when(k <= 4, F.concat(head, body)).otherwise(head)).alias("record", "value"))
+    return text.formats(rows)
+
+
 # --- scores, rules and gates --------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,32 @@ def version_b(lines: Sequence[str]) -> str:
     raise FormatError("unknown array version")
 
 
+def formats(lines: DataFrame, file: str = "file", record: str = "record") -> DataFrame:
+    """file, vendor, version, build and reason (why it is no genotype file) of each file, by its first SNIFF_LINES lines.
+
+    lines: file, record (order) and value. A file's first lines are gathered, never the file.
+    """
+    early = lines.filter(F.col(record) < SNIFF_LINES).groupBy(file).agg(F.sort_array(F.collect_list(F.struct(F.col(record).alias("r"), "value"))).alias("h"))
+    kind = lines.schema[file].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for name, head in zip(pdf[file], pdf["h"], strict=True):
+                own = [x["value"] for x in head]
+                vendor = version = build = reason = None
+                try:
+                    refuse_binary("\n".join(own).encode())
+                    vendor = sniff(own)
+                    version, build = version_a(own) if vendor == "a" else (version_b(own), "GRCh37")
+                except FormatError as e:
+                    reason = str(e)
+                out.append((name, vendor, version, build, reason))
+            yield pd.DataFrame(out, columns=[file, "vendor", "version", "build", "reason"])
+
+    return early.mapInPandas(run, f"`{file}` {kind}, vendor string, version string, build string, reason string")
+
+
 def chromosome(c: Column, vendor: str) -> Column:
     """The chromosome's name; null for what is none."""
     u = F.upper(F.trim(c))
