@@ -4,9 +4,11 @@ A page is read as one sequence of tags and words. Words score positive and tags
 found in one linear scan. The weights are log-likelihood ratios counted on labelled pages, in which the region of the
 article is known: how much likelier a word or a kind of tag is inside the region than outside. Inside the region, words
 in elements that name themselves as something else (menus, asides, adverts, notices, forms, comments) score nothing and
-are left out of the text. Their tags count against the region, but for those that stand inside the main part. Where
-<article> or <main> holds half of the words, plain words after it count against the region too, as readers' comments do
-that have no name. A name is
+are left out of the text. Their tags count against the region, but for those that stand inside the main part. What
+stands between two paragraphs, headings or other blocks of text of one element belongs to what these belong to, so tags
+there cost nothing: tables, lists and lists of links in an article. Where <article>, <main>, an element named as content
+or else the innermost element around most of the words holds the page's heading and enough of its words, plain words
+after it count against the region, as readers' comments and side columns do that have no known name. A name is
 read from the first and last part of a class, id, role or label ("site-footer", "comments-area"), not from one that tells
 of a state or of what else is on the page ("has-sidebar", "modal-open").
 
@@ -34,7 +36,7 @@ from loomframe.llm.common import to_python
 #: A quote begins a value only right after "=", so title=it's is read as HTML reads it.
 _ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?)*+"""
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|math|textarea|select)\b" + _ATTRS + r"(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s>/]*)(" + _ATTRS + r")>?",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|annotation|annotation-xml|textarea|select)\b" + _ATTRS + r"(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s>/]*)(" + _ATTRS + r")>?",
     re.S | re.I,
 )
 CLASS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -43,7 +45,7 @@ ROLE_MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 #: A name that begins or ends so tells what else is on the page or a state, not what the element is ("has-sidebar", "modal-open").
 ABOUT = frozenset("has have with without no not is tag category format status type hide show hidden visible open opened closed active inactive enabled disabled on off".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace".split())
 #: A choice of this operator, not fixed by anything: what an element's tag, class, id or role says that it is, in the
 #: languages of the corpus. It decides what is left out of a region; where the region ends, scores decide.
 BY_TAG = {
@@ -216,45 +218,85 @@ def _set_kinds(elements: list[Element]) -> None:
         wrappers.add(id(found[0]))
 
 
-def _inner(elements: list[Element]) -> set[int]:
-    """Excluded elements inside the main part, or between paragraphs or headings of one plain element."""
+def _kept(elements: list[Element]) -> tuple[dict[int, int], int]:
+    """Words of each element, and of the page, without those of excluded elements."""
+    lost: Counter[int] = Counter()
+    total = 0
+    out = {}
+    for e in reversed(elements):  # elements within come after those around them
+        own = e.n_words if e.kind in OTHER else lost[id(e)]
+        out[id(e)] = e.n_words - own
+        if e.parent:
+            lost[id(e.parent)] += own
+        else:
+            total += e.n_words - own
+    return out, total
+
+
+def _text_block(e: Element) -> bool:
+    """A paragraph or heading with words."""
+    return bool(e.n_words) and (e.tag == "p" or e.tag in HEADINGS)
+
+
+def _inner(elements: list[Element], mains: set[int]) -> set[int]:
+    """Elements between two blocks of text of one plain element, and excluded ones inside the main part. Inside mains any
+    child counts as such a block that has words and isn't mostly links."""
     last: dict[int, int] = {}
+
+    def block(e: Element) -> bool:
+        return e.kind not in OTHER and (_text_block(e) or bool(id(e.parent) in mains and e.n_words and e.tag not in INLINE and 5 * e.n_linked < 3 * e.n_words))
+
     for i, e in enumerate(elements):
-        if e.parent and e.kind not in OTHER and e.n_words and (e.tag == "p" or e.tag in HEADINGS):
+        if e.parent and block(e):
             last[id(e.parent)] = i
     out, begun = set(), set()
     for i, e in enumerate(elements):
         inside = e.parent.kind if e.parent else ""
-        if e.kind not in OTHER:
-            if e.parent and e.n_words and (e.tag == "p" or e.tag in HEADINGS):
-                begun.add(id(e.parent))
-        elif inside in OTHER:
-            if id(e.parent) in out:
-                out.add(id(e))
-        elif inside == "main" or (id(e.parent) in begun and last.get(id(e.parent), -1) > i):
+        if id(e.parent) in out:
+            out.add(id(e))
+        elif e.parent and inside not in OTHER and ((e.kind in OTHER and inside == "main") or (id(e.parent) in begun and last.get(id(e.parent), -1) >= i)):
             out.add(id(e))
+        if e.parent and block(e):
+            begun.add(id(e.parent))
     return out
 
 
+def _signature(e: Element) -> tuple[str, str]:
+    return e.tag, " ".join(CLASS.findall(e.attributes))
+
+
 def _mains(elements: list[Element]) -> set[int]:
-    """<article>, <main> and role=main, if they hold at least half of the words that aren't excluded."""
-    found, kept = [], 0
-    for e in elements:
-        above = e.parent.kind if e.parent else ""
-        if above not in OTHER:
-            kept -= e.n_words if e.kind in OTHER else 0
-            kept += 0 if e.parent else e.n_words
-            if e.kind not in OTHER and (e.tag in ("article", "main") or ROLE_MAIN.search(e.attributes)):
-                found.append(e)
-    own = {id(e) for e in found}
-    held = 0
-    inner: set[int] = set()
-    for e in elements:
-        if e.parent and (id(e.parent) in own or id(e.parent) in inner):
-            inner.add(id(e))
-        if id(e) in own and id(e) not in inner:
-            held += e.n_words
-    return own | inner if 2 * held >= kept else set()
+    """The main part with all within it, if there is one: <article>, <main> and role=main; else elements named as content; else
+    the innermost container of most words. It has to hold half of the words that aren't excluded, or a quarter and the
+    page's heading; the container has to hold the heading, and no sibling of its like may follow it."""
+    kept, total = _kept(elements)
+
+    def whole(found: list[Element]) -> set[int]:
+        own, inner, held, heading = {id(e) for e in found}, set(), 0, False
+        for e in elements:
+            if e.parent and (id(e.parent) in own or id(e.parent) in inner):
+                inner.add(id(e))
+            if id(e) in own and id(e) not in inner:
+                held += kept[id(e)]
+                heading |= e.heading
+        return own | inner if found and (2 * held >= total or heading and 4 * held >= total) else set()
+
+    plain = [e for e in elements if e.kind not in OTHER and e.n_words]
+    marked = [e for e in plain if e.tag in ("article", "main") or ROLE_MAIN.search(e.attributes)]
+    named_main = [e for e in plain if e.kind == "main" and e.tag not in TEXTUAL and (not e.parent or e.parent.kind != "main")]
+    if out := whole(marked) or whole([e for e in named_main if e.heading] or named_main):
+        return out
+    # Innermost first; a container that a sibling of its like follows is a part of what is around both.
+    follows: set[tuple[int, tuple[str, str]]] = set()
+    repeated = set()
+    for e in reversed(elements):
+        if e.parent and e.n_words and e.kind not in OTHER:
+            mark = (id(e.parent), _signature(e))
+            if mark in follows:
+                repeated.add(id(e))
+            follows.add(mark)
+    around = [e for e in plain if e.heading and 2 * kept[id(e)] > total and e.tag in ("div", "section") and id(e) not in repeated]
+    return whole(around[-1:])
 
 
 def tag_group(tag: str, closing: str, inside: str) -> str:
@@ -272,12 +314,13 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
     steps, gap = _walk(html), ""
     elements = [e for *_, e in steps if e]
     _set_kinds(elements)
-    inner, mains, begun = _inner(elements), _mains(elements), False
+    mains, begun = _mains(elements), False
+    inner = _inner(elements, mains)
     for i, (m, at, around, opened) in enumerate(steps):
         kind = around.kind if around else ""
         if m is None:
             begun = begun or bool(around and id(around) in mains)
-            if not kind and begun and not (around and id(around) in mains):
+            if kind in ("", "main") and begun and not (around and id(around) in mains):
                 kind = "after"  # what follows the article, but isn't in it
             yield f"word {kind}", html[at : steps[i + 1][1] if i + 1 < len(steps) else len(html)], gap, at
             gap = ""
@@ -324,7 +367,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, int, int]]:
         top += r.choice(("", f'<div class="ad">{say(3, 20)}</div>', f'<div class="cookie-notice"><p>{say(8, 30)}</p><button>{say(1, 1)}</button></div>'))
         body = [f"<h1>{say(2, 9)}</h1>"]
         for _ in range(r.randint(1, 14)):
-            body.append(r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<p>{}<br>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", '<p>{} <a href="#">' + say(1, 3) + "</a></p>")).format(say(5, 90)))
+            body.append(r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<p>{}<br>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<table><tr><td>" + say(1, 3) + "</td><td>{}</td></tr></table>", '<p>{} <a href="#">' + say(1, 3) + "</a></p>")).format(say(5, 90)))
             if r.random() < 0.12:
                 body.append(r.choice((f"<h2>{say(2, 6)}</h2>", f'<div class="ad">{say(3, 12)}</div>', f"<aside><p>{say(4, 20)}</p></aside>", "<script>x()</script>")))
         opened, closed = r.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<div>", "</div>"), ('<div id="story"><div>', "</div></div>")))
@@ -341,24 +384,35 @@ def standard_weights() -> dict[str, float]:
     return fit(labelled_pages())
 
 
-def main_text(html: str | None, weights: dict[str, float]) -> str:
-    """The article's text: blanks inside a block as one space, blocks in page order joined by one space."""
-    found, best, here, begun, region = [], 0.0, 0.0, 0, (0, 0)
-    for group, raw, gap, _ in tokens(html or ""):
-        if raw:
-            n = len(raw.split())
-            gain = n * weights.get(group, -0.3 if group == "word after" else 0.3 if group[5:] not in OTHER else 0.0)
-            found.append((group, raw, gap))
-        else:
-            gain = weights.get(group, 0.0 if group == "inner" else -1.0)
+def best_region(gains: list[float]) -> tuple[int, int]:
+    """Start and end of the first contiguous region of greatest sum, in one scan; (0, 0) if none is positive."""
+    best, here, begun, region = 0.0, 0.0, 0, (0, 0)
+    for i, gain in enumerate(gains):
         if here <= 0:
-            here, begun = 0.0, len(found) - bool(raw)
+            here, begun = 0.0, i
         here += gain
         if here > best:
-            best, region = here, (begun, len(found))
-    parts = []
-    for group, raw, gap in found[region[0] : region[1]]:
-        parts.append(gap if group[5:] in OTHER else gap + unescape(raw))
+            best, region = here, (begun, i + 1)
+    return region
+
+
+def scored(html: str, weights: dict[str, float]) -> tuple[list[float], list[tuple[str, str, str]]]:
+    """What each tag and text of a page gains, and its group, raw text (none for a tag) and break before it."""
+    gains, found = [], []
+    for group, raw, gap, _ in tokens(html):
+        if raw:
+            gains.append(len(raw.split()) * weights.get(group, -0.3 if group == "word after" else 0.3 if group[5:] not in OTHER else 0.0))
+        else:
+            gains.append(weights.get(group, 0.0 if group == "inner" else -1.0))
+        found.append((group, raw, gap))
+    return gains, found
+
+
+def main_text(html: str | None, weights: dict[str, float]) -> str:
+    """The article's text: blanks inside a block as one space, blocks in page order joined by one space."""
+    gains, found = scored(html or "", weights)
+    start, end = best_region(gains)
+    parts = [gap if group[5:] in OTHER else gap + unescape(raw) for group, raw, gap in found[start:end] if raw]
     return " ".join("".join(parts).split())
 
 

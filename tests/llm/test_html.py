@@ -1,5 +1,6 @@
 """Main text of pages of known layouts."""
 
+import random
 import re
 import time
 from html import unescape
@@ -84,6 +85,62 @@ def test_parts_of_the_article_stay():
     assert H.main_text(f"<p title=it's>One two three.</p>{BODY}<p>Isn't it four?</p>", H.standard_weights()) == f"One two three. {TEXT} Isn't it four?"
 
 
+WORDS = " ".join(f"word{i}" for i in range(30))
+COMMENTS = "".join(f"<div class=entry2><b>Reader {i}</b><p>What a nice article this is, I like it a lot.</p></div>" for i in range(3))
+
+
+@pytest.mark.parametrize(("opened", "closed"), [("<article>", "</article>"), ("<div>", "</div>"), ("<div class=content>", "</div>"), ("<div><section>", "</section></div>"), ("", "")])
+@pytest.mark.parametrize(
+    ("inner", "said"),
+    [
+        ("<table>" + "<tr><td>a</td><td>b</td></tr>" * 40 + "</table>", "a b " * 40),
+        ("<div class=t><table><tbody>" + "<tr><th>a</th><td><span>b</span></td></tr>" * 40 + "</tbody></table></div>", "a b " * 40),
+        ("<ul>" + "<li>item</li>" * 40 + "</ul>", "item " * 40),
+        ("<ul>" + "<li><a href=x>link</a></li>" * 30 + "</ul>", "link " * 30),
+        ("<dl>" + "<dt>t</dt><dd>d</dd>" * 40 + "</dl>", "t d " * 40),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds</p>", "so x=2 holds "),
+    ],
+)
+def test_tables_lists_and_formulas_stay(opened, closed, inner, said):
+    page = f"<body><nav><a>Home</a></nav>{opened}<h1>Title here</h1><p>{WORDS}</p>{inner}<p>{WORDS}</p>{closed}<footer>words of it</footer></body>"
+    assert H.main_text(page, H.standard_weights()) == f"Title here {WORDS} {said}{WORDS}"
+
+
+@pytest.mark.parametrize("inner", ["<table>" + "<tr><td>a</td><td>b</td></tr>" * 40 + "</table>", "<ul>" + "<li>a</li><li>b</li>" * 40 + "</ul>"])
+def test_an_article_may_end_with_a_list(inner):
+    for opened, closed in (("<article>", "</article>"), ("<div class=content>", "</div>")):
+        page = f"<body><nav><a>Home</a></nav>{opened}<h1>Title here</h1><p>{WORDS}</p>{inner}{closed}<footer>words of it</footer></body>"
+        assert H.main_text(page, H.standard_weights()) == f"Title here {WORDS} " + " ".join(["a b"] * 40)
+
+
+@pytest.mark.parametrize("opened", ["<article>", "<main>", "<div class=content>", "<div class=x>"])
+@pytest.mark.parametrize("mark", ["section id=discussion", "div class=kommentarii", "div class=randspalte", "div class=q7"])
+def test_comments_and_side_columns_without_a_known_name(opened, mark):
+    page = f"<body><nav><a>Home</a></nav>{opened}<h1>Title here</h1><p>{WORDS}</p><p>{WORDS}</p></{opened.strip('<>').split()[0]}><{mark}>{COMMENTS}</{mark.split()[0]}></body>"
+    assert H.main_text(page, H.standard_weights()) == f"Title here {WORDS} {WORDS}"
+
+
+def test_parts_of_one_kind_stay_together():
+    page = "<body>" + "".join(f"<div class=part>{'<h1>Title here</h1>' if not i else ''}<p>{WORDS * n}</p></div>" for i, n in enumerate((5, 2, 1))) + "</body>"
+    assert H.main_text(page, H.standard_weights()) == f"Title here {WORDS * 5} {WORDS * 2} {WORDS}"
+
+
+def test_region_is_the_best_of_all_intervals():
+    r = random.Random(5)
+    for _ in range(300):
+        gains = [r.choice([-1.5, -0.4, 0.0, 0.3, 2.0]) for _ in range(r.randint(0, 30))]
+        every = [(sum(gains[i:j]), i, j) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)]
+        start, end = H.best_region(gains)
+        assert abs(sum(gains[start:end]) - max([0.0, *(x for x, *_ in every)])) < 1e-9
+    for html, *_ in H.labelled_pages(20, 3):
+        gains, _ = H.scored(html, H.standard_weights())
+        sums = [0.0]
+        for g in gains:
+            sums.append(sums[-1] + g)
+        start, end = H.best_region(gains)
+        assert abs(sums[end] - sums[start] - max(b - a for i, a in enumerate(sums) for b in sums[i:])) < 1e-6
+
+
 def test_time_grows_with_the_page():
     took = []
     for n in (4000, 16000):
