@@ -121,13 +121,21 @@ class Trie:
             # Of equal letters in a row the first is dropped, and one more goes behind the last: each result once.
             if p < m and (p == 0 or c != w[p - 1]) and (n := follow(node, p + 1)):
                 yield n, w[:p] + w[p + 1 :]
+            after = w[p + 1] if p + 1 < m else -1
             for child in range(lo, hi):
                 x = labels[child]
                 if x != c:
-                    if p < m and (n := follow(child, p + 1)):
-                        yield n, w[:p] + bytes((x,)) + w[p + 1 :]
-                    if n := follow(child, p):
-                        yield n, w[:p] + bytes((x,)) + w[p:]
+                    a, b = first[child], first[child + 1]
+                    # The next letter is looked up here, as most children fail at it.
+                    if p < m:
+                        k = find(after, a, b) if after >= 0 else child
+                        if k >= 0 and (n := follow(k, p + 1 + (after >= 0))):
+                            yield n, w[:p] + bytes((x,)) + w[p + 1 :]
+                        k = find(c, a, b)
+                        if k >= 0 and (n := follow(k, p + 1)):
+                            yield n, w[:p] + bytes((x,)) + w[p:]
+                    elif n := follow(child, m):
+                        yield n, w + bytes((x,))
             if p < m:
                 node = find(c, lo, hi)
                 if node < 0:
