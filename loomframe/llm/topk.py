@@ -1,9 +1,11 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
 Components become integers floor(scale * x). Different vectors are kept once, with the k + 1 least ids that have them. The
-approximation file holds a cell number of a few bits for each component, packed; edges are fitted on a bounded sample
-(fit_rows vectors), and the outer cells reach to the least and greatest component of the whole table, so every vector
-has certain lower and upper bounds of its score.
+approximation file holds a cell number of a few bits for each component, packed; edges lie evenly between quantiles of a
+bounded sample (fit_rows vectors of a length), and a component's outer cells reach to its least and greatest value in the
+whole table, so every vector has certain lower and upper bounds of its score. Vectors that stand far off in a component
+would make those bounds loose for all; they have no cell and are read exactly, as are those of all but the 256 most
+frequent lengths.
 
 1. Queries and cells are dealt into a grid of query blocks and slices. Each place scans its cells and passes on the
    2k + 1 vectors with the greatest lower bounds of each query.
@@ -11,6 +13,9 @@ has certain lower and upper bounds of its score.
 3. A second scan passes on all vectors whose upper bound reaches the bar, the only ones that can still be among the k
    best. Their exact vectors are read, scored and ranked.
 
+This is the distributed form of reading vectors in the order of their bounds until the k-th is certain: what a sequential
+reader would still read behind the bar's first guess, the second scan reads for all queries at once.
+
 Only cells and queries go through the grid; exact vectors are read by key for what is left, so their traffic follows the
 number of queries, not that of grid places.
 
@@ -43,17 +48,34 @@ def _rows(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+#: Lengths of vectors that have cells of their own; vectors of further lengths are read exactly.
+LENGTHS = 256
+
+
+def usual(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each component that cells divide evenly, between quantiles of a sample."""
+    low, high = np.quantile(sample, [0.005, 0.995], axis=0, method="nearest")
+    return low.astype(np.int64), np.maximum(high, low + 1).astype(np.int64)
+
+
+def far(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Vectors with a component more than twice the usual range beyond it."""
+    span = 2 * (high - low)
+    return ((v < low - span) | (v > high + span)).any(1)
+
+
 class Cells:
-    """Bounds of the cells of vectors of one length: cell c of component d holds low[d, c] .. high[d, c]."""
-
-    def __init__(self, sample: np.ndarray, least: int, greatest: int, bits: int):
-        n, dim = 1 << bits, sample.shape[1]
-        low = sample.min(0) if len(sample) else np.full(dim, least)
-        span = (sample.max(0) if len(sample) else np.full(dim, greatest)) - low + 1
-        self.bits, self.step, self.base = bits, np.maximum(1, -(-span // n)), low
-        self.low = low[:, None] + np.arange(n)[None, :] * self.step[:, None]
+    """Bounds of the cells of vectors of one length: cell c of component d holds low[d, c] .. high[d, c].
+
+    first, last: the usual range of each component. The outer cells reach to its least and greatest value, those of far vectors left out.
+    """
+
+    def __init__(self, first: np.ndarray, last: np.ndarray, least: np.ndarray, greatest: np.ndarray, bits: int):
+        n = 1 << bits
+        self.bits, self.step, self.base = bits, np.maximum(1, -(-(last - first + 1) // n)), first
+        self.low = first[:, None] + np.arange(n)[None, :] * self.step[:, None]
         self.high = self.low + self.step[:, None] - 1
-        self.low[:, 0], self.high[:, -1] = least, greatest
+        self.low[:, 0], self.high[:, -1] = np.minimum(least, self.low[:, 0]), np.maximum(greatest, self.high[:, -1])
         self.most = max(abs(int(self.low.min())), abs(int(self.high.max())))
 
     def pack(self, v: np.ndarray) -> list[bytes]:
@@ -116,24 +138,51 @@ def top_k(
     kept = cut(kept.withColumn("id", F.min("vec_id").over(Window.partitionBy("v"))))
     exact = kept.filter("_i = 1").select("id", "vh", "dim", "v")
     members = kept.select("id", "vh", "vec_id", "n")
-    sizes = {r["dim"]: r for r in exact.groupBy("dim").agg(F.count("*").alias("n"), F.min(F.array_min("v")).alias("least"), F.max(F.array_max("v")).alias("greatest")).collect()}
-    n_asked = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    share = F.coalesce(*[F.when(F.col("dim") == d, F.lit(min(1.0, fit_rows / r["n"]))) for d, r in sizes.items()], F.lit(0.0))
+    many = lambda df: {r["dim"]: r["n"] for r in df.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dim").limit(LENGTHS).collect()}
+    sizes, n_asked = many(exact), many(asked)
+    share = F.coalesce(*[F.when(F.col("dim") == d, F.lit(min(1.0, fit_rows / n))) for d, n in sizes.items()], F.lit(0.0))
     sample = exact.filter(F.pmod(F.xxhash64("vh", "id"), F.lit(1 << 30)) < share * (1 << 30)).select("dim", "v").toArrow()
     dims = sample.column("dim").to_numpy()
-    grid = {d: Cells(_rows(sample.filter(pa.array(dims == d)).column("v"), d), r["least"], r["greatest"], cell_bits) for d, r in sizes.items()}
+    ranges = {int(d): usual(_rows(sample.filter(pa.array(dims == d)).column("v"), int(d))) for d in np.unique(dims)}
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for d in np.unique(own):
+                v = _rows(batch.filter(pa.array(own == d)).column(1), int(d)) if int(d) in ranges else np.zeros((0, 1), np.int64)
+                v = v[~far(v, *ranges[int(d)])] if len(v) else v
+                if len(v):
+                    old = seen.get(int(d), (v[0], v[0]))
+                    seen[int(d)] = np.minimum(old[0], v.min(0)), np.maximum(old[1], v.max(0))
+        for d, (least, greatest) in seen.items():
+            yield pa.record_batch([pa.array([d], pa.int32()), pa.array([least], pa.list_(pa.int64())), pa.array([greatest], pa.list_(pa.int64()))], ["dim", "least", "greatest"])
+
+    ends = to_python(exact.select("dim", "v"), extremes, "dim int, least array<long>, greatest array<long>")
+    ends = ends.select("dim", F.posexplode(F.arrays_zip("least", "greatest")).alias("i", "e")).groupBy("dim", "i").agg(F.min("e.least").alias("least"), F.max("e.greatest").alias("greatest"))
+    found_ends = ends.orderBy("dim", "i").toArrow().to_pydict()  # a row a component of a length
+    grid: dict[int, Cells] = {}
+    for d, (first, last) in ranges.items():
+        at = [i for i, x in enumerate(found_ends["dim"]) if x == d]
+        if at:
+            grid[d] = Cells(first, last, np.array([found_ends["least"][i] for i in at]), np.array([found_ends["greatest"][i] for i in at]), cell_bits)
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(2).to_numpy()
-            for d in np.unique(own):
+            for d in map(int, np.unique(own)):
                 part = batch.filter(pa.array(own == d))
-                yield pa.record_batch([*part.columns[:3], pa.array(grid[int(d)].pack(_rows(part.column(3), int(d))), pa.binary())], ["id", "vh", "dim", "cell"])
+                packed = [None] * len(part)
+                if d in grid:
+                    v = _rows(part.column(3), d)
+                    packed = [None if odd else x for x, odd in zip(grid[d].pack(v), far(v, *ranges[d]), strict=True)]
+                yield pa.record_batch([*part.columns[:3], pa.array(packed, pa.binary())], ["id", "vh", "dim", "cell"])
 
+    # A far vector has no cell: nothing bounds its scores, so it is read for each query.
     cells = cut(to_python(exact, approximate, "id long, vh long, dim int, cell binary"))
-    # A grid of its own for each length; the lengths of vectors are few.
+    # A grid of its own for each length.
     count = lambda n, per: F.coalesce(*[F.when(F.col("dim") == d, F.lit(math.ceil(x / per))) for d, x in n.items()], F.lit(1)) if n else F.lit(1)
-    n_blocks, n_slices = count(n_asked, query_block), count({d: r["n"] for d, r in sizes.items()}, slice_rows)
+    n_blocks, n_slices = count(n_asked, query_block), count(sizes, slice_rows)
     places = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     scanned = cells.select("*", F.pmod("vh", n_slices).cast("int").alias("vs"), places(n_blocks).alias("qb")).groupBy("dim", "qb", "vs")
     kind = pa.schema([(c, pa.int64()) for c in ("query_id", "qh", "id", "vh", "low")])
@@ -141,15 +190,20 @@ def top_k(
     def scan(left: pa.Table, right: pa.Table, dim: int, pick) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return kind.empty_table()
-        own, ids, out = grid[dim], right.column("id").to_numpy(), []
-        vh = right.column("vh").to_numpy()
-        packed = own.unpack(right.column("cell").to_pylist())
-        for at, low, high in own.bounds(_rows(left.column("v"), dim), packed):
+        known = pa.compute.is_valid(right.column("cell"))
+        near, odd = right.filter(known), right.filter(pa.compute.invert(known))
+        ids = np.concatenate([near.column("id").to_numpy(), odd.column("id").to_numpy()])
+        vh = np.concatenate([near.column("vh").to_numpy(), odd.column("vh").to_numpy()])
+        q, v = _rows(left.column("v"), dim), len(odd)
+        bounds = grid[dim].bounds(q, grid[dim].unpack(near.column("cell").to_pylist())) if len(near) else ((i, np.zeros((1, 0)), np.zeros((1, 0))) for i in range(len(q)))
+        out = []
+        for at, low, high in bounds:
             for i in range(len(low)):
-                near = pick(at + i, low[i], high[i])
-                out.append((np.full(len(near), at + i), near, low[i][near]))
-        q, near, low = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table([left.column("query_id").to_numpy()[q], left.column("qh").to_numpy()[q], ids[near], vh[near], np.floor(low).astype(np.int64)], schema=kind)
+                picked = pick(at + i, np.append(low[i], np.full(v, -np.inf)), np.append(high[i], np.full(v, np.inf)))
+                out.append((np.full(len(picked), at + i), picked, np.append(low[i], np.full(v, -np.inf))[picked]))
+        at, picked, low = (np.concatenate(x) for x in zip(*out, strict=True))
+        low = np.where(np.isfinite(low), np.floor(low), -(2.0**62)).astype(np.int64)
+        return pa.table([left.column("query_id").to_numpy()[at], left.column("qh").to_numpy()[at], ids[picked], vh[picked], low], schema=kind)
 
     def best_bounds(at: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         m = 2 * k + 1

@@ -50,10 +50,26 @@ def test_an_id_with_two_vectors_and_a_long_one(spark):
     assert got[:4] == [(0, 1, 2, 64 * 192), (0, 2, 1, 64 * 128), (0, 3, 1, 0), (0, 4, 2, 0)] and len(got) == 5 and got[4][2] == 21
 
 
+def packed_cells(v, bits=5):
+    low, high = topk.usual(v[:300])
+    odd = topk.far(v, low, high)
+    return topk.Cells(low, high, v[~odd].min(0), v[~odd].max(0), bits), odd
+
+
+def reads(v, n=40):
+    """Exact reads of n queries: vectors whose upper bound reaches the 20th score, and far ones."""
+    cells, odd = packed_cells(v)
+    own, total = cells.unpack(cells.pack(v[~odd])), 0
+    for i, (_, _, high) in ((i, b) for i in range(n) for b in cells.bounds(v[i : i + 1], own)):
+        total += (high[0] >= np.sort(v @ v[i])[-21]).sum() + odd.sum()
+    return total
+
+
 def test_cells_hold_their_vectors_and_spare_most_exact_reads():
     r = np.random.default_rng(1)
     v = np.floor(64 * r.normal(0, 0.125, (5000, 64))).astype(np.int64)
-    cells = topk.Cells(v[:300], int(v.min()), int(v.max()), 5)
+    cells, odd = packed_cells(v)
+    assert not odd.any()
     packed = cells.pack(v)
     assert {len(x) for x in packed} == {40}
     own, at = cells.unpack(packed), np.arange(64)[None, :]
@@ -62,3 +78,14 @@ def test_cells_hold_their_vectors_and_spare_most_exact_reads():
     s = v @ v[7]
     assert (low[0] <= s).all() and (s <= high[0]).all()
     assert (high[0] >= np.sort(s)[-21]).sum() < 250
+    plain_reads = reads(v)
+    v[4000, 3], v[4001, 60] = 6400, -70000
+    assert packed_cells(v)[1].sum() == 2 and reads(v) < 1.1 * plain_reads
+
+
+def test_many_lengths(spark, rows, monkeypatch):
+    monkeypatch.setattr(topk, "LENGTHS", 3)
+    r = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in r.normal(0, 1, 1 + i % 7)]) for i in range(200)]
+    got = topk.top_k(spark.createDataFrame(vectors, KIND), F.col("vec_id") % 20 == 0, k=4)
+    assert rows(got) == sorted(plain(vectors, 4), key=repr)
