@@ -22,10 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import BLANKS, cut, let, n_words
+from loomframe.operators import ordered
 
 #: A table of sources up to this many rows (some 100 bytes each) is sent to every executor; a larger one is joined by shuffle.
 SMALL_SOURCES = 50_000
 ROUNDS = 16
+#: Rows of a bucket, in which prefix sums are made; shards that one row of a source is first spread over.
+BUCKET_ROWS, SPREAD = 1024, 4096
 
 
 def _u64(*parts: Column) -> Column:
@@ -74,8 +77,8 @@ class Mix:
     """A mix of docs. sources: a row a source; documents: a row a document with its place in its source's stream.
 
     carry: None if no text is wanted; else columns of docs to pass on as _c_<name>, and pieces can have texts.
-    shard_slots: slots of an output shard, at least; a mix of more than 4096 such shards gets 4096 larger ones, so that the
-    table of sources and shards stays bounded. Draws belong to shards, so they differ with their number.
+    shard_slots: slots of an output shard, whatever the size of the mix, so that the draws of a shard follow from its number,
+    the sources' shares and the seed alone.
     """
 
     def __init__(
@@ -84,8 +87,7 @@ class Mix:
     ):
         self.most, self.block_words, self.seed = most, block_words, seed
         n = docs.count()
-        # Sizes of the pieces in which prefix sums are made, not of what is read.
-        n_buckets = max(1, math.ceil(n / 65536), min(4096, math.ceil(n / 256)))
+        n_buckets = max(1, math.ceil(n / BUCKET_ROWS))
         key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))
         self._rows = docs.select(
             F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), key.alias("_h"),
@@ -104,7 +106,7 @@ class Mix:
         self.sources = cut(sources)
         found = self.sources.agg(F.count("*").alias("k"), F.sum("expected").alias("slots")).first()
         self.n_slots = math.ceil(round(found["slots"] or 0, 6))
-        self.shard_slots = max(shard_slots, math.ceil(self.n_slots / 4096))
+        self.shard_slots = shard_slots
         self._small = found["k"] <= SMALL_SOURCES
         along = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         numbers = self._few(self.sources.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "n_blocks"))
@@ -157,7 +159,11 @@ class Mix:
             return self.sources.limit(0).select(F.lit(0).cast("long").alias("shard"), "source_no", "n_blocks", F.lit(0).cast("long").alias("n"))
         shares = self.sources.filter("expected > 0").select("source_no", "n_blocks", (F.col("expected") / F.sum("expected").over(Window.partitionBy())).alias("share"))
         slots = F.least(F.lit(per), F.lit(total) - F.col("shard") * F.lit(per))
-        each = shares.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"))
+        runs = math.ceil(n_shards / SPREAD)
+        each = shares.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))).alias("_run"))
+        each = each.repartition(min(runs, 4096), "_run", "source_no") if runs > 1 else each
+        ends = F.least(F.lit(n_shards), (F.col("_run") + 1) * SPREAD) - 1
+        each = each.select("source_no", "n_blocks", "share", F.explode(F.sequence(F.col("_run") * SPREAD, ends)).alias("shard"))
         each = each.withColumn("mean", slots * F.col("share")).withColumn("given", F.floor("mean"))
         shards = each.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("source_no", (F.col("mean") - F.col("given")).alias("rest")))).alias("rests"), F.sum("given").alias("given"))
         left = (slots - F.col("given")).cast("int")
@@ -174,8 +180,9 @@ class Mix:
     def slots(self) -> DataFrame:
         """shard, slot (in the shard's source), source_no, epoch, block. A source's slots end with its epoch number most."""
         tasks = max(1, math.ceil(self.n_slots / 50_000))
-        before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        counts = self.shard_counts().withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+        # A source has a row for each shard, so their prefix sums are carried over pieces.
+        counts = ordered.before(ordered.pieces(self.shard_counts(), ["source_no"], ["shard"]), _before=(F.sum, F.col("n")))
+        counts = counts.select("shard", "source_no", "n_blocks", "n", F.coalesce("_before", F.lit(0)).cast("long").alias("_before"))
         last = F.least(F.col("n"), F.col("n_blocks") * self.most - F.col("_before"))
         made = counts.filter(last > 0).repartition(tasks, "shard", "source_no").select("*", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)).alias("slot"))
         made = made.withColumn("_j", F.col("_before") + F.col("slot")).withColumns({"epoch": F.floor(F.col("_j") / F.col("n_blocks")), "_at": F.pmod("_j", "n_blocks")})

@@ -90,3 +90,22 @@ def test_edge_tables(spark):
     twice = spark.createDataFrame([(1, "a b", "s")] * 5 + [(None, "c d e", None)] * 2, KIND).withColumns({"size": F.lit("x"), "bucket": F.lit(1), "_n": F.lit(2)})
     got = mixing.Mix(twice, block_words=2).taken().collect()
     assert len(got) == 7 and all(r["taken"] <= 3 * r["size"] for r in got)
+
+
+def test_draws_of_a_shard_do_not_depend_on_how_many_there_are(spark, monkeypatch):
+    """Twice the rows of each source: the same shares, so the same counts in the shards that both have."""
+    docs = spark.createDataFrame([(i, "w " * 64, "abc"[i % 3]) for i in range(600)], KIND)
+    more = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    counts = lambda d: {(r["shard"], r["source_no"]): r["n"] for r in mixing.Mix(d, block_words=8, shard_slots=64).shard_counts().collect()}
+    monkeypatch.setattr(mixing, "SPREAD", 16)
+    few, many = counts(docs), counts(more)
+    last = max(s for s, _ in few)
+    assert last > 60 and max(s for s, _ in many) > 2 * last
+    assert {k: n for k, n in few.items() if k[0] < last} == {k: n for k, n in many.items() if k[0] < last}
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, "a"), (2, "w " * 50_000, "b"), (3, None, "a")], KIND)
+    got = {r["doc_id"]: r for r in mixing.Mix(docs).taken().collect()}
+    assert got[1]["size"] == 300_000 and got[2]["taken"] <= 150_000 and got[3]["taken"] == 0
+    assert abs(got[1]["taken"] - got[1]["target"]) <= 0.02 * got[1]["target"]
