@@ -139,6 +139,8 @@ def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
         calls = calls.join(now, "rsid", "left").withColumn("lookup_id", F.coalesce("_now", "rsid")).withColumn("dbsnp_rsid_current", F.col("_now")).drop("_now")
     else:
         calls = calls.withColumn("dbsnp_rsid_current", F.lit(None).cast("string"))
+    # What stands for no id is none, else all such calls and records would meet.
+    calls = calls.withColumn("lookup_id", F.when(~F.trim("lookup_id").isin("", "."), F.col("lookup_id")))
     out = calls
     for name, table, pick in (("vep", sources.vep, vep_best), ("clinvar", sources.clinvar, clinvar_best), ("dbnsfp", sources.dbnsfp, dbnsfp_best)):
         if table is not None:

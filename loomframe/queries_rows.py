@@ -283,3 +283,56 @@ def resource_bundles(spark, sf_dir):
     urls = F.transform(F.filter("entry", lambda e: e["resource"]["resourceType"] == "Observation"), lambda e: e["fullUrl"])
     asked = F.transform(F.flatten(F.transform(F.filter("entry", lambda e: e["resource"]["result"].isNotNull()), lambda e: e["resource"]["result"])), lambda r: r["reference"])
     return read_back.select("sample_id", F.size("entry").cast("long").alias("n_entries"), F.size(asked).cast("long").alias("n_references"), F.size(F.array_except(asked, urls)).cast("long").alias("n_lost"), F.md5(F.array_join(urls, ",").cast("binary")).alias("urls"))
+
+
+# --- the whole wide table -----------------------------------------------------------------------------------------
+
+REF, ALT = (f"substr('ACGT', ({x}) % 4 + 1, 1)" for x in ("k", "k + 1 + p % 3"))
+TURN = "translate({}, 'ACGT', 'TGCA')"
+WIDE_SQL = f"""
+WITH b AS (SELECT o_orderkey * 4 + i AS k, o_custkey AS p FROM orders, range(4) r(i)), q AS (SELECT k, p, {REF} || substr('ACGT', (k + p % 4) % 4 + 1, 1) AS genotype, {REF} AS r, {ALT} AS a FROM b WHERE k % 53 <> 0),
+f AS (SELECT *, k % 3 < 2 AS v, k % 4 < 2 AS c, k % 6 < 4 AS d, k % 2 = 0 AND k % 3 = 0 AS am, CASE k % 8 WHEN 1 THEN 'Pathogenic' WHEN 4 THEN 'Uncertain significance' ELSE 'Benign' END AS s FROM q),
+h AS (SELECT *, k % 5 < 3 AND NOT ((v OR c) AND k % 25 = 0) AS g, CASE WHEN v OR c THEN r END AS ref, CASE WHEN v OR c THEN a END AS alt, CASE WHEN v OR c THEN k % 11 END AS gene FROM f),
+j AS (SELECT *, gene IS NOT NULL AND NOT (c AND s = 'Benign') AS gp, CASE WHEN d AND k % 2 = 0 THEN k % 10 / 100.0 END AS sift, CASE WHEN d AND k % 5 = 0 THEN k % 100 / 100.0 END AS poly, CASE WHEN d THEN k % 40 END AS cadd FROM h),
+w AS (SELECT *, CASE WHEN d THEN [CASE WHEN sift IS NOT NULL THEN sift < 0.05 ELSE k % 3 = 0 END, CASE WHEN poly IS NOT NULL THEN poly > 0.909 WHEN k % 7 < 5 THEN k % 7 < 2 END, cadd >= 20, 2 * ((k % 10 >= 5)::INT + (k % 3 > 1)::INT + (k % 10 > 5)::INT) > 3] ELSE [NULL::BOOLEAN] END AS votes FROM j),
+x AS (SELECT *, len(list_filter(votes, lambda z: z))::INT AS deleterious_count, len(list_filter(votes, lambda z: z IS NOT NULL))::INT AS assessed, CASE WHEN g THEN k % 40 / 1000.0 END AS af, CASE WHEN g AND k % 7 = 0 THEN k % 90 / 1000.0 END AS afr FROM w)
+SELECT k, 'rs' || k AS rsid, (k % 97 % 22 + 1)::VARCHAR AS chrom, k AS pos, genotype, ref, alt, CASE WHEN k % 9 = 0 THEN 'm' || k END AS dbsnp_rsid_current,
+  CASE WHEN genotype[1] IN (ref, alt) AND genotype[2] IN (ref, alt) THEN CASE WHEN genotype[1] <> genotype[2] THEN 'het' WHEN genotype[1] = alt THEN 'hom_alt' ELSE 'hom_ref' END
+    WHEN genotype[1] <> genotype[2] AND genotype[1] IN ({TURN.format('ref')}, {TURN.format('alt')}) AND genotype[2] IN ({TURN.format('ref')}, {TURN.format('alt')}) THEN 'het' END AS zygosity,
+  'G' || gene AS gene_symbol, CASE WHEN v THEN 't' || k END AS transcript_id, CASE WHEN v THEN CASE WHEN k % 3 = 0 THEN 'missense_variant' ELSE 'intron_variant' END END AS consequence, CASE WHEN v THEN 'c.' || k END AS hgvs_coding, CASE WHEN v AND k % 3 = 0 THEN 'p.' || k END AS hgvs_protein, v AND k % 2 = 1 AS mane_select,
+  CASE WHEN c THEN s END AS clinvar_significance, CASE WHEN c THEN (k % 5)::INT END AS clinvar_review_stars, CASE WHEN c THEN 'V' || k END AS clinvar_accession, CASE WHEN c THEN 'c' || k % 13 END AS clinvar_conditions,
+  af AS gnomad_af_global, afr AS gnomad_af_afr, greatest(af, afr) AS gnomad_af_popmax, CASE WHEN g THEN k % 6 END AS gnomad_homozygous_count, coalesce(greatest(af, afr) > 0 AND greatest(af, afr) < 0.01, false) AS rare_flag, coalesce(greatest(af, afr) > 0 AND greatest(af, afr) < 0.001, false) AS ultra_rare_flag, CASE WHEN g THEN 'matched' END AS gnomad_source_status,
+  cadd::DOUBLE AS cadd_phred, sift AS sift_score, CASE WHEN d THEN CASE WHEN k % 3 = 0 THEN 'D' ELSE 'T' END END AS sift_pred, poly AS polyphen2_hsvar_score, CASE WHEN d AND k % 7 < 5 THEN CASE WHEN k % 7 < 2 THEN 'D' ELSE 'B' END END AS polyphen2_hsvar_pred, CASE WHEN d THEN k % 10 / 10.0 END AS revel, CASE WHEN d THEN (k % 3 - 1)::DOUBLE END AS metasvm, CASE WHEN d THEN k % 10 / 10.0 END AS metalr,
+  CASE WHEN am THEN k % 50 / 50.0 END AS am_pathogenicity, CASE WHEN am THEN 'x' || k % 3 END AS am_class, CASE WHEN gp THEN 'd' || gene END AS disease_name, CASE WHEN gp THEN 'D' || gene END AS disease_id, CASE WHEN gp AND gene % 2 = 0 THEN 'h' END AS hpo_terms, CASE WHEN gp AND gene % 3 = 0 THEN 'AD' END AS inheritance,
+  v::INT + 2 * c::INT + 4 * g::INT + 8 * d::INT + 16 * gp::INT + 128 * am::INT AS annotation_coverage, CASE WHEN v THEN false END AS vep_ambiguous, deleterious_count, assessed AS deleterious_total_assessed, assessed >= 2 AND 2 * deleterious_count > assessed AS ensemble_pathogenic,
+  coalesce(c AND s <> 'Pathogenic' AND deleterious_count >= 3 AND cadd >= 20, false) AS evidence_conflict FROM x
+"""
+
+
+@query(WIDE_SQL)
+def annotate_columns(spark, sf_dir):
+    """Every column of the wide table for all calls, with merged ids, six sources, gene phenotypes, damage votes and conflicts."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("p"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("i"))
+    k, p = F.col("k"), F.col("p")
+    calls = o.select((F.col("o_orderkey") * 4 + F.col("i")).alias("k"), "p").filter(k % 53 != 0)
+    calls = calls.select("k", "p", F.concat(F.lit("rs"), k).alias("rsid"), (k % 97 % 22 + 1).cast("string").alias("chrom"), k.alias("pos"), F.concat(letter(k), letter(k + p % 4)).alias("genotype"))
+    merged = k % 9 == 0
+    named = F.concat(F.when(merged, "m").otherwise("rs"), k)
+    site = [named.alias("rsid"), "chrom", "pos", letter(k).alias("ref")]
+    alt, gene = letter(k + 1 + p % 3).alias("alt"), F.concat(F.lit("G"), k % 11).alias("gene_symbol")
+    text_of = lambda head, c=k: F.concat(F.lit(head), c)
+    number = lambda c: c.cast("double")
+    genes = spark.range(11)
+    i = F.col("id")
+    phenotypes = genes.select(text_of("G", i).alias("gene_symbol"), text_of("d", i).alias("disease_name"), text_of("D", i).alias("disease_id"), F.when(i % 2 == 0, "h").alias("hpo_terms"), F.when(i % 3 == 0, "AD").alias("inheritance"))
+    phenotypes = phenotypes.unionByName(phenotypes.withColumns({"disease_name": F.lit("Obsolete one"), "disease_id": F.lit("A"), "hpo_terms": F.lit("x"), "inheritance": F.lit("AR")}))
+    sources = enrich.Sources(
+        merges=calls.filter(merged).select(text_of("rs").alias("old_rsid"), text_of("m").alias("current_rsid")),
+        vep=calls.filter(k % 3 < 2).select(*site, alt, gene, text_of("t").alias("transcript_id"), F.when(k % 3 == 0, "missense_variant").otherwise("intron_variant").alias("consequence"), text_of("c.").alias("hgvs_coding"), F.when(k % 3 == 0, text_of("p.")).alias("hgvs_protein"), (k % 2).cast("int").alias("mane_select")),
+        clinvar=calls.filter(k % 4 < 2).select(*site, alt, F.when(k % 8 == 1, "Pathogenic").when(k % 8 == 4, "Uncertain significance").otherwise("Benign").alias("significance"), (k % 5).cast("int").alias("review_stars"), text_of("V").alias("accession"), text_of("c", k % 13).alias("conditions"), gene),
+        gnomad=calls.filter(k % 5 < 3).select(*site, F.when(k % 25 == 0, F.concat(letter(k), F.lit("T"))).otherwise(letter(k + 1 + p % 3)).alias("alt"), (k % 40 / 1000).alias("af_global"), F.when(k % 7 == 0, k % 90 / 1000).alias("af_afr"), (k % 6).alias("homozygous_count")),
+        dbnsfp=calls.filter(k % 6 < 4).select(*site, alt, number(k % 40).alias("cadd_phred"), F.when(k % 2 == 0, k % 10 / 100).alias("sift_score"), F.when(k % 3 == 0, "D").otherwise("T").alias("sift_pred"), F.when(k % 5 == 0, k % 100 / 100).alias("polyphen2_hsvar_score"), F.when(k % 7 < 5, F.when(k % 7 < 2, "D").otherwise("B")).alias("polyphen2_hsvar_pred"), (k % 10 / 10).alias("revel"), number(k % 3 - 1).alias("metasvm"), (k % 10 / 10).alias("metalr")),
+        alphamissense=calls.filter(k % 2 == 0).select(*site[1:], alt, (k % 50 / 50).alias("am_pathogenicity"), text_of("x", k % 3).alias("am_class")),
+        gene_phenotype=phenotypes,
+    )
+    return enrich.annotate(calls.drop("p"), sources).drop(*[f"gnomad_af_{x}" for x in ("amr", "eas", "eur", "fin", "sas", "asj")])
