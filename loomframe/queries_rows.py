@@ -14,6 +14,7 @@ from loomframe.operators import lookup, merge, paging, rules, scores, selection
 from loomframe.plans import annotate as enrich
 from loomframe.plans.panels import PanelStore
 from loomframe.sources import sinks, text
+from loomframe.streaming import episodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -336,3 +337,14 @@ def annotate_columns(spark, sf_dir):
         gene_phenotype=phenotypes,
     )
     return enrich.annotate(calls.drop("p"), sources).drop(*[f"gnomad_af_{x}" for x in ("amr", "eas", "eur", "fin", "sas", "asj")])
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, coalesce(value, 0) AS value, coalesce(event_type = 'purchase', false) AS closes FROM events WHERE ts IS NOT NULL),
+l AS (SELECT *, row_number() OVER w AS i, CASE WHEN lag(ts) OVER w IS NULL OR lag(closes) OVER w OR epoch_ms(ts) - epoch_ms(lag(ts) OVER w) > 86400000 THEN 1 ELSE 0 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY i) AS run FROM l), g AS (SELECT user_id, run, min(ts) AS first, max(ts) AS last, count(*) AS n, sum(value) AS total, arg_max(closes, i) AS closed FROM r GROUP BY 1, 2)
+SELECT user_id, first, last, n, round(total, 6) AS total, CASE WHEN closed THEN 'closed' WHEN run < max(run) OVER (PARTITION BY user_id) THEN 'gap' ELSE 'open' END AS ended FROM g
+""")
+def event_episodes(spark, sf_dir):
+    """Episodes of each user's events, ended by a purchase or by a day without any."""
+    return episodes.episodes(read(spark, sf_dir, "events"), F.col("event_type") == "purchase", 86400).withColumn("total", F.round("total", 6))
