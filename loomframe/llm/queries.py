@@ -130,6 +130,40 @@ SQL: dict[str, str] = {}
 CRC = "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, ({})::UBIGINT[]), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)))"
 BYTES = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
 
+def _least(*nodes: str) -> str:
+    return f"list_sort([{', '.join(nodes)}])[1]"
+
+
+def _edit(node: str, cost: str, letter: str, row: str = "", when: str = "true") -> str:
+    """A node's costs, letters and rows behind an edit, out of reach where it isn't allowed."""
+    return f"{{'c': CASE WHEN {when} THEN {node}.c + {cost} ELSE 1000000000 END, 's': {node}.s || '{letter}', 'r': {node}.r{f' || chr(10) || {row}' if row else ''}}}"
+
+
+def _rows(q: str) -> str:
+    """The step over a row: keep it by its initial, rerole it to the role that a state wants, or delete it."""
+    free, more = "fault IS DISTINCT FROM 'blank' AND fault IS DISTINCT FROM 'duplicate'", "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    keep = lambda q, x: _edit(q, f"({more})", "K", "role || ':' || text", f"{free} AND role[1] = '{x}'")
+    turn = lambda q, name: _edit(q, f"(1 + {more})", "R", f"'{name}:' || text", free)
+    ways = {"0": [], "1": [keep("i0", "s")], "2": [f(x, n) for x in ("i0", "i1", "i3") for f, n in ((keep, "u"), (turn, "user"))], "3": [keep("i2", "a"), turn("i2", "assistant")]}
+    return _least(_edit(f"i{q}", "2", "D"), *ways[q])
+
+
+#: Every letter is an edge of least cost, and of equal costs the least letters stand; nodes are compared as (cost, letters).
+SQL["op11_repair"] = rf"""
+WITH RECURSIVE raw AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS key, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+h AS (SELECT *, {CRC.format(BYTES.format("(key || ':' || coalesce(turn::VARCHAR, ' '))"))} % 20 AS h FROM raw),
+d AS (SELECT key, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+  CASE WHEN n > 1 THEN lag(role[1]) OVER (PARTITION BY key ORDER BY n) || role[1] NOT IN ('su', 'ua', 'au') ELSE false END AS illegal FROM o),
+t AS (SELECT DISTINCT key, 0::BIGINT AS n, {{'c': 0::BIGINT, 's': '', 'r': ''}} AS q0, {{'c': 1000000000::BIGINT, 's': '', 'r': ''}} AS q1, {{'c': 1000000000::BIGINT, 's': '', 'r': ''}} AS q2, {{'c': 1000000000::BIGINT, 's': '', 'r': ''}} AS q3 FROM f
+  UNION ALL SELECT key, n, {', '.join(_rows(q) for q in "0123")} FROM (SELECT t.key, f.n, role, text, fault, q0 AS i0, q1 AS i1, {_least("q2", *[_edit(q, "5", "I", "'user:'") for q in ("q0", "q1", "q3")])} AS i2, {_least("q3", _edit(_least("q2", *[_edit(q, "5", "I", "'user:'") for q in ("q0", "q1", "q3")]), "5", "I", "'assistant:'"))} AS i3, FROM t JOIN f ON t.key = f.key AND f.n = t.n + 1)),
+e AS (SELECT key, {_least("q0", "q3", _edit("q2", "5", "I", "'assistant:'"), *[_edit(_edit(q, "5", "I", "'user:'"), "5", "I", "'assistant:'") for q in ("q0", "q1", "q3")])} AS best FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1),
+c AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY key)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.s, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT key, conv_id FROM raw) a LEFT JOIN c USING (key) LEFT JOIN e USING (key)
+"""
+
 SQL["op12_spelling"] = rf"""
 WITH RECURSIVE r AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)),
 h AS (SELECT run, count(*) AS k, {CRC.format(BYTES.format("any_value(id || ':' || run)"))} AS h FROM r WHERE length(run) >= 7 GROUP BY id, run),
