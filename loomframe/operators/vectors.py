@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Labels whose centroids are sent to every executor, at most.
+MAX_LABELS = 10_000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -48,9 +52,11 @@ def centroids(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
 def nearest_centroid(points: DataFrame, means: DataFrame, id_col: str, vector: str, label: str, coverage: Column | None = None, least: float = 0.55, margin: float = 3.0) -> DataFrame:
     """id, nearest label, both distances and the verdict: UNCERTAIN below the coverage, ADMIXED if the second is within margin times the first.
 
-    means is a row a label; it is gathered into one array row and sent along, so points are not multiplied.
+    means is a row a label, of at most MAX_LABELS, else the job stops; it is gathered into one array row and sent along, so points are not multiplied.
     """
-    packed = means.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid"))).alias("_c")).withColumn("_k", F.lit(1))
+    all_of = F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid")))
+    packed = means.agg(F.count("*").alias("_n"), all_of.alias("_c")).withColumn("_k", F.lit(1))
+    packed = packed.filter(F.when(F.col("_n") <= MAX_LABELS, True).otherwise(F.raise_error(F.lit(f"more than {MAX_LABELS} labels")).cast("boolean"))).drop("_n")
     rows = points.withColumn("_k", F.lit(1)).join(F.broadcast(packed), "_k")
     d = F.array_sort(F.transform("_c", lambda c: F.struct(squared_distance(F.col(vector).cast("array<double>"), c["centroid"]).alias("d"), c["label"].alias("label"))))
     rows = rows.withColumn("_d", d)

@@ -741,9 +741,25 @@ def projection(spark, sf_dir):
     return out.select("s", F.round(F.get("point", F.lit(0)), 4).alias("x"), F.round(F.get("point", F.lit(1)), 4).alias("y"), F.round("coverage", 6).alias("coverage"))
 
 
-@query()
+# The fit over each set of corners that are not zero has a closed form, as corners don't overlap; the best feasible set counts.
+SETS = [[c for c in range(3) if m >> c & 1] for m in range(1, 8)]
+
+
+def _fit_sql(own: list[int]) -> str:
+    level = f"(({' + '.join(f'h[{c + 1}] / w[{c + 1}]' for c in own)} - 1) / ({' + '.join(f'1 / w[{c + 1}]' for c in own)}))"
+    x = [f"(h[{c + 1}] - {level}) / w[{c + 1}]" if c in own else "0.0" for c in range(3)]
+    loss = " + ".join(f"w[{c + 1}] * ({x[c]}) ** 2 - 2 * h[{c + 1}] * ({x[c]})" for c in own)
+    return f"CASE WHEN least({', '.join(x)}) >= 0 THEN {{'loss': {loss}, 'x': [{', '.join(x)}]}} END"
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT vec_id, [{', '.join(f"list_sum(list_transform(range({c}, 64, 3), lambda i: v[i + 1])) / 4" for c in range(3))}] AS h, [22 / 16, 21 / 16, 21 / 16] AS w FROM e),
+b AS (SELECT vec_id, list_sort(list_filter([{', '.join(_fit_sql(s) for s in SETS)}], lambda z: z IS NOT NULL))[1].x AS x FROM g),
+r AS (SELECT vec_id, list_transform(x, lambda z: round(z, 4)) AS x FROM b), t AS (SELECT vec_id, x, list_position(x, list_max(x)) AS top FROM r)
+SELECT vec_id, ['a', 'b', 'c'][i] AS label, CASE WHEN i = top THEN round(x[i] + 1 - list_sum(x), 4) ELSE x[i] END AS fraction FROM t, range(1, 4) s(i)
+""")
 def mixture_fractions(spark, sf_dir):
-    """Simplex fit of every vector to three corner vectors; iterative, no SQL."""
+    """Simplex fit of every vector to three corner vectors."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     corners = [[float(i % 3 == c) / 4 for i in range(64)] for c in range(3)]
     return vectors.mixture(e, ["vec_id"], "embedding", corners, ["a", "b", "c"])
