@@ -18,8 +18,15 @@ def _rank(c: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LEVELS]), c).cast("int"), F.lit(0))
 
 
+def _category(star_least: int) -> Column:
+    """The category of a called entry from _g, effects and stars."""
+    hit = G.lookup(F.col("effects"), F.col("_g"))
+    category = F.when(G.strand_ambiguous(F.col("effects"), F.col("_g")), "Indeterminate").when(hit.isNull(), "Indeterminate")
+    return category.when((hit == "Elevated") & (F.col("stars") < star_least), "Moderate").otherwise(hit)
+
+
 def score_panel(samples: DataFrame, panel: DataFrame, sample: str = "sample_id", key: str = "rsid", genotype: str = "genotype", star_least: int = 2) -> DataFrame:
-    """A row for each sample and panel entry: category and coverage_status.
+    """A row for each sample and panel entry: category and coverage_status. For counts alone panel_levels makes far fewer rows.
 
     panel: pathway, key, effects (map of genotype to category), stars. category is Indeterminate for a strand-ambiguous
     call and for a call that the map has in no spelling; Elevated is capped to Moderate below star_least stars.
@@ -28,11 +35,8 @@ def score_panel(samples: DataFrame, panel: DataFrame, sample: str = "sample_id",
     own = samples.groupBy(sample, key).agg(F.min(genotype).alias("_g"), F.lit(True).alias("_on"))
     rows = grid.join(own, [sample, key], "left")
     called = ~G.is_no_call(F.col("_g"))
-    hit = G.lookup(F.col("effects"), F.col("_g"))
-    category = F.when(G.strand_ambiguous(F.col("effects"), F.col("_g")), "Indeterminate").when(hit.isNull(), "Indeterminate")
-    category = category.when((hit == "Elevated") & (F.col("stars") < star_least), "Moderate").otherwise(hit)
     status = F.when(F.col("_on").isNull(), "not_on_array").when(~called, "no_call").otherwise("called")
-    return rows.select(sample, "pathway", key, F.col("_g").alias(genotype), F.when(called & F.col("_on"), category).alias("category"), status.alias("coverage_status"))
+    return rows.select(sample, "pathway", key, F.col("_g").alias(genotype), F.when(called & F.col("_on"), _category(star_least)).alias("category"), status.alias("coverage_status"))
 
 
 def pathway_levels(scored: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -42,21 +46,30 @@ def pathway_levels(scored: DataFrame, sample: str = "sample_id") -> DataFrame:
     return scored.groupBy(sample, "pathway").agg(level.alias("level"), *[F.count_if(F.col("coverage_status") == s).alias(f"n_{s}") for s in ("called", "no_call", "not_on_array")])
 
 
+def panel_levels(samples: DataFrame, panel: DataFrame, sample: str = "sample_id", key: str = "rsid", genotype: str = "genotype", star_least: int = 2) -> DataFrame:
+    """pathway_levels(score_panel(...)), from the calls that samples have: what they lack is counted from a pathway's total."""
+    own = samples.groupBy(sample, key).agg(F.min(genotype).alias("_g")).join(panel, key)
+    called = ~G.is_no_call(F.col("_g"))
+    met = own.groupBy(sample, "pathway").agg(F.max(F.when(called, _rank(_category(star_least)))).alias("_r"), F.count_if(called).alias("_called"), F.count("*").alias("_on"))
+    every = lookup.grid(samples.select(sample).distinct(), panel.groupBy("pathway").agg(F.count("*").alias("_all")))
+    rows = every.join(met, [sample, "pathway"], "left").na.fill(0, ["_called", "_on"])
+    level = F.get(F.array(*[F.lit(x) for x in LEVELS]), F.greatest(F.coalesce("_r", F.lit(1)), F.lit(1)) - 1)
+    return rows.select(sample, "pathway", level.alias("level"), F.col("_called").alias("n_called"), (F.col("_on") - F.col("_called")).alias("n_no_call"), (F.col("_all") - F.col("_on")).alias("n_not_on_array"))
+
+
 def read_probe(samples: DataFrame, probes: DataFrame, sample: str = "sample_id", key: str = "rsid", genotype: str = "genotype") -> DataFrame:
     """For each sample and locus: the first typed call in order of the probe's rank, else no_call if any probe is there, else absent.
 
     probes: locus, key, rank (0 for the primary, then aliases), positional (a probe that only counts if all typed
-    positional probes of the locus agree).
+    positional probes of the locus agree). Only probes that a sample has are read; a row for each sample and locus is made at the end.
     """
-    grid = lookup.grid(samples.select(sample).distinct(), probes)
-    own = samples.groupBy(sample, key).agg(F.min(genotype).alias("_g"), F.lit(True).alias("_on"))
-    rows = grid.join(own, [sample, key], "left")
-    typed = F.col("_on") & ~G.is_no_call(F.col("_g"))
+    rows = samples.groupBy(sample, key).agg(F.min(genotype).alias("_g")).join(probes, key)
+    typed = ~G.is_no_call(F.col("_g"))
     named, placed = typed & ~F.col("positional"), typed & F.col("positional")
-    out = rows.groupBy(sample, "locus").agg(
-        F.min(F.when(named, F.struct("rank", "_g"))).alias("_n"), F.min(F.when(placed, F.struct("rank", "_g"))).alias("_p"),
-        F.count_distinct(F.when(placed, F.col("_g"))).alias("_d"), F.bool_or(F.coalesce("_on", F.lit(False))).alias("_any"),
-    )
+    met = rows.groupBy(sample, "locus").agg(
+        F.min(F.when(named, F.struct("rank", "_g"))).alias("_n"), F.min(F.when(placed, F.struct("rank", "_g"))).alias("_p"), F.count_distinct(F.when(placed, F.col("_g"))).alias("_d"), F.lit(True).alias("_any")
+    )
+    out = lookup.grid(samples.select(sample).distinct(), probes.select("locus").distinct()).join(met, [sample, "locus"], "left")
     call = F.when(F.col("_n").isNotNull(), F.col("_n._g")).when(F.col("_d") == 1, F.col("_p._g"))
     status = F.when(call.isNotNull(), "typed").when(F.col("_any"), "no_call").otherwise("absent")
     return out.select(sample, "locus", call.alias(genotype), status.alias("status"))

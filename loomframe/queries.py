@@ -782,7 +782,7 @@ def panel_pathways(spark, sf_dir):
     calls = _calls(spark, sf_dir)
     held = panel.filter("stars = 0").select("k").withColumn("_h", F.lit(True))
     calls = calls.join(held, "k", "left").withColumn("gt", F.when(F.col("_h") & (F.substring("gt", 1, 1) == "G"), "--").otherwise(F.col("gt"))).drop("_h")
-    return panels.pathway_levels(panels.score_panel(calls, panel, key="k", genotype="gt"))
+    return panels.panel_levels(calls, panel, key="k", genotype="gt")
 
 
 @query(f"""

@@ -374,6 +374,7 @@ def test_panel_status(spark):
     }
     levels = {(r["sample_id"], r["pathway"]): r["level"] for r in panels.pathway_levels(scored).collect()}
     assert levels == {(1, "p"): "Moderate", (1, "q"): "Standard", (2, "p"): "Standard", (2, "q"): "Standard"}
+    assert sorted(map(tuple, panels.panel_levels(calls, panel).collect())) == sorted(map(tuple, panels.pathway_levels(scored).collect()))
 
 
 def test_two_locus_table(spark):
