@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomframe import durable
+from loomframe.durable import shared_folder
+
+__all__ = ["BATCH_BYTES", "BLANKS", "PACKED_ROWS", "cut", "let", "n_words", "packed", "shared_folder", "spaced", "table", "to_python", "words"]
+
 #: White space of the word definition [^\x20\x09-\x0D]+.
 BLANKS = "\t\n\x0b\x0c\r"
 
@@ -44,21 +47,6 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, which all executors share; only a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    folder = sc._jsc.sc().getCheckpointDir()
-    if not folder.isDefined():
-        wanted = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not wanted:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            wanted = tempfile.mkdtemp(prefix="loomframe-")
-        sc.setCheckpointDir(wanted)
-        folder = sc._jsc.sc().getCheckpointDir()
-    return folder.get()
-
-
 #: Narrow rows (some keys and numbers) in a partition, at least, where there are so many.
 PACKED_ROWS = 50_000
 
@@ -75,10 +63,8 @@ def cut(df: DataFrame, forget_size: bool = False) -> DataFrame:
     A checkpoint keeps the size that the optimizer estimated, a product over all joins above. In a loop that product
     grows doubly exponentially, as do the time and memory that its digits take on the driver; forget_size drops it.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    out = df.checkpoint(eager=True)
+    out = durable.cut(df)
     if not forget_size:
         return out
-    rows = out._jdf
+    spark, rows = df.sparkSession, out._jdf
     return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)

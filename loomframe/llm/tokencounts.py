@@ -116,6 +116,13 @@ class Rollup:
     def _read(self, entry: str) -> dict:
         return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{entry}").collect()))
 
+    def _data_of(self, batches: list[str]) -> list[str]:
+        """The data folders of batches, their entries read as one table."""
+        if not batches:
+            return []
+        rows = self.spark.read.text([f"{self.root}/batches/{b}" for b in batches]).select("value").collect()
+        return sorted(json.loads(r[0])["data"] for r in rows)
+
     def _last(self) -> tuple[int, dict]:
         """Number and content of the last compaction."""
         names = self._names("compactions")
@@ -146,7 +153,7 @@ class Rollup:
         """
         number, last = self._last()
         batches, known = self.batches(), set(last["covers"])
-        return number, batches, [*([last["data"]] if last["data"] else []), *(self._read(f"batches/{b}")["data"] for b in batches if b not in known)]
+        return number, batches, [*([last["data"]] if last["data"] else []), *self._data_of([b for b in batches if b not in known])]
 
     def _sum(self, folders: list[str]) -> DataFrame:
         rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.root}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], TOTALS)
