@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.sources import archives, bundles, plink
+from loomframe.sources import archives, bundles, plink, tables, text
 
 
 def read_fileset(folder):
@@ -172,3 +172,22 @@ def test_a_batch_that_was_broken_off_leaves_nothing(spark, tmp_path, monkeypatch
     for _ in range(2):
         archives.ingest(spark, str(tmp_path / "a.txt"), root, "one")
         assert archives.committed(spark, root).count() == 1
+
+
+def test_tables_by_their_header(spark, tmp_path):
+    path = tmp_path / "scores.tsv"
+    path.write_text("#CHROM\tother\tPOS\tREF\tALT\tam_pathogenicity\n" + "".join(f"1\tz\t{i % 700}\tA\tG\t{i / 1000}\n" for i in range(1400)) + "1\tz\tx\tA\tG\t0.5\n2\tz\t5\tA\tG\t.\n")
+    columns = {"chrom": ("CHROM", "string"), "pos": ("pos", "long"), "ref": ("REF", "string"), "alt": ("ALT", "string"), "score": ("am_pathogenicity", "double")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = tables.load(spark, f"file://{path}", columns, ["chrom", "pos", "ref", "alt"], sep="\t", some=["score"])
+        assert {r["pos"]: r["score"] for r in got.collect()} == {i: (i + 700) / 1000 for i in range(700)}  # the last row of a key counts
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    csv = tmp_path / "t.csv"
+    csv.write_text("Gene,pLI\nA,0.5\nB,\n,0.1\n")
+    assert sorted(map(tuple, tables.load(spark, str(csv), {"gene": ("gene", "string"), "pli": ("PLI", "double")}, ["gene"]).collect())) == [("A", 0.5), ("B", None)]
+    for header in ("gene,other\n", "gene,pli,PLI\n"):
+        csv.write_text(header)
+        with pytest.raises(text.FormatError):
+            tables.load(spark, str(csv), {"gene": ("gene", "string"), "pli": ("PLI", "double")}, ["gene"])
