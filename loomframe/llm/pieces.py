@@ -11,7 +11,8 @@ Characters that no piece holds become byte pieces, also a literal U+2581, so dec
 For unigram models a piece's log-probability is the model's score. Models of merges have ranks for scores; there it is
 that of Zipf's law at the rank.
 
-Defined results: a null text has null pieces, an empty one none. Repeated rows with equal keys get equal pieces. An empty
+Defined results: a null text has null pieces, an empty one none. Repeated rows with equal keys get equal pieces. Texts of any
+length are encoded whole; a run of spaces with the word behind it is one lattice whatever its length. An empty
 table gives an empty result. Extra columns pass if named in keep.
 """
 

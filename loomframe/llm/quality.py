@@ -5,7 +5,7 @@ versioned bit masks applied to the ledger afterwards, and ablations are aggregat
 reads a text again. Only DataFrame functions run here.
 
 Null or empty text: all measurements are 0 and the word minimum fails. Repeated rows and ties: each row is judged by
-itself. Empty table: empty ledger. Extra columns pass through; a column that clashes with one of the ledger's own is
+itself. Texts of any length are measured whole. Empty table: empty ledger. Extra columns pass through; a column that clashes with one of the ledger's own is
 replaced.
 """
 

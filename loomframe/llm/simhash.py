@@ -104,7 +104,11 @@ def hamming_links(fps: DataFrame, bucket_cap: int = 100) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, bucket_cap: int = 100) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hexadecimal digits), component_id (the least doc_id that links reach)."""
+    """doc_id, fp, fingerprint (16 hexadecimal digits), component_id (the least doc_id that links reach).
+
+    Null and empty texts have fingerprint zero, which links as any other. Texts of any length are taken whole. Repeated rows
+    are a row each; an empty table gives an empty result; columns but id and text are ignored.
+    """
     marked = cut(fingerprints(docs, id_col, text, shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(hamming_links(distinct.select("fp"), bucket_cap))

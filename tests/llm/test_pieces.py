@@ -75,3 +75,8 @@ def test_operator(spark):
     again = {r["doc_id"]: r["piece_ids"] for r in P.encode(docs.repartition(5)).collect()}
     assert all(again[r["doc_id"]] == r["piece_ids"] for r in rows)
     assert P.encode(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "some words of a text\n" * 20_000), (2, "x" * 20_000), (3, "é" * 5_000 + " ")], "doc_id long, text string")
+    assert all(r["round_trip"] and r["n_pieces"] > 0 for r in P.encode(docs, check=True).collect())

@@ -54,3 +54,10 @@ def test_edge_tables(spark):
     assert Q.ledger(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     extra = spark.createDataFrame([(1, "a b", 7)], "doc_id long, text string, n_words int").withColumn("fail_bits", F.lit("x"))
     assert Q.ledger(extra).first()["n_words"] == 2
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000)) + "\n" + "same line here\n" * 30_000 + "#"
+    docs = spark.createDataFrame([(1, long), (2, "x" * 2_000_000), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in Q.MEASURES) for r in Q.measured(docs).collect()}
+    assert got == {1: plain(long), 2: plain("x" * 2_000_000), 3: plain(None)}
