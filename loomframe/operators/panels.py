@@ -108,3 +108,29 @@ def allele_copies(alleles: Column, wanted: str) -> Column:
     hit = lambda x: (x == wanted) | F.startswith(x, F.lit(wanted + ":"))
     called = F.filter(alleles, lambda x: x.isNotNull())
     return F.when(F.size(called) > 0, F.size(F.filter(called, hit)))
+
+
+def state_label(labels: Column, call: Column) -> Column:
+    """The label of a call in a map of genotypes to states, in any spelling; null for no call and for one whose strand isn't told."""
+    return F.when(~G.is_no_call(call) & ~F.coalesce(G.strand_ambiguous(labels, call), F.lit(False)), G.lookup(labels, call))
+
+
+def counted_label(copies: Sequence[Column], labels: Column) -> Column:
+    """A label by the copies at several loci together; null if one of them is unknown or the map has no such number."""
+    total = F.lit(0)
+    for c in copies:
+        total = total + c
+    return F.try_element_at(labels, total.cast("int"))
+
+
+def family_outcome(rows: DataFrame, samples: DataFrame, sample: str = "sample_id", gene: str = "gene_symbol", level: str = "evidence_level", weak: Column | None = None) -> DataFrame:
+    """For each sample: Positive if a row of the family's genes that isn't weak is carried, else Negative, with its genes, number
+    of rows, whether one is homozygous and the highest level."""
+    own = rows.filter(F.col("zygosity").isin("het", "hom_alt"))
+    own = own if weak is None else own.filter(~F.coalesce(weak, F.lit(False)))
+    met = own.groupBy(sample).agg(F.array_sort(F.collect_set(gene)).alias("_g"), F.count("*").alias("_n"), F.bool_or(F.col("zygosity") == "hom_alt").alias("_h"), F.max(level).alias("_l"))
+    out = samples.select(sample).distinct().join(met, sample, "left")
+    return out.select(
+        sample, F.when(F.col("_n") > 0, "Positive").otherwise("Negative").alias("status"), F.coalesce("_g", F.array().cast("array<string>")).alias("genes"), F.coalesce("_n", F.lit(0)).alias("n_rows"),
+        F.coalesce("_h", F.lit(False)).alias("has_homozygous"), F.coalesce("_l", F.lit(0)).alias("highest_level"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomframe.durable import shared_folder
 from loomframe.functions import genotype as G
-from loomframe.operators import lookup, merge, paging, rules, scores, selection
+from loomframe.operators import lookup, merge, paging, panels, rules, scores, selection
 from loomframe.plans import annotate as enrich
 from loomframe.plans.panels import PanelStore
 from loomframe.sources import sinks, text
@@ -80,12 +80,12 @@ def link_rows(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT c_custkey AS rsid, c_mktsegment AS was, c_acctbal AS watched_at FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT o_custkey AS rsid, min(o_orderpriority) AS now FROM orders GROUP BY 1)
+WITH w AS (SELECT c_custkey AS rsid, c_mktsegment AS was, c_acctbal AS watched_at FROM customer), n AS (SELECT o_custkey AS rsid, min(o_orderpriority) AS now FROM orders GROUP BY 1)
 SELECT rsid, was, now, row_number() OVER (ORDER BY watched_at DESC, rsid) AS place FROM w LEFT JOIN n USING (rsid) QUALIFY place <= 40
 """)
 def watched_values(spark, sf_dir):
     """The value that was stored beside the one of now, newest watch first."""
-    w = read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("rsid"), F.col("c_mktsegment").alias("was"), F.col("c_acctbal").alias("watched_at"))
+    w = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rsid"), F.col("c_mktsegment").alias("was"), F.col("c_acctbal").alias("watched_at"))
     now = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rsid"), F.col("o_orderpriority").alias("now"))
     page = paging.ranked_page(lookup.exact(w, now, ["rsid"], ["now"]), [F.col("watched_at").desc(), F.col("rsid")], 40)
     # The page's rows are numbered, so that their order is compared; it has 40 rows.
@@ -186,13 +186,13 @@ def file_formats(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT p_partkey AS rank, p_name AS score, CASE WHEN p_size % 10 = 0 THEN ['any'] ELSE ['P' || p_size % 7, 'P' || (p_size + 1) % 9] END AS covers FROM part WHERE p_partkey % 3 = 0), e AS (SELECT rank, score, unnest(covers) AS g FROM r),
+WITH r AS (SELECT p_partkey AS rank, p_name AS score, CASE WHEN p_size % 10 = 0 THEN ['any'] ELSE ['P' || p_size % 7, 'P' || (p_size + 1) % 9] END AS covers FROM part), e AS (SELECT rank, score, unnest(covers) AS g FROM r),
 c AS (SELECT c_custkey, 'P' || c_nationkey % 12 AS ancestry FROM customer)
 SELECT c_custkey, (SELECT min_by(score, rank) FROM e WHERE g = ancestry OR g = 'any') AS score FROM c
 """)
 def covering_scores(spark, sf_dir):
     """The first score of a registry that covers a sample's ancestry."""
-    part = read(spark, sf_dir, "part").filter(key() % 3 == 0)
+    part = read(spark, sf_dir, "part")
     covers = F.when(size() % 10 == 0, F.array(F.lit("any"))).otherwise(F.array(F.concat(F.lit("P"), size() % 7), F.concat(F.lit("P"), (size() + 1) % 9)))
     registry = part.select(key().alias("rank"), F.col("p_name").alias("score"), covers.alias("covers"))
     own = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("P"), F.col("c_nationkey") % 12).alias("ancestry"))
@@ -266,19 +266,19 @@ def rare_ranking(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT DISTINCT l_suppkey % 40 AS sample_id, (l_partkey % 22 + 1)::VARCHAR AS chrom, l_partkey AS pos, 'A' AS ref, 'G' AS alt, 'rs' || l_partkey AS rsid, CASE WHEN l_partkey % 3 <> 0 THEN 'GENE' || l_partkey % 9 END AS gene, CASE l_linenumber % 3 WHEN 0 THEN 'het' WHEN 1 THEN 'hom_alt' ELSE 'hom_ref' END AS z FROM lineitem WHERE l_suppkey % 40 > 0),
+WITH v AS (SELECT DISTINCT l_orderkey AS sample_id, (l_partkey % 22 + 1)::VARCHAR AS chrom, l_partkey AS pos, 'A' AS ref, 'G' AS alt, 'rs' || l_partkey AS rsid, CASE WHEN l_partkey % 3 <> 0 THEN 'GENE' || l_partkey % 9 END AS gene, CASE l_linenumber % 3 WHEN 0 THEN 'het' WHEN 1 THEN 'hom_alt' ELSE 'hom_ref' END AS z FROM lineitem),
 h AS (SELECT *, sha1(concat_ws(chr(31), 'observation', sample_id, chrom, pos, ref, alt, rsid, coalesce(gene, ''), z)) AS s FROM v WHERE z <> 'hom_ref'),
 i AS (SELECT *, concat_ws('-', substr(s, 1, 8), substr(s, 9, 4), '5' || substr(s, 14, 3), '8' || substr(s, 18, 3), substr(s, 21, 12)) AS id FROM h)
-SELECT sample_id, count(*) + 1 AS n_entries, count(*) AS n_references, 0::BIGINT AS n_lost, md5(string_agg('urn:uuid:' || id, ',' ORDER BY chrom::INT, pos, id)) AS urls FROM i GROUP BY 1
+SELECT sample_id, count(id) + 1 AS n_entries, count(id) AS n_references, 0::BIGINT AS n_lost, md5(coalesce(string_agg('urn:uuid:' || id, ',' ORDER BY chrom::INT, pos, id), '')) AS urls FROM (SELECT DISTINCT l_orderkey AS sample_id FROM lineitem) LEFT JOIN i USING (sample_id) GROUP BY 1
 """)
 def resource_bundles(spark, sf_dir):
     """A document a sample, read back: entries, references, those that no entry answers, and the entries in order."""
     line, k = F.col("l_linenumber"), F.col("l_partkey")
-    rows = read(spark, sf_dir, "lineitem").filter("l_suppkey % 40 > 0").select(
-        (F.col("l_suppkey") % 40).alias("sample_id"), (k % 22 + 1).cast("string").alias("chrom"), k.alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.concat(F.lit("rs"), k).alias("rsid"),
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("sample_id"), (k % 22 + 1).cast("string").alias("chrom"), k.alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.concat(F.lit("rs"), k).alias("rsid"),
         F.when(k % 3 != 0, F.concat(F.lit("GENE"), k % 9)).alias("gene_symbol"), F.when(line % 3 == 0, "het").when(line % 3 == 1, "hom_alt").otherwise("hom_ref").alias("zygosity"),
     )
-    made = sinks.resource_documents(rows, most=1_000_000_000)
+    made = sinks.resource_documents(rows)
     doc = F.from_json("document", "entry array<struct<fullUrl: string, resource: struct<resourceType: string, id: string, result: array<struct<reference: string>>>>>")
     read_back = made.select("sample_id", doc["entry"].alias("entry"))
     urls = F.transform(F.filter("entry", lambda e: e["resource"]["resourceType"] == "Observation"), lambda e: e["fullUrl"])
@@ -291,7 +291,7 @@ def resource_bundles(spark, sf_dir):
 REF, ALT = (f"substr('ACGT', ({x}) % 4 + 1, 1)" for x in ("k", "k + 1 + p % 3"))
 TURN = "translate({}, 'ACGT', 'TGCA')"
 WIDE_SQL = f"""
-WITH b AS (SELECT o_orderkey * 4 + i AS k, o_custkey AS p FROM orders, range(4) r(i)), q AS (SELECT k, p, {REF} || substr('ACGT', (k + p % 4) % 4 + 1, 1) AS genotype, {REF} AS r, {ALT} AS a FROM b WHERE k % 53 <> 0),
+WITH b AS (SELECT o_orderkey * 4 + i AS k, o_custkey AS p FROM orders, range(4) r(i)), q AS (SELECT k, p, {REF} || substr('ACGT', (k + p % 4) % 4 + 1, 1) AS genotype, {REF} AS r, {ALT} AS a FROM b),
 f AS (SELECT *, k % 3 < 2 AS v, k % 4 < 2 AS c, k % 6 < 4 AS d, k % 2 = 0 AND k % 3 = 0 AS am, CASE k % 8 WHEN 1 THEN 'Pathogenic' WHEN 4 THEN 'Uncertain significance' ELSE 'Benign' END AS s FROM q),
 h AS (SELECT *, k % 5 < 3 AND NOT ((v OR c) AND k % 25 = 0) AS g, CASE WHEN v OR c THEN r END AS ref, CASE WHEN v OR c THEN a END AS alt, CASE WHEN v OR c THEN k % 11 END AS gene FROM f),
 j AS (SELECT *, gene IS NOT NULL AND NOT (c AND s = 'Benign') AS gp, CASE WHEN d AND k % 2 = 0 THEN k % 10 / 100.0 END AS sift, CASE WHEN d AND k % 5 = 0 THEN k % 100 / 100.0 END AS poly, CASE WHEN d THEN k % 40 END AS cadd FROM h),
@@ -315,7 +315,7 @@ def annotate_columns(spark, sf_dir):
     """Every column of the wide table for all calls, with merged ids, six sources, gene phenotypes, damage votes and conflicts."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("p"), F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("i"))
     k, p = F.col("k"), F.col("p")
-    calls = o.select((F.col("o_orderkey") * 4 + F.col("i")).alias("k"), "p").filter(k % 53 != 0)
+    calls = o.select((F.col("o_orderkey") * 4 + F.col("i")).alias("k"), "p")
     calls = calls.select("k", "p", F.concat(F.lit("rs"), k).alias("rsid"), (k % 97 % 22 + 1).cast("string").alias("chrom"), k.alias("pos"), F.concat(letter(k), letter(k + p % 4)).alias("genotype"))
     merged = k % 9 == 0
     named = F.concat(F.when(merged, "m").otherwise("rs"), k)
@@ -348,3 +348,34 @@ SELECT user_id, first, last, n, round(total, 6) AS total, CASE WHEN closed THEN
 def event_episodes(spark, sf_dir):
     """Episodes of each user's events, ended by a purchase or by a day without any."""
     return episodes.episodes(read(spark, sf_dir, "events"), F.col("event_type") == "purchase", 86400).withColumn("total", F.round("total", 6))
+
+
+# --- special callers of panels ------------------------------------------------------------------------------------
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS k, CASE WHEN p_size % 6 = 0 THEN '--' ELSE substr('ACGT', p_partkey % 4 + 1, 1) || substr('ACGT', p_size % 4 + 1, 1) END AS g, CASE WHEN p_size % 7 <> 0 THEN p_size % 3 END AS a, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 3 END AS b, p_size % 2 AS c FROM part),
+s AS (SELECT *, CASE WHEN g[1] <= g[2] THEN g ELSE g[2] || g[1] END AS o, translate(g, 'ACGT', 'TGCA') AS r FROM t), u AS (SELECT *, CASE WHEN r[1] <= r[2] THEN r ELSE r[2] || r[1] END AS q FROM s)
+SELECT k, CASE WHEN g = '--' THEN NULL WHEN o IN ('CC', 'CT', 'TT') THEN CASE o WHEN 'CC' THEN 'RR' WHEN 'CT' THEN 'RX' ELSE 'XX' END WHEN q IN ('CC', 'CT', 'TT') THEN CASE q WHEN 'CC' THEN 'RR' WHEN 'CT' THEN 'RX' ELSE 'XX' END END AS state,
+  CASE a + b + c WHEN 0 THEN 'none' WHEN 1 THEN 'one' WHEN 2 THEN 'several' WHEN 3 THEN 'several' END AS carried FROM u
+""")
+def special_callers(spark, sf_dir):
+    """A three-state label of one marker and a label by the copies at three."""
+    g = F.when(size() % 6 == 0, "--").otherwise(F.concat(letter(key()), letter(size())))
+    states = F.create_map(*[F.lit(x) for x in ("CC", "RR", "CT", "RX", "TT", "XX")])
+    counts = F.create_map(*[F.lit(x) for pair in ((0, "none"), (1, "one"), (2, "several"), (3, "several")) for x in pair])
+    copies = [F.when(size() % 7 != 0, size() % 3), F.when(key() % 5 != 0, key() % 3), size() % 2]
+    return read(spark, sf_dir, "part").select(key().alias("k"), panels.state_label(states, g).alias("state"), panels.counted_label(copies, counts).alias("carried"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey % 60 AS sample_id, 'G' || l_partkey % 4 AS gene_symbol, CASE l_linenumber % 3 WHEN 0 THEN 'het' WHEN 1 THEN 'hom_alt' ELSE 'hom_ref' END AS zygosity, l_linenumber % 4 AS evidence_level, l_partkey % 2 = 0 OR l_suppkey % 4 = 0 AS weak FROM lineitem),
+f AS (SELECT sample_id, list_sort(list_distinct(list(gene_symbol))) AS g, count(*) AS n, bool_or(zygosity = 'hom_alt') AS h, max(evidence_level) AS l FROM r WHERE zygosity <> 'hom_ref' AND NOT weak GROUP BY 1)
+SELECT s.sample_id, CASE WHEN n > 0 THEN 'Positive' ELSE 'Negative' END AS status, coalesce(g, []) AS genes, coalesce(n, 0) AS n_rows, coalesce(h, false) AS has_homozygous, coalesce(l, 0) AS highest_level FROM (SELECT DISTINCT l_suppkey % 60 AS sample_id FROM lineitem) s LEFT JOIN f USING (sample_id)
+""")
+def family_outcomes(spark, sf_dir):
+    """The outcome of a family of genes for every sample, from its carried rows that aren't weak."""
+    li = read(spark, sf_dir, "lineitem")
+    line, k, sample = F.col("l_linenumber"), F.col("l_partkey"), (F.col("l_suppkey") % 60).alias("sample_id")
+    rows = li.select(sample, F.concat(F.lit("G"), k % 4).alias("gene_symbol"), F.when(line % 3 == 0, "het").when(line % 3 == 1, "hom_alt").otherwise("hom_ref").alias("zygosity"), (line % 4).alias("evidence_level"), ((k % 2 == 0) | (F.col("l_suppkey") % 4 == 0)).alias("weak"))
+    return panels.family_outcome(rows, li.select(sample), weak=F.col("weak"))
