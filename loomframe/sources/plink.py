@@ -2,8 +2,8 @@
 
 Variants are dealt by ranges of place. Each task writes the .bed and .bim of its range; at commit they get the names
 part-00000, part-00001 ... in order of place, beside one .fam for all of them and a merge list that names the three
-files of each part. Nothing goes through the driver but a message a task; what a failed attempt wrote is removed or
-overwritten.
+files of each part. Nothing goes through the driver but a message a task; what a failed attempt wrote is removed at
+commit. The path has to be one that all tasks can write: a shared folder, or a store that pyarrow knows.
 
 A1 is the reference allele and A2 the alternative: two bits are 00 for two references, 10 for one, 11 for none and 01 for missing.
 """
