@@ -14,7 +14,7 @@ any length is spread over tasks. What a template rewrites further back than a se
 
 Defined results: a null text or role is the empty string. Null conversations are one conversation. Turns go by number (null
 first), then by role and the text's hash; repeated rows are turns each. Empty texts are turns with an empty place. Very
-long texts are taken whole. Extra columns are ignored, as only those that are named are read. An empty table gives none.
+long texts are taken whole. The rows are to be a scan or a written table, as repeated ones are told apart by their place. Extra columns are ignored, as only those that are named are read. An empty table gives none.
 """
 
 from __future__ import annotations

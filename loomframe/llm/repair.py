@@ -13,7 +13,8 @@ are dealt by ranges and when the edits come back to them.
 
 Defined results: a null role or text is one space. Null conversations are one conversation. Rows go by turn (null first),
 then by role and the text's hash; repeated rows are duplicates. A role's initial is its first code point, and an empty role
-has none. Texts of any length are taken whole; an empty table gives no rows; columns that aren't named are ignored.
+has none. The rows are to be a scan or a written table (or rows made from one without a shuffle), as repeated ones are
+told apart by their place. Texts of any length are taken whole; an empty table gives no rows; columns that aren't named are ignored.
 """
 
 from __future__ import annotations
