@@ -1,6 +1,10 @@
 """Ordinal fit on made data, and accuracy on labels that the fit hasn't seen."""
 
+import math
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomframe.llm import toxicity as T
@@ -79,3 +83,41 @@ def test_edge_tables(spark):
     marks = texts.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
     got = {r["doc_id"]: r for r in T.score(texts, T.fit(texts, marks)).collect()}
     assert all(got[i]["toxic"] == (i % 3 == 0) for i in range(60)) and got[0]["severity"] > got[1]["severity"]
+
+
+def test_scores_by_hand(spark):
+    """Severities and grades of every text against sums, chances and expectations worked out one by one."""
+    texts = ["you idiot idiot", "fine words here", "", None, "idiot scum and words", "IDIOT! scum.", "wordsmith fine " * 2000]
+    seen = [T.features_of(t) for t in texts]
+    names = sorted({f for s in seen for f in s})
+    r = random.Random(8)
+    model = T.Model({f: r.uniform(-1, 1) for f in names if r.random() < 0.7}, [-0.3, 0.9, 1.4], [0, 1, 3, 4])
+    got = {x["doc_id"]: x for x in T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, at_least=0.4).collect()}
+    for i, features in enumerate(seen):
+        total = sum(w for f, w in model.weights.items() if f in features)
+        reach = [1 / (1 + math.exp(t - total)) for t in model.thresholds]  # P(grade >= level 1, 2, 3)
+        exactly = [1 - reach[0], reach[0] - reach[1], reach[1] - reach[2], reach[2]]
+        assert got[i]["severity"] == pytest.approx(sum(p * level for p, level in zip(exactly, model.levels)))
+        assert got[i]["grade"] == max([0, *(level for p, level in zip(reach, model.levels[1:]) if p > 0.4)])
+
+
+def test_fit_is_a_maximum_of_the_likelihood():
+    """No small step of a weight or threshold makes the labelled grades likelier."""
+    r = np.random.default_rng(2)
+    x = (r.random((400, 5)) < 0.4).astype(float)
+    y = np.digitize(x @ np.array([1.5, -1.0, 0.7, 0.0, 2.0]) + r.logistic(size=400), [0.5, 2.0])
+    rows, cols = np.nonzero(x)
+    w, th = T.fit_ordinal(rows, cols, y, 5, 3, steps=3000)
+
+    def loss(w, th):
+        score = x @ w
+        chance = lambda k: 1 / (1 + np.exp(th[k] - score))
+        up = np.stack([np.ones(400), chance(0), chance(1), np.zeros(400)])
+        return -np.log(up[y, np.arange(400)] - up[y + 1, np.arange(400)]).mean() + 0.5e-4 * (w**2).sum()
+
+    best = loss(w, th)
+    for i in range(7):
+        for step in (-0.05, 0.05):
+            p = np.concatenate([w, th])
+            p[i] += step
+            assert loss(p[:5], p[5:]) > best - 1e-6
