@@ -68,7 +68,10 @@ def test_contracts(spark):
         "op7_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
         "op8_simhash": "doc_id bigint, fingerprint string, component_id bigint",
         "op10_html": "page_id bigint, url string, text string, n_chars bigint",
+        "op11_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+        "op12_spelling": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+        "op13_chat": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     }
     for name, kinds in want.items():
         assert ", ".join(map(" ".join, QUERIES[name](spark, D).dtypes)) == kinds
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(SQL) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(SQL) <= set(QUERIES)
