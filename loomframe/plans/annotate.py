@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.durable import cut
 from loomframe.functions import genotype as G
 from loomframe.functions import scalar as S
 from loomframe.operators import rules, scores
@@ -141,6 +142,8 @@ def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
         calls = calls.withColumn("dbsnp_rsid_current", F.lit(None).cast("string"))
     # What stands for no id is none, else all such calls and records would meet.
     calls = calls.withColumn("lookup_id", F.when(~F.trim("lookup_id").isin("", "."), F.col("lookup_id")))
+    # Every source's branch and the rows themselves start from here.
+    calls = cut(calls)
     out = calls
     for name, table, pick in (("vep", sources.vep, vep_best), ("clinvar", sources.clinvar, clinvar_best), ("dbnsfp", sources.dbnsfp, dbnsfp_best)):
         if table is not None:
