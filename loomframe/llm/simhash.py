@@ -135,12 +135,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 # prefixes of D under any fixed order (additions first), and that is an equi-join on (hub, element): exact, and linear
 # where the elements outside the hub's reach are rare. An element that many members share makes a bucket of its own, with
 # a hub of its own, in the next round.
+#
+# A link within a component that is known already changes nothing. So hubs and stars (every node with the least one it is
+# proposed with) are verified first, and what is left is compared across components only: pairs, and the elements of a hub.
 
 BANDS, BAND_ROWS = 16, 4
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NODE = "struct<id:bigint,th:bigint,rh:bigint>"
 #: Rounds of hubs; what is crowded still then is compared pair by pair.
 ROUNDS = 8
+#: Rounds of stars before all other pairs are verified.
+STARS = 2
+#: Nodes that are sent to every executor to pick their texts, at most.
+SENT = 200_000
 
 
 def band_keys(hashes: list[int]) -> np.ndarray:
@@ -239,6 +246,24 @@ def difference(x: set[bytes], hub: set[bytes], tenths: int) -> tuple[bool, int,
     return inside, a, r, as_outside, as_other, order[:take]
 
 
+def _with_texts(texts: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs a, b with their texts x, y. Texts of few nodes are picked where they lie, so that no others are shuffled."""
+    wanted = packed(cut(pairs.select(F.explode(F.array(a, b)).alias("node")).distinct()))
+    some = texts.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= SENT else texts
+    x, y = some.select(F.col("node").alias(a), F.col("text").alias("x")), some.select(F.col("node").alias(b), F.col("text").alias("y"))
+    return pairs.select(a, b).join(x.hint("merge"), a).join(y.hint("merge"), b).select(a, b, "x", "y")
+
+
+def _placed(rows: DataFrame, label: DataFrame, node: str, to: str) -> DataFrame:
+    """rows with the component of a node, which is the node itself without a link."""
+    return rows.join(label.select(F.col("node").alias(node), F.col("label").alias(to)), node, "left").withColumn(to, F.coalesce(to, node))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Those of pairs whose ends are in different components."""
+    return _placed(_placed(pairs, label, "a", "_a"), label, "b", "_b").filter("_a <> _b").select("a", "b")
+
+
 def _differences(texts: DataFrame, members: DataFrame, shingle: int, tenths: int) -> DataFrame:
     """For every (hub, node): size, hub_size, inside, a, r, as_outside, as_other, elements of difference()."""
     kind = pa.schema([("size", pa.int64()), ("hub_size", pa.int64()), ("inside", pa.bool_()), ("a", pa.int64()), ("r", pa.int64()), ("as_outside", pa.int64()), ("as_other", pa.int64()), ("elements", pa.list_(pa.int64()))])
@@ -256,35 +281,42 @@ def _differences(texts: DataFrame, members: DataFrame, shingle: int, tenths: int
             cols = zip(*rows, strict=True) if rows else [()] * len(kind)
             yield pa.record_batch([*batch.columns[:2], *(pa.array(c, f.type) for c, f in zip(cols, kind, strict=True))], ["hub", "node", *kind.names])
 
-    sent = members.join(texts.select("node", F.col("text").alias("x")).hint("merge"), "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("y")).hint("merge"), "hub").select("hub", "node", "x", "y")
+    sent = _with_texts(texts, members, "node", "hub").select("hub", "node", "x", "y")
     return to_python(sent, run, f"hub {NODE}, node {NODE}, size long, hub_size long, inside boolean, a long, r long, as_outside long, as_other long, elements array<long>")
 
 
 def _meeting(told: DataFrame, crowd: int | None, tenths: int) -> tuple[DataFrame, DataFrame]:
-    """Of _differences(): pairs a < b that may be similar though the hub doesn't link them, and members of crowded elements.
+    """Of _differences() with components (comp): pairs a < b of different components that may be similar though the hub
+    doesn't link them, and members of crowded elements.
 
     What is needed of an element that both lack, if it is the first they share, is that they share no addition; then
     x can only be similar to a text that is shorter than the hub by what x is too far from it (over <= room).
     """
     p, q = 10 - tenths, 10 + tenths
     lack, over, room = F.col("e") % 2 == 0, q * (F.col("a") + F.col("r")) - p * (F.col("size") + F.col("hub_size")), (q - p) * (F.col("r") - F.col("a"))
-    entries = told.select("hub", "node", "size", "hub_size", "a", "r", "as_outside", "as_other", F.posexplode("elements").alias("at", "e"))
+    # A hub's members meet if one that isn't similar to it is in another component than they are.
+    outside = F.when(~F.col("inside"), F.col("comp"))
+    far = told.groupBy("hub").agg(F.min(outside).alias("low"), F.max(outside).alias("high")).filter("low IS NOT NULL")
+    told = told.join(far.hint("merge"), "hub").filter("low <> high OR comp <> low OR NOT inside").drop("low", "high")
+    two = told.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    told = told.join(two.hint("merge"), "hub", "left_semi")
+    entries = told.select("hub", "node", "comp", "size", "hub_size", "a", "r", "as_outside", "as_other", F.posexplode("elements").alias("at", "e"))
     x_role, y_role = F.col("at") < F.col("as_outside"), (F.col("at") < F.col("as_other")) & (~lack | (room > 0))
-    entries = entries.select("hub", "node", "size", "a", "r", "at", "e", x_role.alias("x"), y_role.alias("y"), F.when(lack, over).otherwise(F.lit(0)).alias("over"), F.when(lack, room).otherwise(F.lit(0)).alias("room")).filter("x OR y")
+    entries = entries.select("hub", "node", "comp", "size", "a", "r", "at", "e", x_role.alias("x"), y_role.alias("y"), F.when(lack, over).otherwise(F.lit(0)).alias("over"), F.when(lack, room).otherwise(F.lit(0)).alias("room")).filter("x OR y")
     own = entries.groupBy("hub", "e").agg(
-        F.count("*").alias("n"), F.min(F.when(F.col("x"), F.col("over"))).alias("least_over"), F.max(F.when(F.col("y"), F.col("room"))).alias("most_room")
-    ).filter("n > 1 AND least_over <= most_room")
-    met = entries.join(own.drop("n").hint("merge"), ["hub", "e"])
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("x"), F.col("over"))).alias("least_over"), F.max(F.when(F.col("y"), F.col("room"))).alias("most_room")
+    ).filter("low <> high AND least_over <= most_room")
+    met = entries.join(own.drop("low", "high").hint("merge"), ["hub", "e"])
     met = met.withColumns({"x": F.expr("x AND over <= most_room"), "y": F.expr("y AND room >= least_over")}).filter("x OR y").drop("least_over", "most_room")
     sizes = met.groupBy("hub", "e").agg(F.count_if("x").alias("nx"), F.count_if("y").alias("ny"), F.min_by("node", F.struct(F.col("a") + F.col("r"), "node")).alias("new_hub")).filter("nx > 0 AND ny > 0")
     few = F.lit(True) if crowd is None else (F.col("ny") <= crowd) | (F.col("nx") <= 2)
     some = met.join(sizes.filter(few).select("hub", "e").hint("merge"), ["hub", "e"])
-    x, y = (some.filter(k).select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "a", "r", "at")]) for k in ("x", "y"))
+    x, y = (some.filter(k).select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "size", "a", "r", "at")]) for k in ("x", "y"))
     most = p * (F.col("size_x") + F.col("size_y"))
     d_x, d_y = F.col("a_x") + F.col("r_x"), F.col("a_y") + F.col("r_y")
     apart = F.when(lack, F.col("a_x") + F.col("a_y")).otherwise(F.abs(F.col("a_x") - F.col("a_y"))) + F.abs(F.col("r_x") - F.col("r_y"))
     can = (q * apart <= most) & (q * (d_x + d_y) - most <= 2 * q * F.least(d_x - F.col("at_x"), d_y - F.col("at_y")))
-    pairs = x.join(y.hint("merge"), ["hub", "e"]).filter((F.col("node_x") != F.col("node_y")) & can).select(*_ordered("node_x", "node_y")).distinct()
+    pairs = x.join(y.hint("merge"), ["hub", "e"]).filter((F.col("comp_x") != F.col("comp_y")) & can).select(*_ordered("node_x", "node_y")).distinct()
     crowded = met.join(sizes.filter(~few).select("hub", "e", "new_hub").hint("merge"), ["hub", "e"]).filter("node <> new_hub").select(F.col("new_hub").alias("hub"), "node").distinct()
     return pairs, crowded
 
@@ -298,8 +330,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, tenths: int) ->
             ok = [similar(_shingles(p.as_py(), shingle), _shingles(q.as_py(), shingle), tenths) for p, q in zip(x, y, strict=True)]
             yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
-    return to_python(both.select("a", "b", "x", "y"), verify, f"a {NODE}, b {NODE}")
+    return to_python(_with_texts(texts, pairs, "a", "b"), verify, f"a {NODE}, b {NODE}")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, tenths: int = 8, bucket_cap: int = 24, crowd: int = 100) -> DataFrame:
@@ -316,15 +347,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select(F.explode(F.array("hub", "node")).alias("node"))).distinct()
     rows = docs.select(node_of(docs, id_col, text).alias("node"), F.col(text).cast("string").alias("text"))
     texts = cut(rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
-    links = [_verified(texts, pairs, shingle, tenths)]
+    told = cut(_differences(texts, members, shingle, tenths))
+    linked = lambda t: t.filter("inside").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = [linked(told)]
+    for _ in range(STARS):
+        if pairs.isEmpty():
+            break
+        star = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        links.append(cut(_verified(texts, star, shingle, tenths)))
+        pairs = packed(cut(_apart(pairs.join(star, ["a", "b"], "left_anti"), components(reduce(DataFrame.unionByName, links)))))
+    if not pairs.isEmpty():
+        links.append(cut(_verified(texts, pairs, shingle, tenths)))
     for turn in range(ROUNDS):
         if members.isEmpty():
             break
-        told = cut(_differences(texts, members, shingle, tenths))
-        links.append(told.filter("inside").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        more, members = (packed(cut(x)) for x in _meeting(told, crowd if turn + 1 < ROUNDS else None, tenths))
-        links.append(_verified(texts, more, shingle, tenths))
-    label = components(cut(reduce(DataFrame.unionByName, links)))
+        if turn:
+            told = cut(_differences(texts, members, shingle, tenths))
+            links.append(linked(told))
+        label = components(reduce(DataFrame.unionByName, links))
+        more, members = (packed(cut(x)) for x in _meeting(_placed(told, label, "node", "comp"), crowd if turn + 1 < ROUNDS else None, tenths))
+        if not more.isEmpty():
+            links.append(cut(_verified(texts, more, shingle, tenths)))
+    label = components(reduce(DataFrame.unionByName, links))
     placed = nodes.select("whole", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = packed(cut(placed))
     least = placed.groupBy("label").agg(F.min("node").alias("component"))

@@ -195,3 +195,11 @@ def test_edge_tables(spark):
     got = S.near_duplicates(odd).collect()
     assert len(got) == 5 and all(r["component_id"] == 7 for r in got)
     assert S.one_of_each(odd).count() == 2
+
+
+def test_a_known_component_is_not_compared_again(spark):
+    """Members of a hub that links have put together make no pairs; in two components they do."""
+    node = lambda k: (k, 0, 0)
+    told = lambda comps: spark.createDataFrame([(node(0), node(k), 20, 20, k != 1, 3, 3, 3, 3, [5, 7, 9], node(c)) for k, c in enumerate(comps, 1)], f"hub {S.NODE}, node {S.NODE}, size long, hub_size long, inside boolean, a long, r long, as_outside long, as_other long, elements array<long>, comp {S.NODE}")
+    pairs = lambda comps: {(r["a"]["id"], r["b"]["id"]) for r in S._meeting(told(comps), 100, 8)[0].collect()}
+    assert pairs([1, 1, 1]) == set() and (1, 3) in pairs([1, 1, 3]) and (1, 2) not in pairs([1, 1, 3])
