@@ -1,19 +1,18 @@
 """The enrichment pipeline: calls joined to every reference source, merged into one wide table, and queried.
 
-Each source is one aggregate of its candidates by the call's row: candidates met by id or by place are put together,
-ranked, and the best is taken with min_by. So a source costs one join a way of meeting and one shuffle by row, and small
-sources are broadcast by their measured size.
+Each source is a left join by id and one by place, each followed by an aggregate of the candidates by the call's row, which
+takes the best with min_by. Calls are dealt by id once and by place once; all joins of a kind and their aggregates stay in
+that partitioning, so candidates are never shuffled, and small sources are broadcast by their measured size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.durable import cut
 from loomframe.functions import genotype as G
 from loomframe.functions import scalar as S
 from loomframe.operators import rules, scores
@@ -58,78 +57,153 @@ def row_key() -> Column:
     return F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in ("rsid", "chrom", "pos", "genotype")])
 
 
-def candidates(calls: DataFrame, source: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """_row, the call's rsid, chrom, pos, genotype, and each candidate s with way: 0 for its id, 1 for its place."""
-    own = calls.select("_row", "rsid", "lookup_id", "chrom", "pos", "genotype")
-    packed = source.select(F.col("rsid").alias("_id"), F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.struct(*columns).alias("s"))
-    by_id = own.join(packed, F.col("lookup_id") == F.col("_id")).select(*own.columns, "s", F.lit(0).alias("way"))
-    at = own.join(packed, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p"))).select(*own.columns, "s", F.lit(1).alias("way"))
+#: Rows without an id or a place are spread over this many keys, which no record has.
+SPREAD = 1024
+
+
+def spread(known: Column) -> Column:
+    return F.when(known, -1).otherwise(F.pmod(F.xxhash64("_row"), F.lit(SPREAD)).cast("int"))
+
+
+def some_key(name: str) -> Column:
+    """-1 of every record; a plain literal would be taken out of the join's keys, and with it the spreading."""
+    return F.least(F.length(F.col(name).cast("string")), F.lit(-1))
+
+
+def once(calls: DataFrame) -> DataFrame:
+    """A row for equal calls, with _copies, dealt by lookup_id: all joins by id and their aggregates stay in this partitioning."""
+    known = F.col("chrom").isNotNull() & F.col("pos").isNotNull()
+    rows = calls.withColumns({"_by_id": spread(F.col("lookup_id").isNotNull()), "_by_place": spread(known)})
+    return rows.repartition("lookup_id", "_by_id").groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
+
+
+def again(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy", "_copies", "_by_id", "_by_place")
+
+
+@dataclass
+class Pick:
+    """What is chosen among a call's candidates s (columns of source): to, by an aggregate that is null without any.
+
+    same: whether a record met by id counts. Records met by place are for calls without a choice by id.
+    """
+
+    to: str
+    source: DataFrame
+    columns: Sequence[str]
+    choose: Callable[[int], Column]
+    same: Column | None = None
+
+
+def by_id(calls: DataFrame, pick: Pick) -> DataFrame:
+    """once() with pick.to of the candidates by id; the aggregate needs no shuffle behind the join's."""
+    packed = pick.source.select(F.col("rsid").alias("_id"), some_key("rsid").alias("_none"), F.struct(*pick.columns).alias("s"))
+    on = (F.col("lookup_id") == F.col("_id")) & (F.col("_by_id") == F.col("_none"))
+    found = calls.join(packed, on if pick.same is None else on & pick.same, "left")
+    return found.groupBy(*calls.columns).agg(pick.choose(0).alias(pick.to))
+
+
+def by_place(calls: DataFrame, pick: Pick) -> DataFrame:
+    """calls with pick.to, by place for those that have none; all such joins and aggregates share one partitioning."""
+    packed = pick.source.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), some_key("chrom").alias("_none"), F.struct(*pick.columns).alias("s"))
     probe, row = G.probe_class(F.col("genotype")), G.row_class(F.col("s.ref"), F.col("s.alt"))
-    return by_id.unionByName(at.filter(probe.isNull() | row.isNull() | (probe == row)))
+    on = (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")) & (F.col("_by_place") == F.col("_none"))
+    found = calls.join(packed, on & F.col(pick.to).isNull() & (probe.isNull() | row.isNull() | (probe == row)), "left")
+    return found.groupBy(*calls.columns).agg(pick.choose(1).alias("_by")).withColumn(pick.to, F.coalesce(pick.to, "_by")).drop("_by")
+
+
+def picked(calls: DataFrame, *picks: Pick) -> DataFrame:
+    """once(calls) with the choice of every pick: first by id, then by place."""
+    for p in picks:
+        calls = by_id(calls, p)
+    for p in picks:
+        calls = by_place(calls, p)
+    return calls
+
+
+def best(order: Sequence[Column]) -> Callable[[int], Column]:
+    """The first candidate by order."""
+    rank = F.when(F.col("s").isNotNull(), F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)]))
+    return lambda way: F.min_by(F.when(F.col("s").isNotNull(), F.struct("s", F.lit(way).alias("way"))), rank)
+
 
+def hit() -> Column:
+    return carried(F.col("genotype"), F.col("s.ref"), F.col("s.alt"))
 
-def best(found: DataFrame, order: Sequence[Column], to: str) -> DataFrame:
-    """The first candidate by id; by place for rows that have none by id. One aggregate."""
-    value, rank = F.struct("s", "way"), F.struct(F.col("way").alias("_way"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    return found.groupBy("_row").agg(F.min_by(value, rank).alias(to))
 
+def vep_pick(vep: DataFrame) -> Pick:
+    """The transcript of a call: MANE first, then severity, then id; several alleles only if the call carries exactly one of them.
 
-def vep_best(calls: DataFrame, vep: DataFrame) -> DataFrame:
-    """The transcript of a call: MANE first, then severity, then id; several alleles only if the call carries exactly one of them."""
-    found = candidates(calls, vep, ["ref", "alt", "gene_symbol", "transcript_id", "consequence", "hgvs_coding", "hgvs_protein", "mane_select"])
+    A choice is a struct: vep (s and way; null if ambiguous), ambiguous and single (one allele).
+    """
+    some = F.col("s").isNotNull()
     mane = F.coalesce(F.col("s.mane_select").cast("int"), F.lit(0)) > 0
     rank = F.struct(F.when(mane, 0).otherwise(1).alias("a"), (-S.max_term_rank(F.col("s.consequence"), SEVERITY)).alias("b"), F.col("s.transcript_id").alias("c"), F.col("s.alt").alias("d"))
-    own = found.select("_row", "way", F.struct("s", "way").alias("v"), rank.alias("r"), F.struct("s.ref", "s.alt").alias("a"), carried(F.col("genotype"), F.col("s.ref"), F.col("s.alt")).alias("hit"))
-    sums = []
-    for w in (0, 1):
-        here = F.col("way") == w
-        sums += [
-            F.size(F.collect_set(F.when(here, F.col("a")))).alias(f"n{w}"), F.size(F.collect_set(F.when(here & F.col("hit"), F.col("a")))).alias(f"h{w}"),
-            F.min_by("v", F.when(here, F.col("r"))).alias(f"any{w}"), F.min_by("v", F.when(here & F.col("hit"), F.col("r"))).alias(f"own{w}"),
-        ]
-    two = own.groupBy("_row").agg(*sums)
-    n, h, anyone, carrier = (F.when(F.col("n0") > 0, F.col(f"{x}0")).otherwise(F.col(f"{x}1")) for x in ("n", "h", "any", "own"))
-    return two.select("_row", F.when(n <= 1, anyone).when(h == 1, carrier).alias("vep"), ((n > 1) & (h != 1)).alias("vep_ambiguous"), (n == 1).alias("vep_single"))
-
-
-def clinvar_best(calls: DataFrame, clinvar: DataFrame) -> DataFrame:
+    allele = F.struct("s.ref", "s.alt")
+
+    def choose(way: int) -> Column:
+        n, h = F.size(F.collect_set(F.when(some, allele))), F.size(F.collect_set(F.when(some & hit(), allele)))
+        value = F.struct("s", F.lit(way).alias("way"))
+        one = F.when(n <= 1, F.min_by(value, F.when(some, rank))).when(h == 1, F.min_by(value, F.when(some & hit(), rank)))
+        return F.when(n > 0, F.struct(one.alias("vep"), ((n > 1) & (h != 1)).alias("ambiguous"), (n == 1).alias("single")))
+
+    return Pick("_vep", vep, ["ref", "alt", "gene_symbol", "transcript_id", "consequence", "hgvs_coding", "hgvs_protein", "mane_select"], choose)
+
+
+def clinvar_pick(clinvar: DataFrame) -> Pick:
     """The assertion of a call: one it carries, then most stars; an id's record must stand at the call's place (an indel one base before it)."""
-    found = candidates(calls, clinvar, ["ref", "alt", "significance", "review_stars", "accession", "conditions", "gene_symbol", "chrom", "pos"])
     anchored = (G.probe_class(F.col("genotype")) == "indel") & (G.row_class(F.col("s.ref"), F.col("s.alt")) == "indel") & (F.col("rsid") == F.col("lookup_id"))
-    found = found.filter(concordant(F.col("chrom"), F.col("pos"), F.col("s.chrom"), F.col("s.pos"), anchored))
-    rank = [~carried(F.col("genotype"), F.col("s.ref"), F.col("s.alt")), -F.coalesce(F.col("s.review_stars"), F.lit(0)), F.col("s.accession"), F.col("s.alt")]
-    return best(found, rank, "clinvar")
+    same = concordant(F.col("chrom"), F.col("pos"), F.col("s.chrom"), F.col("s.pos"), anchored)
+    rank = [~hit(), -F.coalesce(F.col("s.review_stars"), F.lit(0)), F.col("s.accession"), F.col("s.alt")]
+    return Pick("clinvar", clinvar, ["ref", "alt", "significance", "review_stars", "accession", "conditions", "gene_symbol", "chrom", "pos"], best(rank), same)
 
 
-def gnomad_best(calls: DataFrame, gnomad: DataFrame) -> DataFrame:
-    """Frequencies by exact place and alleles where both are known, with no way back after a miss; else by id, if one allele is left."""
-    columns = ["ref", "alt", *[f"af_{p}" for p in POPULATIONS], "homozygous_count"]
-    have = [c for c in columns if c in gnomad.columns]
-    g = gnomad.select(F.col("rsid").alias("_id"), F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.struct(*[F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in columns]).alias("s"))
-    known = F.col("ref").isNotNull() & F.col("alt").isNotNull()
-    exact = calls.filter(known).join(g, (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")) & (F.col("ref") == F.col("s.ref")) & (F.col("alt") == F.col("s.alt")))
-    exact = exact.groupBy("_row").agg(F.min("s").alias("gnomad"), F.lit("matched").alias("status"))
-    loose = calls.filter(~known).join(g, F.col("lookup_id") == F.col("_id"))
-    here = (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p"))
-    hit = carried(F.col("genotype"), F.col("s.ref"), F.col("s.alt"))
+def dbnsfp_pick(dbnsfp: DataFrame) -> Pick:
+    """Scores of a call: a carried allele first, then the least ALT and REF."""
+    columns = ["ref", "alt", "cadd_phred", "sift_score", "sift_pred", "polyphen2_hsvar_score", "polyphen2_hsvar_pred", "revel", "metasvm", "metalr"]
+    source = dbnsfp.select("rsid", "chrom", "pos", *[F.col(c) if c in dbnsfp.columns else F.lit(None).cast("string" if c.endswith("pred") else "double").alias(c) for c in columns])
+    return Pick("dbnsfp", source, columns, best([~hit(), F.col("s.alt"), F.col("s.ref")]))
+
+
+def gnomad_by_id(calls: DataFrame, gnomad: DataFrame) -> DataFrame:
+    """once() with _loose: frequencies (gnomad, status) by id, if one allele is left; for calls whose alleles aren't known."""
+    here = (F.col("chrom") == F.col("s._c")) & (F.col("pos") == F.col("s._p"))
     # places and alleles of one id are few, so their sets are small
-    alleles = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("s"))))
-    n = loose.groupBy("_row").agg(F.size(F.collect_set(F.struct("_c", "_p"))).alias("places"), alleles(F.lit(True)).alias("all"), alleles(here).alias("here"), alleles(hit).alias("hits"), alleles(here & hit).alias("here_hits"))
-    several = F.col("places") > 1
-    pool, own = F.when(several, F.col("here")).otherwise(F.col("all")), F.when(several, F.col("here_hits")).otherwise(F.col("hits"))
+    value = F.col("s.v")
+    own = carried(F.col("genotype"), value["ref"], value["alt"])
+    alleles = lambda c: F.array_sort(F.collect_set(F.when(c, value)))
+    places = F.size(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s._c", "s._p"))))
+    sets = F.struct(F.count("s").alias("n"), places.alias("places"), alleles(F.lit(True)).alias("all"), alleles(here).alias("here"), alleles(own).alias("hits"), alleles(here & own).alias("here_hits"))
+    source = gnomad.select("rsid", F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.struct(*frequencies(gnomad)).alias("v"))
+    n = by_id(calls, Pick("_n", source, ["_c", "_p", "v"], lambda way: sets))
+    several = F.col("_n.places") > 1
+    pool, own = F.when(several, F.col("_n.here")).otherwise(F.col("_n.all")), F.when(several, F.col("_n.here_hits")).otherwise(F.col("_n.hits"))
     kinds = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: F.struct(x["ref"], x["alt"]))))
-    picked = n.select(
-        "_row", F.when(kinds(pool) == 1, F.get(pool, F.lit(0))).when(kinds(own) == 1, F.get(own, F.lit(0))).alias("gnomad"),
-        F.when(F.size(pool) == 0, "locus_unresolved").when((kinds(pool) == 1) | (kinds(own) == 1), "matched").otherwise("allele_ambiguous").alias("status"),
-    )
-    return exact.unionByName(picked)
+    one = F.when(kinds(pool) == 1, F.get(pool, F.lit(0))).when(kinds(own) == 1, F.get(own, F.lit(0)))
+    status = F.when(F.size(pool) == 0, "locus_unresolved").when((kinds(pool) == 1) | (kinds(own) == 1), "matched").otherwise("allele_ambiguous")
+    return n.withColumn("_loose", F.when(F.col("_n.n") > 0, F.struct(one.alias("gnomad"), status.alias("status")))).drop("_n")
 
 
-def dbnsfp_best(calls: DataFrame, dbnsfp: DataFrame) -> DataFrame:
-    """Scores of a call: a carried allele first, then the least ALT and REF."""
-    columns = ["ref", "alt", "cadd_phred", "sift_score", "sift_pred", "polyphen2_hsvar_score", "polyphen2_hsvar_pred", "revel", "metasvm", "metalr"]
-    source = dbnsfp.select("rsid", "chrom", "pos", *[F.col(c) if c in dbnsfp.columns else F.lit(None).cast("string" if c.endswith("pred") else "double").alias(c) for c in columns])
-    return best(candidates(calls, source, columns), [~carried(F.col("genotype"), F.col("s.ref"), F.col("s.alt")), F.col("s.alt"), F.col("s.ref")], "dbnsfp")
+def gnomad_by_place(calls: DataFrame, gnomad: DataFrame) -> DataFrame:
+    """calls (ref, alt, _loose) with gnomad and status: by exact place and alleles where both are known, with no way back after a miss."""
+    known = F.col("ref").isNotNull() & F.col("alt").isNotNull()
+    out = at_alleles(calls, gnomad, frequencies(gnomad), "_exact", F.min)
+    status = F.when(F.col("_exact").isNotNull(), "matched")
+    return out.withColumns({"gnomad": F.when(known, F.col("_exact")).otherwise(F.col("_loose.gnomad")), "status": F.when(known, status).otherwise(F.col("_loose.status"))}).drop("_exact", "_loose")
+
+
+def frequencies(gnomad: DataFrame) -> list[Column]:
+    columns = ["ref", "alt", *[f"af_{p}" for p in POPULATIONS], "homozygous_count"]
+    return [F.col(c) if c in gnomad.columns else F.lit(None).cast("double").alias(c) for c in columns]
+
+
+def at_alleles(calls: DataFrame, source: DataFrame, columns: Sequence[Column], to: str, least: Callable[[Column], Column]) -> DataFrame:
+    """calls with the least (or another aggregate) of the records at their place with their alleles; in the partitioning of by_place()."""
+    packed = source.select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), some_key("chrom").alias("_none"), F.struct("ref", "alt").alias("_a"), F.struct(*columns).alias("s"))
+    on = (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")) & (F.col("_by_place") == F.col("_none"))
+    found = calls.join(packed, on, "left")
+    exact = (F.col("ref") == F.col("_a.ref")) & (F.col("alt") == F.col("_a.alt"))
+    return found.groupBy(*calls.columns).agg(least(F.when(exact, F.col("s"))).alias(to))
 
 
 def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
@@ -142,13 +216,15 @@ def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
         calls = calls.withColumn("dbsnp_rsid_current", F.lit(None).cast("string"))
     # What stands for no id is none, else all such calls and records would meet.
     calls = calls.withColumn("lookup_id", F.when(~F.trim("lookup_id").isin("", "."), F.col("lookup_id")))
-    # Every source's branch and the rows themselves start from here.
-    calls = cut(calls)
-    out = calls
-    for name, table, pick in (("vep", sources.vep, vep_best), ("clinvar", sources.clinvar, clinvar_best), ("dbnsfp", sources.dbnsfp, dbnsfp_best)):
-        if table is not None:
-            out = out.join(pick(calls, table), "_row", "left")
-        else:
+    out = once(calls)
+    if sources.gnomad is not None:
+        out = gnomad_by_id(out, sources.gnomad)
+    tables = (("vep", sources.vep, vep_pick), ("clinvar", sources.clinvar, clinvar_pick), ("dbnsfp", sources.dbnsfp, dbnsfp_pick))
+    out = picked(out, *[pick(table) for _, table, pick in tables if table is not None])
+    if sources.vep is not None:
+        out = out.withColumns({"vep": F.col("_vep.vep"), "vep_ambiguous": F.col("_vep.ambiguous"), "vep_single": F.col("_vep.single")}).drop("_vep")
+    for name, table, _ in tables:
+        if table is None:
             kinds = {"vep": "ref string, alt string, gene_symbol string, transcript_id string, consequence string, hgvs_coding string, hgvs_protein string, mane_select int", "clinvar": "ref string, alt string, significance string, review_stars int, accession string, conditions string, gene_symbol string",
                      "dbnsfp": "ref string, alt string, cadd_phred double, sift_score double, sift_pred string, polyphen2_hsvar_score double, polyphen2_hsvar_pred string, revel double, metasvm double, metalr double"}[name]
             inner = ", ".join(f"{n}: {k}" for n, k in (x.strip().split() for x in kinds.split(",")))
@@ -161,12 +237,11 @@ def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
     from_vep = F.coalesce("vep_single", F.lit(False)) & v["ref"].isNotNull() & v["alt"].isNotNull()
     out = out.withColumns({"ref": F.when(both, c["ref"]).when(from_vep, v["ref"]), "alt": F.when(both, c["alt"]).when(from_vep, v["alt"])})
     if sources.gnomad is not None:
-        out = out.join(gnomad_best(out.select("_row", "lookup_id", "chrom", "pos", "genotype", "ref", "alt"), sources.gnomad), "_row", "left")
+        out = gnomad_by_place(out, sources.gnomad)
     else:
         out = out.withColumns({"gnomad": F.lit(None).cast("struct<ref: string, alt: string, " + ", ".join(f"af_{p}: double" for p in POPULATIONS) + ", homozygous_count: double>"), "status": F.lit(None).cast("string")})
     if sources.alphamissense is not None:
-        a = sources.alphamissense.groupBy("chrom", "pos", "ref", "alt").agg(F.max(F.struct("am_pathogenicity", "am_class")).alias("am"))
-        out = out.join(a, ["chrom", "pos", "ref", "alt"], "left")
+        out = at_alleles(out, sources.alphamissense, [F.col("am_pathogenicity"), F.col("am_class")], "am", F.max)
         missense = F.contains(F.coalesce(v["consequence"], F.lit("")), F.lit("missense"))
         out = out.withColumn("am", F.when(missense, F.col("am")))
     else:
@@ -195,9 +270,9 @@ def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
         c["review_stars"].alias("clinvar_review_stars"), c["accession"].alias("clinvar_accession"), c["conditions"].alias("clinvar_conditions"), *[F.col(f"gnomad.af_{p}").alias(f"gnomad_af_{p}") for p in POPULATIONS],
         F.col("_max.value").alias("gnomad_af_popmax"), F.col("gnomad.homozygous_count").alias("gnomad_homozygous_count"), rare.alias("rare_flag"), ultra.alias("ultra_rare_flag"), "gnomad_source_status",
         *[d[x].alias(x) for x in ("cadd_phred", "sift_score", "sift_pred", "polyphen2_hsvar_score", "polyphen2_hsvar_pred", "revel", "metasvm", "metalr")], F.col("am.am_pathogenicity").alias("am_pathogenicity"), F.col("am.am_class").alias("am_class"),
-        F.col("gp.disease_name").alias("disease_name"), F.col("gp.disease_id").alias("disease_id"), F.col("gp.hpo_terms").alias("hpo_terms"), F.col("gp.inheritance").alias("inheritance"), mask.alias("annotation_coverage"), "vep_ambiguous",
+        F.col("gp.disease_name").alias("disease_name"), F.col("gp.disease_id").alias("disease_id"), F.col("gp.hpo_terms").alias("hpo_terms"), F.col("gp.inheritance").alias("inheritance"), mask.alias("annotation_coverage"), "vep_ambiguous", "_copies", "_by_id", "_by_place",
     )
-    wide = scores.damage(wide)
+    wide = scores.damage(again(wide))
     conflict = F.trim("clinvar_significance").isin(*CONTESTABLE) & (F.col("deleterious_count") >= 3) & (F.col("cadd_phred") >= 20)
     return wide.withColumn("evidence_conflict", F.coalesce(conflict, F.lit(False)))
 

@@ -318,7 +318,8 @@ def annotate_transcripts(spark, sf_dir):
         ((k + p) % 2 * (j % 2)).cast("int").alias("mane_select"),
     )
     calls = _keyed(spark, sf_dir)
-    return calls.join(enrich.vep_best(calls, vep), "_row").select("k", F.col("vep.s.transcript_id").alias("transcript_id"), F.col("vep.s.consequence").alias("consequence"), F.col("vep_ambiguous").alias("ambiguous"))
+    found = enrich.again(enrich.picked(enrich.once(calls), enrich.vep_pick(vep)).filter("_vep IS NOT NULL"))
+    return found.select("k", F.col("_vep.vep.s.transcript_id").alias("transcript_id"), F.col("_vep.vep.s.consequence").alias("consequence"), F.col("_vep.ambiguous").alias("ambiguous"))
 
 
 @query(f"""
@@ -335,7 +336,8 @@ def annotate_assertions(spark, sf_dir):
         "rsid", "chrom", moved.alias("pos"), "ref", "alt", F.lit("Pathogenic").alias("significance"), ((k * 5 + j) % 5).cast("int").alias("review_stars"), F.concat(F.lit("V"), k * 3 + j).alias("accession"), none.alias("conditions"), none.alias("gene_symbol")
     )
     calls = _keyed(spark, sf_dir)
-    return calls.join(enrich.clinvar_best(calls, clinvar), "_row").select("k", F.col("clinvar.s.accession").alias("accession"), F.col("clinvar.s.review_stars").alias("review_stars"), (F.col("clinvar.way") == 0).cast("int").alias("by_id"))
+    found = enrich.again(enrich.picked(enrich.once(calls), enrich.clinvar_pick(clinvar)).filter("clinvar IS NOT NULL"))
+    return found.select("k", F.col("clinvar.s.accession").alias("accession"), F.col("clinvar.s.review_stars").alias("review_stars"), (F.col("clinvar.way") == 0).cast("int").alias("by_id"))
 
 
 @query(f"""
@@ -350,7 +352,8 @@ def annotate_frequencies(spark, sf_dir):
     gnomad = _alleles(spark, sf_dir).filter((k + p + j) % 5 < 3).select("rsid", "chrom", "pos", "ref", "alt", (j / 10).alias("af_global"), F.lit(0).cast("long").alias("homozygous_count"))
     known = (p % 2 == 0) & (k % 53 != 0)
     calls = _keyed(spark, sf_dir).withColumns({"ref": F.when(known, letter(k)), "alt": F.when(known, letter(k + 1 + p % 3))})
-    return calls.join(enrich.gnomad_best(calls, gnomad), "_row").select("k", "status", F.col("gnomad.alt").alias("alt"))
+    found = enrich.gnomad_by_place(enrich.gnomad_by_id(enrich.once(calls), gnomad), gnomad)
+    return enrich.again(found.filter("status IS NOT NULL")).select("k", "status", F.col("gnomad.alt").alias("alt"))
 
 
 @query(f"""
@@ -362,7 +365,8 @@ def annotate_scores(spark, sf_dir):
     k, p, j = F.col("k"), F.col("p"), F.col("j")
     source = _alleles(spark, sf_dir).filter((k + p + j) % 3 < 2).select("rsid", "chrom", "pos", "ref", "alt", (j * 10).cast("double").alias("cadd_phred"))
     calls = _keyed(spark, sf_dir)
-    return calls.filter(k % 53 != 0).join(enrich.dbnsfp_best(calls, source), "_row").select("k", F.col("dbnsfp.s.alt").alias("alt"), F.col("dbnsfp.s.cadd_phred").alias("cadd_phred"))
+    found = enrich.again(enrich.picked(enrich.once(calls.filter(k % 53 != 0)), enrich.dbnsfp_pick(source)).filter("dbnsfp IS NOT NULL"))
+    return found.select("k", F.col("dbnsfp.s.alt").alias("alt"), F.col("dbnsfp.s.cadd_phred").alias("cadd_phred"))
 
 
 @query(f"""

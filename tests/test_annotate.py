@@ -90,3 +90,20 @@ def test_ingest(spark, tmp_path):
     assert got == [("s1", "rs1", 1050), ("s2", "rs1", 150)]
     with pytest.raises(ValueError):
         A.ingest(spark, str(old), str(tmp_path / "raw"), "s3")
+
+
+def test_candidates_are_not_shuffled(spark):
+    """Calls are dealt by id once and by place once, whatever the number of sources; equal calls and those without an id keep their rows."""
+    calls = spark.createDataFrame([("rs1", "1", 5, "AG"), ("rs1", "1", 5, "AG"), (None, "1", 5, "AG"), (".", None, None, "AG")], "rsid string, chrom string, pos long, genotype string")
+    vep = spark.createDataFrame([("rs1", "1", 5, "A", "G", "G1", "t1", "stop_gained", None, None, 1)], "rsid string, chrom string, pos long, ref string, alt string, gene_symbol string, transcript_id string, consequence string, hgvs_coding string, hgvs_protein string, mane_select int")
+    dbnsfp = spark.createDataFrame([("rs1", "1", 5, "A", "G", 30.0)], "rsid string, chrom string, pos long, ref string, alt string, cadd_phred double")
+    keyed = calls.withColumns({"_row": A.row_key(), "lookup_id": F.when(F.col("rsid") != ".", F.col("rsid"))})
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = A.again(A.picked(A.once(keyed), A.vep_pick(vep), A.dbnsfp_pick(dbnsfp)))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2 + 2 * 2
+        got = sorted((r["rsid"] or "", r["_vep"] and r["_vep"]["vep"]["way"], r["dbnsfp"] and r["dbnsfp"]["s"]["cadd_phred"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert got == [("", 1, 30.0), (".", None, None), ("rs1", 0, 30.0), ("rs1", 0, 30.0)]
