@@ -629,3 +629,9 @@ def test_kinship_by_bit_planes(spark):
         het = lambda g: g[0] != g[1]
         want[a, b] = (len(both), sum(het(x) for x, _ in both), sum(het(y) for _, y in both), sum(het(x) and het(y) for x, y in both), sum(not het(x) and not het(y) and x != y for x, y in both))
     assert got == want
+
+
+def test_a_draw_takes_one_digest(spark):
+    """The digest of a marker and a resample is taken once, not for each place of the distribution it is compared with."""
+    plan = spark.range(3).select(vectors.draws(F.col("id"), 4).alias("d"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
