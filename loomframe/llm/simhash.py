@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import cut, packed, to_python
+from loomframe.llm.common import PACKED_ROWS, cut, packed, to_python
 from loomframe.llm.components import components
 
 RADIUS = 2
@@ -248,8 +248,9 @@ def difference(x: set[bytes], hub: set[bytes], tenths: int) -> tuple[bool, int,
 
 def _with_texts(texts: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs a, b with their texts x, y. Texts of few nodes are picked where they lie, so that no others are shuffled."""
-    wanted = packed(cut(pairs.select(F.explode(F.array(a, b)).alias("node")).distinct()))
-    some = texts.join(F.broadcast(wanted), "node", "left_semi") if wanted.count() <= SENT else texts
+    wanted = cut(pairs.select(F.explode(F.array(a, b)).alias("node")).distinct())
+    n = wanted.count()
+    some = texts.join(F.broadcast(wanted.coalesce(n // PACKED_ROWS + 1)), "node", "left_semi") if n <= SENT else texts
     x, y = some.select(F.col("node").alias(a), F.col("text").alias("x")), some.select(F.col("node").alias(b), F.col("text").alias("y"))
     return pairs.select(a, b).join(x.hint("merge"), a).join(y.hint("merge"), b).select(a, b, "x", "y")
 
@@ -310,14 +311,16 @@ def _meeting(told: DataFrame, crowd: int | None, tenths: int) -> tuple[DataFrame
     met = met.withColumns({"x": F.expr("x AND over <= most_room"), "y": F.expr("y AND room >= least_over")}).filter("x OR y").drop("least_over", "most_room")
     sizes = met.groupBy("hub", "e").agg(F.count_if("x").alias("nx"), F.count_if("y").alias("ny"), F.min_by("node", F.struct(F.col("a") + F.col("r"), "node")).alias("new_hub")).filter("nx > 0 AND ny > 0")
     few = F.lit(True) if crowd is None else (F.col("ny") <= crowd) | (F.col("nx") <= 2)
-    some = met.join(sizes.filter(few).select("hub", "e").hint("merge"), ["hub", "e"])
+    # Cut, as pairs and crowded would each run the joins and aggregates above again.
+    met = cut(met.join(sizes.select("hub", "e", "new_hub", few.alias("few")).hint("merge"), ["hub", "e"]), forget_size=True)
+    some = met.filter("few")
     x, y = (some.filter(k).select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "comp", "size", "a", "r", "at")]) for k in ("x", "y"))
     most = p * (F.col("size_x") + F.col("size_y"))
     d_x, d_y = F.col("a_x") + F.col("r_x"), F.col("a_y") + F.col("r_y")
     apart = F.when(lack, F.col("a_x") + F.col("a_y")).otherwise(F.abs(F.col("a_x") - F.col("a_y"))) + F.abs(F.col("r_x") - F.col("r_y"))
     can = (q * apart <= most) & (q * (d_x + d_y) - most <= 2 * q * F.least(d_x - F.col("at_x"), d_y - F.col("at_y")))
     pairs = x.join(y.hint("merge"), ["hub", "e"]).filter((F.col("comp_x") != F.col("comp_y")) & can).select(*_ordered("node_x", "node_y")).distinct()
-    crowded = met.join(sizes.filter(~few).select("hub", "e", "new_hub").hint("merge"), ["hub", "e"]).filter("node <> new_hub").select(F.col("new_hub").alias("hub"), "node").distinct()
+    crowded = met.filter("NOT few AND node <> new_hub").select(F.col("new_hub").alias("hub"), "node").distinct()
     return pairs, crowded
 
 
@@ -343,31 +346,31 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     marked = cut(sketches(docs, id_col, text, shingle))
     nodes = cut(marked.groupBy("whole").agg(F.min("node").alias("node"), F.min_by("fp", "node").alias("fp"), F.min_by("bands", "node").alias("bands")))
-    pairs, members = (packed(cut(x)) for x in _proposed(nodes, bucket_cap))
+    pairs, members = (packed(cut(x, forget_size=True)) for x in _proposed(nodes, bucket_cap))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select(F.explode(F.array("hub", "node")).alias("node"))).distinct()
     rows = docs.select(node_of(docs, id_col, text).alias("node"), F.col(text).cast("string").alias("text"))
     texts = cut(rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
-    told = cut(_differences(texts, members, shingle, tenths))
+    told = cut(_differences(texts, members, shingle, tenths), forget_size=True)
     linked = lambda t: t.filter("inside").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = [linked(told)]
     for _ in range(STARS):
         if pairs.isEmpty():
             break
-        star = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        links.append(cut(_verified(texts, star, shingle, tenths)))
-        pairs = packed(cut(_apart(pairs.join(star, ["a", "b"], "left_anti"), components(reduce(DataFrame.unionByName, links)))))
+        star = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), forget_size=True)
+        links.append(cut(_verified(texts, star, shingle, tenths), forget_size=True))
+        pairs = packed(cut(_apart(pairs.join(star, ["a", "b"], "left_anti"), components(reduce(DataFrame.unionByName, links))), forget_size=True))
     if not pairs.isEmpty():
-        links.append(cut(_verified(texts, pairs, shingle, tenths)))
+        links.append(cut(_verified(texts, pairs, shingle, tenths), forget_size=True))
     for turn in range(ROUNDS):
         if members.isEmpty():
             break
         if turn:
-            told = cut(_differences(texts, members, shingle, tenths))
+            told = cut(_differences(texts, members, shingle, tenths), forget_size=True)
             links.append(linked(told))
         label = components(reduce(DataFrame.unionByName, links))
-        more, members = (packed(cut(x)) for x in _meeting(_placed(told, label, "node", "comp"), crowd if turn + 1 < ROUNDS else None, tenths))
+        more, members = (packed(cut(x, forget_size=True)) for x in _meeting(_placed(told, label, "node", "comp"), crowd if turn + 1 < ROUNDS else None, tenths))
         if not more.isEmpty():
-            links.append(cut(_verified(texts, more, shingle, tenths)))
+            links.append(cut(_verified(texts, more, shingle, tenths), forget_size=True))
     label = components(reduce(DataFrame.unionByName, links))
     placed = nodes.select("whole", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = packed(cut(placed))

@@ -91,6 +91,23 @@ def test_long_path_is_one_component(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_components_end_in_few_jobs(spark):
+    """A long path took a dozen rounds of jobs, however few its links were; the driver keeps something of each."""
+    node = lambda c: F.struct((c % 7).alias("x"), c.alias("id"))
+    df = spark.range(299).select(node(F.col("id")).alias("a"), node(F.col("id") + F.when(F.col("id") % 100 == 50, 0).otherwise(1)).alias("b"))
+    jobs = lambda: int(str(spark.sparkContext._jsc.sc().dagScheduler().nextJobId()))
+    began = jobs()
+    got = [components(df).collect()]
+    assert jobs() - began <= 8
+    got += [components(df, few_links=n).collect() for n in (0, 40)]
+    for rows in got:
+        groups = {}
+        for r in rows:
+            groups.setdefault(r["label"]["id"], set()).add(r["node"]["id"])
+        assert sorted(map(sorted, groups.values())) == [[*range(51)], [*range(51, 151)], [*range(151, 251)], [*range(251, 300)]]
+        assert all(k in v for k, v in groups.items())
+
+
 def test_similar_groups(spark):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string")
