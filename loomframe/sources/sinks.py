@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions import genotype as G
@@ -131,25 +131,30 @@ def resource_documents(df: DataFrame, sample: str = "sample_id", most: int = MAX
     """
     system = "http://loinc.org"
     coded = lambda code, shown: F.struct(F.array(F.struct(F.lit(system).alias("system"), F.lit(code).alias("code"), F.lit(shown).alias("display"))).alias("coding"))
-    part = lambda column, code, shown: F.when(F.col(column).isNotNull(), F.struct(coded(code, shown).alias("code"), F.col(column).alias("valueString")))
-    state = F.coalesce(*[F.when(F.col("zygosity") == z, F.struct(coded("53034-5", "Allelic state").alias("code"), F.lit(shown).alias("valueString"))) for z, (_, shown) in STATES.items()])
-    place = F.struct(coded("81254-5", "Genomic allele start-end").alias("code"), F.concat_ws(":", "chrom", F.col("pos").cast("string")).alias("valueString"))
-    parts = F.filter(F.array(*[part(*c) for c in COMPONENTS], place, state), lambda x: x.isNotNull())
-    rows = df.filter(F.col("zygosity").isin(*STATES)).select(sample, "chrom", "pos", "ref", "alt", "rsid", "gene_symbol", "zygosity").distinct()
-    ident = _uuid(F.lit("observation"), F.col(sample), *[F.col(c) for c in ("chrom", "pos", "ref", "alt", "rsid", "gene_symbol", "zygosity")])
-    rows = rows.withColumn("_id", ident)
-    body = F.struct(F.lit("Observation").alias("resourceType"), F.col("_id").alias("id"), F.lit("preliminary").alias("status"), coded("69548-6", "Genetic variant assessment").alias("code"), coded("LA9633-4", "Present").alias("valueCodeableConcept"), parts.alias("component"))
-    order = F.struct(chromosome_order(F.col("chrom"), G.CHROMOSOMES).alias("o"), F.col("chrom"), F.col("pos"), F.col("_id"))
-    sized = rows.groupBy(sample).agg(F.count("*").alias("_n"))
-    sized = sized.filter(F.when(F.col("_n") <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} observations")).cast("boolean")))
-    made = rows.join(sized, sample).groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(order.alias("order"), F.concat(F.lit("urn:uuid:"), F.col("_id")).alias("url"), body.alias("body")))).alias("_o"))
-    every = df.select(sample).distinct().join(made, sample, "left")
-    urls = F.coalesce(F.transform("_o", lambda x: F.struct(x["url"].alias("reference"))), F.array().cast("array<struct<reference:string>>"))
+    part = lambda value, code, shown: F.when(value.isNotNull(), F.struct(coded(code, shown).alias("code"), value.alias("valueString")))
+
+    def body(x: Column) -> Column:
+        state = F.coalesce(*[F.when(x["zygosity"] == z, F.struct(coded("53034-5", "Allelic state").alias("code"), F.lit(shown).alias("valueString"))) for z, (_, shown) in STATES.items()])
+        place = F.struct(coded("81254-5", "Genomic allele start-end").alias("code"), F.concat_ws(":", x["order"]["chrom"], x["order"]["pos"].cast("string")).alias("valueString"))
+        parts = F.filter(F.array(*[part(x[column], code, shown) for column, code, shown in COMPONENTS], place, state), lambda y: y.isNotNull())
+        return F.struct(F.lit("Observation").alias("resourceType"), x["order"]["_id"].alias("id"), F.lit("preliminary").alias("status"), coded("69548-6", "Genetic variant assessment").alias("code"), coded("LA9633-4", "Present").alias("valueCodeableConcept"), parts.alias("component"))
+
+    names = ["chrom", "pos", "ref", "alt", "rsid", "gene_symbol", "zygosity"]
+    # Only these columns are shuffled, and once; resources, ten times as long, are made where a sample's rows lie.
+    carried = F.when(F.col("zygosity").isin(*STATES) & F.col(sample).isNotNull(), F.struct(*names))
+    rows = df.select(F.col(sample).alias("_s"), carried.alias("_r")).repartition("_s").distinct()
+    rows = rows.withColumn("_n", F.count("_r").over(Window.partitionBy("_s")))
+    rows = rows.filter(F.when(F.col("_n") <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} observations")).cast("boolean")))
+    rows = rows.select("_s", F.col("_r").isNotNull().alias("_any"), *[F.col(f"_r.{c}").alias(c) for c in names])
+    order = F.struct(chromosome_order(F.col("chrom"), G.CHROMOSOMES).alias("o"), F.col("chrom"), F.col("pos"), _uuid(F.lit("observation"), F.col("_s"), *[F.col(c) for c in names]).alias("_id"))
+    packed = rows.groupBy(F.col("_s").alias(sample)).agg(F.sort_array(F.collect_list(F.when(F.col("_any"), F.struct(order.alias("order"), *[F.col(c) for c in names if c not in ("chrom", "pos")])))).alias("_c"))
+    url = lambda x: F.concat(F.lit("urn:uuid:"), x["order"]["_id"])
+    urls = F.transform("_c", lambda x: F.struct(url(x).alias("reference")))
     report_id = _uuid(F.lit("report"), F.col(sample), F.array_join(F.transform(urls, lambda x: x["reference"]), ","))
     report = F.struct(F.lit("DiagnosticReport").alias("resourceType"), report_id.alias("id"), F.lit("preliminary").alias("status"), coded("51969-4", "Genetic analysis report").alias("code"), urls.alias("result"))
-    text = lambda url, x: F.concat(F.lit('{"fullUrl":"'), url, F.lit('","resource":'), F.to_json(x), F.lit("}"))
-    entries = F.concat(F.array(text(F.concat(F.lit("urn:uuid:"), report_id), report)), F.coalesce(F.transform("_o", lambda x: text(x["url"], x["body"])), F.array().cast("array<string>")))
-    return every.select(sample, F.concat(F.lit('{"resourceType":"Bundle","type":"collection","entry":['), F.array_join(entries, ","), F.lit("]}")).alias("document"))
+    text = lambda at, x: F.concat(F.lit('{"fullUrl":"'), at, F.lit('","resource":'), F.to_json(x), F.lit("}"))
+    entries = F.concat(F.array(text(F.concat(F.lit("urn:uuid:"), report_id), report)), F.transform("_c", lambda x: text(url(x), body(x))))
+    return packed.select(sample, F.concat(F.lit('{"resourceType":"Bundle","type":"collection","entry":['), F.array_join(entries, ","), F.lit("]}")).alias("document"))
 
 
 def bundle(df: DataFrame, resource: Column, entries: Sequence[str]) -> DataFrame:

@@ -50,6 +50,10 @@ def test_documents(spark):
     assert docs == {r["sample_id"]: json.loads(r["document"]) for r in sinks.resource_documents(df.repartition(5)).collect()}
     with pytest.raises(Exception, match="more than 1 observations"):
         sinks.resource_documents(df, most=1).collect()
+    plan = sinks.resource_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan  # rows are shuffled once, before they are resources
+    none = spark.createDataFrame([(None, "1", 1, "A", "G", "r", "X", "het"), (3, "1", 1, "A", "G", "r", "X", None)], kind)
+    assert {r["sample_id"]: len(json.loads(r["document"])["entry"]) for r in sinks.resource_documents(none).collect()} == {None: 1, 3: 1}
 
 
 def test_tags_without_confirmed_partners(spark):
