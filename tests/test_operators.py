@@ -635,3 +635,30 @@ def test_a_draw_takes_one_digest(spark):
     """The digest of a marker and a resample is taken once, not for each place of the distribution it is compared with."""
     plan = spark.range(3).select(vectors.draws(F.col("id"), 4).alias("d"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
+def test_nearest_neighbours_of_odd_vectors(spark):
+    """Against all pairs: copies, ties, repeated ids, NaN, infinity, null vectors and components, other lengths; no distance comes last."""
+    r = random.Random(4)
+    base = [[float(r.randint(-3, 3)) for _ in range(3)] for _ in range(25)]
+    odd = [None, [1.0, None, 2.0], [float("nan"), 0.0, 1.0], [float("inf"), 0.0, 0.0], [1.0], [], [1e200, 0.0, 0.0], [1e-9, 0.0, 0.0]]
+    vectors_ = base + base[:3] * 8 + odd * 2
+    table = [(i if i % 17 else 5, v, i % 4) for i, v in enumerate(vectors_)] + [(None, base[0], 9)]
+    df = spark.createDataFrame(table, "id long, v array<double>, label int")
+
+    def far(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return (2, 0.0)
+        d = 0.0
+        for x, y in zip(a, b, strict=True):
+            d += (x - y) * (x - y)
+        return (1, 0.0) if d != d else (0, d)
+
+    for k, parts in ((1, 1), (4, 3), (200, 2)):
+        want = {}
+        for q in {t[0] for t in table if t[0] is not None}:
+            all_of = sorted((far(v, w), i, label) for j, v, _ in table if j == q for i, w, label in table if i is not None and i != q)[:k]
+            for *_, label in all_of:
+                want[q, label] = want.get((q, label), 0) + 1 / len(all_of)
+        got = {(x["id"], x["label"]): x["share"] for x in vectors.knn_vote(df, df, "id", "id", "v", "label", k, parts).collect()}
+        assert got == pytest.approx(want), (k, parts)
