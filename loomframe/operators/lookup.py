@@ -6,6 +6,7 @@ partial aggregate and no sort of its group. Small reference tables are broadcast
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,11 +33,17 @@ def join_best(left: DataFrame, right: DataFrame, on: Sequence[str], order: Seque
 
 
 def grid(left: DataFrame, right: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each row of left with each row of right, a small table such as a panel: right is repeated for each of parts shares of
-    left, by default as many as a shuffle has partitions, so the pairs are made in as many tasks and nothing is broadcast."""
+    """Each row of left with each row of right, such as a panel. Both are dealt to shares, about parts pairs of them (by default
+    as many as a shuffle has partitions), and each pair of shares meets once: a task holds a share of right, not all of it, few
+    rows of left are spread by right's shares, and nothing is broadcast. A row is repeated about sqrt(parts) times."""
     parts = parts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")).join(shares.hint("merge"), "_part").drop("_part")
+    n = math.isqrt(max(0, parts - 1)) + 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hashed = lambda df: F.xxhash64(F.lit(0), *[c for c, kind in df.dtypes if "map<" not in kind])
+    share = lambda df: F.pmod(hashed(df), F.lit(n)).cast("int")
+    held = right.withColumn("_col", share(right)).withColumn("_row", every)
+    dealt = left.withColumn("_row", share(left)).withColumn("_col", every)
+    return dealt.join(held.hint("merge"), ["_row", "_col"]).drop("_row", "_col")
 
 
 def resolve_alias(df: DataFrame, aliases: DataFrame, key: str, old: str, current: str, to: str = "resolved") -> DataFrame:

@@ -662,3 +662,16 @@ def test_nearest_neighbours_of_odd_vectors(spark):
                 want[q, label] = want.get((q, label), 0) + 1 / len(all_of)
         got = {(x["id"], x["label"]): x["share"] for x in vectors.knn_vote(df, df, "id", "id", "v", "label", k, parts).collect()}
         assert got == pytest.approx(want), (k, parts)
+
+
+def test_grid_deals_both_sides(spark):
+    """One row of left met all of right in one task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        right = spark.range(2000).select(F.col("id").alias("r"), F.create_map(F.lit("k"), "id").alias("m"))
+        for n, least in ((1, 2), (7, 4)):
+            got = lookup.grid(spark.range(n), right, 16).select("id", "r", F.spark_partition_id().alias("p")).collect()
+            assert sorted((x["id"], x["r"]) for x in got) == [(i, j) for i in range(n) for j in range(2000)]
+            assert len({x["p"] for x in got}) >= least
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
