@@ -234,11 +234,14 @@ def difference(x: set[bytes], hub: set[bytes], tenths: int) -> tuple[bool, int,
     added, lacked = x - hub, hub - x
     a, r, p, q = len(added), len(lacked), 10 - tenths, 10 + tenths
     d, inside = a + r, similar(x, hub, tenths)
-    as_other = d - ((q * d + p * (r - a)) // (2 * q) + 1) + 1
+    # Before the first element that x shares with a similar text are only additions that this text hasn't (n) and then what
+    # it has of what x lacks (m), and 10 n + tenths m <= p |x|.
+    reach = p * len(x) // 10 + 1 if 10 * a > p * len(x) else a + (p * len(x) - 10 * a) // tenths + 1
+    as_other = min(reach, d - ((q * d + p * (r - a)) // (2 * q) + 1) + 1)
     as_outside = 0
     if not inside:
-        shared = max(1, -((p * (len(x) + len(hub)) - q * d) // 20), -((p * len(x) - tenths * d) // tenths))
-        as_outside = d - shared + 1
+        shared = max(1, -((p * (len(x) + len(hub)) - q * d) // 20))
+        as_outside = min(reach, d - shared + 1)
     take = max(as_other, as_outside)
     order = sorted(xxhash.xxh3_64_intdigest(s) >> 1 | 1 for s in added) if take else []
     if take > a:
@@ -297,13 +300,18 @@ def _meeting(told: DataFrame, crowd: int | None, tenths: int) -> tuple[DataFrame
     lack, over, room = F.col("e") % 2 == 0, q * (F.col("a") + F.col("r")) - p * (F.col("size") + F.col("hub_size")), (q - p) * (F.col("r") - F.col("a"))
     # A hub's members meet if one that isn't similar to it is in another component than they are.
     outside = F.when(~F.col("inside"), F.col("comp"))
-    far = told.groupBy("hub").agg(F.min(outside).alias("low"), F.max(outside).alias("high")).filter("low IS NOT NULL")
+    far = told.groupBy("hub").agg(F.min(outside).alias("low"), F.max(outside).alias("high"), F.min(F.when(~F.col("inside"), over)).alias("least_over"), F.max(room).alias("most_room")).filter("low IS NOT NULL")
     told = told.join(far.hint("merge"), "hub").filter("low <> high OR comp <> low OR NOT inside").drop("low", "high")
     two = told.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     told = told.join(two.hint("merge"), "hub", "left_semi")
-    entries = told.select("hub", "node", "comp", "size", "hub_size", "a", "r", "as_outside", "as_other", F.posexplode("elements").alias("at", "e"))
-    x_role, y_role = F.col("at") < F.col("as_outside"), (F.col("at") < F.col("as_other")) & (~lack | (room > 0))
-    entries = entries.select("hub", "node", "comp", "size", "a", "r", "at", "e", x_role.alias("x"), y_role.alias("y"), F.when(lack, over).otherwise(F.lit(0)).alias("over"), F.when(lack, room).otherwise(F.lit(0)).alias("room")).filter("x OR y")
+    # What a member lacks is of use only if the hub has another one at the right distance; it stands behind all additions.
+    told = told.withColumns({"as_outside": F.when(over <= F.col("most_room"), F.col("as_outside")).otherwise(F.least("as_outside", "a")), "as_other": F.when(room >= F.col("least_over"), F.col("as_other")).otherwise(F.least("as_other", "a"))})
+    elements = F.slice("elements", F.lit(1), F.greatest("as_outside", "as_other", F.lit(0)).cast("int"))
+    entries = told.select("hub", "node", "comp", "size", "hub_size", "a", "r", "as_outside", "as_other", F.posexplode(elements).alias("at", "e"))
+    x_role, y_role = F.col("at") < F.col("as_outside"), F.col("at") < F.col("as_other")
+    entries = entries.select("hub", "node", "comp", "size", "a", "r", "at", "e", x_role.alias("x"), y_role.alias("y"), F.when(lack, over).otherwise(F.lit(0)).alias("over"), F.when(lack, room).otherwise(F.lit(0)).alias("room"))
+    # Cut, as own and met would each run the joins and the explosion above.
+    entries = cut(entries, forget_size=True)
     own = entries.groupBy("hub", "e").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("x"), F.col("over"))).alias("least_over"), F.max(F.when(F.col("y"), F.col("room"))).alias("most_room")
     ).filter("low <> high AND least_over <= most_room")

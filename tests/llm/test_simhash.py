@@ -220,3 +220,36 @@ def test_a_known_component_is_not_compared_again(spark):
     told = lambda comps: spark.createDataFrame([(node(0), node(k), 20, 20, k != 1, 3, 3, 3, 3, [5, 7, 9], node(c)) for k, c in enumerate(comps, 1)], f"hub {S.NODE}, node {S.NODE}, size long, hub_size long, inside boolean, a long, r long, as_outside long, as_other long, elements array<long>, comp {S.NODE}")
     pairs = lambda comps: {(r["a"]["id"], r["b"]["id"]) for r in S._meeting(told(comps), 100, 8)[0].collect()}
     assert pairs([1, 1, 1]) == set() and (1, 3) in pairs([1, 1, 3]) and (1, 2) not in pairs([1, 1, 3])
+
+
+def test_prefixes_are_short_and_meet(spark):
+    """Texts unlike the hub gave up to half of all that differs; a fifth of their own shingles is enough to meet every similar one."""
+    r = random.Random(8)
+    far = lambda k: [*(f"{k}u{i}" for i in range(r.choice((10, 30, 60)))), *(f"w{i}" for i in range(r.choice((30, 60, 90))))]
+    sets = [S._shingles(t.encode(), 5) for k in range(6) for t in family(r, [*far(k), *(f"{k}e{i}" for i in range(40))], 20)]
+    hub, met, lacks = S._shingles(" ".join(f"w{i}" for i in range(90)).encode(), 5), 0, 0
+    for hub in (hub, sets[0], max(sets, key=len)):
+        told = [S.difference(x, hub, 8) for x in sets]
+        for x, (inside, a, n, as_outside, as_other, _) in zip(sets, told, strict=True):
+            if 10 * a > 2 * len(x):
+                assert max(as_outside, as_other) <= len(x) // 5 + 1
+        for x, (inside, a, n, as_outside, _, long) in zip(sets, told, strict=True):
+            for y, (_, b, m, _, as_other, short) in zip(sets, told, strict=True):
+                if not inside and x != y and S.similar(x, y, 8):
+                    both = set(long[:as_outside]) & set(short[:as_other])
+                    over, room = 18 * (a + n) - 2 * (len(x) + len(hub)), 16 * (m - b)
+                    assert both and (any(e % 2 for e in both) or over <= room)
+                    met, lacks = met + 1, lacks + all(e % 2 == 0 for e in both)
+    assert met > 200
+
+
+def test_elements_are_listed_once_and_only_where_they_can_meet(spark, monkeypatch):
+    """The elements of a hub were listed anew in each branch of the plan, with what members lack where none can meet by it."""
+    listed, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df, **k: listed.append(df.columns) or cut(df, **k) if "e" not in df.columns else listed.append(df.count()) or cut(df, **k))
+    node = lambda k: (k, 0, 0)
+    rows = [(node(0), node(k), 20, 20, False, 3, 3, 5, 5, [5, 7, 9, 8, 10], node(k)) for k in (1, 2, 3)]
+    told = spark.createDataFrame(rows, f"hub {S.NODE}, node {S.NODE}, size long, hub_size long, inside boolean, a long, r long, as_outside long, as_other long, elements array<long>, comp {S.NODE}")
+    pairs = {(r["a"]["id"], r["b"]["id"]) for r in S._meeting(told, 100, 8)[0].collect()}
+    assert pairs == {(1, 2), (1, 3), (2, 3)}
+    assert listed == [9, 9]  # three additions of each; those that meet
