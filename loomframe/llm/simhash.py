@@ -136,6 +136,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 # where the elements outside the hub's reach are rare. An element that many members share makes a bucket of its own, with
 # a hub of its own, in the next round.
 #
+# Nothing of this asks that a hub is in the bucket. So a hub that is similar to a larger one gives its members to that one
+# before they are described: a text in many buckets of one family is described once, not once for each of their hubs.
+#
 # A link within a component that is known already changes nothing. So hubs and stars (every node with the least one it is
 # proposed with) are verified first, and what is left is compared across components only: pairs, and the elements of a hub.
 
@@ -148,6 +151,8 @@ ROUNDS = 8
 STARS = 2
 #: Nodes that are sent to every executor to pick their texts, at most.
 SENT = 200_000
+#: Tasks that the members of one hub are dealt to.
+SHARES = 32
 
 
 def band_keys(hashes: list[int]) -> np.ndarray:
@@ -289,6 +294,21 @@ def _differences(texts: DataFrame, members: DataFrame, shingle: int, tenths: int
     return to_python(sent, run, f"hub {NODE}, node {NODE}, size long, hub_size long, inside boolean, a long, r long, as_outside long, as_other long, elements array<long>")
 
 
+def _fewer_hubs(texts: DataFrame, members: DataFrame, shingle: int, tenths: int) -> tuple[DataFrame, DataFrame]:
+    """members (hub, node) in which a hub that is similar to a larger one gives its members, itself included, to the largest
+    such one that gives away none; and the links a, b of hubs that were found. Members of one hub stay together."""
+    hubs = packed(cut(members.groupBy("hub").agg(F.count("*").alias("n")).select("hub", F.struct("n", "hub").alias("rank"))))
+    ranks = lambda c: hubs.select(F.col("hub").alias(c), F.col("rank").alias(f"_{c}")).hint("merge")
+    both = members.join(ranks("node"), "node").join(ranks("hub"), "hub")
+    pairs = packed(cut(both.select(F.least("_node", "_hub")["hub"].alias("a"), F.greatest("_node", "_hub")["hub"].alias("b")).distinct(), forget_size=True))
+    links = packed(cut(_verified(texts, pairs, shingle, tenths), forget_size=True))
+    tops = links.join(links.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_anti")
+    to = packed(cut(tops.join(ranks("b"), "b").groupBy("a").agg(F.max_by("b", "_b").alias("to")), forget_size=True))
+    given = members.join(to.withColumnRenamed("a", "hub").hint("merge"), "hub", "left").select(F.coalesce("to", "hub").alias("hub"), "node")
+    given = given.unionByName(to.select(F.col("to").alias("hub"), F.col("a").alias("node")))
+    return packed(cut(given.filter("node <> hub").distinct(), forget_size=True)), links
+
+
 def _meeting(told: DataFrame, crowd: int | None, tenths: int) -> tuple[DataFrame, DataFrame]:
     """Of _differences() with components (comp): pairs a < b of different components that may be similar though the hub
     doesn't link them, and members of crowded elements.
@@ -300,12 +320,19 @@ def _meeting(told: DataFrame, crowd: int | None, tenths: int) -> tuple[DataFrame
     lack, over, room = F.col("e") % 2 == 0, q * (F.col("a") + F.col("r")) - p * (F.col("size") + F.col("hub_size")), (q - p) * (F.col("r") - F.col("a"))
     # A hub's members meet if one that isn't similar to it is in another component than they are.
     outside = F.when(~F.col("inside"), F.col("comp"))
-    far = told.groupBy("hub").agg(F.min(outside).alias("low"), F.max(outside).alias("high"), F.min(F.when(~F.col("inside"), over)).alias("least_over"), F.max(room).alias("most_room")).filter("low IS NOT NULL")
-    told = told.join(far.hint("merge"), "hub").filter("low <> high OR comp <> low OR NOT inside").drop("low", "high")
-    two = told.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    told = told.join(two.hint("merge"), "hub", "left_semi")
+    far = told.groupBy("hub").agg(
+        F.min(outside).alias("low"), F.max(outside).alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.min("size").alias("least_size"), F.min(F.when(~F.col("inside"), over)).alias("least_over"), F.max(room).alias("most_room")
+    ).filter("low IS NOT NULL AND first <> last").drop("first", "last")
+    # Shares, as the members of a large hub would else meet in one task.
+    far = far.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    told = told.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int"))
+    told = told.join(far.hint("merge"), ["hub", "share"]).filter("low <> high OR comp <> low OR NOT inside").drop("low", "high", "share")
     # What a member lacks is of use only if the hub has another one at the right distance; it stands behind all additions.
     told = told.withColumns({"as_outside": F.when(over <= F.col("most_room"), F.col("as_outside")).otherwise(F.least("as_outside", "a")), "as_other": F.when(room >= F.col("least_over"), F.col("as_other")).otherwise(F.least("as_other", "a"))})
+    # Before the first addition that x shares with y are only some of x that y hasn't, |x| - tenths (|x| + |y|) / q at most.
+    short = F.greatest("least_size", F.ceil(F.col("size") * tenths / 10))
+    most_own = F.floor((q * F.col("size") - tenths * (F.col("size") + short)) / q) + 1
+    told = told.withColumns({c: F.when(most_own <= F.col("a"), F.least(c, most_own)).otherwise(F.col(c)) for c in ("as_outside", "as_other")})
     elements = F.slice("elements", F.lit(1), F.greatest("as_outside", "as_other", F.lit(0)).cast("int"))
     entries = told.select("hub", "node", "comp", "size", "hub_size", "a", "r", "as_outside", "as_other", F.posexplode(elements).alias("at", "e"))
     x_role, y_role = F.col("at") < F.col("as_outside"), F.col("at") < F.col("as_other")
@@ -358,9 +385,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select(F.explode(F.array("hub", "node")).alias("node"))).distinct()
     rows = docs.select(node_of(docs, id_col, text).alias("node"), F.col(text).cast("string").alias("text"))
     texts = cut(rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
+    links = []
+    if not members.isEmpty():
+        members, of_hubs = _fewer_hubs(texts, members, shingle, tenths)
+        links.append(of_hubs)
     told = cut(_differences(texts, members, shingle, tenths), forget_size=True)
     linked = lambda t: t.filter("inside").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = [linked(told)]
+    links.append(linked(told))
     for _ in range(STARS):
         if pairs.isEmpty():
             break

@@ -253,3 +253,50 @@ def test_elements_are_listed_once_and_only_where_they_can_meet(spark, monkeypatc
     pairs = {(r["a"]["id"], r["b"]["id"]) for r in S._meeting(told, 100, 8)[0].collect()}
     assert pairs == {(1, 2), (1, 3), (2, 3)}
     assert listed == [9, 9]  # three additions of each; those that meet
+
+
+def test_a_family_is_described_by_few_hubs(spark, monkeypatch):
+    """A text of one family was described and its elements were listed for each hub of its buckets, up to nine times."""
+    r, texts = random.Random(4), []
+    for k in "uv":
+        for _ in range(90):
+            x = [f"{k}{i}" for i in range(110)]
+            for at in r.sample(range(110), r.choice((1, 2, 3, 4, 6))):
+                x[at] = f"s{r.randrange(10_000)}"
+            texts.append(" ".join(x))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [S._shingles(t.encode(), 5) for t in texts]
+    want = plain_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]))
+    told, differences = [], S._differences
+    monkeypatch.setattr(S, "_differences", lambda texts, members, *k: told.append([(m["hub"]["id"], m["node"]["id"]) for m in members.collect()]) or differences(texts, members, *k))
+    assert {r["node"]["id"]: r["component"]["id"] for r in S.similar_groups(docs, bucket_cap=8).collect()} == want
+    nodes = {n for _, n in told[0]}
+    assert len(nodes) > 120 and len(told[0]) == len(set(told[0])) <= 1.25 * len(nodes)
+
+
+def test_a_hub_goes_to_the_largest_similar_one(spark):
+    """Members of a hub stay together, a hub that gives away none keeps its own, and one that isn't similar stays."""
+    base = [f"w{i}" for i in range(100)]
+    texts = {k: " ".join([*(f"n{i}" for i in range(k)), *base[k:]]) for k in (0, 5, 11, 40)}
+    node = lambda k: (k, 0, 0)
+    members = [(0, 5), (0, 11), *((0, k) for k in range(100, 105)), (5, 11), (5, 40), *((5, k) for k in range(103, 106)), (11, 5), (11, 106), (40, 107), (40, 5)]
+    of = {k: texts.get(k, " ".join(base)) for k in {k for m in members for k in m}}
+    df = spark.createDataFrame([(node(h), node(k)) for h, k in members], f"hub {S.NODE}, node {S.NODE}")
+    got, links = S._fewer_hubs(spark.createDataFrame([(node(k), t) for k, t in of.items()], f"node {S.NODE}, text string"), df, 5, 8)
+    rows = sorted((r["hub"]["id"], r["node"]["id"]) for r in got.collect())
+    # 5 and 11 are similar; 0 is the largest and similar to 5; 11 is similar to 5, which gives its members away.
+    assert {(r["a"]["id"], r["b"]["id"]) for r in links.collect()} == {(5, 0), (11, 5)}
+    assert rows == sorted({(0, k) for k in (5, 11, *range(100, 106), 40)} | {(11, 5), (11, 106), (40, 107), (40, 5)})
+
+
+def test_prefixes_follow_the_sizes_of_a_hub(spark, monkeypatch):
+    """Of texts of one size, an eighth of their shingles was enough where a fifth was listed."""
+    listed, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df, **k: cut(df, **k) if "e" not in df.columns else listed.append(df.count()) or cut(df, **k))
+    node = lambda k: (k, 0, 0)
+    for sizes, want in (((100, 100, 100), 3 * 12), ((100, 100, 80), 2 * 21 + 9)):
+        rows = [(node(0), node(k), n, 100, False, 30, 130 - n, n // 5 + 1, n // 5 + 1, [*range(1, 2 * (n // 5 + 1), 2)], node(k)) for k, n in enumerate(sizes, 1)]
+        told = spark.createDataFrame(rows, f"hub {S.NODE}, node {S.NODE}, size long, hub_size long, inside boolean, a long, r long, as_outside long, as_other long, elements array<long>, comp {S.NODE}")
+        listed.clear()
+        pairs = {(r["a"]["id"], r["b"]["id"]) for r in S._meeting(told, 100, 8)[0].collect()}
+        assert listed[0] == want and (1, 2) in pairs
