@@ -29,6 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of tables that are cut and otherwise out of use; else they may stay until memory is short."""
+    spark._jvm.System.gc()
+
+
 def publish(df: DataFrame, folder: str, name: str) -> bool:
     """df written as Parquet beside folder/name and moved there by one rename; False, and nothing written, if the name is taken."""
     spark = df.sparkSession

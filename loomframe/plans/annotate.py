@@ -1,18 +1,23 @@
 """The enrichment pipeline: calls joined to every reference source, merged into one wide table, and queried.
 
-Each source is a left join by id and one by place, each followed by an aggregate of the candidates by the call's row, which
-takes the best with min_by. Calls are dealt by id once and by place once; all joins of a kind and their aggregates stay in
-that partitioning, so candidates are never shuffled, and small sources are broadcast by their measured size.
+A record is met by id or by place. Where all records of an id stand at the place of its calls, those at the place are all there
+are, so records are shuffled by place only, once, and a call meets a place's records as arrays. The other ids (scattered())
+are met by id before: a left join, then an aggregate of the candidates by the call's row, which takes the best with min_by.
+
+picked() does both for single sources, by joins. There calls are dealt by id once and by place once; all joins of a kind and
+their aggregates stay in that partitioning, so candidates are never shuffled.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.durable import cut, forget
 from loomframe.functions import genotype as G
 from loomframe.functions import scalar as S
 from loomframe.operators import rules, scores
@@ -61,8 +66,8 @@ def row_key() -> Column:
 SPREAD = 1024
 
 
-def spread(known: Column) -> Column:
-    return F.when(known, -1).otherwise(F.pmod(F.xxhash64("_row"), F.lit(SPREAD)).cast("int"))
+def spread(known: Column, by: Sequence[str] = ("_row",)) -> Column:
+    return F.when(known, -1).otherwise(F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int"))
 
 
 def some_key(name: str) -> Column:
@@ -86,6 +91,7 @@ class Pick:
     """What is chosen among a call's candidates s (columns of source): to, by an aggregate that is null without any.
 
     same: whether a record met by id counts. Records met by place are for calls without a choice by id.
+    listed: the same choice, out of an array of candidates; alone: of a single one (null way: it doesn't count).
     """
 
     to: str
@@ -93,6 +99,8 @@ class Pick:
     columns: Sequence[str]
     choose: Callable[[int], Column]
     same: Column | None = None
+    listed: Callable[[Column, int], Column] | None = None
+    alone: Callable[[Column, Column], Column] | None = None
 
 
 def by_id(calls: DataFrame, pick: Pick) -> DataFrame:
@@ -121,14 +129,32 @@ def picked(calls: DataFrame, *picks: Pick) -> DataFrame:
     return calls
 
 
-def best(order: Sequence[Column]) -> Callable[[int], Column]:
-    """The first candidate by order."""
-    rank = F.when(F.col("s").isNotNull(), F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)]))
-    return lambda way: F.min_by(F.when(F.col("s").isNotNull(), F.struct("s", F.lit(way).alias("way"))), rank)
+def single(s: Column, way: Column) -> Column:
+    return F.when(way.isNotNull(), F.struct(s.alias("s"), way.alias("way")))
+
+
+def best(order: Callable[[Column], Sequence[Column]]) -> tuple[Callable[[int], Column], Callable[[Column, int], Column]]:
+    """The first candidate by order, as an aggregate and out of an array."""
+    s = F.col("s")
+    rank = F.when(s.isNotNull(), F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order(s))]))
+    listed = lambda found, way: F.when(F.size(found) > 0, F.struct(least(found, order).alias("s"), F.lit(way).alias("way")))
+    return lambda way: F.min_by(F.when(s.isNotNull(), F.struct("s", F.lit(way).alias("way"))), rank), listed
+
+
+def least(found: Column, order: Callable[[Column], Sequence[Column]]) -> Column:
+    """The first of an array by order; null if it is empty."""
+    ranked = F.transform(found, lambda s: F.struct(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order(s))]).alias("o"), s.alias("s")))
+    # of one record there is nothing to rank
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.array_min(ranked)["s"])
+
 
+def hit(s: Column) -> Column:
+    return carried(F.col("genotype"), s["ref"], s["alt"])
 
-def hit() -> Column:
-    return carried(F.col("genotype"), F.col("s.ref"), F.col("s.alt"))
+
+def kinds(found: Column) -> Column:
+    """The number of alleles in an array of records."""
+    return F.when(F.size(found) < 2, F.size(found)).otherwise(F.size(F.array_distinct(F.transform(found, lambda s: F.struct(s["ref"], s["alt"])))))
 
 
 def vep_pick(vep: DataFrame) -> Pick:
@@ -136,33 +162,49 @@ def vep_pick(vep: DataFrame) -> Pick:
 
     A choice is a struct: vep (s and way; null if ambiguous), ambiguous and single (one allele).
     """
-    some = F.col("s").isNotNull()
-    mane = F.coalesce(F.col("s.mane_select").cast("int"), F.lit(0)) > 0
-    rank = F.struct(F.when(mane, 0).otherwise(1).alias("a"), (-S.max_term_rank(F.col("s.consequence"), SEVERITY)).alias("b"), F.col("s.transcript_id").alias("c"), F.col("s.alt").alias("d"))
-    allele = F.struct("s.ref", "s.alt")
+
+    def order(s: Column) -> list[Column]:
+        mane = F.coalesce(s["mane_select"].cast("int"), F.lit(0)) > 0
+        return [F.when(mane, 0).otherwise(1), -S.max_term_rank(s["consequence"], SEVERITY), s["transcript_id"], s["alt"]]
+
+    s = F.col("s")
+    some, allele = s.isNotNull(), F.struct("s.ref", "s.alt")
+    rank = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order(s))])
+
+    def choice(n: Column, h: Column, any_: Column, own: Column) -> Column:
+        one = F.when(n <= 1, any_).when(h == 1, own)
+        return F.when(n > 0, F.struct(one.alias("vep"), ((n > 1) & (h != 1)).alias("ambiguous"), (n == 1).alias("single")))
 
     def choose(way: int) -> Column:
-        n, h = F.size(F.collect_set(F.when(some, allele))), F.size(F.collect_set(F.when(some & hit(), allele)))
+        n, h = F.size(F.collect_set(F.when(some, allele))), F.size(F.collect_set(F.when(some & hit(s), allele)))
         value = F.struct("s", F.lit(way).alias("way"))
-        one = F.when(n <= 1, F.min_by(value, F.when(some, rank))).when(h == 1, F.min_by(value, F.when(some & hit(), rank)))
-        return F.when(n > 0, F.struct(one.alias("vep"), ((n > 1) & (h != 1)).alias("ambiguous"), (n == 1).alias("single")))
+        return choice(n, h, F.min_by(value, F.when(some, rank)), F.min_by(value, F.when(some & hit(s), rank)))
+
+    def listed(found: Column, way: int) -> Column:
+        hits = F.filter(found, hit)
+        value = lambda x: F.struct(least(x, order).alias("s"), F.lit(way).alias("way"))
+        return F.when(F.size(found) > 0, choice(kinds(found), kinds(hits), value(found), value(hits)))
+
+    def alone(s: Column, way: Column) -> Column:
+        return F.when(way.isNotNull(), F.struct(single(s, way).alias("vep"), F.lit(False).alias("ambiguous"), F.lit(True).alias("single")))
 
-    return Pick("_vep", vep, ["ref", "alt", "gene_symbol", "transcript_id", "consequence", "hgvs_coding", "hgvs_protein", "mane_select"], choose)
+    return Pick("_vep", vep, ["ref", "alt", "gene_symbol", "transcript_id", "consequence", "hgvs_coding", "hgvs_protein", "mane_select"], choose, None, listed, alone)
 
 
 def clinvar_pick(clinvar: DataFrame) -> Pick:
     """The assertion of a call: one it carries, then most stars; an id's record must stand at the call's place (an indel one base before it)."""
     anchored = (G.probe_class(F.col("genotype")) == "indel") & (G.row_class(F.col("s.ref"), F.col("s.alt")) == "indel") & (F.col("rsid") == F.col("lookup_id"))
     same = concordant(F.col("chrom"), F.col("pos"), F.col("s.chrom"), F.col("s.pos"), anchored)
-    rank = [~hit(), -F.coalesce(F.col("s.review_stars"), F.lit(0)), F.col("s.accession"), F.col("s.alt")]
-    return Pick("clinvar", clinvar, ["ref", "alt", "significance", "review_stars", "accession", "conditions", "gene_symbol", "chrom", "pos"], best(rank), same)
+    choose, listed = best(lambda s: [~hit(s), -F.coalesce(s["review_stars"], F.lit(0)), s["accession"], s["alt"]])
+    return Pick("clinvar", clinvar, ["ref", "alt", "significance", "review_stars", "accession", "conditions", "gene_symbol", "chrom", "pos"], choose, same, listed, single)
 
 
 def dbnsfp_pick(dbnsfp: DataFrame) -> Pick:
     """Scores of a call: a carried allele first, then the least ALT and REF."""
     columns = ["ref", "alt", "cadd_phred", "sift_score", "sift_pred", "polyphen2_hsvar_score", "polyphen2_hsvar_pred", "revel", "metasvm", "metalr"]
     source = dbnsfp.select("rsid", "chrom", "pos", *[F.col(c) if c in dbnsfp.columns else F.lit(None).cast("string" if c.endswith("pred") else "double").alias(c) for c in columns])
-    return Pick("dbnsfp", source, columns, best([~hit(), F.col("s.alt"), F.col("s.ref")]))
+    choose, listed = best(lambda s: [~hit(s), s["alt"], s["ref"]])
+    return Pick("dbnsfp", source, columns, choose, None, listed, single)
 
 
 def gnomad_by_id(calls: DataFrame, gnomad: DataFrame) -> DataFrame:
@@ -178,18 +220,25 @@ def gnomad_by_id(calls: DataFrame, gnomad: DataFrame) -> DataFrame:
     n = by_id(calls, Pick("_n", source, ["_c", "_p", "v"], lambda way: sets))
     several = F.col("_n.places") > 1
     pool, own = F.when(several, F.col("_n.here")).otherwise(F.col("_n.all")), F.when(several, F.col("_n.here_hits")).otherwise(F.col("_n.hits"))
-    kinds = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: F.struct(x["ref"], x["alt"]))))
+    return n.withColumn("_loose", F.when(F.col("_n.n") > 0, loose(pool, own))).drop("_n")
+
+
+def loose(pool: Column, own: Column) -> Column:
+    """The frequencies of the one allele in a pool of different records, else of the one that the call carries, with a status."""
     one = F.when(kinds(pool) == 1, F.get(pool, F.lit(0))).when(kinds(own) == 1, F.get(own, F.lit(0)))
     status = F.when(F.size(pool) == 0, "locus_unresolved").when((kinds(pool) == 1) | (kinds(own) == 1), "matched").otherwise("allele_ambiguous")
-    return n.withColumn("_loose", F.when(F.col("_n.n") > 0, F.struct(one.alias("gnomad"), status.alias("status")))).drop("_n")
+    return F.struct(one.alias("gnomad"), status.alias("status"))
 
 
 def gnomad_by_place(calls: DataFrame, gnomad: DataFrame) -> DataFrame:
     """calls (ref, alt, _loose) with gnomad and status: by exact place and alleles where both are known, with no way back after a miss."""
+    return exact_or_loose(at_alleles(calls, gnomad, frequencies(gnomad), "_exact", F.min))
+
+
+def exact_or_loose(calls: DataFrame) -> DataFrame:
     known = F.col("ref").isNotNull() & F.col("alt").isNotNull()
-    out = at_alleles(calls, gnomad, frequencies(gnomad), "_exact", F.min)
     status = F.when(F.col("_exact").isNotNull(), "matched")
-    return out.withColumns({"gnomad": F.when(known, F.col("_exact")).otherwise(F.col("_loose.gnomad")), "status": F.when(known, status).otherwise(F.col("_loose.status"))}).drop("_exact", "_loose")
+    return calls.withColumns({"gnomad": F.when(known, F.col("_exact")).otherwise(F.col("_loose.gnomad")), "status": F.when(known, status).otherwise(F.col("_loose.status"))}).drop("_exact", "_loose")
 
 
 def frequencies(gnomad: DataFrame) -> list[Column]:
@@ -206,21 +255,142 @@ def at_alleles(calls: DataFrame, source: DataFrame, columns: Sequence[Column], t
     return found.groupBy(*calls.columns).agg(least(F.when(exact, F.col("s"))).alias(to))
 
 
+def lookup_id() -> Column:
+    """The id by which a call's records are met. What stands for no id is none, else all such calls and records would meet."""
+    now = F.coalesce("dbsnp_rsid_current", "rsid")
+    return F.when(~F.trim(now).isin("", "."), now)
+
+
+#: Scattered ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
+FEW_IDS = 5_000_000
+#: Partitions by place, in those of a shuffle: a task sorts a place's records and its calls in memory.
+FINER = 4
+
+
+def id_key(name: str) -> Column:
+    """An id in 8 bytes. Ids that share one are scattered together, which changes no result."""
+    return F.when(F.col(name).isNotNull(), F.xxhash64(name))
+
+
+def scattered(calls: DataFrame, tables: Sequence[DataFrame]) -> tuple[DataFrame, int]:
+    """Ids (_key) with a call and a record at different places, or with one whose place isn't known; and their number."""
+    unknown = F.col("chrom").isNull() | F.col("pos").isNull()
+    seen = lambda df, name, bit: df.select(id_key(name).alias("_key"), F.xxhash64("chrom").alias("c"), F.col("pos").cast("long").alias("p"), F.when(unknown, bit | 4).otherwise(bit).alias("bits")).filter("_key IS NOT NULL")
+    rows = seen(calls, "lookup_id", 1)
+    for table in tables:
+        rows = rows.union(seen(table, "rsid", 2))
+    ids = rows.groupBy("_key").agg(*[f(x).alias(f"{x}{i}") for x in ("c", "p") for i, f in enumerate((F.min, F.max))], F.bit_or("bits").alias("bits"))
+    out = cut(ids.filter("bits = 7 OR (bits = 3 AND (c0 <> c1 OR p0 <> p1))").select("_key"))
+    return out, out.count()
+
+
+def met_by_id(calls: DataFrame, picks: Sequence[Pick], gnomad: DataFrame | None, ids: DataFrame) -> DataFrame:
+    """calls (of scattered ids) with the choices by id: those of picks and _loose."""
+    own = lambda df: df.join(ids, id_key("rsid") == F.col("_key"), "left_semi")
+    out = once(calls.withColumn("_row", row_key()))
+    if gnomad is not None:
+        out = gnomad_by_id(out, own(gnomad))
+    for p in picks:
+        out = by_id(out, Pick(p.to, own(p.source), p.columns, p.choose, p.same))
+        if "chrom" in p.columns:
+            kept = F.struct(*[F.col(f"{p.to}.s.{c}") for c in off_place(p)])
+            out = out.withColumn(p.to, F.when(F.col(p.to).isNotNull(), F.struct(kept.alias("s"), F.col(f"{p.to}.way").alias("way"))))
+    return again(out).drop("_row")
+
+
+def off_place(p: Pick) -> list[str]:
+    """The columns of a pick's records that its place doesn't tell."""
+    return [c for c in p.columns if c not in ("chrom", "pos")]
+
+
+def at_places(sources: Sequence[tuple[str, DataFrame, Column]], parts: int) -> DataFrame:
+    """A row for each place (_c, _p, _none) with an array of records for every source (name, table, record)."""
+    rows = None
+    for name, table, record in sources:
+        own = table.filter("chrom IS NOT NULL AND pos IS NOT NULL").select(F.col("chrom").alias("_c"), F.col("pos").alias("_p"), some_key("chrom").alias("_none"), record.alias(name))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    return rows.repartition(parts, "_c", "_p", "_none").groupBy("_c", "_p", "_none").agg(*[F.collect_list(name).alias(name) for name, _, _ in sources])
+
+
+def met_at_place(calls: DataFrame, picks: Sequence[Pick], gnomad: DataFrame | None, alphamissense: DataFrame | None) -> DataFrame:
+    """calls with the choices of picks, _loose, and the place's records of the two other sources as arrays (_gnomad, _am).
+
+    Choices that are there (met_by_id) stay, and _here says whether records at the place are to be met by id.
+    """
+    sources = [(f"{p.to}_at", p.source, F.struct("rsid", F.struct(*off_place(p)).alias("s"))) for p in picks]
+    if gnomad is not None:
+        sources.append(("_gnomad", gnomad, F.struct("rsid", F.struct(*frequencies(gnomad)).alias("s"))))
+    if alphamissense is not None:
+        sources.append(("_am", alphamissense, F.struct(F.struct("am_pathogenicity", "am_class", "ref", "alt").alias("s"))))
+    if not sources:
+        return calls
+    parts = FINER * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = F.col("chrom").isNotNull() & F.col("pos").isNotNull()
+    dealt = calls.drop("lookup_id").withColumn("_by_place", spread(known, ("rsid", "genotype"))).repartition(parts, "chrom", "pos", "_by_place")
+    on = (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")) & (F.col("_by_place") == F.col("_none"))
+    out = dealt.join(at_places(sources, parts).hint("merge"), on, "left").drop("_c", "_p", "_none", "_by_place")
+    # Arrays are null where nothing stands. One record, the common case, is taken without a pass over an array.
+    out = out.withColumns({"_id": F.when(F.col("_here"), lookup_id()), "_probe": G.probe_class(F.col("genotype"))})
+    same_id = lambda x: x["rsid"] == F.col("_id")
+    values = lambda found: F.transform(found, lambda x: x["s"])
+    only = lambda name: F.get(name, F.lit(0))
+
+    def alike(x: Column) -> Column:
+        row = G.row_class(x["s"]["ref"], x["s"]["alt"])
+        return F.col("_probe").isNull() | row.isNull() | (F.col("_probe") == row)
+
+    several = {}
+    for p in picks:
+        near = f"{p.to}_at"
+        many = F.size(near) > 1
+        several[f"{p.to}_ids"] = F.when(many, values(F.filter(near, same_id)))
+        several[f"{p.to}_places"] = F.when(many & ~F.coalesce(F.exists(near, same_id), F.lit(False)), values(F.filter(near, alike)))
+    if gnomad is not None:
+        several["_pool"] = F.when(F.size("_gnomad") > 1, F.array_sort(F.array_distinct(values(F.filter("_gnomad", same_id)))))
+    out = out.withColumns(several)
+    chosen = {}
+    for p in picks:
+        one = only(f"{p.to}_at")
+        way = F.when(same_id(one), 0).when(alike(one), 1)
+        found = F.when(F.size(f"{p.to}_at") == 1, p.alone(one["s"], way)).otherwise(F.coalesce(p.listed(F.col(f"{p.to}_ids"), 0), p.listed(F.col(f"{p.to}_places"), 1)))
+        chosen[p.to] = F.coalesce(p.to, found) if p.to in calls.columns else found
+    if gnomad is not None:
+        one = only("_gnomad")
+        found = F.when(F.size("_gnomad") == 1, F.when(same_id(one), F.struct(one["s"].alias("gnomad"), F.lit("matched").alias("status"))))
+        found = found.otherwise(F.when(F.size("_pool") > 0, loose(F.col("_pool"), F.filter("_pool", hit))))
+        chosen["_loose"] = F.coalesce("_loose", found) if "_loose" in calls.columns else found
+    return out.withColumns(chosen).drop("_id", "_probe", *several, *[f"{p.to}_at" for p in picks])
+
+
+def with_alleles(name: str, take: Callable[[Column], Column]) -> Column:
+    """The least or greatest (take) of a place's records with the alleles ref and alt."""
+    own = lambda x: (x["s"]["ref"] == F.col("ref")) & (x["s"]["alt"] == F.col("alt"))
+    one = F.get(name, F.lit(0))
+    return F.when(F.size(name) == 1, F.when(own(one), one["s"])).otherwise(take(F.transform(F.filter(name, own), lambda x: x["s"])))
+
+
 def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
     """raw (rsid, chrom, pos, genotype, any other columns) as the wide table of annotated variants, one row a row of raw."""
-    calls = raw.withColumns({"_row": row_key(), "lookup_id": F.col("rsid")})
     if sources.merges is not None:
         now = sources.merges.groupBy(F.col("old_rsid").alias("rsid")).agg(F.max("current_rsid").alias("_now"))
-        calls = calls.join(now, "rsid", "left").withColumn("lookup_id", F.coalesce("_now", "rsid")).withColumn("dbsnp_rsid_current", F.col("_now")).drop("_now")
+        calls = raw.join(now, "rsid", "left").withColumn("dbsnp_rsid_current", F.col("_now")).drop("_now")
     else:
-        calls = calls.withColumn("dbsnp_rsid_current", F.lit(None).cast("string"))
-    # What stands for no id is none, else all such calls and records would meet.
-    calls = calls.withColumn("lookup_id", F.when(~F.trim("lookup_id").isin("", "."), F.col("lookup_id")))
-    out = once(calls)
-    if sources.gnomad is not None:
-        out = gnomad_by_id(out, sources.gnomad)
+        calls = raw.withColumn("dbsnp_rsid_current", F.lit(None).cast("string"))
+    calls = calls.withColumn("lookup_id", lookup_id())
     tables = (("vep", sources.vep, vep_pick), ("clinvar", sources.clinvar, clinvar_pick), ("dbnsfp", sources.dbnsfp, dbnsfp_pick))
-    out = picked(out, *[pick(table) for _, table, pick in tables if table is not None])
+    picks = [pick(table) for _, table, pick in tables if table is not None]
+    out = calls.withColumn("_here", F.lit(True))
+    with_ids = [table for table in (sources.vep, sources.clinvar, sources.gnomad, sources.dbnsfp) if table is not None]
+    if with_ids:
+        ids, n = scattered(calls, with_ids)
+        gc.collect()  # Python holds the plan that found them, and that the files of its shuffles
+        if n:
+            ids = F.broadcast(ids) if n <= FEW_IDS else ids
+            # Calls without an id are spread, if the ids are many.
+            of_them = F.coalesce(id_key("lookup_id"), F.xxhash64("rsid", "chrom", "pos", "genotype")) == F.col("_key")
+            apart = met_by_id(calls.join(ids, of_them, "left_semi"), picks, sources.gnomad, ids).withColumn("_here", F.lit(False))
+            out = out.join(ids, of_them, "left_anti").unionByName(apart, allowMissingColumns=True)
+    out = met_at_place(out, picks, sources.gnomad, sources.alphamissense)
     if sources.vep is not None:
         out = out.withColumns({"vep": F.col("_vep.vep"), "vep_ambiguous": F.col("_vep.ambiguous"), "vep_single": F.col("_vep.single")}).drop("_vep")
     for name, table, _ in tables:
@@ -237,13 +407,12 @@ def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
     from_vep = F.coalesce("vep_single", F.lit(False)) & v["ref"].isNotNull() & v["alt"].isNotNull()
     out = out.withColumns({"ref": F.when(both, c["ref"]).when(from_vep, v["ref"]), "alt": F.when(both, c["alt"]).when(from_vep, v["alt"])})
     if sources.gnomad is not None:
-        out = gnomad_by_place(out, sources.gnomad)
+        out = exact_or_loose(out.withColumn("_exact", with_alleles("_gnomad", F.array_min)))
     else:
         out = out.withColumns({"gnomad": F.lit(None).cast("struct<ref: string, alt: string, " + ", ".join(f"af_{p}: double" for p in POPULATIONS) + ", homozygous_count: double>"), "status": F.lit(None).cast("string")})
     if sources.alphamissense is not None:
-        out = at_alleles(out, sources.alphamissense, [F.col("am_pathogenicity"), F.col("am_class")], "am", F.max)
         missense = F.contains(F.coalesce(v["consequence"], F.lit("")), F.lit("missense"))
-        out = out.withColumn("am", F.when(missense, F.col("am")))
+        out = out.withColumn("am", F.when(missense, with_alleles("_am", F.array_max)))
     else:
         out = out.withColumn("am", F.lit(None).cast("struct<am_pathogenicity: double, am_class: string>"))
     gene = F.coalesce(v["gene_symbol"], F.when(~F.coalesce("vep_ambiguous", F.lit(False)), c["gene_symbol"]))
@@ -258,9 +427,8 @@ def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
     g = F.col("gnomad")
     clash = F.coalesce((g["ref"] != F.col("ref")) | (g["alt"] != F.col("alt")), F.lit(False))
     out = out.withColumns({"gnomad": F.when(~clash, g), "gnomad_source_status": F.when(clash, "allele_mismatch").otherwise(F.col("status"))})
-    popmax = S.arg_max({p: F.col(f"gnomad.af_{p}") for p in POPULATIONS})
-    out = out.withColumn("_max", popmax)
-    rare, ultra = S.rare_flags(F.col("_max.value"))
+    out = out.withColumn("_max", F.greatest(*[F.col(f"gnomad.af_{p}") for p in POPULATIONS]))
+    rare, ultra = S.rare_flags(F.col("_max"))
     bits = S.COVERAGE_BITS
     mask = S.mask_of({bits["vep"]: F.col("vep").isNotNull(), bits["clinvar"]: F.col("clinvar").isNotNull(), bits["gnomad"]: F.col("gnomad").isNotNull(), bits["dbnsfp"]: F.col("dbnsfp").isNotNull(), bits["gene_phenotype"]: F.col("gp").isNotNull(), bits["alphamissense"]: F.col("am").isNotNull()})
     own = [x for x in raw.columns if x not in ("ref", "alt")]
@@ -268,13 +436,16 @@ def annotate(raw: DataFrame, sources: Sources) -> DataFrame:
         *own, "ref", "alt", "dbsnp_rsid_current", G.zygosity(F.col("genotype"), F.col("ref"), F.col("alt")).alias("zygosity"), "gene_symbol", v["transcript_id"].alias("transcript_id"), v["consequence"].alias("consequence"),
         v["hgvs_coding"].alias("hgvs_coding"), v["hgvs_protein"].alias("hgvs_protein"), (F.coalesce(v["mane_select"].cast("int"), F.lit(0)) > 0).alias("mane_select"), c["significance"].alias("clinvar_significance"),
         c["review_stars"].alias("clinvar_review_stars"), c["accession"].alias("clinvar_accession"), c["conditions"].alias("clinvar_conditions"), *[F.col(f"gnomad.af_{p}").alias(f"gnomad_af_{p}") for p in POPULATIONS],
-        F.col("_max.value").alias("gnomad_af_popmax"), F.col("gnomad.homozygous_count").alias("gnomad_homozygous_count"), rare.alias("rare_flag"), ultra.alias("ultra_rare_flag"), "gnomad_source_status",
+        F.col("_max").alias("gnomad_af_popmax"), F.col("gnomad.homozygous_count").alias("gnomad_homozygous_count"), rare.alias("rare_flag"), ultra.alias("ultra_rare_flag"), "gnomad_source_status",
         *[d[x].alias(x) for x in ("cadd_phred", "sift_score", "sift_pred", "polyphen2_hsvar_score", "polyphen2_hsvar_pred", "revel", "metasvm", "metalr")], F.col("am.am_pathogenicity").alias("am_pathogenicity"), F.col("am.am_class").alias("am_class"),
-        F.col("gp.disease_name").alias("disease_name"), F.col("gp.disease_id").alias("disease_id"), F.col("gp.hpo_terms").alias("hpo_terms"), F.col("gp.inheritance").alias("inheritance"), mask.alias("annotation_coverage"), "vep_ambiguous", "_copies", "_by_id", "_by_place",
+        F.col("gp.disease_name").alias("disease_name"), F.col("gp.disease_id").alias("disease_id"), F.col("gp.hpo_terms").alias("hpo_terms"), F.col("gp.inheritance").alias("inheritance"), mask.alias("annotation_coverage"), "vep_ambiguous",
     )
-    wide = scores.damage(again(wide))
+    wide = scores.damage(wide)
     conflict = F.trim("clinvar_significance").isin(*CONTESTABLE) & (F.col("deleterious_count") >= 3) & (F.col("cadd_phred") >= 20)
-    return wide.withColumn("evidence_conflict", F.coalesce(conflict, F.lit(False)))
+    wide = wide.withColumn("evidence_conflict", F.coalesce(conflict, F.lit(False)))
+    if with_ids:
+        forget(raw.sparkSession)
+    return wide
 
 
 def coverage_stats(wide: DataFrame, source: Column, buckets: Sequence[str]) -> DataFrame:

@@ -107,3 +107,50 @@ def test_candidates_are_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert got == [("", 1, 30.0), (".", None, None), ("rs1", 0, 30.0), ("rs1", 0, 30.0)]
+
+
+VEP = "rsid string, chrom string, pos long, ref string, alt string, gene_symbol string, transcript_id string, consequence string, hgvs_coding string, hgvs_protein string, mane_select int"
+SCORES = "rsid string, chrom string, pos long, ref string, alt string, cadd_phred double"
+
+
+def test_records_are_shuffled_once(spark):
+    """Records go by place only, all sources in one shuffle, if every id's records stand where its calls do."""
+    calls = spark.createDataFrame([("rs1", "1", 5, "AG"), ("rs1", "1", 5, "AG"), ("i2", "1", 5, "AA"), (None, "1", 5, "AG"), (".", None, None, "AG")], "rsid string, chrom string, pos long, genotype string")
+    vep = spark.createDataFrame([("rs1", "1", 5, "A", "G", "G1", "t1", "stop_gained", None, None, 1)], VEP)
+    dbnsfp = spark.createDataFrame([("rs1", "1", 5, "A", "G", 30.0), (".", "7", 7, "A", "G", 1.0), (None, None, None, "A", "G", 1.0)], SCORES)
+    gnomad = spark.createDataFrame([("rs1", "1", 5, "A", "G", 0.2), ("rs1", "1", 5, "A", "T", 0.1)], "rsid string, chrom string, pos long, ref string, alt string, af_global double")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = A.annotate(calls, A.Sources(vep=vep, dbnsfp=dbnsfp, gnomad=gnomad))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        got = sorted((r["rsid"] or "", r["transcript_id"], r["cadd_phred"], r["gnomad_af_global"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert got == [("", "t1", 30.0, 0.2), (".", None, None, None), ("i2", "t1", 30.0, 0.2), ("rs1", "t1", 30.0, 0.2), ("rs1", "t1", 30.0, 0.2)]
+
+
+@pytest.mark.parametrize("few", [1_000, 0])
+def test_scattered_ids(spark, rows, monkeypatch, few):
+    """Ids with records or calls at several places, or at unknown ones, give what joins by id and by place give, broadcast or not."""
+    monkeypatch.setattr(A, "FEW_IDS", few)
+    calls, vep, dbnsfp, clinvar = [], [], [], []
+    for i in range(60):
+        place = ("1", i % 25) if i % 7 else (None, i)
+        genotype = ("AG", "CC", "AC", "--", "II", "GT")[i % 6]
+        calls += [(i, f"rs{i % 40}" if i % 11 else None, *place, genotype)] * (1 + (i % 13 == 0))
+        for j in range(i % 4):
+            at = ("1", i % 25 + (i % 5 == 0)) if i % 9 else (None, None)
+            ref, alt = "AC"[j % 2], "GTA"[(i + j) % 3]
+            vep.append((f"rs{i % 40}", *at, ref, alt, "G", f"t{i}_{j}", ("stop_gained", "intron_variant")[j % 2], None, None, i % 2))
+            dbnsfp.append((f"rs{i % 40}", *at, ref, f"{alt}{'A' * i}", float(i * 4 + j)))
+            clinvar.append((f"rs{i % 40}", *at, ref, alt, "Benign", i % 3, f"V{i}_{j}", None, None))
+    raw = spark.createDataFrame(calls, "k int, rsid string, chrom string, pos long, genotype string")
+    vep, dbnsfp = spark.createDataFrame(vep, VEP), spark.createDataFrame(dbnsfp, SCORES)
+    clinvar = spark.createDataFrame(clinvar, "rsid string, chrom string, pos long, ref string, alt string, significance string, review_stars int, accession string, conditions string, gene_symbol string")
+    got = A.annotate(raw, A.Sources(vep=vep, clinvar=clinvar, dbnsfp=dbnsfp)).select("k", "transcript_id", "vep_ambiguous", "clinvar_accession", "cadd_phred")
+    keyed = raw.withColumns({"_row": A.row_key(), "lookup_id": F.col("rsid")})
+    want = A.again(A.picked(A.once(keyed), A.vep_pick(vep), A.clinvar_pick(clinvar), A.dbnsfp_pick(dbnsfp))).select("k", "_vep.vep.s.transcript_id", "_vep.ambiguous", "clinvar.s.accession", "dbnsfp.s.cadd_phred")
+    assert rows(got) == rows(want) and any(r["transcript_id"] for r in got.collect())
+    n = A.scattered(keyed, [vep, dbnsfp, clinvar])[1]
+    assert 0 < n < 40
