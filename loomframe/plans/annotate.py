@@ -256,15 +256,23 @@ def at_alleles(calls: DataFrame, source: DataFrame, columns: Sequence[Column], t
 
 
 def lookup_id() -> Column:
-    """The id by which a call's records are met. What stands for no id is none, else all such calls and records would meet."""
-    now = F.coalesce("dbsnp_rsid_current", "rsid")
-    return F.when(~F.trim(now).isin("", "."), now)
+    """The id by which a call's records are met."""
+    return some_id(F.coalesce("dbsnp_rsid_current", "rsid"))
+
+
+def some_id(c: Column) -> Column:
+    """What stands for no id is none, else all such calls and records would meet."""
+    return F.when(~F.trim(c).isin("", "."), c)
+
+
+def finer(df: DataFrame) -> int:
+    return FINER * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 #: Scattered ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 FEW_IDS = 5_000_000
-#: Partitions by place, in those of a shuffle: a task sorts a place's records and its calls in memory.
-FINER = 4
+#: Partitions by place and of the ids' places, in those of a shuffle: a task sorts its records and calls in memory.
+FINER = 8
 
 
 def id_key(name: str) -> Column:
@@ -275,11 +283,13 @@ def id_key(name: str) -> Column:
 def scattered(calls: DataFrame, tables: Sequence[DataFrame]) -> tuple[DataFrame, int]:
     """Ids (_key) with a call and a record at different places, or with one whose place isn't known; and their number."""
     unknown = F.col("chrom").isNull() | F.col("pos").isNull()
-    seen = lambda df, name, bit: df.select(id_key(name).alias("_key"), F.xxhash64("chrom").alias("c"), F.col("pos").cast("long").alias("p"), F.when(unknown, bit | 4).otherwise(bit).alias("bits")).filter("_key IS NOT NULL")
+    place = [F.xxhash64("chrom").alias("c"), F.col("pos").cast("long").alias("p")]
+    seen = lambda df, name, bit: df.withColumn("_id", some_id(F.col(name))).select(id_key("_id").alias("_key"), *place, F.when(unknown, bit | 4).otherwise(bit).alias("bits")).filter("_key IS NOT NULL")
     rows = seen(calls, "lookup_id", 1)
     for table in tables:
         rows = rows.union(seen(table, "rsid", 2))
-    ids = rows.groupBy("_key").agg(*[f(x).alias(f"{x}{i}") for x in ("c", "p") for i, f in enumerate((F.min, F.max))], F.bit_or("bits").alias("bits"))
+    # Few rows share an id in a scan, so they are not aggregated before the shuffle.
+    ids = rows.repartition(finer(calls), "_key").groupBy("_key").agg(*[f(x).alias(f"{x}{i}") for x in ("c", "p") for i, f in enumerate((F.min, F.max))], F.bit_or("bits").alias("bits"))
     out = cut(ids.filter("bits = 7 OR (bits = 3 AND (c0 <> c1 OR p0 <> p1))").select("_key"))
     return out, out.count()
 
@@ -324,7 +334,7 @@ def met_at_place(calls: DataFrame, picks: Sequence[Pick], gnomad: DataFrame | No
         sources.append(("_am", alphamissense, F.struct(F.struct("am_pathogenicity", "am_class", "ref", "alt").alias("s"))))
     if not sources:
         return calls
-    parts = FINER * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = finer(calls)
     known = F.col("chrom").isNotNull() & F.col("pos").isNotNull()
     dealt = calls.drop("lookup_id").withColumn("_by_place", spread(known, ("rsid", "genotype"))).repartition(parts, "chrom", "pos", "_by_place")
     on = (F.col("chrom") == F.col("_c")) & (F.col("pos") == F.col("_p")) & (F.col("_by_place") == F.col("_none"))
